@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, sharding
+from . import decontamination, quality, sharding
 from .common import table
 
 SHARDS = 24
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), trainable=~quality.held_out(F.col("doc_id")))
+    held = quality.held_out(F.col("doc_id")).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS, keep=["doc_id"])
 
@@ -23,6 +30,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
 }
