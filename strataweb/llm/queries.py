@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, near_dedup, quality, sharding
+from . import decontamination, mixing, near_dedup, quality, sharding
 from .common import table
 
 SHARDS = 24
@@ -20,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held, "score", "predicted")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS, keep=["doc_id"])
 
@@ -35,6 +39,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op9_near_dedup": op9_near_dedup,
@@ -117,3 +122,27 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(curve AS INT) AS curve, CAS
        CAST(r - (shard * n + {SHARDS - 1}) // n_shards AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
 FROM (SELECT *, {SHARDS} AS n_shards FROM cut)
 """
+
+ORACLE["op3_mixing"] = f"""
+WITH RECURSIVE lanes AS (
+    SELECT name, n, row_number() OVER (ORDER BY name) - 1 AS lane, count(*) OVER () AS k, pow(n, {mixing.TEMPERATURE}) AS share
+    FROM (SELECT coalesce(source, '') AS name, count(*) AS n FROM documents GROUP BY 1)),
+exact AS (SELECT *, ({mixing.FRAME} - k) * share / sum(share) OVER () AS e FROM lanes),
+parts AS (SELECT name, n, lane, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, lane) <= {mixing.FRAME} - sum(1 + floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS p FROM exact),
+lists AS (SELECT list(p ORDER BY lane) AS p, list(n ORDER BY lane) AS n FROM parts),
+due AS (SELECT lane, p, j, (j * {mixing.FRAME}) // p AS released, ((j + 1) * {mixing.FRAME} + p - 1) // p AS deadline FROM parts, unnest(range(0, p)) AS u(j)),
+walk(slot, done, lane) AS (
+    SELECT -1::BIGINT, list_transform((SELECT p FROM lists), lambda x: 0::BIGINT), -1::BIGINT
+    UNION ALL
+    SELECT slot + 1, list_transform(done, lambda d, i: CASE WHEN i - 1 = pick THEN d + 1 ELSE d END), pick
+    FROM (SELECT slot, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d < p[i] AND (d * {mixing.FRAME}) // p[i] <= slot + 1
+              THEN (((d + 1) * {mixing.FRAME} + p[i] - 1) // p[i]) * 100000 + i - 1 END), lambda x: x IS NOT NULL)) % 100000 AS pick
+          FROM walk, lists WHERE slot + 1 < {mixing.FRAME})),
+sched AS (SELECT w.slot, w.lane, w.done[w.lane + 1] - 1 AS job, list_transform(w.done, lambda d, i: CASE WHEN i - 1 = w.lane THEN d - 1 ELSE d END) AS before FROM walk w WHERE w.slot >= 0),
+ranked AS (SELECT doc_id, d.source, x.lane, x.p, row_number() OVER (PARTITION BY x.lane ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id) - 1 AS r
+    FROM documents d JOIN parts x ON coalesce(d.source, '') = x.name),
+blocked AS (SELECT *, r // {mixing.BLOCK} AS block, (r // {mixing.BLOCK}) // p AS round, (r // {mixing.BLOCK}) % p AS job FROM ranked)
+SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.round * {mixing.FRAME} + s.slot AS BIGINT) AS slot,
+       CAST(list_sum(list_transform(s.before, lambda x, i: least(l.n[i], (b.round * l.p[i] + x) * {mixing.BLOCK}))) + b.r % {mixing.BLOCK} AS BIGINT) AS position
+FROM blocked b JOIN sched s ON s.lane = b.lane AND s.job = b.job, lists l
+"""
