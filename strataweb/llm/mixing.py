@@ -93,6 +93,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = F
     """
     added = ["block", "slot", "position"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    placed = _placed(docs, weights, frame, block, keep)
+    return placed.select(*(F.col(f"{_OWN}row")[c].alias(c) for c in keep), *added)
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int, block: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     counted = docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
@@ -133,14 +138,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = F
     placed = F.zip_with(F.zip_with("before", p, lambda b, q: (F.col("round") * q + b) * block), n, lambda rows_before, most: F.least(rows_before, most))
     position = F.aggregate(placed, F.lit(0).cast("long"), lambda acc, x: acc + x) + F.col("rank") % block
     return timed.select(
-        *(F.col(f"{_OWN}row")[c].alias(c) for c in keep),
+        f"{_OWN}row",
         "block",
         (F.col("round") * frame + F.col(f"{_OWN}slot")).alias("slot"),
         position.alias("position"),
     )
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = FRAME, block: int = BLOCK) -> DataFrame:
     """``docs`` laid out in the mixed order: files and rows follow the position; columns as they were."""
-    placed = mix(docs, **options)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"`{c}`") for c in docs.columns if c in placed.columns))
+    placed = _placed(docs, weights, frame, block, docs.columns)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"{_OWN}row")[c].alias(c) for c in docs.columns))

@@ -264,13 +264,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = near_duplicates(docs, similarity)
     rows = found.groupBy("doc_id", "node").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     # Written first, so that Spark broadcasts it only within its own threshold.
-    away = materialise(rows.where("not kept or n > 1").select(F.col("doc_id").alias("near_id"), F.col("node").alias("near_node"), "kept"), "near-away")
+    away = materialise(rows.where("not kept or n > 1").select(F.col("doc_id").alias("_near_id"), F.col("node").alias("_near_node"), F.col("kept").alias("_near_kept")), "near-away")
     node = text_node(F.col("text"))
-    same = docs["doc_id"].eqNullSafe(away["near_id"]) & (node == away["near_node"])
+    same = docs["doc_id"].eqNullSafe(away["_near_id"]) & (node == away["_near_node"])
     once = docs.join(away, same, "left_anti")
-    repeated = away.where("kept")
+    repeated = away.where("_near_kept")
     if repeated.isEmpty():
         return once
     # Kept rows that the input holds several times: one of each.
-    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["near_id"]) & (node == repeated["near_node"]))
-    return once.union(again.dropDuplicates(["near_id", "near_node"]).select(docs.columns))
+    again = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["_near_id"]) & (node == repeated["_near_node"]))
+    return once.union(again.dropDuplicates(["_near_id", "_near_node"]).select(docs.columns))

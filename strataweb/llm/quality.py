@@ -261,6 +261,17 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     return docs.mapInArrow(judge, schema)
 
 
+def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be of label 1; columns as they were."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.score(statistics(batch.column(batch.schema.get_field_index("text"))))
+            yield batch.filter(pa.array(s >= 0.5))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned: crc32 of the id as text leaves 1 modulo 3."""
     return hashed_fold(doc_id) == 1
