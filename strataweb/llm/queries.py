@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, sharding
+from . import decontamination, mixing, near_dedup, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 24
@@ -37,12 +37,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 
@@ -146,3 +151,27 @@ SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.round * {mix
        CAST(list_sum(list_transform(s.before, lambda x, i: least(l.n[i], (b.round * l.p[i] + x) * {mixing.BLOCK}))) + b.r % {mixing.BLOCK} AS BIGINT) AS position
 FROM blocked b JOIN sched s ON s.lane = b.lane AND s.job = b.job, lists l
 """
+
+
+def _terms_sql(terms: tuple[str, ...]) -> str:
+    """How many distinct terms stand in ``u``, bounded by anything but ASCII letters and digits."""
+    return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)', 's')::BIGINT" for t in terms)
+
+
+def _rules_sql() -> str:
+    rows = ", ".join(f"('{kind}', '{host}', '{path}')" for kind, host, path in url_filter.RULES)
+    return f"rules AS (SELECT * FROM (VALUES {rows}) AS r(kind, rule_host, rule_path))"
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLE["op10_url_filter"] = f"""
+WITH {_rules_sql()},
+after AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a, translate(coalesce(url, ''), {_AZ}) AS u FROM pages),
+parts AS (SELECT page_id, u, translate(regexp_extract(a, '^([^/?#]*)', 1, 's'), {_AZ}) AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM after),
+fits AS (SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(kind, length(rule_host || rule_path)) AS kind
+    FROM (SELECT DISTINCT page_id, host, path FROM parts) p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL),
+hits AS (SELECT *, {_terms_sql(url_filter.STRICT)} AS strict_hits, {_terms_sql(url_filter.SOFT)} AS soft_hits FROM parts)
+SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.kind, CASE WHEN strict_hits >= 1 OR soft_hits >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_hits AS BIGINT) AS soft_hits
+FROM hits h LEFT JOIN fits f ON h.page_id = f.page_id AND h.host = f.host AND h.path = f.path
+"""
