@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, sharding, url_filter
+from . import decontamination, mixing, near_dedup, quality, quality_rules, sharding, url_filter
 from .common import table
 
 SHARDS = 24
@@ -33,6 +33,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.drop("n_covered", "longest_repeat")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
@@ -175,3 +181,21 @@ SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.kind, CASE WHEN strict_hits
        CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_hits AS BIGINT) AS soft_hits
 FROM hits h LEFT JOIN fits f ON h.page_id = f.page_id AND h.host = f.host AND h.path = f.path
 """
+
+
+ORACLE["op8_quality_rules"] = rf"""
+WITH dw AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+n AS (SELECT *, len(w) AS n, CAST(floor(greatest({quality_rules.MAX_REPEAT}, len(w) * 0.1)) AS BIGINT) + 1 AS long FROM dw),
+short AS (SELECT k, i, array_to_string(w[i + 1 : i + {quality_rules.WINDOW}], ' ') AS g FROM n, unnest(range(0, n - {quality_rules.WINDOW - 1})) AS u(i)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM short) WHERE c > 1),
+rep AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + {quality_rules.WINDOW})) AS p FROM twice) GROUP BY k),
+long_twice AS (SELECT DISTINCT k FROM (SELECT k, md5(array_to_string(w[i + 1 : i + long], ' ')) AS g FROM n, unnest(range(0, n - long + 1)) AS u(i)) GROUP BY k, g HAVING count(*) > 1),
+dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM dw) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+counts AS (SELECT n.k, doc_id, n AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, t.k IS NOT NULL AS too_long
+    FROM n LEFT JOIN rep USING (k) LEFT JOIN dup USING (k) LEFT JOIN long_twice t USING (k)),
+judged AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_WINDOW_PERCENT} * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_repeat_words <= n_words * {quality_rules.MAX_COVERED} AND NOT too_long AS kept
+FROM judged
+"""
