@@ -100,12 +100,8 @@ def _exact_lcp(words: np.ndarray, order: np.ndarray, known: np.ndarray, end: np.
         return lcp
     one, two = order[open_ - 1], order[open_]
     have = known[open_]
-    # Hashes of runs, by prefix sums of a polynomial, compare blocks at once.
-    power = ragged._power(len(words), ragged._P, "up")
-    sums = np.zeros(len(words) + 1, dtype=np.uint64)
-    np.cumsum(words * power, out=sums[1:])
-    inverse = ragged._power(len(words) + 1, ragged._P_INVERSE, "down")
-
+    # Prefix sums of a polynomial compare runs of one length at once.
+    sums, inverse = ragged.prefix_sums(words)
     step = int(have.max())
     while step >= 1:
         trial = have + step

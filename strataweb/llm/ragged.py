@@ -71,11 +71,15 @@ def groups(texts: pa.Array, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of the maximal runs of ``member`` bytes; no run crosses two texts."""
-    if not len(data):
+    return run_spans(member[data], offsets)
+
+
+def run_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`word_spans`, for a mask over the bytes."""
+    if not len(inside):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    inside = member[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     edge[offsets] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
@@ -147,3 +151,16 @@ def repeats(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     # Counted back by text: distinct keys of each text come from the sorted keys' owners.
     owner = docs[np.argsort(keys, kind="stable")]
     return np.bincount(docs, minlength=n) - np.bincount(owner[firsts], minlength=n)
+
+
+def prefix_sums(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial prefix sums and inverse powers: ``(sums[b] - sums[a]) * inverse[a]`` identifies ``items[a:b]`` among runs of its length."""
+    sums = np.zeros(len(items) + 1, dtype=np.uint64)
+    np.cumsum(items * _power(len(items), _P, "up"), out=sums[1:])
+    return sums, _power(len(items) + 1, _P_INVERSE, "down")
+
+
+def run_hashes(items: np.ndarray, begins: np.ndarray, finishes: np.ndarray) -> np.ndarray:
+    """A hash of each run ``items[begin:finish]`` of 64-bit hashes."""
+    sums, inverse = prefix_sums(items)
+    return mix((sums[finishes] - sums[begins]) * inverse[begins] + (finishes - begins).astype(np.uint64) * _MULTIPLIERS[61])
