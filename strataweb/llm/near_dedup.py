@@ -10,11 +10,8 @@ exact weighted Jaccard similarity, and linked documents form classes.
 * The IDF of a shingle is the mean over its words.  Word document frequencies
   cover the whole corpus in a hashed table of ``2 ** DF_BITS`` counters, so
   the broadcast is of fixed size.
-* Within a band's bucket nobody emits all pairs: members are compared with the
-  bucket's least node; then, while a bucket still holds several components,
-  nodes outside its largest component are compared with the members of other
-  components, ``LEADERS`` at a time, until none is left.  Every pair of a
-  bucket is thus either verified or already connected.
+* Candidates of a bucket are verified as :mod:`.linking` describes: nobody
+  emits all its pairs, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -23,18 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
 from .common import materialise
-from .components import connected_components
+from .linking import link, pair_texts
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 DF_BITS = 18
-LEADERS = 16
 _TABLE_BITS = 16
 _GROUP = 512 << 10
 
@@ -172,9 +168,6 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     """The weighted Jaccard similarity of each pair (a, b) of nodes; ``texts`` has node and text."""
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0)]
@@ -184,7 +177,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                     out.append(_weighted_jaccard(one.slice(x + u, v - u), two.slice(x + u, v - u), idf.value))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.concatenate(out))], ["a", "b", "similarity"])
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(compare, "a long, b long, similarity double")
+    return pair_texts(pairs, texts).mapInArrow(compare, "a long, b long, similarity double")
 
 
 def _weighted_jaccard(one: pa.Array, two: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -199,35 +192,6 @@ def _weighted_jaccard(one: pa.Array, two: pa.Array, idf: np.ndarray) -> np.ndarr
     return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
 
 
-def _links(members: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """Components (node, label) of the nodes linked through the buckets ``members`` (band, node)."""
-    leaders = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("band", "a")
-    pairs = members.join(leaders, "band").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    edges = materialise(similarities(pairs, texts, idf).where(F.col("similarity") >= similarity), "near-links")
-    # Buckets of several nodes, for the later rounds.
-    crowded = materialise(members.join(leaders.select("band"), "band", "left_semi"), "near-buckets")
-    tried = leaders.select("band", F.col("a").alias("node"))
-    while True:
-        labels = materialise(connected_components(edges), "near-labels")
-        held = crowded.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        open_ = materialise(held.join(mixed.select("band", "main"), "band"), "near-open")
-        rest = open_.where("label <> main").join(tried, ["band", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        # A bucket's nodes outside its main component, LEADERS of them a round.
-        chosen = materialise(rest.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("band", "node", "label"), "near-leaders")
-        if chosen.isEmpty():
-            return labels
-        ahead = chosen.select("band", F.col("node").alias("p"), F.col("label").alias("p_label"))
-        known = tried.select("band", F.col("node").alias("q"))
-        met = open_.select("band", F.col("node").alias("q"), "label").join(ahead, "band").where("label <> p_label")
-        fresh = met.join(known, ["band", "q"], "left_anti").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        more = similarities(fresh, texts, idf).where(F.col("similarity") >= similarity)
-        edges = materialise(edges.select("a", "b").union(more.select("a", "b")), "near-links")
-        tried = tried.union(chosen.select("band", "node"))
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every row's class: doc_id, node, class_id (least doc_id of the class), class_size (rows) and kept.
 
@@ -242,14 +206,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # Null ids first: a struct of (is it set, id) compares as wanted.
     order = F.struct(F.col("doc_id").isNotNull().alias("set"), F.col("doc_id").alias("id"))
     nodes = materialise(signed.groupBy("node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-nodes")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.join(nodes.select("node", F.col("least.id").alias("_near_id")), "node")
+        by_id = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_near_id"))).where(text_node(F.col("text")) == F.col("node"))
+        return materialise(by_id.select("node", "text").dropDuplicates(["node"]), "near-texts")
+
     members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("band")
-    members = materialise(members.join(shared, "band", "left_semi"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "least"), "node")
-    wanted = wanted.select("node", F.col("least.id").alias("near_id"))
-    by_id = docs.select(F.col("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("near_id"))).where(text_node(F.col("text")) == F.col("node"))
-    texts = materialise(by_id.select("node", "text").dropDuplicates(["node"]), "near-texts")
-    labels = _links(members.select("band", "node"), texts, idf, similarity)
+    labels = link(members, fetch, lambda pairs, texts: similarities(pairs, texts, idf), similarity, "near")
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     keeper = F.min(F.struct("least", "node")).alias("keeper")
     classes = labelled.groupBy("label").agg(keeper, F.sum("copies").alias("class_size"))

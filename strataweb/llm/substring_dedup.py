@@ -116,9 +116,14 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str] | N
     text stays null, an empty one empty.  Null ids and repeated rows as in
     :func:`repeated_spans`.  An input column of an added name is replaced.
     """
+    return cut_spans(docs, repeated_spans(docs, min_words), keep)
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` without the spans (doc_id, node, removed), as :func:`deduplicate` says."""
     added = ["removed", "n_removed", "removed_chars"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    spans = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_cut_id"), F.col("node").alias("_cut_node"), "removed")
+    spans = spans.select(F.col("doc_id").alias("_cut_id"), F.col("node").alias("_cut_node"), "removed")
     rows = docs.drop(*added).join(spans, F.col("doc_id").eqNullSafe(F.col("_cut_id")) & (F.xxhash64("text") == F.col("_cut_node")), "left")
     rows = rows.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("removed", F.array().cast(spans.schema["removed"].dataType)).alias("removed"))
     schema = T.StructType([*rows.schema.fields, T.StructField("n_removed", T.IntegerType()), T.StructField("removed_chars", T.LongType())])
