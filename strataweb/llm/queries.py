@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, url_filter
+from . import decontamination, line_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, token_counts, url_filter
 from .common import table
 
 SHARDS = 24
@@ -41,6 +41,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Every document is edited in its middle: forty characters give way to a note.
+    middle = F.expr("length(text) div 2")
+    note = F.struct(middle.alias("start"), (middle + 40).alias("end"), F.lit(" [revised] ").alias("replacement"))
+    counted = token_counts.count(docs.withColumn("edits", F.array(note)), keep=["doc_id"])
+    return counted.select("doc_id", "n_tokens", F.size("leaf_tokens").alias("n_leaves"), "edited_tokens", "edited_chars", "reencoded_chars")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.drop("n_covered", "longest_repeat")
@@ -61,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
