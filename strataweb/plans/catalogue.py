@@ -1,10 +1,430 @@
-"""The registered queries and their equivalents in SQL."""
+"""The registered queries and their equivalents in SQL.
+
+Every query runs over whole tables.  Where SQL cannot express one, it has no
+entry in ``ORACLE`` and its tests compare it with known answers.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import http, patterns, urls
+from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
+from ..sources import bodies
+from ..streaming import membership as streaming
+from . import model
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+PATTERN = "https://blog.*.example.com/en/**"
+HOST = "localhost:2797"
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLE[name or f.__name__] = sql
+        return f
+
+    return register
+
+
+def simple(name: str, sql: str, f: Query) -> None:
+    query(sql, name)(f)
+
+
+# Pieces of SQL that several oracles share.
+
+R = "r AS (SELECT page_id AS id, url FROM pages)"
+
+
+def _re(pattern: str) -> str:
+    """An RE2 expression of a pattern, without the Java flags and escapes."""
+    body = patterns.pattern_regex(pattern)[len("(?d)^") : -1]
+    for c in "#~<>=!:,/& -":
+        body = body.replace("\\" + c, c)
+    return body
+
+
+def _fits(url: str, pattern: str) -> str:
+    return f"(starts_with({url}, '{patterns.literal_prefix(pattern)}') AND regexp_full_match({url}, '{_re(pattern)}'))"
+
+
+def _g(only=lambda g: True) -> str:
+    return "g AS (SELECT * FROM (VALUES " + ", ".join(f"({g.id}, '{g.name}', '{g.pattern}', '{_re(g.pattern)}', {str(g.do_not_download).lower()})" for g in model.GROUPS if only(g)) + ") AS t(group_id, name, pattern, re, dnd))"
+
+
+G = _g()
+_STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in model.STATUS.items()) + " END"
+REV = f"""rev AS (SELECT event_id AS id, user_id AS resource_id, CASE WHEN event_id % 3 = 0 THEN 'c' || (event_id % 7) END AS request_cookie,
+  CASE WHEN event_type = 'error' THEN '{{"type":"IOError","message":"lost"}}' ELSE 'null' END AS error, {_STATUS} AS status_code,
+  'e' || (CAST(props->>'$.k' AS BIGINT) % 5) AS etag, CAST(props->>'$.k' AS BIGINT) AS k, ts AS date FROM events)"""
+_CT = """CASE k % 4 WHEN 0 THEN 'Text/HTML; Charset="utf-8"' WHEN 1 THEN 'text/css' WHEN 2 THEN 'application/json; charset=latin1' ELSE 'image/png' END"""
+HEAD = f"""head AS (SELECT *, [['Content-Type', {_CT}], ['Date', strftime(date, '%a, %d %b %Y %H:%M:%S GMT')], ['AGE', CAST(k % 100 AS VARCHAR)], ['X-Unknown', '1'], ['ETag', etag]] AS headers FROM rev)"""
+
+
+def _lit(items) -> str:
+    return ", ".join(f"'{x}'" for x in items)
+
+
+_SCHEME, _HOST = "regexp_extract({u}, '^([a-zA-Z]+)://', 1)", "regexp_extract({u}, '^[a-zA-Z]+://([^/?#]*)', 1)"
+
+
+def _host(u: str) -> str:
+    return f"regexp_extract({u}, '^[a-zA-Z]+://([^/?#]*)', 1)"
+
+
+def _path(u: str) -> str:
+    return f"regexp_extract({u}, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
+
+
+LINKS = """found AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)', 2) AS texts FROM pages),
+lk AS (SELECT page_id, url, i - 1 AS pos, replace(hrefs[i], '&amp;', '&') AS relative_url, 'Link' AS type_title, replace(replace(texts[i], '&amp;', '&'), '&quot;', '"') AS title FROM found, unnest(range(1, len(hrefs) + 1)) AS u(i)),
+tl AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || relative_url AS target_url FROM lk)"""
+
+
+# Lookups, scans, patterns
+
+
+simple("scan_resources", f"WITH {R} SELECT id, url FROM r", lambda s, d: resources.scan(model.resources(s, d)))
+simple("point_lookup_url", f"WITH {R} SELECT id, url FROM r WHERE url = 'http://therha.example.com/en/676'", lambda s, d: resources.by_url(model.resources(s, d), "http://therha.example.com/en/676"))
+simple("lookup_id", f"WITH {R} SELECT id, url FROM r WHERE id = 17", lambda s, d: resources.by_id(model.resources(s, d), 17))
+simple("pattern_members", f"WITH {R} SELECT id, url FROM r WHERE {_fits('url', PATTERN)} ORDER BY id", lambda s, d: groups.members(model.resources(s, d), PATTERN).orderBy("id"))
+simple("pattern_literal", f"WITH {R} SELECT id, url FROM r WHERE url = 'http://ththed.example.org/en/453#top'", lambda s, d: groups.members(model.resources(s, d), "http://ththed.example.org/en/453").union(resources.by_url(model.resources(s, d), "http://ththed.example.org/en/453#top")))
+simple("pattern_urls_limit", f"WITH {R} SELECT url FROM r WHERE {_fits('url', 'http**')} ORDER BY url LIMIT 20", lambda s, d: groups.members(model.resources(s, d), "http**").select("url").orderBy("url").limit(20))
+simple("pattern_prefix_count", f"WITH {R} SELECT count(*) AS n FROM r WHERE starts_with(url, 'https://blog.')", lambda s, d: groups.prefix_count(model.resources(s, d), "https://blog.*/en/#"))
+simple(
+    "pattern_preview",
+    f"""WITH {R}, m AS (SELECT url FROM r WHERE {_fits('url', 'https://**')} ORDER BY url LIMIT 11), top AS (SELECT url FROM m ORDER BY url LIMIT 10)
+    SELECT url, CAST(NULL AS BIGINT) AS more FROM top UNION ALL
+    SELECT NULL, (SELECT count(*) FROM r WHERE starts_with(url, 'https://')) - 10 WHERE (SELECT count(*) FROM m) > 10""",
+    lambda s, d: groups.preview(model.resources(s, d), "https://**", 10),
+)
+simple("group_membership", f"WITH {R}, {G} SELECT r.id, r.url, CAST(group_id AS BIGINT) AS group_id FROM r JOIN g ON regexp_full_match(r.url, g.re)", lambda s, d: groups.membership(model.resources(s, d), model.GROUPS))
+simple("group_membership_by_table", ORACLE["group_membership"], lambda s, d: groups.membership_by_table(model.resources(s, d), groups.group_table(s, model.GROUPS)))
+simple("group_member_counts", f"WITH {R}, {G} SELECT CAST(group_id AS BIGINT) AS group_id, name, count(r.id) AS n_members FROM g LEFT JOIN r ON regexp_full_match(r.url, g.re) GROUP BY ALL", lambda s, d: groups.member_counts(model.resources(s, d), model.GROUPS))
+simple("groups_per_url", f"WITH {R}, {G} SELECT r.id, count(group_id) AS n_groups FROM r LEFT JOIN g ON regexp_full_match(r.url, g.re) GROUP BY r.id", lambda s, d: model.resources(s, d).select("id", F.size(groups.fitting(F.col("url"), model.GROUPS)).cast("long").alias("n_groups")))
+simple("dnd_filtered", f"WITH {R}, {G} SELECT id, url FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE dnd AND regexp_full_match(r.url, g.re))", lambda s, d: groups.without_do_not_download(model.resources(s, d), model.GROUPS))
+_GEN = "length(regexp_replace(pattern, '[^*]', '', 'g'))"
+
+
+@query(f"""WITH {R}, {G}, gen AS (SELECT *, len(regexp_extract_all(pattern, '\\*\\*')) AS a, len(regexp_extract_all(replace(pattern, '**', ''), '\\*')) AS b, len(regexp_extract_all(pattern, '[#@]')) AS c,
+  -length(regexp_replace(replace(pattern, '*', ''), '[#@]', '', 'g')) AS e FROM g)
+SELECT r.id, (SELECT CAST(group_id AS BIGINT) FROM gen WHERE regexp_full_match(r.url, re) ORDER BY a, b, c, e, group_id LIMIT 1) AS group_id FROM r""")
+def narrowest_group(s, d):
+    return groups.narrowest(model.resources(s, d), model.GROUPS).select("id", "group_id")
+
+
+@query(f"""WITH {G} SELECT CAST(group_id AS BIGINT) AS group_id, CAST(len(regexp_extract_all(pattern, '\\*\\*')) AS INT) AS star_star, CAST(len(regexp_extract_all(replace(pattern, '**', ''), '\\*')) AS INT) AS star,
+  CAST(len(regexp_extract_all(pattern, '[#@]')) AS INT) AS mark, CAST(-length(regexp_replace(replace(pattern, '*', ''), '[#@]', '', 'g')) AS INT) AS minus_literal FROM g""")
+def genericity(s, d):
+    return groups.group_table(s, model.GROUPS).withColumn("g", patterns.genericity(F.col("url_pattern"))).select("group_id", "g.star_star", "g.star", "g.mark", "g.minus_literal")
+
+
+def _badges(s, d):
+    rev = model.revisions(s, d)
+    latest = revisions.newest(rev).select(F.col("resource_id").alias("id"), F.col("id").alias("revision_id"), "error", "headers", "request_cookie", "status_code")
+    joined = model.resources(s, d).join(latest, "id", "left")
+    stale = http.is_stale(F.col("url"), F.col("request_cookie"), http.date_plus_age(F.col("headers")), min_fetch_date=F.lit(model.MIN_FETCH).cast("timestamp"))
+    badge = groups.status_badge(F.col("url"), model.GROUPS, F.col("revision_id"), stale, http.has_error(F.col("error")) | http.is_error_page(F.col("status_code")))
+    return joined.select("id", badge.alias("badge"))
+
+
+simple(
+    "status_badge",
+    f"""WITH {R}, {G}, {REV}, last AS (SELECT resource_id, arg_max(id, id) AS revision_id, arg_max(error, id) AS error, arg_max(status_code, id) AS st, arg_max(date_trunc('second', date) + to_seconds(k % 100), id) AS fetched FROM rev GROUP BY 1)
+    SELECT r.id, CASE WHEN EXISTS (SELECT 1 FROM g WHERE dnd AND regexp_full_match(r.url, re)) AND NOT EXISTS (SELECT 1 FROM g WHERE NOT dnd AND regexp_full_match(r.url, re)) THEN 'dnd'
+      WHEN revision_id IS NULL THEN 'new' WHEN fetched <= TIMESTAMP '{model.MIN_FETCH}' THEN 'stale' WHEN error = 'null' AND st // 100 NOT IN (4, 5) THEN 'ok' ELSE 'warning' END AS badge
+    FROM r LEFT JOIN last ON r.id = last.resource_id""",
+    _badges,
+)
+
+
+# Revisions
+
+
+simple("default_revision", f"WITH {REV} SELECT id, resource_id, status_code FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY id DESC) AS n FROM rev) WHERE n = 1", lambda s, d: revisions.newest(model.revisions(s, d).select("id", "resource_id", "status_code")))
+
+
+def _fresh(s, d):
+    fetched = http.date_plus_age(F.col("headers"))
+    stale = http.is_stale(F.lit(""), F.col("request_cookie"), fetched, min_fetch_date=F.lit(model.MIN_FETCH).cast("timestamp"))
+    return revisions.newest(model.revisions(s, d), ~stale).select("id", "resource_id")
+
+
+simple("default_fresh_revision", f"WITH {REV} SELECT max(id) AS id, resource_id FROM rev WHERE date_trunc('second', date) + to_seconds(k % 100) > TIMESTAMP '{model.MIN_FETCH}' GROUP BY resource_id", _fresh)
+simple("latest3_ok", f"WITH {REV} SELECT id, resource_id FROM rev WHERE error = 'null' AND id < (SELECT max(id) FROM rev) ORDER BY id DESC LIMIT 3", lambda s, d: revisions.latest_ok(model.revisions(s, d).select("id", "resource_id", "error"), http.has_error(F.col("error"))).select("id", "resource_id"))
+simple("revisions_of_resource", f"WITH {REV} SELECT id, status_code FROM rev WHERE resource_id = 7", lambda s, d: revisions.of_resource(model.revisions(s, d), 7).select("id", "status_code"))
+simple("revision_with_url", f"WITH {R}, {REV} SELECT rev.id, url, status_code FROM rev JOIN r ON rev.resource_id = r.id", lambda s, d: model.revisions(s, d).join(model.resources(s, d).withColumnRenamed("id", "resource_id"), "resource_id").select("id", "url", "status_code"))
+simple("has_revision_semi", f"WITH {R}, {REV} SELECT id, url FROM r WHERE id IN (SELECT resource_id FROM rev)", lambda s, d: revisions.with_any(model.resources(s, d), model.revisions(s, d)))
+simple("no_revision_anti", f"WITH {R}, {REV} SELECT id, url FROM r WHERE id NOT IN (SELECT resource_id FROM rev)", lambda s, d: revisions.without_any(model.resources(s, d), model.revisions(s, d)))
+simple("etag_latest", f"WITH {REV} SELECT resource_id, etag, max(id) AS revision_id, count(*) AS n_revisions FROM rev WHERE status_code <> 304 AND etag IS NOT NULL GROUP BY ALL", lambda s, d: revisions.by_etag(model.revisions(s, d)))
+simple(
+    "resolve_304",
+    f"""WITH {REV}, {HEAD}, t AS (SELECT resource_id, etag, max(id) AS target FROM rev WHERE status_code <> 304 AND etag IS NOT NULL GROUP BY ALL), p AS (SELECT h.*, CASE WHEN status_code = 304 THEN target END AS target FROM head h LEFT JOIN t USING (resource_id, etag))
+    SELECT p.id, coalesce(p.target, p.id) AS target_id, CAST(len(p.headers) AS INT) AS n_headers, list_filter(p.headers, lambda h: lower(h[1]) = 'date')[1][2] AS served_date,
+      list_filter(coalesce(b.headers, p.headers), lambda h: lower(h[1]) = 'age')[1][2] AS served_age FROM p LEFT JOIN head b ON b.id = p.target""",
+    lambda s, d: revisions.resolve_not_modified(model.revisions(s, d)).select("id", "target_id", F.size("served_headers").alias("n_headers"), http.first_header(F.col("served_headers"), "date").alias("served_date"), http.first_header(F.col("served_headers"), "age").alias("served_age")),
+)
+simple(
+    "fill_etag_304",
+    f"""WITH {REV}, e AS (SELECT id, resource_id, status_code, CASE WHEN status_code = 304 THEN NULL WHEN resource_id % 2 = 0 THEN 'only' ELSE etag END AS etag FROM rev),
+    o AS (SELECT resource_id, CASE WHEN count(DISTINCT etag) = 1 THEN min(etag) END AS only_ FROM e WHERE status_code <> 304 AND etag IS NOT NULL GROUP BY 1)
+    SELECT id, CASE WHEN status_code = 304 AND etag IS NULL THEN only_ ELSE etag END AS etag FROM e LEFT JOIN o USING (resource_id)""",
+    lambda s, d: revisions.fill_etag(model.revisions(s, d).withColumn("etag", F.when(F.col("status_code") == 304, F.lit(None)).when(F.col("resource_id") % 2 == 0, "only").otherwise(F.col("etag")))).select("id", "etag"),
+)
+simple("status_class_counts", f"WITH {REV} SELECT CAST(status_code // 100 AS BIGINT) AS status_class, count(*) AS n FROM rev GROUP BY 1", lambda s, d: model.revisions(s, d).groupBy(F.floor(F.col("status_code") / 100).alias("status_class")).agg(F.count(F.lit(1)).alias("n")))
+simple("error_revisions", f"WITH {REV} SELECT id, error->>'$.type' AS error_type FROM rev WHERE error <> 'null'", lambda s, d: model.revisions(s, d).where(http.has_error(F.col("error"))).select("id", http.decode_error(F.col("error"))["type"].alias("error_type")))
+simple("non200", f"WITH {REV} SELECT id, status_code FROM rev WHERE status_code <> 200", lambda s, d: model.revisions(s, d).where("status_code <> 200").select("id", "status_code"))
+simple("is_redirect", f"WITH {REV} SELECT id, status_code // 100 = 3 AS redirect, status_code = 304 AS not_modified, status_code // 100 IN (4, 5) AS error_page FROM rev", lambda s, d: model.revisions(s, d).select("id", http.is_redirect(F.col("status_code")).alias("redirect"), http.is_not_modified(F.col("status_code")).alias("not_modified"), http.is_error_page(F.col("status_code")).alias("error_page")))
+simple("has_cookie", f"WITH {REV} SELECT id, request_cookie FROM rev WHERE request_cookie IS NOT NULL", lambda s, d: model.revisions(s, d).where("request_cookie is not null").select("id", "request_cookie"))
+simple("header_first_value", f"WITH {REV}, {HEAD} SELECT id, list_filter(headers, lambda h: lower(h[1]) = 'age')[1][2] AS age FROM head", lambda s, d: model.revisions(s, d).select("id", http.first_header(F.col("headers"), "Age").alias("age")))
+simple("content_type", f"WITH {REV}, {HEAD} SELECT id, lower(trim(split_part(headers[1][2], ';', 1))) AS content_type, nullif(replace(regexp_extract(headers[1][2], '(?i)charset=(.*)$', 1), '\"', ''), '') AS charset, CASE k % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'css' WHEN 2 THEN 'json' END AS kind, k % 4 = 3 AS binary FROM head", lambda s, d: model.revisions(s, d).withColumn("content_type", http.content_type(F.col("headers"), F.lit("x"))).select("id", "content_type", http.declared_charset(F.col("headers")).alias("charset"), http.document_kind(F.col("content_type")).alias("kind"), http.is_binary(F.col("content_type")).alias("binary")))
+simple("date_plus_age", f"WITH {REV} SELECT id, date_trunc('second', date) + to_seconds(k % 100) AS fetched FROM rev", lambda s, d: model.revisions(s, d).select("id", http.date_plus_age(F.col("headers")).cast("timestamp_ntz").alias("fetched")))
+simple("header_allowlist", f"WITH {REV}, {HEAD} SELECT id, array_to_string(list_transform(list_filter(headers, lambda h: lower(h[1]) IN ({_lit(http.ALLOWED_HEADERS)})), lambda h: h[1]), ',') AS names FROM head", lambda s, d: model.revisions(s, d).select("id", F.array_join(F.transform(http.playable(F.col("headers")), lambda h: h[0]), ",").alias("names")))
+simple("replace_content_type", f"WITH {REV}, {HEAD} SELECT id, 'text/plain' AS content_type, CAST(len(headers) AS INT) AS n FROM head", lambda s, d: model.revisions(s, d).withColumn("h", http.replace_header(F.col("headers"), "content-type", F.lit("text/plain"))).select("id", http.first_header(F.col("h"), "content-type").alias("content_type"), F.size("h").alias("n")))
+simple("auto_date", f"WITH {REV} SELECT id, 'Wed, 16 Aug 2023 00:00:00 GMT' AS date FROM rev", lambda s, d: model.revisions(s, d).select("id", http.first_header(http.with_date(F.array(F.array(F.lit("Server"), F.lit("x"))), F.lit("2023-08-16 00:00:00").cast("timestamp")), "date").alias("date")))
+simple("cache_control", f"WITH {R} SELECT id, CASE WHEN contains(substr(p, 2), '/') THEN 'max-age=3600' ELSE 'max-age=0, must-revalidate' END AS policy FROM (SELECT id, {_path('url')} AS p FROM r)", lambda s, d: model.resources(s, d).select("id", http.cache_control(urls.path(F.col("url"))).alias("policy")))
+simple("distinct_cookies_recent", f"WITH {REV} SELECT request_cookie, max(id) AS last_id FROM rev WHERE request_cookie IS NOT NULL GROUP BY 1", lambda s, d: revisions.cookies_by_recency(model.revisions(s, d)))
+simple("approx_max_id", f"WITH {R} SELECT max(id) AS approx_rows FROM r", lambda s, d: model.resources(s, d).agg(F.max("id").alias("approx_rows")))
+simple("min_max_id", f"WITH {REV} SELECT min(id) AS lo, max(id) AS hi, count(*) AS n FROM rev", lambda s, d: model.revisions(s, d).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")))
+simple(
+    "stale_revisions",
+    f"""WITH {R}, {REV} SELECT rev.id, (starts_with(url, 'https://www.example.com/') AND request_cookie IS DISTINCT FROM 'c1') OR coalesce(date_trunc('second', date) + to_seconds(k % 100) <= TIMESTAMP '{model.MIN_FETCH}', false) AS stale FROM rev JOIN r ON rev.resource_id = r.id""",
+    lambda s, d: model.revisions(s, d).join(model.resources(s, d).withColumnRenamed("id", "resource_id"), "resource_id").select("id", http.is_stale(F.col("url"), F.col("request_cookie"), http.date_plus_age(F.col("headers")), "c1", "https://www.example.com", F.lit(model.MIN_FETCH).cast("timestamp")).alias("stale")),
+)
+simple("metadata_json", f"WITH {REV} SELECT id, CAST(status_code AS INT) AS status_code, error = 'null' AS no_error FROM rev", lambda s, d: model.revisions(s, d).withColumn("json", http.encode(F.struct(F.lit(11).alias("http_version"), "status_code", F.lit("OK").alias("reason_phrase"), "headers"))).select("id", http.decode_metadata(F.col("json"))["status_code"].alias("status_code"), http.decode_error(F.col("error")).isNull().alias("no_error")))
+simple("orphan_audit", f"WITH {REV}, b AS (SELECT id + 5 AS id FROM rev WHERE id % 2 = 0) SELECT id, 'missing body' AS problem FROM rev WHERE error = 'null' AND id NOT IN (SELECT id FROM b) UNION ALL SELECT id, 'missing revision' FROM b WHERE id NOT IN (SELECT id FROM rev)", lambda s, d: revisions.orphans(model.revisions(s, d), model.revisions(s, d).where("id % 2 = 0").select((F.col("id") + 5).alias("id"))))
+simple("dangling_roots", "SELECT CAST(3 AS BIGINT) AS root_id, 'Lost' AS name, CAST(999999999 AS BIGINT) AS resource_id", lambda s, d: resources.dangling(model.roots(s), model.resources(s, d)))
+simple("roots_with_url", f"WITH {R} SELECT root_id, url FROM r JOIN (VALUES (1, 2), (2, 10)) AS t(root_id, resource_id) ON id = resource_id", lambda s, d: resources.with_url(model.roots(s), model.resources(s, d)).select(F.col("root_id").cast("int").alias("root_id"), "url"))
+simple("deletable_resources", f"WITH {R} SELECT id, url FROM r WHERE id NOT IN (2, 10)", lambda s, d: resources.deletable(model.resources(s, d), model.roots(s)))
+simple("property_default", "SELECT 'fallback' AS value", lambda s, d: resources.property_value(s.createDataFrame([("cookie", "")], "name string, value string"), "cookie", "fallback"))
+
+
+# URLs
+
+
+def _of(f) -> Query:
+    return lambda s, d: model.resources(s, d).select("id", f(F.col("url")))
+
+
+simple("strip_fragment", f"WITH {R} SELECT id, regexp_replace(url, '#.*$', '') AS out FROM r", _of(lambda u: urls.strip_fragment(u).alias("out")))
+simple("lower_host", f"WITH {R} SELECT id, url AS out FROM r", lambda s, d: model.resources(s, d).select("id", urls.lower_host(F.concat(F.regexp_extract("url", "^([a-z]+://)", 1), F.upper(urls.netloc(F.col("url"))), F.regexp_extract("url", "^[a-z]+://[^/?#]*(.*)$", 1))).alias("out")))
+simple("root_slash", f"WITH {R} SELECT id, {_SCHEME.format(u='url')} || '://' || {_host('url')} || '/' AS out FROM r", lambda s, d: model.resources(s, d).select("id", urls.root_slash(urls.domain_prefix(F.col("url"))).alias("out")))
+simple("url_parts", f"WITH {R} SELECT id, {_SCHEME.format(u='url')} AS scheme, {_host('url')} AS netloc, {_path('url')} AS path, regexp_extract(url, '\\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM r", lambda s, d: model.resources(s, d).select("id", urls.scheme(F.col("url")).alias("scheme"), urls.netloc(F.col("url")).alias("netloc"), urls.path(F.col("url")).alias("path"), urls.query(F.col("url")).alias("query"), urls.fragment(F.col("url")).alias("fragment")))
+simple("domain_prefix", f"WITH {R} SELECT id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS out FROM r", _of(lambda u: urls.domain_prefix(u).alias("out")))
+simple("dir_prefix", f"WITH {R} SELECT id, regexp_extract(url, '^([a-z]+://[^/?#]*(?:/[^/?#]*)*)/[^/?#]*', 1) || regexp_extract(url, '([?#].*)$', 1) AS out FROM r", _of(lambda u: urls.directory_prefix(u).alias("out")))
+simple("display_url", f"WITH {R} SELECT id, CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN substr(url, 29) ELSE url END AS out FROM r", _of(lambda u: urls.display(u, "https://m.ththth.example.net").alias("out")))
+_REQ = f"'http://{HOST}/_/' || regexp_replace(url, '^([a-z]+)://', '\\1/')"
+simple("request_url", f"WITH {R} SELECT id, CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN 'http://{HOST}' || substr(url, 29) ELSE {_REQ} END AS out FROM r", _of(lambda u: urls.request_url(u, HOST, "https://m.ththth.example.net").alias("out")))
+simple("archive_url", f"WITH {R} SELECT id, url AS out FROM r", _of(lambda u: urls.archive_url(F.concat(F.lit("/_/"), F.regexp_replace(u, "://", "/"))).alias("out")))
+simple("external_url", f"WITH {R} SELECT id, 'crystal://external/' || url AS external, url AS back FROM r", _of(lambda u: F.struct(urls.format_external(u).alias("external"), urls.parse_external(urls.format_external(u)).alias("back")).alias("x")))
+QUERIES["external_url"] = lambda s, d: model.resources(s, d).select("id", urls.format_external(F.col("url")).alias("external"), urls.parse_external(urls.format_external(F.col("url"))).alias("back"))
+simple("unrewritable_urls", f"WITH {R} SELECT id, id % 3 <> 2 AS unrewritable FROM r", lambda s, d: model.resources(s, d).select("id", urls.is_unrewritable(F.concat(F.get(F.array(F.lit("mailto:"), F.lit("javascript:"), F.lit("Mailto:")), (F.col("id") % 3).cast("int")), F.col("url"))).alias("unrewritable")))
+simple("cookie_applies", f"WITH {R} SELECT id, starts_with(url, 'https://m.ththth.example.net/') AS applies FROM r", _of(lambda u: urls.cookie_applies(u, "https://m.ththth.example.net").alias("applies")))
+simple("normalize_url", f"WITH {R} SELECT id, regexp_replace(url, '#.*$', '') AS normal FROM r", lambda s, d: urls.with_alternatives(model.resources(s, d)).select("id", urls.normal_form(F.col("alternatives")).alias("normal")))
+simple("url_alternatives", f"WITH {R} SELECT id, CAST(unnest([0, 1]) AS INT) AS pos, unnest([url, regexp_replace(url, '#.*$', '')]) AS alternative FROM r WHERE contains(url, '#') UNION ALL SELECT id, 0, url FROM r WHERE NOT contains(url, '#')", lambda s, d: urls.with_alternatives(model.resources(s, d)).select("id", F.posexplode("alternatives").alias("pos", "alternative")))
+
+
+def _fixture(values: list[str], f) -> Query:
+    return lambda s, d: s.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, url string").select("k", f(F.col("url")).alias("out"))
+
+
+FORUM_URLS = ["http://f.net/viewforum.php?f=3&start=30&sid=0", "http://f.net/viewtopic.php?p=9&t=4&start=19", "http://f.net/memberlist.php?mode=viewprofile&u=2&x=1", "http://f.net/memberlist.php?mode=group&g=5", "http://f.net/index.php?a=b&sid=0123456789abcdef0123456789abcdef", "http://f.net/viewforum.php?f=a"]
+simple("phpbb_normalize", "SELECT * FROM (VALUES (0, 'http://f.net/viewforum.php?f=3&start=25'), (1, 'http://f.net/viewtopic.php?t=4'), (2, 'http://f.net/memberlist.php?mode=viewprofile&u=2'), (3, 'http://f.net/memberlist.php?mode=group&g=5'), (4, 'http://f.net/index.php?a=b'), (5, 'http://f.net/viewforum.php?f=a')) AS t(k, out)", _fixture(FORUM_URLS, urls.phpbb))
+BLOG_URLS = ["https://b.org/post?replytocom=12", "https://b.org/post?replytocom=12/", "https://b.org/?post_type=ngg%2F%2F", "https://b.org/?p=1"]
+simple("wordpress_normalize", "SELECT * FROM (VALUES (0, 'https://b.org/post'), (1, 'https://b.org/post'), (2, 'https://b.org/?post_type=ngg//'), (3, 'https://b.org/?p=1')) AS t(k, out)", _fixture(BLOG_URLS, urls.wordpress))
+BAKER_URLS = ["https://minimalistbaker.com/a?tp_image_id=3", "https://minimalistbaker.com/a?omhide=true", "https://other.com/a?omhide=true"]
+simple("minbaker_normalize", "SELECT * FROM (VALUES (0, 'https://minimalistbaker.com/a'), (1, 'https://minimalistbaker.com/a'), (2, 'https://other.com/a?omhide=true')) AS t(k, out)", _fixture(BAKER_URLS, urls.minimalist_baker))
+SUBSTACK_URLS = ["https://n.com/api/v1/firehose?_=5&d=eyJwcm9wZXJ0aWVzIjp7ImJyb3dzZXJTZXNzaW9uSWQiOiJ6In0sImNvbnRleHQiOnsicGFnZSI6eyJyZWZlcnJlciI6InEiLCJ1cmwiOiJodHRwOi8vby5jb20veCJ9fX0=", "https://n.com/api/v1/firehose?_=5&d=%%%"]
+query(name="substack_normalize")(_fixture(SUBSTACK_URLS, urls.substack))
+TYPED = ["xkcd.com", "www.xkcd.com/about", "https://xkcd.com", " http://xkcd.com/1/#x ", "ftp://h/x", ""]
+simple("user_input_candidates", "SELECT * FROM (VALUES (0, 0, 'https://xkcd.com/'), (0, 1, 'https://www.xkcd.com/'), (0, 2, 'http://xkcd.com/'), (0, 3, 'http://www.xkcd.com/'), (1, 0, 'https://www.xkcd.com/about'), (1, 1, 'https://xkcd.com/about'), (1, 2, 'http://www.xkcd.com/about'), (1, 3, 'http://xkcd.com/about'), (2, 0, 'https://xkcd.com/'), (3, 0, 'http://xkcd.com/1/'), (4, 0, 'ftp://h/x'), (5, 0, '')) AS t(k, pos, candidate)", lambda s, d: s.createDataFrame([(k, v) for k, v in enumerate(TYPED)], "k int, typed string").select("k", F.posexplode(urls.candidates(F.col("typed"))).alias("pos", "candidate")))
+_AL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}', {str(c).lower()})" for k, (a, b, c) in enumerate(model.ALIASES)) + ") AS t(alias_id, src, dst, ext))"
+simple(
+    "alias_first_match",
+    f"""WITH {R}, {_AL}, hit AS (SELECT r.id, min(alias_id) AS alias_id FROM r JOIN al ON starts_with(url, src) GROUP BY 1)
+    SELECT r.id, CAST(hit.alias_id AS BIGINT) AS alias_id, coalesce(CASE WHEN ext THEN 'crystal://external/' ELSE '' END || dst || substr(url, length(src) + 1), url) AS aliased_url FROM r LEFT JOIN hit USING (id) LEFT JOIN al USING (alias_id)""",
+    lambda s, d: resources.first_alias(model.resources(s, d), model.aliases(s)).select("id", "alias_id", "aliased_url"),
+)
+simple("alias_rewrite", f"WITH x AS ({ORACLE['alias_first_match']}) SELECT id, aliased_url FROM x", lambda s, d: model.resources(s, d).select("id", urls.apply_aliases(F.col("url"), model.ALIASES).alias("aliased_url")))
+simple(
+    "existing_alternative",
+    f"""WITH {R}, have AS (SELECT id, CASE WHEN id % 2 = 0 THEN url ELSE regexp_replace(url, '#.*$', '') END AS url FROM r), a AS (SELECT url, 0 AS pos, url AS alt FROM r UNION ALL SELECT url, 1, regexp_replace(url, '#.*$', '') FROM r WHERE contains(url, '#')),
+    h AS (SELECT a.url, arg_min(alt, pos) AS alt, arg_min(have.id, pos) AS hid FROM a JOIN (SELECT url, min(id) AS id FROM have GROUP BY 1) have ON have.url = a.alt GROUP BY 1)
+    SELECT r.url, coalesce(h.alt, regexp_replace(r.url, '#.*$', '')) AS resource_url, h.hid AS resource_id FROM r LEFT JOIN h USING (url) GROUP BY ALL""",
+    lambda s, d: resources.existing_alternative(urls.with_alternatives(model.resources(s, d).select("url").distinct()), model.resources(s, d).select("id", F.when(F.col("id") % 2 == 0, F.col("url")).otherwise(urls.strip_fragment(F.col("url"))).alias("url")).groupBy("url").agg(F.min("id").alias("id"))),
+)
+simple(
+    "altered_urls",
+    f"""WITH {R}, n AS (SELECT id, url, regexp_replace(url, '#.*$', '') AS normal FROM r), w AS (SELECT normal, min(id) AS id FROM n WHERE url <> normal AND normal NOT IN (SELECT url FROM r) GROUP BY 1)
+    SELECT n.id, coalesce(w.normal, n.url) AS url FROM n LEFT JOIN w USING (id)""",
+    lambda s, d: resources.altered(model.resources(s, d), urls.with_alternatives(model.resources(s, d).select("url").distinct())),
+)
+simple("url_dimensions", f"WITH {R} SELECT id, CAST(1 + len(regexp_extract_all(regexp_extract(url, '^[a-z]+://[^/]*([^?]*)', 1), '/')) + CASE WHEN contains(url, '?') THEN 1 + len(regexp_extract_all(url, '&')) ELSE 0 END AS INT) AS n_dims, regexp_extract(url, '^[a-z]+:(//[^/]*)', 1) AS host, regexp_extract(url, '([^/?=&]*)$', 1) AS last_value FROM r", lambda s, d: model.resources(s, d).withColumn("dims", urls.dimensions(F.col("url"))).select("id", F.size("dims").alias("n_dims"), F.concat(F.lit("//"), F.element_at("dims", 1)["value"]).alias("host"), F.element_at("dims", -1)["value"].alias("last_value")))
+simple("url_dims_roundtrip", f"WITH {R} SELECT id, url FROM r", lambda s, d: model.resources(s, d).select("id", urls.join_dimensions(urls.dimensions(F.col("url"))).alias("url")))
+simple("url_is_literal_prefix", f"WITH {G} SELECT CAST(group_id AS BIGINT) AS group_id, regexp_extract(pattern, '^([^*#@]*)', 1) AS prefix FROM g", lambda s, d: groups.group_table(s, model.GROUPS).select("group_id", "prefix"))
+simple("probably_embedded", f"WITH {R} SELECT id, id % 2 = 0 AS embedded FROM r", lambda s, d: model.resources(s, d).select("id", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.when(F.col("id") % 2 == 0, "/x.JPG?v=1").otherwise("/x.htm")).rlike(links.PROBABLY_EMBEDDED).alias("embedded")))
+
+
+# Links
+
+
+def _links(s, d) -> DataFrame:
+    return links.explode_links(links.with_links(model.captures(s, d)).select("id", "url", "links"))
+
+
+simple("links_html", f"WITH {LINKS} SELECT page_id AS id, CAST(pos AS INT) AS pos, relative_url, type_title, title, false AS embedded, target_url FROM tl", lambda s, d: _links(s, d).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url"))
+simple("links_per_page", f"WITH {LINKS} SELECT p.page_id AS id, count(pos) AS n_links FROM pages p LEFT JOIN lk USING (page_id) GROUP BY 1", lambda s, d: links.with_links(model.captures(s, d)).select("id", F.size("links").cast("long").alias("n_links")))
+simple("link_types", f"WITH {LINKS} SELECT type_title, count(*) AS n FROM lk GROUP BY 1", lambda s, d: _links(s, d).groupBy("type_title").agg(F.count(F.lit(1)).alias("n")))
+simple("embedded_links", f"WITH {LINKS} SELECT page_id AS id, CAST(pos AS INT) AS pos FROM lk WHERE false", lambda s, d: _links(s, d).where("embedded").select("id", "pos"))
+simple("link_targets_grouped", f"WITH {LINKS} SELECT url, target_url, CAST(min(pos) AS INT) AS first_pos, count(*) AS n_links, false AS any_embedded, string_agg('Link: ' || title, ', ' ORDER BY pos) AS titles FROM tl GROUP BY ALL", lambda s, d: links.by_target(_links(s, d)))
+simple("dedup_links", f"WITH {LINKS} SELECT page_id AS id, target_url, CAST(min(pos) AS INT) AS pos FROM tl GROUP BY ALL", lambda s, d: _links(s, d).groupBy("id", "target_url").agg(F.min("pos").alias("pos")))
+simple("new_urls_anti", f"WITH {R}, {LINKS} SELECT DISTINCT target_url AS url FROM tl WHERE target_url NOT IN (SELECT url FROM r)", lambda s, d: resources.new_urls(_links(s, d).select(F.col("target_url").alias("url")), model.resources(s, d)))
+simple("inserted_urls", f"WITH {R}, {LINKS}, n AS (SELECT DISTINCT target_url FROM tl WHERE target_url NOT IN (SELECT url FROM r)) SELECT (SELECT count(*) FROM r) + (SELECT count(*) FROM n) AS n_rows, (SELECT count(*) FROM r) + (SELECT count(*) FROM n) AS n_ids, (SELECT max(id) FROM r) + (SELECT count(*) FROM n) AS last_id", lambda s, d: resources.insert(model.resources(s, d), _links(s, d).select(F.col("target_url").alias("url"))).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.max("id").alias("last_id")))
+simple(
+    "link_clusters",
+    f"""WITH {R}, {G}, {LINKS}, c AS (SELECT page_id AS id, pos, target_url, unnest(CASE WHEN target_url IN (SELECT url FROM r WHERE id IN (2, 10)) THEN ['root'] WHEN EXISTS (SELECT 1 FROM g WHERE regexp_full_match(target_url, re)) THEN (SELECT list('group ' || group_id) FROM g WHERE regexp_full_match(target_url, re)) ELSE ['other'] END) AS cluster FROM tl)
+    SELECT id, CAST(pos AS INT) AS pos, cluster FROM c""",
+    lambda s, d: groups.link_clusters(_links(s, d), resources.with_url(model.roots(s), model.resources(s, d)), model.GROUPS).select("id", "pos", "cluster"),
+)
+simple("links_by_group", f"WITH {G}, {LINKS} SELECT CAST(group_id AS BIGINT) AS group_id, type_title, count(*) AS n_links FROM tl JOIN g ON regexp_full_match(target_url, re) GROUP BY ALL", lambda s, d: groups.membership(_links(s, d).select("type_title", F.col("target_url").alias("url")), model.GROUPS).groupBy("group_id", "type_title").agg(F.count(F.lit(1)).alias("n_links")))
+simple("rewrite_links", f"WITH {LINKS} SELECT page_id AS id, relative_url, CASE WHEN starts_with(target_url, 'x') THEN '' ELSE 'http://{HOST}/_/' || regexp_replace(target_url, '^([a-z]+)://', '\\1/') END AS served FROM tl", lambda s, d: _served(s, d))
+
+
+def _served(s, d):
+    parsed = links.with_links(model.captures(s, d))
+    done = rewrite.responses(parsed, HOST).select("url", F.col("body").alias("new_body"))
+    again = parsed.select("id", "url", F.transform("links", lambda k: k["relative_url"]).alias("old")).join(done, "url")
+    again = again.withColumn("new", F.transform(links.html_links(links.html_elements(F.col("new_body"))), lambda k: k["relative_url"]))
+    return again.select("id", F.explode(F.arrays_zip("old", "new")).alias("z")).select("id", F.col("z.old").alias("relative_url"), F.col("z.new").alias("served"))
+
+
+def _bodies(kind: str, texts: list[str], content_type: str) -> Query:
+    def run(s, d):
+        rows = s.createDataFrame([(k, f"https://site.test/{k}", t) for k, t in enumerate(texts)], "id int, url string, body string")
+        metadata = F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), F.array(F.array(F.lit("Content-Type"), F.lit(content_type))).alias("headers"))
+        return links.explode_links(links.with_links(rows.withColumn("metadata", metadata)).select("id", "url", "links")).select("id", "pos", "relative_url", "type_title", "embedded")
+
+    return run
+
+
+CSS_BODIES = ["body { background: url(background.png) }", 'body { background: url("background.png") }', '@import "page.js"; /* url(no.png) */']
+JSON_BODIES = ['{"https://a.test/k": "https://a.test/v", "x": ["https://a.test/i", 1, "no"]}', '"https://a.test/alone"', "{broken"]
+XML_BODIES = ["<rss><channel><link>https://a.test/rss</link></channel></rss>", '<feed xmlns="http://www.w3.org/2005/Atom"><link rel="alternate" href="https://a.test/atom"/></feed>', "<broken"]
+FRAME_BODIES = ['<html><frameset cols="1"><frame src="content.html" name="content"></frameset></html>']
+simple("links_css", "SELECT * FROM (VALUES (0, 0, 'background.png', 'CSS URL Reference', true), (1, 0, 'background.png', 'CSS URL Reference', true), (2, 0, 'page.js', 'CSS @import', true)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("css", CSS_BODIES, "text/css"))
+simple("links_json", "SELECT * FROM (VALUES (0, 0, 'https://a.test/k', 'JSON URL Reference', false), (0, 1, 'https://a.test/v', 'JSON URL Reference', false), (0, 2, 'https://a.test/i', 'JSON URL Reference', false)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("json", JSON_BODIES, "application/json"))
+simple("links_xml", "SELECT * FROM (VALUES (0, 0, 'https://a.test/rss', 'Link', false), (1, 0, 'https://a.test/atom', 'Link', false)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("xml", XML_BODIES, "application/rss+xml"))
+simple("links_frameset", "SELECT 0 AS id, 0 AS pos, 'content.html' AS relative_url, 'Unknown' AS type_title, false AS embedded", _bodies("html", FRAME_BODIES, "text/html"))
+simple("favicon_implicit", f"WITH {R} SELECT id, true AS implied FROM r", lambda s, d: model.captures(s, d).withColumn("url", urls.root_slash(urls.domain_prefix(F.col("url")))).transform(links.with_links).select("id", (F.element_at("links", -1)["relative_url"] == "/favicon.ico").alias("implied")))
+
+
+@query(f"WITH {R} SELECT id, 'https://new.test/' || id AS relative_url, '301 Moved' AS title, true AS embedded FROM r")
+def redirect_link(s, d):
+    moved = F.struct(F.lit(301).alias("status_code"), F.lit("Moved").alias("reason_phrase"), F.array(F.array(F.lit("location"), F.concat(F.lit("https://new.test/"), F.col("id").cast("string")))).alias("headers"))
+    parsed = links.with_links(model.resources(s, d).withColumn("metadata", moved).withColumn("body", F.lit(None).cast("string")))
+    return parsed.select("id", F.inline("links")).select("id", "relative_url", "title", "embedded")
+
+
+# Crawls and inference
+
+
+def _graph(s, d) -> DataFrame:
+    """Links between pages of a ring of hosts: page k links to k + 1 and 2 k."""
+    n = model.resources(s, d)
+    count = F.lit(n.count())
+    to = F.explode(F.array((F.col("id") + 1) % count, (F.col("id") * 2) % count))
+    step = n.select("id", "url", to.alias("to"))
+    return step.join(n.select(F.col("id").alias("to"), F.col("url").alias("target_url")), "to").select("url", "target_url", (F.col("to") % 2 == 0).alias("embedded"), F.col("to").alias("pos"))
+
+
+_EDGE = "n AS (SELECT count(*) AS n FROM pages), e AS (SELECT a.url, b.url AS target_url, b.page_id % 2 = 0 AS embedded FROM pages a, n JOIN pages b ON b.page_id = (a.page_id + 1) % n.n OR b.page_id = (a.page_id * 2) % n.n WHERE a.url <> b.url)"
+_WALK = "c(url, depth) AS (SELECT url, 0 FROM pages WHERE page_id = 3 UNION SELECT e.target_url, depth + 1 FROM c JOIN e USING (url) WHERE depth < {most})"
+simple("frontier_depth3", f"WITH RECURSIVE {_EDGE}, {_WALK.format(most=3)} SELECT url, min(depth) AS depth FROM c GROUP BY 1", lambda s, d: crawl.frontier(model.resources(s, d).where("id = 3").select("url"), _graph(s, d), 3))
+simple("crawl_fixpoint", f"WITH RECURSIVE {_EDGE}, w(url) AS (SELECT url FROM pages WHERE page_id = 3 UNION SELECT e.target_url FROM w JOIN e USING (url) WHERE NOT ({_fits('e.target_url', '**?utm_source=feed')})) SELECT url FROM w", lambda s, d: crawl.frontier(model.resources(s, d).where("id = 3").select("url"), _graph(s, d), groups=model.GROUPS).select("url"))
+simple(
+    "embedding_chains",
+    f"""WITH RECURSIVE {_EDGE}, s AS (SELECT DISTINCT url, target_url FROM e WHERE embedded), c(url, path, depth) AS (SELECT url, [url], 1 FROM pages UNION ALL SELECT s.target_url, list_append(path, s.target_url), depth + 1 FROM c JOIN s USING (url) WHERE depth < 3 AND NOT list_contains(path, s.target_url))
+    SELECT url, array_to_string(path, ' ') AS path, depth FROM c""",
+    lambda s, d: crawl.embedding_chains(model.resources(s, d).select("url"), _graph(s, d).where("url <> target_url")).select("url", F.array_join("path", " ").alias("path"), "depth"),
+)
+simple("pending_work", f"WITH {R}, {REV} SELECT url, max(id % 3) AS priority FROM r WHERE id NOT IN (SELECT resource_id FROM rev WHERE status_code = 200) GROUP BY 1", lambda s, d: crawl.pending(model.resources(s, d).withColumn("priority", F.col("id") % 3), model.revisions(s, d).where("status_code = 200").join(model.resources(s, d).withColumnRenamed("id", "resource_id"), "resource_id").select("url")))
+simple("resume_members", f"WITH {R} SELECT id, url FROM r WHERE {_fits('url', 'https://blog.**')} AND id > 100", lambda s, d: crawl.resume(groups.members(model.resources(s, d), "https://blog.**"), 100))
+simple("group_sources", "SELECT * FROM (VALUES (1, NULL, true), (2, NULL, true), (3, 'English pages', true), (4, 'Campaign links', true), (5, 'Home', true), (6, NULL, false)) AS t(group_id, source_name, source_ok)", lambda s, d: groups.sources(groups.group_table(s, model.GROUPS), model.roots(s)).select(F.col("group_id").cast("int").alias("group_id"), "source_name", "source_ok"))
+simple("group_source_closure", "SELECT * FROM (VALUES (3, 1, 1), (4, 3, 1), (4, 1, 2)) AS t(group_id, ancestor_id, depth)", lambda s, d: groups.source_closure(groups.group_table(s, model.GROUPS)).select(F.col("group_id").cast("int").alias("group_id"), F.col("ancestor_id").cast("int").alias("ancestor_id"), "depth"))
+simple("whole_site_pattern", f"WITH {R} SELECT id, url || '**' AS pattern FROM r", _of(lambda u: groups.whole_site(u).alias("pattern")))
+simple("dims_match", f"WITH {R} SELECT id, url NOT LIKE '%?%' AND url LIKE '%/en/%' AND url NOT LIKE '%/' AND url LIKE 'https:%' AS same FROM r", lambda s, d: model.resources(s, d).withColumn("dims", urls.dimensions(F.col("url"))).select("id", (urls.same_structure(F.col("dims"), urls.dimensions(F.lit("https://x.test/en/7"))) & (F.get("dims", F.lit(1))["value"] == "en")).alias("same")))
+
+
+def _book(s) -> tuple[DataFrame, DataFrame, DataFrame, list[groups.Group], DataFrame]:
+    """A site of numbered pages: captures, links, roots, groups and requests with known answers."""
+    site = "https://comic.test"
+    pages = [f"{site}/"] + [f"{site}/page/{k}" for k in range(1, 7)] + [f"{site}/archive/{k}/" for k in (1, 2, 3)]
+    found = [(f"{site}/page/{k}", f"{site}/page/{m}") for k in range(1, 7) for m in (k - 1, k + 1, 6) if 1 <= m <= 6 and m != k]
+    found += [(f"{site}/", f"{site}/page/{k}") for k in range(1, 7)] + [(f"{site}/", f"{site}/about")]
+    captures = s.createDataFrame([(u, 200) for u in pages], "url string, status_code int")
+    edges = s.createDataFrame(found, "url string, target_url string")
+    roots = s.createDataFrame([(1, f"{site}/")], "root_id long, url string")
+    own = [groups.Group(7, "Archive", f"{site}/archive/#/"), groups.Group(8, "All", f"{site}/**")]
+    requests = s.createDataFrame([(1, f"{site}/page/3", f"{site}/"), (2, f"{site}/page/3", f"{site}/page/2"), (3, f"{site}/about", f"{site}/"), (4, f"{site}/page/2", None)], "request_id long, url string, referrer_url string")
+    return captures, edges, roots, own, requests
+
+
+@query("SELECT * FROM (VALUES (1, 'root_resource', 1, 'https://comic.test/page/#'), (2, 'resource_group', 8, 'https://comic.test/page/#'), (3, 'root_resource', 1, NULL), (4, NULL, NULL, NULL)) AS t(request_id, source_type, source_id, url_pattern)")
+def detect_regular_group(s, d):
+    captures, edges, roots, own, requests = _book(s)
+    ids = captures.select("url", F.crc32("url").alias("id"))
+    found = inference.detect_regular(requests, roots, own, ids, edges)
+    return found.select(F.col("request_id").cast("int").alias("request_id"), "source_type", F.col("source_id").cast("int").alias("source_id"), "url_pattern")
+
+
+@query("SELECT * FROM (VALUES (1, 'https://comic.test/page/#', 2, 1, 6), (2, 'https://comic.test/page/#', 2, 1, 6)) AS t(request_id, url_pattern, dimension, first_page, last_page)")
+def detect_sequential_group(s, d):
+    captures, edges, roots, own, requests = _book(s)
+    found = inference.detect_sequential(requests, roots, own, captures, edges)
+    return found.select(F.col("request_id").cast("int").alias("request_id"), "url_pattern", "dimension", F.col("first_page").cast("int").alias("first_page"), F.col("last_page").cast("int").alias("last_page"))
+
+
+@query("SELECT * FROM (VALUES (1, 'https://comic.test/page/#'), (2, 'https://comic.test/page/#'), (3, 'https://comic.test/about'), (4, 'https://comic.test/page/2')) AS t(request_id, url_pattern)")
+def best_prediction(s, d):
+    captures, edges, roots, own, requests = _book(s)
+    ids = captures.select("url", F.crc32("url").alias("id"))
+    best = inference.best_prediction(inference.detect_sequential(requests, roots, own, captures, edges), inference.detect_regular(requests, roots, own, ids, edges))
+    return best.select(F.col("request_id").cast("int").alias("request_id"), "url_pattern")
+
+
+# Bodies, samples, streams
+
+
+simple("revision_path", f"WITH {REV}, h AS (SELECT id, printf('%015x', id) AS h FROM rev) SELECT id, 'revisions/' || h[1:3] || '/' || h[4:6] || '/' || h[7:9] || '/' || h[10:12] || '/' || h[13:15] AS path, 'revisions/' || id AS flat FROM h", lambda s, d: model.revisions(s, d).select("id", bodies.hierarchical_path(F.col("id")).alias("path"), bodies.flat_path(F.col("id")).alias("flat")))
+simple("pack_path", f"WITH {REV}, h AS (SELECT id, printf('%015x', id) AS h FROM rev) SELECT id, 'revisions/' || h[1:3] || '/' || h[4:6] || '/' || h[7:9] || '/' || h[10:12] || '/' || h[13:14] || '_.zip' AS path, h[13:15] AS entry FROM h", lambda s, d: model.revisions(s, d).select("id", bodies.pack_path(F.col("id")).alias("path"), bodies.entry_name(F.col("id")).alias("entry")))
+simple("pack_groups", f"WITH {REV} SELECT id // 16 AS pack_id, count(*) AS n_revisions, bool_or(id % 16 = 15) AS complete FROM rev GROUP BY 1", lambda s, d: bodies.packs(model.revisions(s, d)))
+simple("body_sizes", "SELECT page_id AS id, CAST(octet_length(encode(html)) AS INT) AS size FROM pages", lambda s, d: model.captures(s, d).select("id", F.octet_length("body").alias("size")))
+query(name="sample_ids")(lambda s, d: resources.sample_ids(model.resources(s, d), 50, 7))
+simple("progress_percent", f"WITH {R}, {REV}, g AS (SELECT count(*) AS total, count(*) FILTER (WHERE id IN (SELECT resource_id FROM rev)) AS done FROM r) SELECT done, total, CASE WHEN total = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * done / total END AS percent FROM g", lambda s, d: _progress(s, d))
+simple("format_interval", "SELECT * FROM (VALUES (0, '00:00'), (75, '01:15'), (3675, '1:01:15'), (90061, '1d + 1:01:01')) AS t(seconds, shown)", lambda s, d: s.createDataFrame([(0,), (75,), (3675,), (90061,)], "seconds int").select("seconds", resources.format_interval(F.col("seconds")).alias("shown")))
+
+
+def _progress(s, d):
+    done = revisions.with_any(model.resources(s, d), model.revisions(s, d)).agg(F.count(F.lit(1)).alias("done"))
+    total = model.resources(s, d).agg(F.count(F.lit(1)).alias("total"))
+    both = done.crossJoin(total)  # two single rows
+    return both.select("done", "total", resources.progress(F.col("done"), F.col("total")).alias("percent"))
+
+
+@query(ORACLE["group_membership"])
+def stream_group_membership(s, d):
+    schema = "page_id long, url string, html string"
+    stream = streaming.resource_stream(s, d, schema, glob="pages.parquet").select(F.col("page_id").alias("id"), "url")
+    found = streaming.standing_membership(stream, model.GROUPS)
+    shared = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataweb-")).rstrip("/")
+    root = f"{shared}/stream-{s.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    streaming.run_available(found, f"{root}/out", f"{root}/state")
+    return s.read.schema(found.schema).parquet(f"{root}/out")
