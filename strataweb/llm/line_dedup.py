@@ -87,17 +87,21 @@ class Lines:
         return ragged.mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line's distinct shingles: a key of line and shingle (sorted), the line's number, the shingle's hash."""
+    lines = Lines(texts, SHINGLE)
+    owner = lines.doc[lines.line]
+    keys, first = np.unique(ragged.mix(lines.shingles + owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)
+    return keys, owner[first], lines.shingles[first]
+
+
 def jaccard(one: pa.Array, two: pa.Array) -> np.ndarray:
     """Jaccard similarity of the shingle sets of each pair of lines."""
-    keys, sizes = [], []
-    for texts in (one, two):
-        lines = Lines(texts, SHINGLE)
-        unique, first = np.unique(ragged.mix(lines.shingles + lines.doc[lines.line].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)
-        keys.append((unique, lines.doc[lines.line[first]]))
-        sizes.append(np.bincount(keys[-1][1], minlength=len(one)))
-    _, at, _ = np.intersect1d(keys[0][0], keys[1][0], assume_unique=True, return_indices=True)
-    shared = np.bincount(keys[0][1][at], minlength=len(one))
-    return shared / np.maximum(sizes[0] + sizes[1] - shared, 1)
+    (keys_a, owner_a, _), (keys_b, owner_b, _) = _distinct(one), _distinct(two)
+    _, at, _ = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
+    shared = np.bincount(owner_a[at], minlength=len(one))
+    sizes = np.bincount(owner_a, minlength=len(one)) + np.bincount(owner_b, minlength=len(one))
+    return shared / np.maximum(sizes - shared, 1)
 
 
 def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -133,6 +137,22 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pair_texts(pairs, texts).mapInArrow(compare, "a long, b long, similarity double")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, shingle, weight (1) and total of every distinct shingle of ``texts``, and a row of weight 0 for each node."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, column = batch.column("node").to_numpy(), batch.column("text")
+            for x, y in ragged.groups(column):
+                keys, owner, values = _distinct(column.slice(x, y - x))
+                total = np.bincount(owner, minlength=y - x).astype(float)
+                own = ragged.mix(node[x:y].view(np.uint64))
+                columns = [np.append(node[x:y][owner], node[x:y]), np.append(values, own).view(np.int64), np.append(np.ones(len(owner)), np.zeros(y - x)), np.append(total[owner], total)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "shingle", "weight", "total"])
+
+    return texts.select("node", "text").mapInArrow(list_, "node long, shingle long, weight double, total double")
+
+
 def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the wanted lines, each cut from one document that holds it."""
     place = F.struct("doc_id", "node", "start", "end")
@@ -159,7 +179,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     lines = materialise(signed_lines(docs, min_chars), "line-signed")
     distinct = lines.groupBy("line").agg(F.first("bands").alias("bands"))
     members = distinct.select(F.col("line").alias("node"), F.explode("bands").alias("band"))
-    labels = link(members, lambda wanted: line_texts(docs, lines, wanted), similarities, similarity, "line")
+    labels = link(members, lambda wanted: line_texts(docs, lines, wanted), similarities, shingle_rows, similarity, "line")
     held = lines.select("doc_id", "node", "line", "start", "end").join(labels.select(F.col("node").alias("line"), "label"), "line", "left")
     held = materialise(held.select("doc_id", "node", "start", "end", F.coalesce("label", "line").alias("label")), "line-held")
     rank = F.struct(F.col("doc_id").isNotNull().alias("set"), F.col("doc_id").alias("id"), "start", "node")

@@ -1,59 +1,84 @@
 """Linked nodes from bucketed candidates, without emitting a bucket's pairs.
 
-``members`` has the nodes of every band bucket.  Members are compared with the
-bucket's least node; then, while a bucket of three or more still holds several
-components, nodes outside its largest component are compared with the members
-of the other components, ``LEADERS`` of them a round, until none is left.  So
-every pair of a bucket is either verified or already connected.
+``members`` has the nodes of every band bucket.  Each member is compared with
+its bucket's most central node (the one that meets most others over all its
+buckets).  Buckets whose nodes then form one component are done.  In the
+others, pairs of different components are compared unless they cannot reach
+the threshold.  Two nodes share at most the lesser of what each shares with
+the central node, plus the lesser of what each has beyond it, not counting
+shingles that no other text of these buckets holds; that bounds the similarity
+from above.  So every pair of a bucket is verified, connected or proven
+unlike; no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import connected_components
 
-LEADERS = 16
+Compare = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], threshold: float, name: str) -> DataFrame:
+def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare, shingles: Callable[[DataFrame], DataFrame], threshold: float, name: str) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) of every node linked to another.
 
     ``members``: distinct (band, node).  ``fetch`` gives the texts of a table
-    of nodes, ``compare`` the similarity of each pair (a, b) given those texts;
-    pairs of at least ``threshold`` are links.
+    of nodes, ``compare`` the similarity of each pair (a, b) given those texts,
+    ``shingles`` the (node, shingle, weight, total) of texts, with one row of
+    weight 0 a node whose shingle is its own; pairs of at least ``threshold``
+    are links.
     """
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"))
     buckets = materialise(buckets.where("a <> b"), f"{name}-buckets")
-    leaders = buckets.where("n > 2").select("band", "a")
-    crowded = materialise(members.join(leaders, "band").select("band", "node", "a"), f"{name}-crowded")
+    crowded = materialise(members.join(buckets.where("n > 2").select("band", "n"), "band"), f"{name}-crowded")
+    central = crowded.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = crowded.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    crowded = materialise(crowded.join(leaders, "band").select("band", "node", "a"), f"{name}-crowded")
     pairs = buckets.where("n = 2").select("a", "b").union(crowded.where("a <> node").select("a", F.col("node").alias("b")))
     pairs = materialise(pairs.distinct(), f"{name}-pairs")
     texts = fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    edges = materialise(compare(pairs, texts).where(F.col("similarity") >= threshold).select("a", "b"), f"{name}-links")
-    tried = leaders.select("band", F.col("a").alias("node"))
-    while True:
-        labels = materialise(connected_components(edges), f"{name}-labels")
-        held = crowded.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        mixed = materialise(mixed.select("band", "main"), f"{name}-mixed")
-        rest = held.join(mixed, "band").where("label <> main").join(tried, ["band", "node"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("node"))
-        chosen = materialise(rest.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("band", "node", "label"), f"{name}-leaders")
-        if chosen.isEmpty():
-            return labels
-        ahead = chosen.select("band", F.col("node").alias("p"), F.col("label").alias("p_label"))
-        met = held.select("band", F.col("node").alias("q"), "label").join(ahead, "band").where("label <> p_label")
-        fresh = met.join(tried.withColumnRenamed("node", "q"), ["band", "q"], "left_anti")
-        fresh = fresh.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        more = compare(fresh, texts).where(F.col("similarity") >= threshold).select("a", "b")
-        edges = materialise(edges.union(more), f"{name}-links")
-        tried = tried.union(chosen.select("band", "node"))
+    scored = materialise(compare(pairs, texts), f"{name}-scored")
+    edges = scored.where(F.col("similarity") >= threshold).select("a", "b")
+    labels = materialise(connected_components(edges), f"{name}-labels")
+
+    held = crowded.join(labels, "node", "left").select("band", "node", "a", F.coalesce("label", "node").alias("label"))
+    sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    left = materialise(held.join(mixed.select("band", "main"), "band"), f"{name}-open")
+    if left.isEmpty():
+        return labels
+    pool = texts.join(left.select("node").distinct(), "node", "left_semi")
+    weights = materialise(own_weights(shingles(pool)), f"{name}-weights")
+    left = left.where("node <> a").join(weights, "node").join(weights.select(F.col("node").alias("a"), F.col("weight").alias("a_weight")), "a")
+    left = left.join(scored.withColumnRenamed("b", "node"), ["a", "node"])
+    # What a node shares with the bucket's central node, and what it may share with others beyond that.
+    inner = F.col("similarity") * (F.col("weight") + F.col("a_weight")) / (1 + F.col("similarity"))
+    left = left.withColumn("inner", inner).withColumn("outer", F.greatest(F.col("weight") - F.col("inner") - F.col("own"), F.lit(0.0)))
+    left = materialise(left.select("band", "node", "label", "main", "weight", "inner", "outer"), f"{name}-bounds")
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("label", "weight", "inner", "outer")))
+
+    p, q = side(left.where("label <> main"), "p"), side(left, "q")
+    most = F.least("p_inner", "q_inner") + F.least("p_outer", "q_outer")
+    near = most >= threshold * (F.col("p_weight") + F.col("q_weight") - most) - 1e-6
+    met = p.join(q, (p["band"] == q["band"]) & (F.col("p_label") != F.col("q_label")) & near)
+    fresh = materialise(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{name}-rest")
+    if fresh.isEmpty():
+        return labels
+    more = compare(fresh, texts).where(F.col("similarity") >= threshold).select("a", "b")
+    return materialise(connected_components(edges.union(more)), f"{name}-labels")
+
+
+def own_weights(rows: DataFrame) -> DataFrame:
+    """node, weight (of all its shingles) and own (of those that no other node has), from (node, shingle, weight, total)."""
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"), F.min("total").alias("total")).where("n = 1")
+    return single.groupBy("node").agg(F.sum("weight").alias("own"), F.max("total").alias("weight"))
 
 
 def pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:

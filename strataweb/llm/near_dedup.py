@@ -39,9 +39,8 @@ _n = 1 << _TABLE_BITS
 _r = _rng.gamma(2.0, 1.0, _n)
 _beta = _rng.uniform(0, 1, _n)
 _log_c = np.log(_rng.gamma(2.0, 1.0, _n))
-#: ln a = (ln c + r (beta - 1)) - r t with t = floor(ln S / r + beta)
 _R, _INVERSE_R, _BETA = _r.astype(np.float32), (1 / _r).astype(np.float32), _beta.astype(np.float32)
-_BASE = (_log_c + _r * (_beta - 1)).astype(np.float32)
+_SHIFT, _LOG_C = (_r * (_beta - 1)).astype(np.float32), _log_c.astype(np.float32)
 _A = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 del _rng, _n, _r, _beta, _log_c
@@ -96,14 +95,28 @@ def band_keys(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if not len(grams):
         return keys, has
     heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    low, log_s = (grams >> np.uint64(16)).astype(np.uint32), np.log(weight).astype(np.float32)
+    low, high = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    log_s = np.log(weight).astype(np.float32)
     signature = np.empty((len(heads), BANDS * ROWS), dtype=np.uint32)
+    # Buffers are reused: the loop below is nearly all of the operator's time.
+    hashed, cell = np.empty(len(low), np.uint32), np.empty(len(low), np.intp)
+    t, x, r = (np.empty(len(low), np.float32) for _ in range(3))
+
+    def cells(half: np.ndarray, k: int) -> np.ndarray:
+        np.multiply(half, _A[k], out=hashed)
+        np.add(hashed, _B[k], out=hashed)
+        return np.right_shift(hashed, np.uint32(32 - _TABLE_BITS), out=cell, casting="unsafe")
+
     for k in range(BANDS * ROWS):
-        cell = (low * _A[k] + _B[k]) >> np.uint32(32 - _TABLE_BITS)
-        t = np.floor(log_s * _INVERSE_R[cell] + _BETA[cell])
-        log_a = _BASE[cell] - _R[cell] * t
-        # The least ln a identifies its sample (cell and t).
-        signature[:, k] = np.minimum.reduceat(log_a, heads).view(np.uint32)
+        # t = floor(ln S / r + beta); ln a = ln c - r (t - beta + 1)
+        cells(low, k)
+        np.multiply(np.take(_INVERSE_R, cell, out=t, mode="clip"), log_s, out=t)
+        np.floor(np.add(t, np.take(_BETA, cell, out=x, mode="clip"), out=t), out=t)
+        np.multiply(t, np.take(_R, cell, out=r, mode="clip"), out=t)
+        np.subtract(np.take(_SHIFT, cell, out=x, mode="clip"), t, out=t)
+        np.add(t, np.take(_LOG_C, cells(high, k), out=x, mode="clip"), out=t)
+        # The least ln a identifies its sample (shingle and t).
+        signature[:, k] = np.minimum.reduceat(t, heads).view(np.uint32)
     rows = signature.astype(np.uint64).reshape(len(heads), BANDS, ROWS)
     mixed = np.zeros((len(heads), BANDS), dtype=np.uint64)
     for j in range(ROWS):
@@ -180,6 +193,22 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return pair_texts(pairs, texts).mapInArrow(compare, "a long, b long, similarity double")
 
 
+def shingle_rows(texts: DataFrame, idf) -> DataFrame:
+    """node, shingle, weight and total of every shingle of ``texts``, and a row of weight 0 for each node."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, column = batch.column("node").to_numpy(), batch.column("text")
+            for x, y in ragged.groups(column):
+                owner, grams, weight = shingles(column.slice(x, y - x), idf.value)
+                total = np.bincount(owner, weight, y - x)
+                own = ragged.mix(node[x:y].view(np.uint64))
+                columns = [np.append(node[x:y][owner], node[x:y]), np.append(grams, own).view(np.int64), np.append(weight, np.zeros(y - x)), np.append(total[owner], total)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "shingle", "weight", "total"])
+
+    return texts.select("node", "text").mapInArrow(list_, "node long, shingle long, weight double, total double")
+
+
 def _weighted_jaccard(one: pa.Array, two: pa.Array, idf: np.ndarray) -> np.ndarray:
     n = len(one)
     row_a, gram_a, w_a = shingles(one, idf)
@@ -213,7 +242,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return materialise(by_id.select("node", "text").dropDuplicates(["node"]), "near-texts")
 
     members = nodes.select("node", F.explode("bands").alias("band"))
-    labels = link(members, fetch, lambda pairs, texts: similarities(pairs, texts, idf), similarity, "near")
+    labels = link(members, fetch, lambda pairs, texts: similarities(pairs, texts, idf), lambda texts: shingle_rows(texts, idf), similarity, "near")
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     keeper = F.min(F.struct("least", "node")).alias("keeper")
     classes = labelled.groupBy("label").agg(keeper, F.sum("copies").alias("class_size"))
