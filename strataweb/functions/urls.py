@@ -472,7 +472,7 @@ def same_structure(a: Column, b: Column) -> Column:
 
 def page_ordinal(dims: Column, pattern_dims: Column, k: Column) -> Column:
     """The number at dimension k (from 0) if all else equals the pattern; null otherwise."""
-    others = F.forall(F.transform(F.arrays_zip(dims, pattern_dims), lambda z, i: (i == k) | (z["0"] == z["1"])), lambda ok: ok)
+    others = F.forall(F.transform(dims, lambda d, i: (i == k) | d.eqNullSafe(F.get(pattern_dims, i))), lambda ok: ok)
     value = F.get(dims, k)["value"]
     return F.when(same_structure(dims, pattern_dims) & others & value.rlike("^[0-9]+$"), F.try_to_number(value, F.lit("999999999999999999")).cast("long"))
 
