@@ -430,10 +430,14 @@ def is_site_root(typed: Column) -> Column:
 
 
 def dimensions(url: Column) -> Column:
-    """(type, value) pairs whose texts joined are the URL: host, path levels, query parameters."""
+    """(type, value) pairs whose texts joined are the URL: host, path levels, query parameters.
+
+    ``$/`` in place of the question mark, as exported sites write it, begins
+    the query if it stands once, in the last level of a URL without ``?``.
+    """
     whole = r"(?d)^(?i:(https?:|ftp:)(//.*))$"
     head, tail = F.regexp_extract(url, whole, 1), F.regexp_extract(url, whole, 2)
-    exported = F.contains(tail, F.lit("$/")) & ~F.contains(tail, F.lit("?"))
+    exported = tail.rlike(r"(?s)^(?:(?!\$/)[^?])*\$/[^/?]*$")
     tail = F.when(exported, F.replace(tail, F.lit("$/"), F.lit("?"))).otherwise(tail)
     # The query begins at the first question mark of the last level.
     last = F.regexp_extract(tail, r"([^/]*)$", 1)

@@ -7,12 +7,14 @@ that replace each distinct link text; nothing is parsed twice or shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html import escape
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import http, urls
 
@@ -36,23 +38,28 @@ def served_url(base: str, target: str, host: str, default_prefix: str | None, sc
     return urlunsplit((scheme, host, f"/_/{split.scheme}/{split.netloc}{split.path}", split.query, split.fragment))
 
 
-def rewrite(url: Column, body: Column, targets: Column, host: str, default_prefix: str | None = None) -> Column:
-    """``body`` of page ``url`` with the ``targets`` (its links' texts as written) served from ``host``; integrity attributes go."""
+def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out: str = "_page") -> DataFrame:
+    """Adds ``out``: the body of page ``url`` with its ``_targets`` (links' texts as written) served from ``host``; integrity attributes go.
 
-    def batch(bases: pd.Series, bodies: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for base, text, found in zip(bases, bodies, lists, strict=True):
-            if text is not None and found is not None:
-                for target in dict.fromkeys(found):
-                    new = served_url(base, target, host, default_prefix)
-                    for written in dict.fromkeys((target, escape(target))):
-                        for before, after in _DELIMITERS:
-                            text = text.replace(before + written + after, before + escape(new, quote=False) + after)
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    One Arrow step over the rows; null bodies and null targets pass through.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
-    done = F.pandas_udf(batch, "string")(url, body, targets)
-    return F.regexp_replace(done, r"""(?i)(<(?:script|link)\b[^>]*?)\s+integrity\s*=\s*(?:"[^"]*"|'[^']*')""", "$1")
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            pages = []
+            for base, text, targets in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "body", "_targets")), strict=True):
+                if text is not None and targets is not None:
+                    for target in dict.fromkeys(targets):
+                        new = served_url(base, target, host, default_prefix)
+                        for written in dict.fromkeys((target, escape(target))):
+                            for before, after in _DELIMITERS:
+                                text = text.replace(before + written + after, before + escape(new, quote=False) + after)
+                pages.append(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.string())], schema.names)
+
+    done = docs.mapInArrow(batches, schema)
+    return done.withColumn(out, F.regexp_replace(out, r"""(?i)(<(?:script|link)\b[^>]*?)\s+integrity\s*=\s*(?:"[^"]*"|'[^']*')""", "$1"))
 
 
 def insert_after(html: Column, addition: Column, places: list[str]) -> Column:
@@ -74,9 +81,11 @@ def responses(parsed: DataFrame, host: str, default_prefix: str | None = None) -
     """What the archive answers for each capture (url, metadata, body, links): url, request_url, status_code, headers, body."""
     targets = F.transform("links", lambda k: k["relative_url"])
     date = http.http_date(http.first_header(F.col("metadata.headers"), "date"))
-    page = rewrite(F.col("url"), F.col("body"), targets, host, default_prefix)
     html = http.content_type(F.col("metadata.headers"), F.col("url")) == "text/html"
     request = urls.request_url(F.col("url"), host, default_prefix)
     path = F.regexp_extract(request, r"^https?://[^/]*(/.*)?$", 1)
     headers = F.concat(http.playable(F.col("metadata.headers")), F.array(F.array(F.lit("Cache-Control"), http.cache_control(path))))
-    return parsed.select("url", request.alias("request_url"), F.col("metadata.status_code").alias("status_code"), headers.alias("headers"), F.when(html, pin_date(page, date)).otherwise(page).alias("body"))
+    made = parsed.select("url", "body", targets.alias("_targets"), request.alias("request_url"), F.col("metadata.status_code").alias("status_code"), headers.alias("headers"), html.alias("_html"), date.alias("_date"))
+    made = rewrite(made, host, default_prefix)
+    body = F.when(F.col("_html"), pin_date(F.col("_page"), F.col("_date"))).otherwise(F.col("_page"))
+    return made.select("url", "request_url", "status_code", "headers", body.alias("body"))
