@@ -133,8 +133,8 @@ def edited(text: str, tree: TokenTree, start: int, end: int, replacement: str, c
     new = text[:start] + replacement + text[end:]
     if not tree.leaves:
         return new, TokenTree.of(new, counts), len(new)
-    # A pre-token looks one character beyond its end, so those that end before ``start`` stand.
-    first, at = tree.leaf_at(max(0, start - 1))
+    # A pre-token looks two characters beyond its end at most (white space before a word, "'" before "re"), so those that end before ``start - 1`` stand.
+    first, at = tree.leaf_at(max(0, start - 2))
     moved, settled = len(new) - len(text), start + len(replacement)
     last, bound = first, at  # the old leaf boundary that the walk may meet next
     chars, tokens, here = [], [], at

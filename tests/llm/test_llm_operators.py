@@ -183,6 +183,21 @@ def test_edited_counts_equal_counts_from_scratch():
             assert tree.n_tokens == len(counts.encoding.encode_ordinary(text))
 
 
+def test_edits_behind_blank_lines_and_apostrophes(monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAF", 1)
+    counts, r = token_counts.piece_counts(), random.Random(11)
+    cases = [("ab.\n\nN", 5, 6, " [revised] "), ("x'r", 3, 3, "e"), ("x'l", 3, 3, "l")]
+    parts = ["\n", "\n\n", " ", "  ", "'", "'r", "'v", "l", "e", "N", "ab", ".", "7", "\t", "é"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        start = r.randint(0, len(text))
+        cases.append((text, start, start + r.choice([0, 0, 1, 3]), "".join(r.choice(parts) for _ in range(r.randint(0, 2)))))
+    for text, start, end, new in cases:
+        after, tree, _ = token_counts.edited(text, token_counts.TokenTree.of(text, counts), start, end, new, counts)
+        assert tree.n_chars == len(after)
+        assert tree.n_tokens == len(counts.encoding.encode_ordinary(after)), (text, start, end, new)
+
+
 def test_edits_of_a_table(spark):
     edits = spark.createDataFrame([(1, 1, 0, 1, "B"), (1, 2, 1, 1, "!"), (2, 1, 0, 99, "")], "doc_id long, seq int, start int, end int, replacement string")
     rows = token_counts.count(token_counts.with_edits(docs(spark, [(1, "a b"), (2, "long text"), (3, "c")]), edits)).orderBy("doc_id").collect()
