@@ -1,36 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights become whole numbers of slots in a frame of ``frame`` slots.  A
-source with p slots a frame owns blocks of ``block`` rows; its j-th block (from
-1) is released at slot floor((j - 1) * frame / p) and due by slot
-ceil(j * frame / p).  Each slot takes the released block with the earliest
-deadline (ties: lane).  Every block meets its window, so after any slot
-each source's count is within one block of its weight's share.
-
-The schedule of one frame repeats.  It is a fold over ``frame`` slots in one
-row, whatever the corpus; all else is distributed: rows are ranked within
-(source, bucket) groups of bounded size, and a block's global position is the
-closed form sum over sources of min(rows, block * blocks before the slot), so
-no global sort or window is needed.  A source that runs out leaves its slots
+A source of weight w (its share of all weights) owns blocks of ``block`` rows.
+Its j-th block (from 0) is released at slot floor(j / w) and due by slot
+ceil((j + 1) / w).  Each slot takes the released block with the earliest
+deadline (ties: lane).  Every block meets its window, so after any slot each
+source's count is within one block of its weight's share.  Weights are whole
+numbers out of ``SCALE``; windows are exact.
+
+Chunks of slots are scheduled apart, one a row.  Where a chunk begins, each
+source has had floor or ceil of its share; which of the two depends on the
+longest window before it only: blocks open at the start of that window are due
+within it, so the schedule run from any valid state meets the same one.  A
+chunk is as long as that window at least, which doubles the work at most.
+
+All else is distributed too: rows are ranked within (source, bucket) groups of
+bounded size, and a block's position is the closed form sum over sources of
+min(rows, block * blocks) before its frame and a running sum within it, so no
+global sort or window is needed.  A source that runs out leaves its slots
 empty and the others go on in order; nothing is dropped or repeated.
 
-Everything is DataFrame expressions.  Broadcast: the schedule, ``frame`` rows,
-and the sources' counts, at most ``frame`` rows.
+Everything is DataFrame expressions.  Sent to the driver, and broadcast: the
+sources' names and counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Slots that one row of the schedule lists.
 FRAME = 1000
 BLOCK = 16
 #: Default weights: proportional to rows ** TEMPERATURE.
 TEMPERATURE = 0.5
 #: Rows of a ranking group, about.
 BUCKET_ROWS = 2048
+#: Weights are rounded to parts of this, which is a block in about 10 ** 12 slots.
+SCALE = 1 << 40
 _OWN = "_mix_"
 
 
@@ -48,48 +56,115 @@ def apportion(shares: dict, frame: int = FRAME) -> dict:
     return slots
 
 
-def schedule(sources: DataFrame, frame: int = FRAME) -> DataFrame:
-    """One row a slot of the frame: slot, lane, job (from 0 within the frame) and before (jobs of each lane in earlier slots).
+def whole_weights(shares: list[float]) -> list[int]:
+    """The shares as whole numbers that sum to about ``SCALE``; a share of zero or less is zero."""
+    total = sum(max(w, 0) for w in shares)
+    return [max(1, round(w / total * SCALE)) if w > 0 else 0 for w in shares]
 
-    ``sources`` has lane (0, 1, ... by name) and slots, which sum to ``frame``.
+
+def _longs(values: list[int]) -> Column:
+    """The values as one literal, whatever their number."""
+    listed = F.split(F.lit(",".join(map(str, values))), ",") if values else F.array()
+    return listed.cast("array<bigint>")
+
+
+def n_slots(weights: list[int], sizes: list[int], block: int) -> int:
+    """The slots until every lane with a weight has run out."""
+    return max((-(-(-(-n // block)) * sum(weights) // w) for n, w in zip(sizes, weights, strict=True) if w), default=0)
+
+
+def schedule(spark: SparkSession, weights: list[int], sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """One row a block: lane, block, slot and first (the position of its first row).
+
+    ``weights`` are whole numbers above zero, ``sizes`` the rows of each lane.
     """
-    lanes = sources.agg(F.array_sort(F.collect_list(F.struct("lane", "slots"))).alias("lanes")).where(F.size("lanes") > 0)
-    parts = F.transform("lanes", lambda s: s["slots"])
-    lanes = lanes.select(parts.alias("p"), F.size("lanes").alias("n"))
-    state = "struct<done:array<int>,order:array<int>>"
-    start = F.struct(F.array_repeat(F.lit(0), F.col("n")).alias("done"), F.array().cast("array<int>").alias("order")).cast(state)
-
-    def step(acc: Column, slot: Column) -> Column:
-        # The open jobs as (deadline, lane); a lane's next job is done + 1.
-        jobs = F.zip_with(acc["done"], F.col("p"), lambda d, p: F.struct(d.alias("d"), p.alias("p")))
-        dues = F.transform(
-            jobs,
-            lambda j, i: F.when(
-                (j["d"] < j["p"]) & (F.floor(j["d"] * frame / j["p"]) <= slot),
-                F.struct(F.ceil((j["d"] + 1) * frame / j["p"]).cast("int").alias("due"), i.alias("lane")),
-            ),
-        )
-        chosen = F.array_min(F.filter(dues, lambda x: x.isNotNull()))["lane"]
-        done = F.transform(acc["done"], lambda d, i: F.when(i == chosen, d + 1).otherwise(d))
-        return F.struct(done.alias("done"), F.concat(acc["order"], F.array(chosen)).alias("order")).cast(state)
-
-    folded = lanes.select("n", F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step)["order"].alias("order"))
-    slots = folded.select("n", "order", F.posexplode("order").alias("slot", "lane"))
-    earlier = F.slice("order", 1, F.col("slot"))
-    before = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.size(F.filter(F.slice(F.col("order"), 1, F.col("slot")), lambda x: x == k)))
-    return slots.select("slot", "lane", F.size(F.filter(earlier, lambda x: x == F.col("lane"))).alias("job"), before.alias("before"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = FRAME, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+    whole, slots = sum(weights), n_slots(weights, sizes, block)
+    window = max((-(-whole // w) for w in weights), default=0) + 1
+    # Frames of a chunk: what the longest window takes, but not more than there are.
+    frames = max(1, min(-(-window // FRAME), -(-slots // FRAME)))
+    chunk = frames * FRAME
+    q, total = F.col("q"), F.lit(whole).cast("long")
+
+    def wide(c: Column) -> Column:
+        return c.cast("decimal(19,0)")
+
+    # A lane's lag is its weight times the slot, less the whole for each block it has had; within (-whole, whole).
+    def due(lag: Column, w: Column) -> Column:
+        """Slots to the deadline of the lane's next block; the division of numbers below 2 ** 42 is exact enough for its floor."""
+        return F.floor((total - lag + w - 1) / w)
+
+    def chosen(lags: Column) -> Column:
+        """The lane of the released block with the earliest deadline."""
+        dues = F.zip_with(lags, q, lambda lag, w: F.when(lag + w > 0, due(lag, w)))
+        return F.array_min(F.transform(dues, lambda d, i: F.when(d.isNotNull(), F.struct(d.alias("due"), i.alias("lane")))))["lane"]
+
+    def after(lags: Column, lane: Column) -> Column:
+        grown = F.zip_with(lags, q, lambda lag, w: lag + w)
+        return F.transform(grown, lambda lag, i: F.when(i == lane, lag - total).otherwise(lag)).cast("array<bigint>")
+
+    def step(lags: Column, _: Column) -> Column:
+        return F.transform(F.array(chosen(lags)), lambda lane: after(lags, lane))[0]
+
+    def run(lags: Column, n: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), lags, step)
+
+    # The chunk before, from a valid state: the blocks due first are those that came early.
+    chunks = spark.range(-(-slots // chunk)).select(F.col("id").alias("c"), _longs(weights).alias("q"), (F.greatest(F.col("id") - 1, F.lit(0)) * chunk).alias("from"))
+    chunks = chunks.withColumn("rest", F.transform("q", lambda w: ((wide(F.col("from")) * wide(w)) % wide(total)).cast("long")))
+    early = F.aggregate("rest", wide(F.lit(0)).cast("decimal(38,0)"), lambda acc, r: (acc + r).cast("decimal(38,0)"))
+    dues = F.transform(F.zip_with("rest", q, lambda r, w: F.when(r > 0, due(r, w))), lambda d, i: F.when(d.isNotNull(), F.struct(d.alias("due"), i.alias("lane"))))
+    dues = F.array_sort(F.filter(dues, lambda x: x.isNotNull()))
+    chunks = chunks.withColumn("early", F.slice(dues, F.lit(1), F.floor(early / total).cast("int"))["lane"])
+    lags = F.transform("rest", lambda r, i: F.when(F.array_contains("early", i), r - total).otherwise(r)).cast("array<bigint>")
+    chunks = chunks.withColumn("lags", lags)
+    begun = F.when(F.col("c") == 0, F.col("lags")).otherwise(run(F.col("lags"), chunk))
+    states = F.array(begun)
+    if frames > 1:
+        states = F.aggregate(F.sequence(F.lit(1), F.lit(frames - 1)), states, lambda acc, _: F.concat(acc, F.array(run(F.element_at(acc, -1), FRAME))))
+    starts = chunks.select("c", "q", F.posexplode(states).alias("f", "lags")).select("q", "lags", (F.col("c") * chunk + F.col("f") * FRAME).alias("start"))
+    starts = starts.where(F.col("start") < slots)
+    if frames > 1:
+        starts = starts.repartition("start")
+
+    kind = "struct<lags:array<bigint>,order:array<struct<lane:int,lag:bigint>>>"
+    empty = F.array().cast("array<struct<lane:int,lag:bigint>>")
+
+    def turn(acc: Column, _: Column) -> Column:
+        def take(lane: Column) -> Column:
+            new = F.array(F.struct(lane.alias("lane"), F.get(acc["lags"], lane).alias("lag")))
+            return F.struct(after(acc["lags"], lane).alias("lags"), F.concat(acc["order"], new).alias("order")).cast(kind)
+
+        return F.transform(F.array(chosen(acc["lags"])), take)[0]
+
+    def had(slot: Column, w: Column, lag: Column) -> Column:
+        """The blocks that a lane has had before the slot."""
+        return F.floor((wide(slot) * wide(w) - lag) / wide(total)).cast("long")
+
+    order = F.aggregate(F.sequence(F.lit(1), F.lit(FRAME)), F.struct(F.col("lags").alias("lags"), empty.alias("order")).cast(kind), turn)["order"]
+    n = _longs(sizes)
+    placed = F.zip_with(F.zip_with(q, "lags", lambda w, lag: had(F.col("start"), w, lag)), n, lambda b, most: F.least(b * block, most))
+    before = F.aggregate(placed, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    turns = starts.select("start", before.alias("before"), "q", F.posexplode(order).alias("at", "x"))
+    turns = turns.select("start", "before", (F.col("start") + F.col("at")).alias("slot"), F.col("x.lane").alias("lane"), F.col("x.lag").alias("lag"), F.get("q", F.col("x.lane")).alias("w"))
+    turns = turns.withColumn("block", had(F.col("slot"), F.col("w"), F.col("lag")))
+    turns = turns.withColumn("rows", F.least(F.get(n, F.col("lane")) - F.col("block") * block, F.lit(block))).where("rows > 0")
+    ahead = Window.partitionBy("start").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("rows").over(ahead), F.lit(0))
+    return turns.select("lane", "block", "slot", first.alias("first"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | None = None, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """Every row with block (from 0 within its source), slot and position (gapless from 0) in the mixed order.
 
     ``weights`` gives the share of each source; without it a source's share
-    is its rows to the power ``TEMPERATURE``.  Sources that ``weights`` lacks,
-    or beyond the ``frame - 1`` largest, share one lane, with the mean share
-    of the others.  Null source is the empty string.  Within a lane rows go by
-    the leading 32 bits of the id's MD5, then id (a null id as the empty
-    text).  Repeated rows keep places of their own.  An empty table gives an
-    empty result; an input column of an added name is replaced.
+    is its rows to the power ``TEMPERATURE``.  Sources that ``weights`` lacks
+    share one lane, with the mean share of the others.  Sources of weight zero
+    follow all others, by name.  With ``frame`` the weights are those of
+    :func:`apportion` instead, and sources beyond the ``frame - 1`` largest
+    are in the shared lane too.  Null source is the empty string.  Within a
+    lane rows go by the leading 32 bits of the id's MD5, then id (a null id as
+    the empty text).  Repeated rows keep places of their own.  An empty table
+    gives an empty result; an input column of an added name is replaced.
     """
     added = ["block", "slot", "position"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
@@ -97,55 +172,65 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = F
     return placed.select(*(F.col(f"{_OWN}row")[c].alias(c) for c in keep), *added)
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int, block: int, keep: list[str]) -> DataFrame:
+def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None, block: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     counted = docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
     counted = materialise(counted, "mix-sources")
     total = counted.agg(F.sum("n")).first()[0] or 0
     eligible = counted if weights is None else counted.where(F.col("name").isin(list(weights)))
-    # At most frame - 1 rows.
-    largest = {r["name"]: r["n"] for r in eligible.orderBy(F.desc("n"), "name").limit(frame - 1).collect()}
-    names: list[str | None] = sorted(largest)
-    shares = [float(largest[s]) ** TEMPERATURE if weights is None else float(weights[s]) for s in names]
-    sizes = [largest[s] for s in names]
+    if frame is not None:
+        eligible = eligible.orderBy(F.desc("n"), "name").limit(frame - 1)
+    held = {r["name"]: r["n"] for r in eligible.collect()}
+    names: list[str | None] = sorted(held)
+    shares = [float(held[s]) ** TEMPERATURE if weights is None else float(weights[s]) for s in names]
+    sizes = [held[s] for s in names]
     if total > sum(sizes):
         names.append(None)
         shares.append(sum(shares) / len(shares) if shares else 1.0)
         sizes.append(total - sum(sizes))
-    slots = list(apportion(dict(enumerate(shares)), frame).values()) if names else []
-    schema = "name string, lane int, slots int, n long"
-    lanes = spark.createDataFrame(list(zip(names, range(len(names)), slots, sizes, strict=True)), schema)
+    whole = whole_weights(shares) if frame is None else list(apportion(dict(enumerate(shares)), frame).values()) if names else []
+    # Lanes with a weight come first, by name.
+    lane_of = sorted(range(len(names)), key=lambda k: whole[k] == 0)
+    names, whole, sizes = [names[k] for k in lane_of], [whole[k] for k in lane_of], [sizes[k] for k in lane_of]
+    lanes = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, lane int")
 
-    rest = len(names) - 1 if names and names[-1] is None else None
+    rest = names.index(None) if None in names else None
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias(f"{_OWN}row"), name.alias("name"), F.col("doc_id").alias("id"))
     known = F.broadcast(lanes.where("name is not null").select("name", F.col("lane").alias("own")))
     rows = rows.join(known, "name", "left").withColumn("lane", F.coalesce("own", F.lit(rest)))
     # Ranking groups are ranges of the hash, as many as the lane's rows ask for.
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    parts = F.lit([max(1, -(-n // BUCKET_ROWS)) for n in sizes] or [1]).cast("array<bigint>")
+    parts = _longs([max(1, -(-n // BUCKET_ROWS)) for n in sizes] or [1])
     rows = rows.withColumn("h", h).withColumn("bucket", F.shiftright(F.col("h") * F.get(parts, F.col("lane")), 32))
     groups = rows.groupBy("lane", "bucket").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("lane", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    offsets = groups.select("lane", "bucket", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    # The schedule of each group's blocks, so that the rows themselves stay where they were ranked.
+    timed = [k for k, w in enumerate(whole) if w]
+    turns = materialise(schedule(spark, [whole[k] for k in timed], [sizes[k] for k in timed], block), "mix-schedule")
+    after, done, late = n_slots(whole, sizes, block), sum(sizes[k] for k in timed), []
+    for k in range(len(timed), len(names)):
+        late.append((k, after, done))
+        after, done = after + -(-sizes[k] // block), done + sizes[k]
+    low, high = F.expr(f"first div {block}"), F.expr(f"(first + n - 1) div {block}")
+    wanted = offsets.withColumn("low", low).withColumn("block", F.explode(F.sequence(low, high))).withColumnRenamed("first", "ahead")
+    wanted = wanted.join(turns, ["lane", "block"], "left").join(F.broadcast(spark.createDataFrame(late, "lane int, after long, done long")), "lane", "left")
+    wanted = wanted.withColumn("slot", F.coalesce("slot", F.col("after") + F.col("block")))
+    wanted = wanted.withColumn("first", F.coalesce("first", F.col("done") + F.col("block") * block))
+    wanted = wanted.groupBy("lane", "bucket", "ahead", "low").agg(F.array_sort(F.collect_list(F.struct("block", "slot", "first"))).alias("turns"))
     inner = Window.partitionBy("lane", "bucket").orderBy("h", "id")
-    ranked = rows.withColumn("at", F.row_number().over(inner) - 1).join(offsets, ["lane", "bucket"]).withColumn("rank", F.col("first") + F.col("at"))
-
-    p, n = F.lit(slots or [1]).cast("array<bigint>"), F.lit(sizes or [0]).cast("array<bigint>")
-    ranked = ranked.withColumn("block", F.expr(f"rank div {block}")).withColumn("p", F.get(p, F.col("lane")))
-    ranked = ranked.withColumn("round", F.expr("block div p")).withColumn("job", F.expr("cast(block % p as int)"))
-    timed = ranked.join(F.broadcast(schedule(lanes.select("lane", "slots"), frame).withColumnRenamed("slot", f"{_OWN}slot")), ["lane", "job"])
-    placed = F.zip_with(F.zip_with("before", p, lambda b, q: (F.col("round") * q + b) * block), n, lambda rows_before, most: F.least(rows_before, most))
-    position = F.aggregate(placed, F.lit(0).cast("long"), lambda acc, x: acc + x) + F.col("rank") % block
-    return timed.select(
+    ranked = rows.withColumn("at", F.row_number().over(inner) - 1).join(wanted, ["lane", "bucket"]).withColumn("rank", F.col("ahead") + F.col("at"))
+    own = F.get("turns", (F.expr(f"rank div {block}") - F.col("low")).cast("int"))
+    return ranked.select(
         f"{_OWN}row",
-        "block",
-        (F.col("round") * frame + F.col(f"{_OWN}slot")).alias("slot"),
-        position.alias("position"),
+        own["block"].alias("block"),
+        own["slot"].alias("slot"),
+        (own["first"] + F.col("rank") % block).alias("position"),
     )
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, frame: int = FRAME, block: int = BLOCK) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` laid out in the mixed order: files and rows follow the position; columns as they were."""
     placed = _placed(docs, weights, frame, block, docs.columns)
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"{_OWN}row")[c].alias(c) for c in docs.columns))

@@ -217,6 +217,55 @@ def test_schedule_stays_within_one_block(spark):
         assert all(abs(seen[s] - turn * slots[k] / 50) < 1 for k, s in enumerate("abcd"))
 
 
+def earliest_deadlines(whole, blocks):
+    """(lane, block, slot) of every block by one walk over all slots."""
+    total, done, out, slot = sum(whole), [0] * len(whole), [], 0
+    while any(d < b for d, b in zip(done, blocks, strict=True)):
+        lane = min((-(-(done[i] + 1) * total // w), i) for i, w in enumerate(whole) if done[i] * total // w <= slot)[1]
+        if done[lane] < blocks[lane]:
+            out.append((lane, done[lane], slot))
+        done[lane] += 1
+        slot += 1
+    return out
+
+
+# A hot source and small ones with windows longer than a frame; coprime weights; more sources than slots of a frame.
+@pytest.mark.parametrize("shares,rows", [([900, *[1] * 7, 0.5], [6000, *[9] * 7, 5]), ([7, 5, 3, 2.5, 0.77], [3001, 2000, 1500, 1111, 400]), ([40, *[1] * 1100], [90, *[2] * 1100])])
+def test_schedule_equals_one_walk_and_the_weights(spark, shares, rows):
+    whole = mixing.whole_weights(shares)
+    found = sorted((r["first"], r["lane"], r["block"], r["slot"]) for r in mixing.schedule(spark, whole, rows, 1).collect())
+    assert [x[0] for x in found] == list(range(sum(rows)))
+    assert [x[1:] for x in found] == earliest_deadlines(whole, rows)
+    seen = np.zeros(len(rows))
+    for turn, (_, lane, _, _) in enumerate(found, 1):
+        seen[lane] += 1
+        if seen[lane] == rows[lane]:
+            break
+        assert (abs(seen - turn * np.array(shares) / sum(shares)) < 1 + 1e-6).all()  # weights are rounded
+
+
+def test_mixture_follows_the_weights_themselves(spark):
+    sizes = {"hot": 5000, **{f"s{k:02}": 90 for k in range(60)}}
+    rows = [(k, "x", "en", s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    placed = mixing.mix(docs(spark, rows), block=4).orderBy("position").collect()
+    assert [r["position"] for r in placed] == list(range(len(rows))) and len({r["doc_id"] for r in placed}) == len(rows)
+    total, seen = sum(n**0.5 for n in sizes.values()), defaultdict(int)
+    for turn, r in enumerate(placed, 1):
+        seen[r["source"]] += 1
+        if seen[r["source"]] == sizes[r["source"]] // 4 * 4:
+            break
+        if turn % 4 == 0:
+            assert all(abs(seen[s] / 4 - turn / 4 * n**0.5 / total) < 1 for s, n in sizes.items())
+    assert turn > 3000
+
+
+def test_weight_zero_follows_all_others(spark):
+    rows = [(k, "x", "en", "zab"[k % 3]) for k in range(300)]
+    placed = mixing.mix(docs(spark, rows), weights={"a": 1, "b": 2, "z": 0}, block=7).orderBy("position").collect()
+    assert [r["position"] for r in placed] == list(range(300)) and {r["source"] for r in placed[200:]} == {"z"}
+    assert all(a["slot"] <= b["slot"] for a, b in zip(placed, placed[1:], strict=False))
+
+
 def test_hilbert_neighbours_differ_in_one_step(spark):
     cells = [r["cell"] for r in sharding.hilbert_table(spark, 3, 4).orderBy("curve").collect()]
     points = np.array([[c >> 8, c >> 4 & 15, c & 15] for c in cells])
