@@ -1,6 +1,8 @@
 """Substring deduplication by hashing normalised text units.
 
-A unit is a line and, in lines of several sentences, each sentence.  Units are
+A unit is a line and, in lines of several sentences, each sentence.  A sentence
+ends at the first white space after a stop with no word between them, or, after
+a wide stop (U+3002 and the like), where the next word begins.  Units are
 normalised (A-Z lower-cased, only words kept) and hashed to 128 bits; the
 digests are grouped over the corpus, the occurrence ranked first (by doc_id)
 stays, and all others are removed from their texts.  Their offsets in the
@@ -14,6 +16,7 @@ split when a digest is that frequent.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,31 +28,100 @@ from pyspark.sql import types as T
 from . import ragged
 from .common import materialise
 
-#: Shorter units are never removed.
+#: Shorter units are never removed, unless they have ``CHARS`` characters a word in scripts without spaces.
 MIN_WORDS = 5
-_STOPS = np.zeros(256, dtype=bool)
-_STOPS[list(b".!?")] = True
+CHARS = 4
+#: Stops that need no white space behind them.
+WIDE_STOPS = "\u3002\uff01\uff0e\uff1f\uff61\u0964\u0965"
+#: Thai to Myanmar, Khmer, kana and Chinese characters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+_WORD, _SPACE, _STOP, _WIDE, _UNSPACED = 0, 1, 2, 4, 8
+_MARK = 16
+
+
+def _kinds() -> np.ndarray:
+    """What each code point of the first two planes is: a mark (anything between words), white space, a stop; others belong to words."""
+    kinds = np.zeros(1 << 17, dtype=np.uint8)
+    for point in range(128, len(kinds)):
+        if unicodedata.category(chr(point))[0] in "PSZ":
+            kinds[point] = _MARK | (_SPACE if chr(point).isspace() else 0)
+    kinds[:128] = np.where(ragged.ALNUM[:128], _WORD, _MARK)
+    kinds[[9, 11, 12, 13, 32]] |= _SPACE
+    kinds[[ord(c) for c in ".!?"]] |= _STOP
+    kinds[[ord(c) for c in WIDE_STOPS]] |= _STOP | _WIDE
+    for low, high in UNSPACED:
+        kinds[low : high + 1][kinds[low : high + 1] == _WORD] = _UNSPACED
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def _byte_kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kinds, last): the kind of the character that each byte belongs to, and which bytes end a character."""
+    if not len(data) or data.max() < 128:
+        return _KINDS[data], np.ones(len(data), dtype=bool)
+    kinds = _KINDS[data & 0x7F]
+    heads = np.flatnonzero((data >= 0xC0))
+    sizes = 2 + (data[heads] >= 0xE0) + (data[heads] >= 0xF0)
+    points = data[heads].astype(np.int64) & (0x7F >> sizes)
+    for k in range(1, 4):
+        more = sizes > k
+        points[more] = points[more] << 6 | (data[heads[more] + k] & 0x3F)
+    found = np.where(points < len(_KINDS), _KINDS[np.minimum(points, len(_KINDS) - 1)], _WORD)
+    for k in range(4):
+        at = sizes > k
+        kinds[heads[at] + k] = found[at]
+    last = data < 128
+    last[heads + sizes - 1] = True
+    return kinds, last
+
+
+def _pauses(kinds: np.ndarray, last: np.ndarray, newline: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes that end a sentence within a line."""
+    pause = np.zeros(len(kinds), dtype=bool)
+    r0, r1, _ = ragged.run_spans((kinds & _MARK != 0) & ~newline, offsets)
+
+    def first(mask: np.ndarray, since: np.ndarray) -> np.ndarray:
+        """The first byte of the mask not before ``since``, or the end of all."""
+        at = np.flatnonzero(mask)
+        return np.append(at, len(kinds))[np.searchsorted(at, since)]
+
+    stop = first(last & (kinds & _STOP != 0), r0)
+    r0, r1, stop = r0[stop < r1], r1[stop < r1], stop[stop < r1]
+    space = first(last & (kinds & _SPACE != 0), stop)
+    pause[space[space < r1]] = True
+    wide = first(last & (kinds & _WIDE != 0), r0)
+    # At a line's end the newline ends the sentence too.
+    pause[r1[(space >= r1) & (wide < r1) & ~np.append(newline, False)[r1]] - 1] = True
+    return pause
+
+
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def text_units(texts: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
     """Units of at least ``min_words`` words: text number, 128-bit digest, character offsets [start, end), and whether an earlier unit of the text is equal.
 
-    A unit's span takes in the newline or space that ends it.
+    A unit's span takes in the newline, space or mark that ends it.  Words are
+    runs without white space, punctuation or symbols; ``CHARS`` characters of a
+    script without spaces count as a word.
     """
     data, offsets = ragged.text_bytes(texts)
     newline = data == 10
-    pause = np.zeros(len(data), dtype=bool)
-    pause[1:] = (data[1:] == 32) & _STOPS[data[:-1]]
+    kinds, last = _byte_kinds(data)
+    pause = _pauses(kinds, last, newline, offsets)
     s0, s1, s_doc = ragged.run_spans(~(newline | pause), offsets)
     l0, l1, l_doc = ragged.run_spans(~newline, offsets)
     # Lines of one sentence are that sentence already.
     several = np.searchsorted(s0, l1) - np.searchsorted(s0, l0) > 1
     begin, end, doc = np.append(s0, l0[several]), np.append(s1, l1[several]), np.append(s_doc, l_doc[several])
-    w0, w1, _ = ragged.word_spans(data, offsets, ragged.ALNUM)
+    w0, w1, _ = ragged.run_spans(kinds & _MARK == 0, offsets)
     words = ragged.span_hashes(ragged.LOWER[data], w0, w1)
     a, b = np.searchsorted(w0, begin), np.searchsorted(w0, end)
-    use = b - a >= min_words
+    unspaced = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(last & (kinds == _UNSPACED), out=unspaced[1:])
+    use = (b - a >= min_words) | (unspaced[end] - unspaced[begin] >= CHARS * min_words)
     begin, end, doc, a, b = begin[use], end[use], doc[use], a[use], b[use]
     order = np.lexsort((begin, doc))
     begin, end, doc, a, b = begin[order], end[order], doc[order], a[order], b[order]

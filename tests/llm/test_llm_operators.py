@@ -152,6 +152,54 @@ def test_substrings_against_brute_force(spark):
     assert any(covered.values())
 
 
+@pytest.mark.parametrize("between", [" ", "&&& ", "\t", ".\" ", "\u201d ", "\u00bb\u00a0", " (", "\u2026 \u201c", "%%% -- ", ".. "])
+def test_stops_with_marks_behind_them_end_sentences(spark, between):
+    said = [" ".join(f"w{k}{c}" for k in range(6)) for c in "abcd"]
+    rows = [(1, ". ".join(said[:3]) + "."), (2, f"before it.{between}{said[1]}!{between}{said[2]}?{between}after it"), (3, f"{said[3]}.{between}few words")]
+    found = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicate(docs(spark, rows)).collect()}
+    assert found[1] == rows[0][1] and found[3] == rows[2][1]
+    assert all(w not in found[2] for w in f"{said[1]} {said[2]}".split()) and "before it" in found[2] and "after it" in found[2]
+
+
+def sentence_ends(line, is_mark):
+    """Where the sentences of a line end, by looking at each run of marks."""
+    ends = []
+    for run in re.finditer("m+", "".join("m" if is_mark(c) else "w" for c in line)):
+        marks = line[run.start() : run.end()]
+        stop = next((k for k, c in enumerate(marks) if c in ".!?\u3002\uff01"), None)
+        if stop is None:
+            continue
+        space = next((k for k in range(stop, len(marks)) if marks[k].isspace()), None)
+        if space is not None:
+            ends.append(run.start() + space + 1)
+        elif re.search("[\u3002\uff01]", marks):
+            ends.append(run.end())
+    return ends
+
+
+def test_units_equal_brute_force_on_marks_and_wide_text():
+    r = random.Random(4)
+    parts = [". ", "! ", "?\t", ".", "\u3002", "\uff01\u300d", "\u3002\u3000", "\n", " ", "\u00ab", "\u201d", "& ", ".&& ", "ab", "Cd", "é", "\U0001f600", "漢字仮名", "かな", " x", " yz", " q", " r", " s"]
+
+    def is_mark(c):
+        return not (c.isalnum() or c in "漢字仮名かな")
+
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        wanted, at = set(), 0
+        for line in text.split("\n"):
+            cuts = sorted({0, *sentence_ends(line, is_mark), len(line)})
+            for a, b in [(0, len(line)), *zip(cuts, cuts[1:], strict=False)]:
+                words = "".join(" " if is_mark(c) else c for c in line[a:b]).split()
+                if len(words) >= 3 or len(re.findall("[漢字仮名かな]", line[a:b])) >= 3 * substring_dedup.CHARS:
+                    wanted.add((at + a, at + b if b < len(line) else min(at + b + 1, len(text))))
+            at += len(line) + 1
+        found = substring_dedup.text_units(pa.array([text]), 3)
+        found = {(int(a), int(b)) for a, b in zip(found["start"], found["end"], strict=True)}
+        # A sentence that ends in white space at a line's end may leave the newline to the line.
+        assert {(a, b + (text[b - 1 : b + 1][1:] == "\n" != text[b - 1])) for a, b in found} == wanted, repr(text)
+
+
 def test_suffix_array_repeats_equal_brute_force():
     texts = [prose(n, n) for n in (0, 5, 30, 200)] + [prose(40, 1) + " " + prose(40, 1), "of " * 60 + "x " * 30, *[t for t in ODD]]
     found = quality_rules.measures(pa.array(texts))
