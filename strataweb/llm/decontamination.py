@@ -138,11 +138,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep: list[s
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """The documents of ``docs`` that share no benchmark window, all columns as they were.
 
-    Works by doc_id (null ids compare equal): rows of one id go together.
-    ``verdicts`` may hold the materialised ids to remove.
+    Works by doc_id and text (null ids compare equal): other texts of the same
+    id stay.  ``verdicts`` may hold the materialised ids and text hashes to remove.
     """
+    bad, node = F.col(f"{_OWN}bad"), F.col(f"{_OWN}node")
     if verdicts is None:
-        bad = scan(docs, benchmark, keep=["doc_id"]).where("contaminated").select(F.col("doc_id").alias(f"{_OWN}bad")).distinct()
+        named = docs.select("doc_id", "text", F.xxhash64("text").alias(f"{_OWN}node"))
+        found = scan(named, benchmark, keep=["doc_id", f"{_OWN}node"]).where("contaminated").select(F.col("doc_id").alias(f"{_OWN}bad"), f"{_OWN}node").distinct()
         # Written first, so that Spark knows its size and broadcasts it only within its own threshold.
-        verdicts = materialise(bad, "contaminated")
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts[f"{_OWN}bad"]), "left_anti")
+        verdicts = materialise(found, "contaminated")
+    return docs.join(verdicts, docs["doc_id"].eqNullSafe(bad) & (F.xxhash64(docs["text"]) == node), "left_anti")

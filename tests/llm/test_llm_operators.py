@@ -328,6 +328,13 @@ def test_windows_of_short_items_and_case(spark):
     assert [r["doc_id"] for r in decontamination.remove_contaminated(docs(spark, rows), bench).orderBy("doc_id").collect()] == [3, 4]
 
 
+def test_clean_texts_of_a_contaminated_id_stay(spark):
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
+    rows = [(None, "x alpha beta"), (None, "clean"), (None, None), (5, "alpha beta y"), (5, "alpha gamma"), (5, "alpha beta y")]
+    kept = decontamination.remove_contaminated(docs(spark, rows), bench).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(None, "clean"), (None, None), (5, "alpha gamma")], key=str)
+
+
 def test_url_rules_and_vocabulary(spark):
     cases = {
         None: ("", "", None, "allow"),
