@@ -1,271 +1,100 @@
 """Typed links of archived documents.
 
-Parsing is one small Arrow UDF that turns HTML into elements (tag, attributes,
-leading text); all link rules are expressions over those elements, so the
-result is an ordered array and nothing is shuffled.  Links come by rule, then
-by place: style tags, style attributes, backgrounds, source srcset, src, image
-srcset, href, onclick, script strings, then attributes that are absolute URLs.
+One Arrow step takes each body apart and emits its finished links: typed,
+resolved, and with the place where each stands, so that rewriting can splice
+there.  What the step is for, and which rows it sees, is decided by expressions
+before it; nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from xml.etree import ElementTree
+import codecs
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions import http, urls
-
-LINK_DDL = "relative_url string, type_title string, title string, embedded boolean, tag string, attr string"
-ELEMENT_DDL = "tag:string,attrs:array<struct<name:string,value:string>>,text:string"
-#: URLs that likely name an embedded resource.
-PROBABLY_EMBEDDED = r"(?i)\.(gif|jpe?g|png|svg|js|css)(?:\?[^/?]*)?$"
-ABSOLUTE = r"(?id)^(https?://.+)$"
-_ONCLICK = r"""(?i)([a-zA-Z.]*\.(?:href|location)) *= *(['"])([^'"]*)['"] *;?$"""
-_SCRIPT = r"""(?i)("(?:\\?/\\?/[^/"][^"]*|https?:\\?/\\?/(?:[^/"][^"]*)?)"|'(?:\\?/\\?/[^/'][^']*|https?:\\?/\\?/(?:[^/'][^']*)?)')"""
-_CSS = r"""(?i)(url\(\s*"[^"\n]*"\s*\)|url\(\s*'[^'\n]*'\s*\)|url\([^"'()\s]*\)|url\(\s*[^"'()\s]+\s*\)|@import\s+"[^"\n]*"|@import\s+'[^'\n]*')"""
-_EMPTY = "array<struct<" + ",".join(c.replace(" ", ":") for c in LINK_DDL.split(", ")) + ">>"
-#: Elements without content: fixed values.
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-
-
-class _Elements(HTMLParser):
-    """Elements in document order; text is what precedes an element's first child."""
-
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.open: dict | None = None  # the element whose leading text goes on
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        seen: dict[str, str] = {}
-        for name, value in attrs:
-            seen.setdefault(name, value if value is not None else "")
-        element = {"tag": tag, "attrs": [{"name": k, "value": v} for k, v in seen.items()], "text": None}
-        self.found.append(element)
-        self.open = None if tag in _VOID else element
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        self.open = None
-
-    def handle_endtag(self, tag: str) -> None:
-        self.open = None
-
-    def handle_data(self, data: str) -> None:
-        if self.open is not None:
-            self.open["text"] = (self.open["text"] or "") + data
-
-
-def _parse(html: str | None) -> list[dict] | None:
-    if html is None:
-        return None
-    parser = _Elements()
-    parser.feed(html)
-    parser.close()
-    return parser.found
-
-
-def html_elements(html: Column) -> Column:
-    """The elements of an HTML text in document order: tag, attributes and the text before the first child."""
-    return F.pandas_udf(lambda batch: batch.map(_parse), f"array<struct<{ELEMENT_DDL}>>")(html)
-
-
-def _link(url: Column, kind: Column | str, title: Column | None, embedded: Column | bool, tag: Column, attr: Column | str) -> Column:
-    text = lambda c: F.lit(c) if isinstance(c, str) else c
-    return F.struct(
-        url.alias("relative_url"), text(kind).cast("string").alias("type_title"), (F.lit(None) if title is None else title).cast("string").alias("title"),
-        (embedded if isinstance(embedded, Column) else F.lit(embedded)).alias("embedded"), text(tag).cast("string").alias("tag"), text(attr).cast("string").alias("attr"),
-    )
-
-
-def attribute(element: Column, name: str) -> Column:
-    """An attribute's value; null if the element lacks it."""
-    return F.try_element_at(F.filter(element["attrs"], lambda a: a["name"] == name), F.lit(1))["value"]
-
-
-def _having(elements: Column, name: str, link, tag: str | None = None) -> Column:
-    """A link of each element with the attribute."""
-    def has(e: Column) -> Column:
-        found = attribute(e, name).isNotNull()
-        return found & (e["tag"] == tag) if tag else found
-
-    return F.transform(F.filter(elements, has), link)
-
-
-def css_links(css: Column, tag: Column | str = "css", attr: Column | str = "css") -> Column:
-    """``url(...)`` references and string ``@import`` rules, comments left out."""
-    bare = F.regexp_replace(css, r"(?s)/\*.*?\*/", "")
-
-    def link(found: Column) -> Column:
-        is_import = F.lower(found).startswith("@import")
-        inner = F.when(is_import, F.regexp_extract(found, r"""(?i)^@import\s+(.*)$""", 1)).otherwise(F.regexp_extract(found, r"(?i)^url\(\s*(.*?)\s*\)$", 1))
-        inner = F.regexp_replace(inner, r"""^["']|["']$""", "")
-        return _link(inner, F.when(is_import, "CSS @import").otherwise("CSS URL Reference"), None, True, tag, attr)
-
-    return F.coalesce(F.transform(F.regexp_extract_all(bare, F.lit(_CSS), F.lit(1)), link), F.array().cast(_EMPTY))
-
-
-def srcset_urls(srcset: Column) -> Column:
-    """The URLs of a srcset; ``data:`` URLs may hold commas."""
-    return F.regexp_extract_all(F.concat(srcset, F.lit(",")), F.lit(r" *(data:[^ ]+|[^ ,]+)(?: +[^ ,]+)? *,"), F.lit(1))
-
-
-def _image_title(e: Column) -> Column:
-    return F.coalesce(attribute(e, "alt"), attribute(e, "title"))
-
-
-def _src_link(e: Column) -> Column:
-    tag = e["tag"]
-    button = (tag == "input") & F.coalesce(attribute(e, "type") == "image", F.lit(False))
-    kind = F.when(tag == "img", "Image").when(tag == "iframe", "IFrame").when(tag == "frame", "Frame").when(button, "Form Image").otherwise(F.concat(F.lit("Unknown Embedded ("), tag, F.lit(")")))
-    title = F.when((tag == "img") | button, _image_title(e)).when(tag.isin("iframe", "frame"), attribute(e, "name"))
-    return _link(F.trim(attribute(e, "src")), kind, title, True, tag, "src")
-
-
-def _href_link(e: Column) -> Column:
-    tag, rel, href = e["tag"], F.coalesce(attribute(e, "rel"), F.lit("")), F.trim(attribute(e, "href"))
-    path = F.regexp_extract(href, r"^([^?#;]*)", 1)
-    is_link, has_rel = tag == "link", attribute(e, "rel").isNotNull()
-    style = is_link & (rel.contains("stylesheet") | F.coalesce(attribute(e, "type") == "text/css", F.lit(False)) | path.endswith(".css"))
-    icon = is_link & (rel.contains("icon") | rel.contains("apple-touch-icon") | path.endswith(".ico") | path.endswith(".png"))
-    preload = is_link & rel.contains("preload")
-    kind = (
-        F.when(tag == "a", "Link").when(style, "Stylesheet").when(icon, "Icon").when(preload, "Preload")
-        .when(is_link & has_rel, F.concat(F.lit("Unknown Link (rel="), rel, F.lit(")")))
-        .otherwise(F.concat(F.lit("Unknown Href ("), tag, F.lit(")")))
-    )
-    return _link(href, kind, F.when(tag == "a", e["text"]), (tag != "a") & (style | icon | preload), tag, "href")
-
-
-def _script_links(e: Column) -> Column:
-    def decoded(quoted: Column) -> Column:
-        inner = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-        return F.from_json(F.concat(F.lit('["'), inner, F.lit('"]')), "array<string>")[0]
-
-    found = F.transform(F.regexp_extract_all(e["text"], F.lit(_SCRIPT), F.lit(1)), decoded)
-    return F.transform(F.filter(found, lambda u: u.isNotNull()), lambda u: _link(u, "Script Reference", None, u.rlike(PROBABLY_EMBEDDED), e["tag"], "string"))
-
-
-def html_links(elements: Column) -> Column:
-    """The ordered links of parsed HTML."""
-    def styles(e: Column) -> Column:
-        return css_links(e["text"], e["tag"], "string")
-
-    def srcset(e: Column) -> Column:
-        return F.transform(srcset_urls(attribute(e, "srcset")), lambda u: _link(u, "Image", _image_title(e), True, e["tag"], "srcset"))
-
-    def click(e: Column) -> Column:
-        return _link(F.regexp_extract(attribute(e, "onclick"), _ONCLICK, 3), "Clickable", attribute(e, "value"), False, e["tag"], "onclick")
-
-    def is_plain_script(e: Column) -> Column:
-        kind = attribute(e, "type")
-        return (e["tag"] == "script") & (kind.isNull() | (F.lower(kind) == "text/javascript"))
-
-    def references(e: Column) -> Column:
-        linked = F.array(F.lit("background"), F.lit("src"), F.lit("href"))
-
-        def other(a: Column) -> Column:
-            used = F.array_contains(linked, a["name"]) | ((a["name"] == "srcset") & e["tag"].isin("img", "source")) | ((a["name"] == "onclick") & a["value"].rlike(_ONCLICK))
-            return ~used & F.trim(a["value"]).rlike(ABSOLUTE)
-
-        return F.transform(F.filter(e["attrs"], other), lambda a: _link(F.trim(a["value"]), "Attribute Reference", None, F.trim(a["value"]).rlike(PROBABLY_EMBEDDED), e["tag"], a["name"]))
-
-    rules = [
-        F.flatten(F.transform(F.filter(elements, lambda e: (e["tag"] == "style") & e["text"].isNotNull()), styles)),
-        F.flatten(_having(elements, "style", lambda e: css_links(attribute(e, "style"), e["tag"], "style"))),
-        _having(elements, "background", lambda e: _link(F.trim(attribute(e, "background")), "Background Image", None, True, e["tag"], "background")),
-        F.flatten(_having(elements, "srcset", srcset, "source")),
-        _having(elements, "src", _src_link),
-        F.flatten(_having(elements, "srcset", srcset, "img")),
-        _having(elements, "href", _href_link),
-        F.transform(F.filter(elements, lambda e: F.coalesce(attribute(e, "onclick").rlike(_ONCLICK), F.lit(False))), click),
-        F.flatten(F.transform(F.filter(elements, is_plain_script), lambda e: F.coalesce(_script_links(e), F.array().cast(_EMPTY)))),
-        F.flatten(F.transform(elements, references)),
+from pyspark.sql import types as T
+
+from ..functions import documents, http
+from ..functions.documents import PROBABLY_EMBEDDED  # noqa: F401
+
+LINK_TYPE = T.StructType(
+    [
+        *(T.StructField(c, T.StringType()) for c in ("relative_url", "type_title", "title")),
+        T.StructField("embedded", T.BooleanType()),
+        *(T.StructField(c, T.StringType()) for c in ("tag", "attr", "target_url")),
+        *(T.StructField(c, T.IntegerType()) for c in ("start", "end")),
+        T.StructField("quote", T.StringType()),
+        *(T.StructField(c, T.IntegerType()) for c in ("at", "until")),
+        T.StructField("form", T.StringType()),
     ]
-    return F.concat(*rules)
-
-
-def frameset_links(html: Column) -> Column:
-    """Quoted names of HTML pages, for documents of frames."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)(['"][^'"]+\.s?html?['"])"""), F.lit(1))
-    return F.transform(found, lambda q: _link(F.substr(q, F.lit(2), F.length(q) - 2), "Unknown", None, False, "html", "quoted"))
-
-
-def json_links(text: Column) -> Column:
-    """Keys, values and items that are absolute URLs, in their order; none for invalid JSON or a lone string."""
-    literals = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*")'), F.lit(1))
-    decoded = F.transform(literals, lambda q: F.from_json(F.concat(F.lit("["), q, F.lit("]")), "array<string>")[0])
-    found = F.transform(F.filter(decoded, lambda u: u.rlike(ABSOLUTE)), lambda u: _link(u, "JSON URL Reference", None, False, "json", "value"))
-    valid = F.try_parse_json(text).isNotNull() & text.rlike(r"^\s*[\[{]")
-    return F.when(valid, found).otherwise(F.array().cast(_EMPTY))
-
-
-def _entries(text: str | None) -> list[dict] | None:
-    try:
-        root = ElementTree.fromstring((text or "").encode())
-    except ElementTree.ParseError:
-        return None
-    return [{"text": e.text, "href": e.get("href")} for e in root.iter() if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "link"]
-
-
-def xml_links(text: Column) -> Column:
-    """The text (RSS) and href (Atom) of every link element; none for malformed XML."""
-    def of(e: Column) -> Column:
-        words = F.when(F.coalesce(e["text"], F.lit("")) != "", _link(F.trim(e["text"]), "Link", None, False, "link", "string"))
-        href = F.when(e["href"].isNotNull(), _link(F.trim(e["href"]), "Link", None, False, "link", "href"))
-        return F.array_compact(F.array(words, href))
-
-    return F.coalesce(F.flatten(F.transform(F.pandas_udf(lambda batch: batch.map(_entries), "array<struct<text:string,href:string>>")(text), of)), F.array().cast(_EMPTY))
-
-
-def favicon(links: Column, url: Column) -> Column:
-    """The links and, at the root of a site without an explicit icon, ``/favicon.ico``."""
-    absent = ~F.exists(links, lambda k: k["type_title"] == "Icon") & (urls.path(url) == "/")
-    implied = F.array(_link(F.lit("/favicon.ico"), "Icon", None, True, "html", "implicit"))
-    return F.when(absent, F.concat(links, implied)).otherwise(links)
-
-
-def decode(body: Column) -> Column:
-    """UTF-8 text of a binary body, malformed bytes replaced; text passes through."""
-    return body.cast("string")
-
-
-def with_links(captures: DataFrame, out: str = "links") -> DataFrame:
+)
+_ARROW = pa.struct([(f.name, {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()]) for f in LINK_TYPE])
+#: Links that stay as they are, and are not reported: fixed values.
+_UNREWRITABLE = ("mailto:", "javascript:", "data:")
+_FAVICON = "/favicon.ico"
+_PAGES = ("html", "frames")
+
+#: Changes the links of a document: (url, kind, body, links) to links.
+Rule = Callable[[str, str, str, list[documents.Link]], list[documents.Link]]
+
+
+def links_of(kind: str | None, url: str | None, body: str | None, root: bool = False, rules: tuple[Rule, ...] = ()) -> list[documents.Link]:
+    """The links of one document: those of its text, an implicit icon at a site's root, then what the rules make of them."""
+    if kind not in documents.KINDS or body is None:
+        return []
+    found = documents.KINDS[kind](body)
+    if root and kind in _PAGES and not any(k.type_title == "Icon" for k in found):
+        found.append(documents.Link(_FAVICON, "Icon", None, True, "html", "implicit", *(None,) * 7))
+    found = [k for k in found if not k.relative_url.startswith(_UNREWRITABLE)]
+    for rule in rules:
+        found = rule(url, kind, body, found)
+    return [k._replace(target_url=documents.target(url, k.relative_url)) for k in found]
+
+
+def with_links(captures: DataFrame, out: str = "links", rules: tuple[Rule, ...] = ()) -> DataFrame:
     """Adds the ordered links of each capture (url, metadata, body as text).
 
-    Error pages, binary types and captures without a body are set aside before
-    anything is parsed: the parser sees null for them.
+    Binary types and captures without a body are set aside before anything is
+    parsed.  A redirect is the last link.  ``rules`` see each document's links
+    before that.
     """
     headers, status = F.col("metadata.headers"), F.col("metadata.status_code")
-    work = captures.withColumn("_kind", http.document_kind(http.content_type(headers, F.col("url"))))
-    work = work.withColumn("_frames", (F.col("_kind") == "html") & F.lower("body").contains("<frameset"))
-    work = work.withColumn("_elements", html_elements(F.when((F.col("_kind") == "html") & ~F.col("_frames"), F.col("body"))))
-    work = work.withColumn("_feed", F.when(F.col("_kind") == "xml", F.col("body")))
-    found = (
-        F.when(F.col("body").isNull(), F.array().cast(_EMPTY))
-        .when(F.col("_frames"), favicon(frameset_links(F.col("body")), F.col("url")))
-        .when(F.col("_kind") == "html", favicon(html_links(F.col("_elements")), F.col("url")))
-        .when(F.col("_kind") == "css", css_links(F.col("body")))
-        .when(F.col("_kind") == "json", json_links(F.col("body")))
-        .when(F.col("_kind") == "xml", xml_links(F.col("_feed")))
-        .otherwise(F.array().cast(_EMPTY))
-    )
-    kept = F.filter(found, lambda k: ~urls.is_unrewritable(k["relative_url"]))
-    target = http.redirect_url(status, headers)
-    redirect = _link(target, "Redirect", http.redirect_title(status, F.col("metadata.reason_phrase")), True, "http", "location")
-    work = work.withColumn(out, F.when(target.isNotNull(), F.concat(kept, F.array(redirect))).otherwise(kept))
-    return work.drop("_kind", "_frames", "_elements", "_feed")
+    kind = http.document_kind(http.content_type(headers, F.col("url")))
+    frames = (kind == "html") & F.lower("body").contains("<frameset")
+    moved, why = http.redirect_url(status, headers), http.redirect_title(status, F.col("metadata.reason_phrase"))
+    root = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1) == "/"
+    own = {"_link_kind": F.when(frames, "frames").otherwise(kind), "_link_root": root, "_link_moved": moved, "_link_why": why}
+    work, names, n_own = captures.drop(out).withColumns(own), ["url", "body", *own], len(own)
+    schema = T.StructType([*captures.drop(out).schema.fields, T.StructField(out, T.ArrayType(LINK_TYPE))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, ends = [], [0]
+            for url, body, kind, root, moved, why in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+                found += links_of(kind, url, body, bool(root), rules)
+                if moved is not None:
+                    found.append(documents.Link(moved, "Redirect", why, True, "http", "location", documents.target(url, moved), *(None,) * 6))
+                ends.append(len(found))
+            fields = list(zip(*found, strict=True)) or [()] * len(_ARROW)
+            flat = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, _ARROW, strict=True)], [f.name for f in _ARROW])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-n_own], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema.names)
+
+    return work.mapInArrow(parse, schema)
+
+
+def html_links(html: Column) -> Column:
+    """The links of an HTML text, not resolved."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: [k._asdict() for k in documents.html_links(t)] if t is not None else None), T.ArrayType(LINK_TYPE))(html)
 
 
 def explode_links(parsed: DataFrame, links: str = "links") -> DataFrame:
-    """One row a link: the other columns, pos (from 0) and the link's fields, with the URL resolved as target_url."""
+    """One row a link: the other columns, pos (from 0), and the link's type, texts and target_url."""
     rest = [c for c in parsed.columns if c != links]
-    rows = parsed.select(*rest, F.posexplode(links).alias("pos", "link")).select(*rest, "pos", "link.*")
-    return rows.withColumn("target_url", urls.join(F.col("url"), F.col("relative_url")))
+    rows = parsed.select(*rest, F.posexplode(links).alias("pos", "link"))
+    return rows.select(*rest, "pos", *(F.col(f"link.{c}") for c in ("relative_url", "type_title", "title", "embedded", "tag", "attr", "target_url")))
 
 
 def full_title(link: Column) -> Column:
@@ -279,3 +108,27 @@ def by_target(links: DataFrame) -> DataFrame:
         F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_links"), F.array_sort(F.collect_list(F.struct("pos", title.alias("title")))).alias("_titles"), F.bool_or("embedded").alias("any_embedded")
     )
     return grouped.withColumn("titles", F.array_join(F.transform("_titles", lambda t: t["title"]), ", ")).drop("_titles")
+
+
+def _decoded(data: bytes, charset: str) -> str:
+    try:
+        codecs.lookup(charset)
+    except LookupError:
+        charset = "utf-8"
+    return data.decode(charset, errors="replace")
+
+
+_decode_udf = F.pandas_udf(lambda bodies, names: pd.Series([None if b is None or n is None else _decoded(b, n) for b, n in zip(bodies, names, strict=True)], dtype=object), T.StringType())
+
+
+def decode(body: Column, headers: Column | None = None) -> Column:
+    """The text of a binary body in its declared charset; UTF-8 if none (or one that is unknown) is declared.
+
+    Malformed bytes are replaced.  Only bodies in other charsets leave the JVM.
+    """
+    plain = body.cast("string")
+    if headers is None:
+        return plain
+    charset = F.lower(http.declared_charset(headers))
+    other = charset.isNotNull() & ~charset.isin("utf-8", "utf8", "us-ascii", "ascii")
+    return F.when(other, _decode_udf(F.when(other, body), F.when(other, charset))).otherwise(plain)

@@ -1,14 +1,15 @@
 """Rewriting of documents for replay: link targets point into the archive.
 
-Targets are rewritten where they stand: attributes of elements, ``url(...)``
-of CSS, strings of JSON.  A document is rewritten inside one row by expressions
-that replace each distinct link text; nothing is parsed twice or shuffled.
+Every link knows the place where it stands (see :mod:`..functions.documents`),
+so a page is rewritten by splicing there, whatever else of it has the same
+text.  One Arrow step, nothing is parsed twice or shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
-from html import escape
 from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
@@ -16,10 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import http, urls
+from ..functions import documents, http, urls
 
-#: How a link's text may be delimited in a document: attribute quotes, CSS url().
-_DELIMITERS = (('"', '"'), ("'", "'"), ("url(", ")"))
+_INTEGRITY = re.compile(r"\s+integrity\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
 def served_url(base: str, target: str, host: str, default_prefix: str | None, scheme: str = "http") -> str:
@@ -38,28 +38,42 @@ def served_url(base: str, target: str, host: str, default_prefix: str | None, sc
     return urlunsplit((scheme, host, f"/_/{split.scheme}/{split.netloc}{split.path}", split.query, split.fragment))
 
 
-def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out: str = "_page") -> DataFrame:
-    """Adds ``out``: the body of page ``url`` with its ``_targets`` (links' texts as written) served from ``host``; integrity attributes go.
+def integrity_spans(html: str) -> list[tuple[int, int]]:
+    """The ``integrity`` attributes of script and link tags."""
+    if "integrity" not in html.lower():
+        return []
+    found = []
+    for e in documents.elements(html):
+        if e.tag in ("script", "link") and "integrity" in e.attrs:
+            found += [m.span() for m in _INTEGRITY.finditer(html, e.start, e.end)]
+    return found
 
-    One Arrow step over the rows; null bodies and null targets pass through.
+
+def rewritten(base: str, document: str, links: list[dict], host: str, default_prefix: str | None, is_html: bool) -> str:
+    """One document with its links served from ``host`` and, if it is HTML, without integrity attributes."""
+    holders: dict[tuple, list[tuple[int, int, str]]] = defaultdict(list)
+    for k in links:
+        if k["start"] is not None:
+            new = served_url(base, k["relative_url"], host, default_prefix)
+            if new != k["relative_url"]:
+                holders[k["start"], k["end"], k["quote"]].append((k["at"], k["until"], documents.written(new, k["form"])))
+    return documents.spliced(document, holders, integrity_spans(document) if is_html else [])
+
+
+def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out: str = "_page", html: str = "_html") -> DataFrame:
+    """Adds ``out``: the body of page ``url`` with its ``links`` served from ``host``; pages of HTML (``html``) lose integrity attributes.
+
+    Null bodies and null links pass through.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())])
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            pages = []
-            for base, text, targets in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "body", "_targets")), strict=True):
-                if text is not None and targets is not None:
-                    for target in dict.fromkeys(targets):
-                        new = served_url(base, target, host, default_prefix)
-                        for written in dict.fromkeys((target, escape(target))):
-                            for before, after in _DELIMITERS:
-                                text = text.replace(before + written + after, before + escape(new, quote=False) + after)
-                pages.append(text)
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "body", "links", html))
+            pages = [b if b is None or k is None else rewritten(u, b, k, host, default_prefix, bool(h)) for u, b, k, h in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.string())], schema.names)
 
-    done = docs.mapInArrow(batches, schema)
-    return done.withColumn(out, F.regexp_replace(out, r"""(?i)(<(?:script|link)\b[^>]*?)\s+integrity\s*=\s*(?:"[^"]*"|'[^']*')""", "$1"))
+    return docs.mapInArrow(batches, schema)
 
 
 def insert_after(html: Column, addition: Column, places: list[str]) -> Column:
@@ -71,21 +85,58 @@ def insert_after(html: Column, addition: Column, places: list[str]) -> Column:
     return done
 
 
+def insert_before_end(html: Column, addition: Column, places: list[str]) -> Column:
+    """``addition`` placed before the last end tag of the first of the tags that the document has; as it is if none."""
+    done = html
+    for tag in reversed(places):
+        pattern = rf"(?is)^(.*)(</{tag}\s*>.*?)$"
+        done = F.when(html.rlike(pattern), F.concat(F.regexp_extract(html, pattern, 1), addition, F.regexp_extract(html, pattern, 2))).otherwise(done)
+    return done
+
+
+def _attribute_text(value: Column) -> Column:
+    for plain, coded in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;")):
+        value = F.replace(value, F.lit(plain), F.lit(coded))
+    return value
+
+
+def insert_head(html: Column, addition: Column) -> Column:
+    return insert_after(html, addition, ["head", "html"])
+
+
+def add_script(html: Column, url: Column) -> Column:
+    return insert_head(html, F.concat(F.lit('<script src="'), _attribute_text(url), F.lit('"></script>')))
+
+
+def add_favicon(html: Column, url: Column) -> Column:
+    return insert_head(html, F.concat(F.lit('<link rel="icon" href="'), _attribute_text(url), F.lit('">')))
+
+
+def add_robots(html: Column, content: str = "none") -> Column:
+    """A meta tag that tells crawlers of the archive what not to do."""
+    return insert_head(html, F.concat(F.lit('<meta name="robots" content="'), _attribute_text(F.lit(content)), F.lit('">')))
+
+
+def add_footer(html: Column, footer: Column, mark: str) -> Column:
+    """``footer`` at the bottom of the body, unless an element with the id ``mark`` is there already."""
+    there = html.rlike(rf"""(?is)<[a-z][^>]*\sid\s*=\s*["']?{re.escape(mark)}["'\s>]""")
+    return F.when(there, html).otherwise(insert_before_end(html, footer, ["body", "html"]))
+
+
 def pin_date(html: Column, date: Column) -> Column:
     """A script tag that pins the page's clock to the Date header, if there is one."""
-    tag = F.concat(F.lit('<script src="/_/pin_date.js?t='), F.unix_timestamp(date).cast("string"), F.lit('"></script>'))
-    return F.when(date.isNotNull(), insert_after(html, tag, ["head", "html"])).otherwise(html)
+    url = F.concat(F.lit("/_/pin_date.js?t="), F.unix_timestamp(date).cast("string"))
+    return F.when(date.isNotNull(), add_script(html, url)).otherwise(html)
 
 
 def responses(parsed: DataFrame, host: str, default_prefix: str | None = None) -> DataFrame:
     """What the archive answers for each capture (url, metadata, body, links): url, request_url, status_code, headers, body."""
-    targets = F.transform("links", lambda k: k["relative_url"])
     date = http.http_date(http.first_header(F.col("metadata.headers"), "date"))
     html = http.content_type(F.col("metadata.headers"), F.col("url")) == "text/html"
     request = urls.request_url(F.col("url"), host, default_prefix)
     path = F.regexp_extract(request, r"^https?://[^/]*(/.*)?$", 1)
     headers = F.concat(http.playable(F.col("metadata.headers")), F.array(F.array(F.lit("Cache-Control"), http.cache_control(path))))
-    made = parsed.select("url", "body", targets.alias("_targets"), request.alias("request_url"), F.col("metadata.status_code").alias("status_code"), headers.alias("headers"), html.alias("_html"), date.alias("_date"))
+    made = parsed.select("url", "body", "links", request.alias("request_url"), F.col("metadata.status_code").alias("status_code"), headers.alias("headers"), html.alias("_html"), date.alias("_date"))
     made = rewrite(made, host, default_prefix)
     body = F.when(F.col("_html"), pin_date(F.col("_page"), F.col("_date"))).otherwise(F.col("_page"))
     return made.select("url", "request_url", "status_code", "headers", body.alias("body"))

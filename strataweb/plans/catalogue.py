@@ -302,7 +302,7 @@ def _served(s, d):
     parsed = links.with_links(model.captures(s, d))
     done = rewrite.responses(parsed, HOST).select("url", F.col("body").alias("new_body"))
     again = parsed.select("id", "url", F.transform("links", lambda k: k["relative_url"]).alias("old")).join(done, "url")
-    again = again.withColumn("new", F.transform(links.html_links(links.html_elements(F.col("new_body"))), lambda k: k["relative_url"]))
+    again = again.withColumn("new", F.transform(links.html_links(F.col("new_body")), lambda k: k["relative_url"]))
     return again.select("id", F.explode(F.arrays_zip("old", "new")).alias("z")).select("id", F.col("z.old").alias("relative_url"), F.col("z.new").alias("served"))
 
 
