@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 #: RFC 3986, appendix B, as groups: scheme, authority, path, query, fragment.
 _PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+#: What marks a URL outside the archive in stored data: fixed value.
 EXTERNAL_PREFIX = "crystal://external/"
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
@@ -177,6 +178,9 @@ def single_param(params: dict[str, list[str]], key: str, kind: type = str):
 #: The forum scripts: the parameters that choose a page, and items a page: fixed values.
 _FORUM = {"/viewforum.php": (("f",), 25), "/viewtopic.php": (("t", "p"), 20)}
 
+#: A forum URL that ends with a session id: fixed value.
+_WITH_SESSION = r"(https?://[^/]+/[^/]+\.php(?=\?).*)[?&]sid=[0-9a-f]{32}"
+
 
 def _phpbb(url: str) -> str:
     split = urlsplit(url)
@@ -197,7 +201,7 @@ def _phpbb(url: str) -> str:
             wanted = [("mode", mode), (key, v)]
     if wanted:
         return urlunsplit(split._replace(query=urlencode(wanted)))
-    session = re.fullmatch(r"(https?://[^/]+/[^/]+\.php(?=\?).*)[?&]sid=[0-9a-f]{32}", url)
+    session = re.fullmatch(_WITH_SESSION, url)
     return session[1] if session else url
 
 
@@ -212,29 +216,35 @@ def phpbb(url: Column) -> Column:
 
 #: The session id that stands for all of them: fixed value.
 _SESSION = "1xh68gok0s4"
+#: Where an event holds what differs from visit to visit, and what stands there instead, given the text and the event's own host.
+_PINS: dict[tuple[str, ...], Callable[[str, str], str]] = {
+    ("properties", "browserSessionId"): lambda text, site: _SESSION,
+    ("context", "page", "referrer"): lambda text, site: "",
+    ("context", "page", "url"): lambda text, site: re.sub(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?", lambda _: site, text, count=1),
+}
+
+
+def _pinned(tree: object, site: str, at: tuple[str, ...] = ()) -> object:
+    """A JSON tree with the pins' texts replaced."""
+    if isinstance(tree, dict):
+        return {k: _pinned(v, site, (*at, k)) for k, v in tree.items()}
+    return _PINS[at](tree, site) if at in _PINS and isinstance(tree, str) else tree
 
 
 def _substack(url: str) -> str:
-    split = urlsplit(url)
-    params = parse_qs(split.query)
-    t, d = single_param(params, "_", int), single_param(params, "d")
-    if split.scheme not in ("http", "https") or split.path != "/api/v1/firehose" or t is None or d is None:
+    found = re.fullmatch(r"(https?://[^/?#]*)/api/v1/firehose\?([^#]*)(#.*)?", url)
+    sent = parse_qs(found[2]) if found else {}
+    stamp, packed = single_param(sent, "_", int), single_param(sent, "d")
+    if stamp is None or packed is None:
         return url
     try:
-        event = json.loads(urlsafe_b64decode(d))
-        if not isinstance(event, dict):
-            return url
-        properties, page = event.get("properties", {}), event.get("context", {}).get("page", {})
-        if isinstance(properties.get("browserSessionId"), str):
-            properties["browserSessionId"] = _SESSION
-        if isinstance(page.get("referrer"), str):
-            page["referrer"] = ""
-        if isinstance(page.get("url"), str):
-            page["url"] = urlunsplit(urlsplit(page["url"])._replace(scheme=split.scheme, netloc=split.netloc))
-    except (ValueError, AttributeError, TypeError):
+        event = json.loads(urlsafe_b64decode(packed))
+    except ValueError:
+        return url
+    if not isinstance(event, dict):
         return url
-    packed = urlsafe_b64encode(json.dumps(event).encode()).decode()
-    return urlunsplit(split._replace(query=urlencode({"_": t, "d": packed})))
+    coded = urlsafe_b64encode(json.dumps(_pinned(event, found[1])).encode()).decode()
+    return f"{found[1]}/api/v1/firehose?{urlencode([('_', stamp), ('d', coded)])}{found[3] or ''}"
 
 
 _substack_udf = _lift(_substack)
@@ -270,13 +280,13 @@ def register_site_rule(rule: Callable[[str], str]) -> None:
 # External URLs, aliases
 
 
-def format_external(url: Column) -> Column:
-    return F.concat(F.lit(EXTERNAL_PREFIX), url)
+def format_external(url: Column, prefix: str = EXTERNAL_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), url)
 
 
-def parse_external(url: Column) -> Column:
+def parse_external(url: Column, prefix: str = EXTERNAL_PREFIX) -> Column:
     """The live URL behind an external one; null for others."""
-    return F.when(url.startswith(EXTERNAL_PREFIX), F.substr(url, F.lit(len(EXTERNAL_PREFIX) + 1)))
+    return F.when(url.startswith(prefix), F.substr(url, F.lit(len(prefix) + 1)))
 
 
 def apply_aliases(url: Column, aliases: list[tuple[str, str, bool]]) -> Column:

@@ -1,35 +1,24 @@
 """Crawl over stored captures: from pages to links to pages, round by round.
 
-The frontier and the visited set are tables.  A round joins the frontier with
-the captures' resolved links once (hash join on the URL), aggregates the new
-URLs and removes the visited ones by an anti-join; every round is cut by a
-checkpoint in the cluster's checkpoint folder.
+The frontier and the visited set are one table, partitioned by depth, in the
+folder that the cluster shares.  A round joins the last depth with the
+captures' resolved links (hash join on the URL), aggregates the new URLs,
+removes the visited ones by an anti-join, and appends what is left: no round
+writes what an earlier one has written.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder, written
 from .groups import Group, fitting
 
 #: Longest chain of resources that embed one another, the first included.
 MAX_EMBEDDING = 3
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` that survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataweb-"))
-    return df.checkpoint()
-
-
 def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, groups: list[Group] | None = None, embedded_only: bool = False) -> DataFrame:
     """Every URL that the seeds reach: url and depth (least number of links).
 
@@ -41,17 +30,24 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, g
     banned = [g for g in groups or [] if g.do_not_download]
     if banned:
         steps = steps.where(F.size(fitting(F.col("target_url"), banned)) == 0)
-    steps = durable(steps)
-    visited = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    fresh, depth = visited, 0
+    steps = written(steps, "crawl-links")
+    spark, folder = seeds.sparkSession, new_folder(seeds.sparkSession, "crawl")
+
+    def reached(depth: int | None = None) -> DataFrame:
+        """The visited URLs, or those of one depth."""
+        if depth is not None:
+            return spark.read.schema("url string").parquet(f"{folder}/depth={depth}")
+        return spark.read.schema("url string, depth int").option("basePath", folder).parquet(folder)
+
+    seeds.select("url").distinct().write.parquet(f"{folder}/depth=0")
+    depth = 0
     while max_depth is None or depth < max_depth:
+        found = reached(depth).join(steps, "url").select(F.col("target_url").alias("url")).distinct()
+        found.join(reached().select("url"), "url", "left_anti").write.parquet(f"{folder}/depth={depth + 1}")
         depth += 1
-        reached = fresh.select("url").join(steps, "url").select(F.col("target_url").alias("url")).distinct()
-        fresh = durable(reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
+        if reached(depth).isEmpty():
             break
-        visited = durable(visited.union(fresh))
-    return visited
+    return reached().select("url", "depth")
 
 
 def embedding_chains(seeds: DataFrame, links: DataFrame, most: int = MAX_EMBEDDING) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Patterns are few against URLs.  A list of patterns known to the driver becomes
 one projection: an array of the fitting patterns, each tested by prefix and
-regular expression, with no join at all.  Patterns in a table are joined by
-prefix and expression; the table is broadcast only after its rows are counted.
+regular expression, with no join at all.  Patterns in a table are joined on
+their literal prefixes, and the expression decides.
 """
 
 from __future__ import annotations
@@ -14,11 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-
-#: Pattern tables of more rows are joined on their prefix's first characters instead of being broadcast.
-MAX_BROADCAST_GROUPS = 10_000
-#: Characters of a literal prefix that serve as join key beyond that.
-KEY_CHARS = 12
+from ..sources.scratch import join_prefixes, written
 
 
 @dataclass(frozen=True)
@@ -75,22 +71,10 @@ def membership(resources: DataFrame, groups: list[Group]) -> DataFrame:
 
 
 def membership_by_table(resources: DataFrame, groups: DataFrame) -> DataFrame:
-    """As :func:`membership` for a table of groups (group_id, prefix, regex) of any size.
-
-    Up to ``MAX_BROADCAST_GROUPS`` rows are broadcast.  Beyond that, prefixes
-    of at least ``KEY_CHARS`` characters are joined on their first ones, and
-    only the remaining groups are broadcast, again if they are few.
-    """
-    fits = F.col("url").startswith(F.col("prefix")) & F.expr("url rlike regex")
-    columns = [*resources.columns, "group_id"]
-    groups = groups.select("group_id", "prefix", "regex")
-    if groups.count() <= MAX_BROADCAST_GROUPS:
-        return resources.join(F.broadcast(groups), fits).select(columns)
-    keyed = groups.withColumn("_key", F.substr("prefix", F.lit(1), F.lit(KEY_CHARS)))
-    long, short = keyed.where(F.length("prefix") >= KEY_CHARS), groups.where(F.length("prefix") < KEY_CHARS)
-    met = resources.withColumn("_key", F.substr("url", F.lit(1), F.lit(KEY_CHARS))).join(long, "_key").where(fits).select(columns)
-    short = F.broadcast(short) if short.count() <= MAX_BROADCAST_GROUPS else short
-    return met.union(resources.join(short, fits).select(columns))
+    """As :func:`membership` for a table of groups (group_id, prefix, regex) of any size: an equi-join on the prefixes, then the expressions."""
+    groups = groups.select("group_id", F.coalesce("prefix", F.lit("")).alias("_prefix"), "regex")
+    met = join_prefixes(resources, F.col("url"), groups, "_prefix")
+    return met.where(F.expr("url rlike regex")).select(*resources.columns, "group_id")
 
 
 def without_do_not_download(resources: DataFrame, groups: list[Group]) -> DataFrame:
@@ -140,16 +124,22 @@ def sources(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("group_id", "source_type", "source_id", name.alias("source_name"), (F.col("source_type").isNull() | name.isNotNull()).alias("source_ok"))
 
 
-def source_closure(groups: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Every group with every group it comes from, directly or through others, and the distance; cycles end."""
-    groups.select("group_id", "source_type", "source_id").createOrReplaceTempView("_group_sources")
-    return groups.sparkSession.sql(f"""
-        WITH RECURSIVE up(group_id, ancestor_id, depth) AS (
-            SELECT group_id, source_id, 1 FROM _group_sources WHERE source_type = 'resource_group'
-            UNION ALL
-            SELECT up.group_id, g.source_id, up.depth + 1 FROM up JOIN _group_sources g ON g.group_id = up.ancestor_id
-            WHERE g.source_type = 'resource_group' AND up.depth < {max_depth} AND g.source_id <> up.group_id)
-        SELECT group_id, ancestor_id, min(depth) AS depth FROM up GROUP BY group_id, ancestor_id""")
+def source_closure(groups: DataFrame) -> DataFrame:
+    """Every group with every group it comes from, directly or through others, and the distance.
+
+    Round by round until a round finds nothing new, so chains of any length
+    are followed and cycles end.  A group is no ancestor of itself.
+    """
+    steps = groups.where("source_type = 'resource_group' and group_id <> source_id").select("group_id", F.col("source_id").alias("ancestor_id"))
+    found = written(steps.distinct().withColumn("depth", F.lit(1)), "group-sources")
+    fresh, depth = found, 1
+    while not fresh.isEmpty():
+        depth += 1
+        up = steps.select(F.col("group_id").alias("_at"), F.col("ancestor_id").alias("_next"))
+        met = fresh.join(up, F.col("ancestor_id") == F.col("_at")).where("group_id <> _next").select("group_id", F.col("_next").alias("ancestor_id")).distinct()
+        fresh = written(met.join(found, ["group_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)), "group-sources")
+        found = found.union(fresh)
+    return found
 
 
 def link_clusters(links: DataFrame, roots: DataFrame, groups: list[Group], default_domain: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ dimensions is a fold inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -16,25 +16,32 @@ from .groups import Group, membership, source_of
 MIN_MEMBERS = 3
 
 
-def regular_patterns(requests: DataFrame, linked: DataFrame, min_members: int = MIN_MEMBERS) -> DataFrame:
+def _shape(dims: Column) -> list[Column]:
+    """What URLs of one kind have in common: the dimensions' types, the host, and whether they end with an empty value."""
+    types = F.transform(dims, lambda d: d["type"])
+    return [types.alias("types"), F.get(dims, F.lit(0))["value"].alias("host"), (F.element_at(dims, -1)["value"] == "").alias("open_end")]
+
+
+def regular_patterns(requests: DataFrame, linked: DataFrame, by: list[str], min_members: int = MIN_MEMBERS) -> DataFrame:
     """The narrowest pattern of at least ``min_members`` linked URLs that each current URL belongs to.
 
-    ``requests`` has request_id and url, ``linked`` request_id and url (what
-    the source's pages link to).  Adds url_pattern, null where there is none.
-    From left to right a dimension keeps its value, if enough candidates share
-    it; else becomes ``#``, if it and enough others are numbers; else ``*``.
+    ``requests`` has request_id, url and the columns ``by`` that name its
+    source, ``linked`` those and url (what the source's pages link to).  Adds
+    url_pattern, null where there is none.  From left to right a dimension
+    keeps its value, if enough candidates share it; else becomes ``#``, if it
+    and enough others are numbers; else ``*``.
+
+    Candidates are gathered once for a source and kind of URL, not for each
+    request; they are the distinct links of a few pages.
     """
-    current = requests.select("request_id", "url", urls.dimensions(F.col("url")).alias("dims"))
-    pool = linked.select("request_id", "url").union(requests.select("request_id", "url")).distinct()
-    pool = pool.select("request_id", urls.dimensions(F.col("url")).alias("other"))
-    met = current.join(pool, "request_id").where(
-        urls.same_structure(F.col("other"), F.col("dims"))
-        & (F.get("other", F.lit(0))["value"] == F.get("dims", F.lit(0))["value"])
-        & ((F.element_at("other", -1)["value"] == "") == (F.element_at("dims", -1)["value"] == ""))
-    )
-    # Candidates of one request as an array of value arrays: bounded by the links of a few pages.
-    values = F.transform("other", lambda d: d["value"])
-    grouped = met.groupBy("request_id", "url").agg(F.first("dims").alias("dims"), F.collect_list(values).alias("left"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_members)
+    values = F.transform("dims", lambda d: d["value"])
+    shape = ["types", "host", "open_end"]
+    pool = linked.select(*by, urls.dimensions(F.col("url")).alias("dims")).select(*by, *_shape(F.col("dims")), values.alias("values"))
+    pool = pool.groupBy(*by, *shape).agg(F.collect_set("values").alias("known"))
+    current = requests.select("request_id", *by, urls.dimensions(F.col("url")).alias("dims"))
+    met = current.select("request_id", *by, "dims", *_shape(F.col("dims"))).join(pool, [*by, *shape], "left")
+    known = F.coalesce("known", F.array().cast("array<array<string>>"))
+    met = met.withColumn("left", F.array_union(known, F.array(values))).where(F.size("left") >= min_members)
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.col("left").alias("left"))
 
     def step(acc: Column, i: Column) -> Column:
@@ -48,8 +55,7 @@ def regular_patterns(requests: DataFrame, linked: DataFrame, min_members: int =
 
     folded = F.aggregate(F.sequence(F.lit(0), F.size("dims") - 1), start, step)["parts"]
     pattern = F.array_join(F.zip_with("dims", folded, lambda d, p: F.concat(d["type"], p)), "")
-    found = grouped.select("request_id", pattern.alias("url_pattern"))
-    return requests.join(found, "request_id", "left")
+    return requests.join(met.select("request_id", pattern.alias("url_pattern")), "request_id", "left")
 
 
 def detect_regular(requests: DataFrame, roots: DataFrame, groups: list[Group], resources: DataFrame, links: DataFrame) -> DataFrame:
@@ -58,25 +64,21 @@ def detect_regular(requests: DataFrame, roots: DataFrame, groups: list[Group], r
     The source is what the referrer belongs to; its pages are the root's own
     or the group's first three members.  Requests without a source have null.
     """
+    by = ["source_type", "source_id"]
     referrers = requests.where(F.col("referrer_url").isNotNull()).select(F.col("referrer_url").alias("url")).distinct()
     sourced = requests.join(source_of(referrers, roots, groups).withColumnRenamed("url", "referrer_url"), "referrer_url", "left")
     root_pages = roots.select(F.lit("root_resource").alias("source_type"), F.col("root_id").alias("source_id"), F.col("url").alias("page"))
-    first = narrow_members(resources, groups)
-    pages = root_pages.union(first.select(F.lit("resource_group"), F.col("group_id"), F.col("url")))
-    linked = sourced.select("request_id", "source_type", "source_id").join(pages, ["source_type", "source_id"]).join(links.select(F.col("url").alias("page"), "target_url"), "page")
+    pages = root_pages.union(narrow_members(resources, groups).select(F.lit("resource_group"), F.col("group_id"), F.col("url")))
+    linked = pages.join(links.select(F.col("url").alias("page"), "target_url"), "page").select(*by, F.col("target_url").alias("url"))
     known = sourced.where(F.col("source_id").isNotNull())
-    patterns = regular_patterns(known.select("request_id", "url"), linked.select("request_id", F.col("target_url").alias("url")))
-    return sourced.join(patterns.select("request_id", "url_pattern"), "request_id", "left").select("request_id", "url", "referrer_url", "source_type", "source_id", "url_pattern")
+    patterns = regular_patterns(known.select("request_id", "url", *by), linked, by)
+    return sourced.join(patterns.select("request_id", "url_pattern"), "request_id", "left").select("request_id", "url", "referrer_url", *by, "url_pattern")
 
 
 def narrow_members(resources: DataFrame, groups: list[Group], n: int = MIN_MEMBERS) -> DataFrame:
-    """The ``n`` members of least id of every group: group_id, id, url."""
-    met = membership(resources, groups)
-    out = None
-    for g in groups:
-        rows = met.where(F.col("group_id") == g.id).orderBy("id").limit(n).select("group_id", "id", "url")
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else met.select("group_id", "id", "url").limit(0)
+    """The ``n`` members of least id of every group: group_id, id, url.  Each task keeps ``n`` a group before the shuffle."""
+    first = Window.partitionBy("group_id").orderBy("id")
+    return membership(resources, groups).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).select("group_id", "id", "url")
 
 
 def detect_sequential(requests: DataFrame, roots: DataFrame, groups: list[Group], captures: DataFrame, links: DataFrame) -> DataFrame:

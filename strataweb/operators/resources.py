@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.scratch import join_prefixes
 
 
 def scan(resources: DataFrame) -> DataFrame:
@@ -47,8 +48,7 @@ def existing_alternative(pages: DataFrame, resources: DataFrame) -> DataFrame:
 
 def first_alias(pages: DataFrame, aliases: DataFrame) -> DataFrame:
     """The first alias (by id) whose source prefix fits, from a table of aliases: adds alias_id and aliased_url."""
-    fits = F.col("url").startswith(F.col("source_url_prefix"))
-    met = pages.select("url").distinct().join(F.broadcast(aliases) if aliases.count() <= 10_000 else aliases, fits)
+    met = join_prefixes(pages.select("url").distinct(), F.col("url"), aliases, "source_url_prefix")
     best = met.groupBy("url").agg(F.min_by(F.struct("alias_id", "source_url_prefix", "target_url_prefix", "target_is_external"), "alias_id").alias("a"))
     moved = F.concat(F.col("a.target_url_prefix"), F.substr("url", F.length("a.source_url_prefix") + 1))
     moved = F.when(F.col("a.target_is_external"), urls.format_external(moved)).otherwise(moved)
@@ -105,16 +105,25 @@ def without(table: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 
 
 def sample_ids(table: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """``k`` ids drawn with replacement: uniform draws between the least and greatest id, kept if a row has them.
+    """``k`` ids drawn with replacement: even draws between the least and greatest id, kept if a row has them.
 
-    Draws are generated in surplus of the id range's density, joined to the ids and cut to ``k``.
+    Draw number ``t`` is the leading 60 bits of the MD5 of "seed:t" modulo the
+    range of ids, so the sample depends on nothing but the ids, ``k`` and the
+    seed.  Draws are made in surplus of the range's density, and doubled until
+    ``k`` of them have hit.
     """
     bounds = table.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if not bounds["n"]:
         return table.select("id").limit(0)
-    draws = int(2 * k * (bounds["hi"] - bounds["lo"] + 1) / bounds["n"]) + 16
-    drawn = table.sparkSession.range(draws).select(F.col("id").alias("turn"), (F.floor(F.rand(seed) * (bounds["hi"] - bounds["lo"] + 1)) + bounds["lo"]).cast("long").alias("id"))
-    return drawn.join(table.select("id"), "id").orderBy("turn").limit(k).select("id")
+    span = bounds["hi"] - bounds["lo"] + 1
+    draws, ids = int(2 * k * span / bounds["n"]) + 16, table.select("id").distinct()
+    while True:
+        bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+        drawn = table.sparkSession.range(draws).select(F.col("id").alias("turn"), (bits % span + bounds["lo"]).alias("id"))
+        hits = drawn.join(ids, "id")
+        if hits.count() >= k:
+            return hits.orderBy("turn").limit(k).select("id")
+        draws *= 2
 
 
 def progress(done: Column, total: Column) -> Column:
@@ -130,3 +139,35 @@ def format_interval(seconds: Column) -> Column:
     short = F.format_string("%02d:%02d", minutes, secs)
     long = F.format_string("%d:%02d:%02d", hours, minutes, secs)
     return F.when(days > 0, F.concat(F.format_string("%dd + ", days), long)).when(hours > 0, long).otherwise(short)
+
+
+def format_size(n_bytes: Column) -> Column:
+    """``512 bytes``, ``1.5 KB``, ... by powers of 1024, with two significant decimals at most."""
+    size = n_bytes.cast("double")
+    shown = F.concat(n_bytes.cast("long").cast("string"), F.when(n_bytes == 1, " byte").otherwise(" bytes"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
+        scaled = F.regexp_replace(F.format_string("%.2f", size / 1024**k), r"\.?0+$", "")
+        shown = F.when(size >= 1024**k, F.concat(scaled, F.lit(f" {unit}"))).otherwise(shown)
+    return shown
+
+
+def rates(progress: DataFrame, half_life: float = 60.0) -> DataFrame:
+    """Rate and time left of tasks from their samples (task_id, seconds, done, total): adds rate and eta_seconds.
+
+    The rate is the average of what was done less what the total grew by, each
+    interval weighted by its length and by half for every ``half_life`` seconds
+    of age; one window over each task's samples.  Null before the second sample,
+    and eta_seconds null where nothing is gained.
+    """
+    by_time = Window.partitionBy("task_id").orderBy("seconds")
+    step = F.col("seconds") - F.lag("seconds").over(by_time)
+    gain = F.col("done") - F.lag("done").over(by_time) - (F.col("total") - F.lag("total").over(by_time))
+    rows = progress.withColumn("_step", step).withColumn("_gain", gain)
+    since = F.col("seconds") - F.min("seconds").over(Window.partitionBy("task_id"))
+    # Weights of 2 ** (time / half life), scaled by the task's own start; sums run along the task.
+    rows = rows.withColumn("_weight", F.pow(F.lit(2.0), since / half_life))
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gained, passed = F.sum(F.col("_gain") * F.col("_weight")).over(so_far), F.sum(F.col("_step") * F.col("_weight")).over(so_far)
+    rate = F.when(passed > 0, gained / passed)
+    eta = F.when(rate > 0, (F.col("total") - F.col("done")) / rate)
+    return rows.select(*progress.columns, rate.alias("rate"), eta.alias("eta_seconds"))

@@ -11,12 +11,12 @@ from ..functions import http
 def newest(revisions: DataFrame, where: Column | None = None) -> DataFrame:
     """The revision of the greatest id of each resource, among those for which ``where`` holds.
 
-    One aggregation with partial maxima; no sort, no window.
+    A hash aggregation of ids with partial maxima, whose result picks the rows;
+    headers and bodies are shuffled only if that result is too large to broadcast.
     """
     rows = revisions if where is None else revisions.where(where)
-    row = F.struct(*(F.col(c) for c in rows.columns))
-    latest = rows.groupBy(F.col("resource_id").alias("_of")).agg(F.max_by(row, "id").alias("r"))
-    return latest.select("r.*")
+    latest = rows.groupBy("resource_id").agg(F.max("id").alias("id")).select("id")
+    return rows.join(latest, "id", "left_semi").select(rows.columns)
 
 
 def of_resource(revisions: DataFrame, resource_id: int, newest_first: bool = False) -> DataFrame:

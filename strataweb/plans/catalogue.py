@@ -6,7 +6,6 @@ entry in ``ORACLE`` and its tests compare it with known answers.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
 from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
-from ..sources import bodies
+from ..sources import bodies, scratch
 from ..streaming import membership as streaming
 from . import model
 
@@ -204,7 +203,7 @@ simple("orphan_audit", f"WITH {REV}, b AS (SELECT id + 5 AS id FROM rev WHERE id
 simple("dangling_roots", "SELECT CAST(3 AS BIGINT) AS root_id, 'Lost' AS name, CAST(999999999 AS BIGINT) AS resource_id", lambda s, d: resources.dangling(model.roots(s), model.resources(s, d)))
 simple("roots_with_url", f"WITH {R} SELECT root_id, url FROM r JOIN (VALUES (1, 2), (2, 10)) AS t(root_id, resource_id) ON id = resource_id", lambda s, d: resources.with_url(model.roots(s), model.resources(s, d)).select(F.col("root_id").cast("int").alias("root_id"), "url"))
 simple("deletable_resources", f"WITH {R} SELECT id, url FROM r WHERE id NOT IN (2, 10)", lambda s, d: resources.deletable(model.resources(s, d), model.roots(s)))
-simple("property_default", "SELECT 'fallback' AS value", lambda s, d: resources.property_value(s.createDataFrame([("cookie", "")], "name string, value string"), "cookie", "fallback"))
+simple("property_default", "SELECT CASE WHEN count(*) = 0 THEN 'fallback' ELSE min(url) END AS value FROM pages WHERE page_id = 3 AND page_id % 2 = 0", lambda s, d: resources.property_value(model.resources(s, d).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 2 == 0, F.col("url")).otherwise("").alias("value")), "p3", "fallback"))
 
 
 # URLs
@@ -232,20 +231,67 @@ simple("normalize_url", f"WITH {R} SELECT id, regexp_replace(url, '#.*$', '') AS
 simple("url_alternatives", f"WITH {R} SELECT id, CAST(unnest([0, 1]) AS INT) AS pos, unnest([url, regexp_replace(url, '#.*$', '')]) AS alternative FROM r WHERE contains(url, '#') UNION ALL SELECT id, 0, url FROM r WHERE NOT contains(url, '#')", lambda s, d: urls.with_alternatives(model.resources(s, d)).select("id", F.posexplode("alternatives").alias("pos", "alternative")))
 
 
-def _fixture(values: list[str], f) -> Query:
-    return lambda s, d: s.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, url string").select("k", f(F.col("url")).alias("out"))
+_SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 
 
-FORUM_URLS = ["http://f.net/viewforum.php?f=3&start=30&sid=0", "http://f.net/viewtopic.php?p=9&t=4&start=19", "http://f.net/memberlist.php?mode=viewprofile&u=2&x=1", "http://f.net/memberlist.php?mode=group&g=5", "http://f.net/index.php?a=b&sid=0123456789abcdef0123456789abcdef", "http://f.net/viewforum.php?f=a"]
-simple("phpbb_normalize", "SELECT * FROM (VALUES (0, 'http://f.net/viewforum.php?f=3&start=25'), (1, 'http://f.net/viewtopic.php?t=4'), (2, 'http://f.net/memberlist.php?mode=viewprofile&u=2'), (3, 'http://f.net/memberlist.php?mode=group&g=5'), (4, 'http://f.net/index.php?a=b'), (5, 'http://f.net/viewforum.php?f=a')) AS t(k, out)", _fixture(FORUM_URLS, urls.phpbb))
-BLOG_URLS = ["https://b.org/post?replytocom=12", "https://b.org/post?replytocom=12/", "https://b.org/?post_type=ngg%2F%2F", "https://b.org/?p=1"]
-simple("wordpress_normalize", "SELECT * FROM (VALUES (0, 'https://b.org/post'), (1, 'https://b.org/post'), (2, 'https://b.org/?post_type=ngg//'), (3, 'https://b.org/?p=1')) AS t(k, out)", _fixture(BLOG_URLS, urls.wordpress))
-BAKER_URLS = ["https://minimalistbaker.com/a?tp_image_id=3", "https://minimalistbaker.com/a?omhide=true", "https://other.com/a?omhide=true"]
-simple("minbaker_normalize", "SELECT * FROM (VALUES (0, 'https://minimalistbaker.com/a'), (1, 'https://minimalistbaker.com/a'), (2, 'https://other.com/a?omhide=true')) AS t(k, out)", _fixture(BAKER_URLS, urls.minimalist_baker))
-SUBSTACK_URLS = ["https://n.com/api/v1/firehose?_=5&d=eyJwcm9wZXJ0aWVzIjp7ImJyb3dzZXJTZXNzaW9uSWQiOiJ6In0sImNvbnRleHQiOnsicGFnZSI6eyJyZWZlcnJlciI6InEiLCJ1cmwiOiJodHRwOi8vby5jb20veCJ9fX0=", "https://n.com/api/v1/firehose?_=5&d=%%%"]
-query(name="substack_normalize")(_fixture(SUBSTACK_URLS, urls.substack))
-TYPED = ["xkcd.com", "www.xkcd.com/about", "https://xkcd.com", " http://xkcd.com/1/#x ", "ftp://h/x", ""]
-simple("user_input_candidates", "SELECT * FROM (VALUES (0, 0, 'https://xkcd.com/'), (0, 1, 'https://www.xkcd.com/'), (0, 2, 'http://xkcd.com/'), (0, 3, 'http://www.xkcd.com/'), (1, 0, 'https://www.xkcd.com/about'), (1, 1, 'https://xkcd.com/about'), (1, 2, 'http://www.xkcd.com/about'), (1, 3, 'http://xkcd.com/about'), (2, 0, 'https://xkcd.com/'), (3, 0, 'http://xkcd.com/1/'), (4, 0, 'ftp://h/x'), (5, 0, '')) AS t(k, pos, candidate)", lambda s, d: s.createDataFrame([(k, v) for k, v in enumerate(TYPED)], "k int, typed string").select("k", F.posexplode(urls.candidates(F.col("typed"))).alias("pos", "candidate")))
+def _made(expression: str, f) -> Query:
+    """A URL function over URLs that an SQL expression makes from every page's id and URL."""
+    return lambda s, d: model.resources(s, d).select("id", f(F.expr(expression)).alias("out"))
+
+
+def _by_id(cases: list[str]) -> str:
+    return f"CASE id % {len(cases)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END"
+
+
+_START = "(id * 7 % 200)"
+_SID = "substr(md5(CAST(id AS STRING)), 1, 32)"
+FORUM = [
+    f"{_SITE} || '/viewforum.php?f=' || id || '&start=' || {_START} || '&sid=0'",
+    f"{_SITE} || '/viewtopic.php?p=9&t=' || id || '&start=' || {_START}",
+    f"{_SITE} || '/memberlist.php?mode=viewprofile&u=' || id || '&x=1'",
+    f"{_SITE} || '/memberlist.php?g=' || id || '&mode=group'",
+    f"{_SITE} || '/f/index.php?a=b&sid=' || {_SID}",
+    f"{_SITE} || '/viewforum.php?f=a'",
+]
+
+
+def _paged(size: int) -> str:
+    return f"CASE WHEN {_START} >= {size} THEN '&start=' || ({_START} // {size} * {size}) ELSE '' END"
+
+
+FORUM_OUT = [
+    f"{_SITE} || '/viewforum.php?f=' || id || {_paged(25)}",
+    f"{_SITE} || '/viewtopic.php?t=' || id || {_paged(20)}",
+    f"{_SITE} || '/memberlist.php?mode=viewprofile&u=' || id",
+    f"{_SITE} || '/memberlist.php?mode=group&g=' || id",
+    f"{_SITE} || '/f/index.php?a=b&sid=' || md5(id::VARCHAR)",
+    FORUM[5],
+]
+simple("phpbb_normalize", f"WITH {R} SELECT id, {_by_id(FORUM_OUT)} AS out FROM r", _made(_by_id(FORUM), urls.phpbb))
+BLOG = [f"{_SITE} || '/post?replytocom=' || id", f"{_SITE} || '/post?replytocom=' || id || '/'", f"{_SITE} || '/?post_type=ngg%2F%2F'", f"{_SITE} || '/?p=' || id"]
+BLOG_OUT = [f"{_SITE} || '/post'", f"{_SITE} || '/post'", f"{_SITE} || '/?post_type=ngg//'", BLOG[3]]
+simple("wordpress_normalize", f"WITH {R} SELECT id, {_by_id(BLOG_OUT)} AS out FROM r", _made(_by_id(BLOG), urls.wordpress))
+BAKER = ["'https://minimalistbaker.com/a' || id || '?tp_image_id=' || id", "'https://minimalistbaker.com/a' || id || '?omhide=true'", f"{_SITE} || '/a?omhide=true'"]
+BAKER_OUT = ["'https://minimalistbaker.com/a' || id", "'https://minimalistbaker.com/a' || id", BAKER[2]]
+simple("minbaker_normalize", f"WITH {R} SELECT id, {_by_id(BAKER_OUT)} AS out FROM r", _made(_by_id(BAKER), urls.minimalist_baker))
+_EVENT = """concat('{"properties":{"browserSessionId":"s', id, '"},"context":{"page":{"referrer":"', url, '","url":"http://o.test/x', id, '"}}}')"""
+_EVENT_OUT = f"""'{{"properties": {{"browserSessionId": "1xh68gok0s4"}}, "context": {{"page": {{"referrer": "", "url": "' || {_SITE} || '/x' || id || '"}}}}}}'"""
+simple(
+    "substack_normalize",
+    f"""WITH {R} SELECT id, CASE WHEN id % 3 = 2 THEN {_SITE} || '/api/v1/firehose?_=a&d=' || id ELSE {_SITE} || '/api/v1/firehose?_=' || id || '&d=' ||
+    replace(replace(replace(base64(encode({_EVENT_OUT})), '+', '-'), '/', '_'), '=', '%3D') END AS out FROM r""",
+    _made(f"CASE WHEN id % 3 = 2 THEN {_SITE} || '/api/v1/firehose?_=a&d=' || id ELSE concat({_SITE}, '/api/v1/firehose?_=', id, '&d=', translate(base64(CAST({_EVENT} AS BINARY)), '+/', '-_')) END", urls.substack),
+)
+_HOSTS = "h AS (SELECT id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM r)"
+_TWIN = "CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE 'www.' || host END"
+simple(
+    "user_input_candidates",
+    f"""WITH {R}, {_HOSTS}, c AS (SELECT id, CASE id % 4 WHEN 0 THEN ['https://' || host || '/', 'https://' || {_TWIN} || '/', 'http://' || host || '/', 'http://' || {_TWIN} || '/']
+    WHEN 1 THEN ['https://www.' || host || '/about', 'https://' || host || '/about', 'http://www.' || host || '/about', 'http://' || host || '/about']
+    WHEN 2 THEN [scheme || '://' || host || '/'] ELSE ['http://' || host || '/1/'] END AS made FROM h)
+    SELECT id, CAST(pos - 1 AS INT) AS pos, made[pos] AS candidate FROM c, unnest(range(1, len(made) + 1)) AS u(pos)""",
+    lambda s, d: model.resources(s, d).withColumn("host", F.lower(urls.netloc(F.col("url")))).select("id", F.posexplode(urls.candidates(F.expr("CASE id % 4 WHEN 0 THEN host WHEN 1 THEN 'www.' || host || '/about' WHEN 2 THEN split(url, '://')[0] || '://' || host ELSE ' http://' || host || '/1/#x ' END"))).alias("pos", "candidate")),
+)
 _AL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}', {str(c).lower()})" for k, (a, b, c) in enumerate(model.ALIASES)) + ") AS t(alias_id, src, dst, ext))"
 simple(
     "alias_first_match",
@@ -283,7 +329,6 @@ def _links(s, d) -> DataFrame:
 simple("links_html", f"WITH {LINKS} SELECT page_id AS id, CAST(pos AS INT) AS pos, relative_url, type_title, title, false AS embedded, target_url FROM tl", lambda s, d: _links(s, d).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url"))
 simple("links_per_page", f"WITH {LINKS} SELECT p.page_id AS id, count(pos) AS n_links FROM pages p LEFT JOIN lk USING (page_id) GROUP BY 1", lambda s, d: links.with_links(model.captures(s, d)).select("id", F.size("links").cast("long").alias("n_links")))
 simple("link_types", f"WITH {LINKS} SELECT type_title, count(*) AS n FROM lk GROUP BY 1", lambda s, d: _links(s, d).groupBy("type_title").agg(F.count(F.lit(1)).alias("n")))
-simple("embedded_links", f"WITH {LINKS} SELECT page_id AS id, CAST(pos AS INT) AS pos FROM lk WHERE false", lambda s, d: _links(s, d).where("embedded").select("id", "pos"))
 simple("link_targets_grouped", f"WITH {LINKS} SELECT url, target_url, CAST(min(pos) AS INT) AS first_pos, count(*) AS n_links, false AS any_embedded, string_agg('Link: ' || title, ', ' ORDER BY pos) AS titles FROM tl GROUP BY ALL", lambda s, d: links.by_target(_links(s, d)))
 simple("dedup_links", f"WITH {LINKS} SELECT page_id AS id, target_url, CAST(min(pos) AS INT) AS pos FROM tl GROUP BY ALL", lambda s, d: _links(s, d).groupBy("id", "target_url").agg(F.min("pos").alias("pos")))
 simple("new_urls_anti", f"WITH {R}, {LINKS} SELECT DISTINCT target_url AS url FROM tl WHERE target_url NOT IN (SELECT url FROM r)", lambda s, d: resources.new_urls(_links(s, d).select(F.col("target_url").alias("url")), model.resources(s, d)))
@@ -306,23 +351,82 @@ def _served(s, d):
     return again.select("id", F.explode(F.arrays_zip("old", "new")).alias("z")).select("id", F.col("z.old").alias("relative_url"), F.col("z.new").alias("served"))
 
 
-def _bodies(kind: str, texts: list[str], content_type: str) -> Query:
+def _bodies(body: str, content_type: str) -> Query:
+    """Links of bodies that an SQL expression makes from every page's id and URL."""
     def run(s, d):
-        rows = s.createDataFrame([(k, f"https://site.test/{k}", t) for k, t in enumerate(texts)], "id int, url string, body string")
-        metadata = F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), F.array(F.array(F.lit("Content-Type"), F.lit(content_type))).alias("headers"))
-        return links.explode_links(links.with_links(rows.withColumn("metadata", metadata)).select("id", "url", "links")).select("id", "pos", "relative_url", "type_title", "embedded")
+        rows = model.resources(s, d).select("id", F.concat(F.lit("https://site.test/"), F.col("id").cast("string")).alias("url"), F.expr(body).alias("body"))
+        headers = F.array(F.array(F.lit("Content-Type"), F.lit(content_type)))
+        metadata = F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), headers.alias("headers"))
+        return links.explode_links(links.with_links(rows.withColumn("metadata", metadata)).select("id", "url", "links")).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url")
 
     return run
 
 
-CSS_BODIES = ["body { background: url(background.png) }", 'body { background: url("background.png") }', '@import "page.js"; /* url(no.png) */']
-JSON_BODIES = ['{"https://a.test/k": "https://a.test/v", "x": ["https://a.test/i", 1, "no"]}', '"https://a.test/alone"', "{broken"]
-XML_BODIES = ["<rss><channel><link>https://a.test/rss</link></channel></rss>", '<feed xmlns="http://www.w3.org/2005/Atom"><link rel="alternate" href="https://a.test/atom"/></feed>', "<broken"]
-FRAME_BODIES = ['<html><frameset cols="1"><frame src="content.html" name="content"></frameset></html>']
-simple("links_css", "SELECT * FROM (VALUES (0, 0, 'background.png', 'CSS URL Reference', true), (1, 0, 'background.png', 'CSS URL Reference', true), (2, 0, 'page.js', 'CSS @import', true)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("css", CSS_BODIES, "text/css"))
-simple("links_json", "SELECT * FROM (VALUES (0, 0, 'https://a.test/k', 'JSON URL Reference', false), (0, 1, 'https://a.test/v', 'JSON URL Reference', false), (0, 2, 'https://a.test/i', 'JSON URL Reference', false)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("json", JSON_BODIES, "application/json"))
-simple("links_xml", "SELECT * FROM (VALUES (0, 0, 'https://a.test/rss', 'Link', false), (1, 0, 'https://a.test/atom', 'Link', false)) AS t(id, pos, relative_url, type_title, embedded)", _bodies("xml", XML_BODIES, "application/rss+xml"))
-simple("links_frameset", "SELECT 0 AS id, 0 AS pos, 'content.html' AS relative_url, 'Unknown' AS type_title, false AS embedded", _bodies("html", FRAME_BODIES, "text/html"))
+def _linked(*found: tuple[str, str, str, str, str], where: str = "true") -> str:
+    """SQL of a body's links: relative URL (an expression), type, title (an expression), embedded and a condition each."""
+    rows = " UNION ALL ".join(f"SELECT id, {k} AS k, {u} AS relative_url, '{t}' AS type_title, {title} AS title, {e} AS embedded FROM r WHERE {where} AND {only}" for k, (u, t, title, e, only) in enumerate(found))
+    resolved = "CASE WHEN regexp_matches(relative_url, '^[a-z]+://') THEN relative_url WHEN starts_with(relative_url, '//') THEN 'https:' || relative_url WHEN starts_with(relative_url, '/') THEN 'https://site.test' || relative_url ELSE 'https://site.test/' || relative_url END"
+    return f"WITH {R}, f AS ({rows}) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INT) AS pos, relative_url, type_title, title, embedded, {resolved} AS target_url FROM f"
+
+
+_NONE = "CAST(NULL AS VARCHAR)"
+simple(
+    "links_css",
+    _linked(("'i' || id || '.png'", "CSS URL Reference", _NONE, "true", "true"), ("'p' || id || '.css'", "CSS @import", _NONE, "true", "true"), ("'q' || id || '.gif'", "CSS URL Reference", _NONE, "true", "id % 2 = 0")),
+    _bodies("""concat('a { background: url(i', id, '.png) } @import "p', id, '.css"; /* url(no.png) */', CASE WHEN id % 2 = 0 THEN concat(' b{c:url( "q', id, '.gif" )}') ELSE '' END)""", "text/css"),
+)
+simple(
+    "links_json",
+    _linked(("url", "JSON URL Reference", _NONE, "false", "true"), ("'https://a.test/' || id", "JSON URL Reference", _NONE, "false", "true"), ("'https://b.test/' || id || '/'", "JSON URL Reference", _NONE, "false", "true"), where="id % 5 > 1"),
+    _bodies("""CASE id % 5 WHEN 0 THEN '{broken "https://a.test/"' WHEN 1 THEN '"https://a.test/alone"' ELSE concat('{"', url, '": ["https://a.test/', id, '", ', id, ', "no"], "k": {"x": "https:\\\\/\\\\/b.test\\\\/', id, '\\\\/"}}') END""", "application/json"),
+)
+simple(
+    "links_xml",
+    _linked(("'https://a.test/rss?i=' || id || '&x'", "Link", _NONE, "false", "id % 3 = 0"), ("'/atom/' || id", "Link", _NONE, "false", "id % 3 = 1")),
+    _bodies("""CASE id % 3 WHEN 0 THEN concat('<rss><channel><link> https://a.test/rss?i=', id, '&amp;x </link></channel></rss>') WHEN 1 THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><link rel="alternate" href="/atom/', id, '"/></feed>') ELSE '<broken' END""", "application/rss+xml"),
+)
+simple(
+    "links_frameset",
+    _linked(("'l' || id || '.html'", "Unknown", _NONE, "false", "true"), ("'m.shtm'", "Unknown", _NONE, "false", "true")),
+    _bodies("""concat('<html><frameset cols="1"><frame src="l', id, '.html" name="x"><frame src="m.shtm"><a href="n.png"></frameset></html>')""", "text/html"),
+)
+_RICH = """concat('<style>@import "s', id, '.css";</style><div style="background:url(d', id, '.png)" background="b.gif">', '<img src=i', id, '.png alt="Pic ', id, '" srcset="a', id, '.png 1x, /b.png 2x">',
+    '<link rel=stylesheet href="/l.css"><link rel="icon" href="/f', id, '.ico"><a href="n', id, '?x=1&amp;y=2" title="n', id, '?x=1&amp;y=2">Next <b>page</b></a><iframe src="//o.test/', id, '" name="fr"></iframe>',
+    '<b onclick="top.location.href = ''go', id, ''';">go', id, '</b><script integrity="x">u("https:\\\\/\\\\/j.test\\\\/', id, '.js", ''no'')</script><p data-u="https://e.test/', id, '">i', id, '.png</p>')"""
+_RICH_LINKS = [
+    ("'s' || id || '.css'", "CSS @import", _NONE, "true", "true"),
+    ("'d' || id || '.png'", "CSS URL Reference", _NONE, "true", "true"),
+    ("'b.gif'", "Background Image", _NONE, "true", "true"),
+    ("'i' || id || '.png'", "Image", "'Pic ' || id", "true", "true"),
+    ("'//o.test/' || id", "IFrame", "'fr'", "true", "true"),
+    ("'a' || id || '.png'", "Image", "'Pic ' || id", "true", "true"),
+    ("'/b.png'", "Image", "'Pic ' || id", "true", "true"),
+    ("'/l.css'", "Stylesheet", _NONE, "true", "true"),
+    ("'/f' || id || '.ico'", "Icon", _NONE, "true", "true"),
+    ("'n' || id || '?x=1&y=2'", "Link", "'Next '", "false", "true"),
+    ("'go' || id", "Clickable", _NONE, "false", "true"),
+    ("'https://j.test/' || id || '.js'", "Script Reference", _NONE, "true", "true"),
+    ("'https://e.test/' || id", "Attribute Reference", _NONE, "false", "true"),
+]
+simple("links_rich_html", _linked(*_RICH_LINKS), _bodies(_RICH, "text/html"))
+simple("embedded_links", f"SELECT id, pos, relative_url FROM ({_linked(*_RICH_LINKS)}) WHERE embedded", lambda s, d: _bodies(_RICH, "text/html")(s, d).where("embedded").select("id", "pos", "relative_url"))
+
+
+@query(
+    f"""WITH {R}, p AS (SELECT id, 'http://{HOST}/_/https/site.test/' AS a FROM r)
+    SELECT id, '<style>@import "' || a || 's' || id || '.css";</style><div style="background:url(' || a || 'd' || id || '.png)" background="' || a || 'b.gif">'
+    || '<img src="' || a || 'i' || id || '.png" alt="Pic ' || id || '" srcset="' || a || 'a' || id || '.png 1x, ' || a || 'b.png 2x">'
+    || '<link rel=stylesheet href="' || a || 'l.css"><link rel="icon" href="' || a || 'f' || id || '.ico"><a href="' || a || 'n' || id || '?x=1&amp;y=2" title="n' || id || '?x=1&amp;y=2">Next <b>page</b></a>'
+    || '<iframe src="http://{HOST}/_/https/o.test/' || id || '" name="fr"></iframe><b onclick="top.location.href = ''' || a || 'go' || id || ''';">go' || id || '</b>'
+    || '<script>u("http://{HOST}/_/https/j.test/' || id || '.js", ''no'')</script><p data-u="http://{HOST}/_/https/e.test/' || id || '">i' || id || '.png</p>' AS body FROM p"""
+)
+def rewrite_rich_html(s, d):
+    rows = model.resources(s, d).select("id", F.concat(F.lit("https://site.test/"), F.col("id").cast("string")).alias("url"), F.expr(_RICH).alias("body"))
+    metadata = F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), F.array(F.array(F.lit("Content-Type"), F.lit("text/html"))).alias("headers"))
+    done = rewrite.responses(links.with_links(rows.withColumn("metadata", metadata)), HOST)
+    return rows.select("id", "url").join(done.select("url", "body"), "url").select("id", "body")
+
+
 simple("favicon_implicit", f"WITH {R} SELECT id, true AS implied FROM r", lambda s, d: model.captures(s, d).withColumn("url", urls.root_slash(urls.domain_prefix(F.col("url")))).transform(links.with_links).select("id", (F.element_at("links", -1)["relative_url"] == "/favicon.ico").alias("implied")))
 
 
@@ -357,8 +461,32 @@ simple(
 )
 simple("pending_work", f"WITH {R}, {REV} SELECT url, max(id % 3) AS priority FROM r WHERE id NOT IN (SELECT resource_id FROM rev WHERE status_code = 200) GROUP BY 1", lambda s, d: crawl.pending(model.resources(s, d).withColumn("priority", F.col("id") % 3), model.revisions(s, d).where("status_code = 200").join(model.resources(s, d).withColumnRenamed("id", "resource_id"), "resource_id").select("url")))
 simple("resume_members", f"WITH {R} SELECT id, url FROM r WHERE {_fits('url', 'https://blog.**')} AND id > 100", lambda s, d: crawl.resume(groups.members(model.resources(s, d), "https://blog.**"), 100))
-simple("group_sources", "SELECT * FROM (VALUES (1, NULL, true), (2, NULL, true), (3, 'English pages', true), (4, 'Campaign links', true), (5, 'Home', true), (6, NULL, false)) AS t(group_id, source_name, source_ok)", lambda s, d: groups.sources(groups.group_table(s, model.GROUPS), model.roots(s)).select(F.col("group_id").cast("int").alias("group_id"), "source_name", "source_ok"))
-simple("group_source_closure", "SELECT * FROM (VALUES (3, 1, 1), (4, 3, 1), (4, 1, 2)) AS t(group_id, ancestor_id, depth)", lambda s, d: groups.source_closure(groups.group_table(s, model.GROUPS)).select(F.col("group_id").cast("int").alias("group_id"), F.col("ancestor_id").cast("int").alias("ancestor_id"), "depth"))
+
+
+def _page_groups(s, d) -> DataFrame:
+    """A group for every page: from the group of half its id, from a root (of odd ids), or from nothing."""
+    kind = F.expr("CASE WHEN id % 3 < 2 AND id > 0 THEN 'resource_group' WHEN id % 3 = 2 THEN 'root_resource' END")
+    return model.resources(s, d).select(F.col("id").alias("group_id"), F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit("g"), F.col("id").cast("string"))).alias("name"), F.concat("url", F.lit("**")).alias("url_pattern"), kind.alias("source_type"), F.when(kind == "resource_group", F.expr("id div 2")).when(kind == "root_resource", F.col("id")).alias("source_id"))
+
+
+def _page_roots(s, d) -> DataFrame:
+    return model.resources(s, d).where("id % 2 = 1").select(F.col("id").alias("root_id"), F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"))
+
+
+_PAGE_GROUPS = "pg AS (SELECT id AS group_id, CASE WHEN id % 2 = 0 THEN '' ELSE 'g' || id END AS name, url || '**' AS url_pattern, CASE WHEN id % 3 < 2 AND id > 0 THEN 'resource_group' WHEN id % 3 = 2 THEN 'root_resource' END AS source_type, CASE WHEN id % 3 < 2 AND id > 0 THEN id // 2 WHEN id % 3 = 2 THEN id END AS source_id FROM r)"
+simple(
+    "group_sources",
+    f"""WITH {R}, {_PAGE_GROUPS}, n AS (SELECT a.group_id, a.source_type, a.source_id, CASE a.source_type WHEN 'resource_group' THEN coalesce(nullif(b.name, ''), b.url_pattern) WHEN 'root_resource' THEN CASE WHEN a.source_id % 2 = 1 THEN 'r' || a.source_id END END AS source_name FROM pg a LEFT JOIN pg b ON b.group_id = a.source_id)
+    SELECT group_id, source_type, source_id, source_name, source_type IS NULL OR source_name IS NOT NULL AS source_ok FROM n""",
+    lambda s, d: groups.sources(_page_groups(s, d), _page_roots(s, d)),
+)
+simple(
+    "group_source_closure",
+    f"""WITH RECURSIVE {R}, {_PAGE_GROUPS}, up AS (SELECT group_id, source_id AS ancestor_id, 1 AS depth FROM pg WHERE source_type = 'resource_group' UNION ALL
+    SELECT up.group_id, g.source_id, depth + 1 FROM up JOIN pg g ON g.group_id = up.ancestor_id WHERE g.source_type = 'resource_group')
+    SELECT group_id, ancestor_id, depth FROM up""",
+    lambda s, d: groups.source_closure(_page_groups(s, d)),
+)
 simple("whole_site_pattern", f"WITH {R} SELECT id, url || '**' AS pattern FROM r", _of(lambda u: groups.whole_site(u).alias("pattern")))
 simple("dims_match", f"WITH {R} SELECT id, url NOT LIKE '%?%' AND url LIKE '%/en/%' AND url NOT LIKE '%/' AND url LIKE 'https:%' AS same FROM r", lambda s, d: model.resources(s, d).withColumn("dims", urls.dimensions(F.col("url"))).select("id", (urls.same_structure(F.col("dims"), urls.dimensions(F.lit("https://x.test/en/7"))) & (F.get("dims", F.lit(1))["value"] == "en")).alias("same")))
 
@@ -407,9 +535,26 @@ simple("revision_path", f"WITH {REV}, h AS (SELECT id, printf('%015x', id) AS h
 simple("pack_path", f"WITH {REV}, h AS (SELECT id, printf('%015x', id) AS h FROM rev) SELECT id, 'revisions/' || h[1:3] || '/' || h[4:6] || '/' || h[7:9] || '/' || h[10:12] || '/' || h[13:14] || '_.zip' AS path, h[13:15] AS entry FROM h", lambda s, d: model.revisions(s, d).select("id", bodies.pack_path(F.col("id")).alias("path"), bodies.entry_name(F.col("id")).alias("entry")))
 simple("pack_groups", f"WITH {REV} SELECT id // 16 AS pack_id, count(*) AS n_revisions, bool_or(id % 16 = 15) AS complete FROM rev GROUP BY 1", lambda s, d: bodies.packs(model.revisions(s, d)))
 simple("body_sizes", "SELECT page_id AS id, CAST(octet_length(encode(html)) AS INT) AS size FROM pages", lambda s, d: model.captures(s, d).select("id", F.octet_length("body").alias("size")))
-query(name="sample_ids")(lambda s, d: resources.sample_ids(model.resources(s, d), 50, 7))
+simple(
+    "sample_ids",
+    f"""WITH {R}, b AS (SELECT min(id) AS lo, max(id) - min(id) + 1 AS span FROM r),
+    t AS (SELECT turn, ('0x' || substr(md5('7:' || turn), 1, 15))::BIGINT % span + lo AS id FROM b, unnest(range(0, 100000)) AS u(turn))
+    SELECT id FROM t WHERE id IN (SELECT id FROM r) ORDER BY turn LIMIT 50""",
+    lambda s, d: resources.sample_ids(model.resources(s, d), 50, 7),
+)
 simple("progress_percent", f"WITH {R}, {REV}, g AS (SELECT count(*) AS total, count(*) FILTER (WHERE id IN (SELECT resource_id FROM rev)) AS done FROM r) SELECT done, total, CASE WHEN total = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * done / total END AS percent FROM g", lambda s, d: _progress(s, d))
-simple("format_interval", "SELECT * FROM (VALUES (0, '00:00'), (75, '01:15'), (3675, '1:01:15'), (90061, '1d + 1:01:01')) AS t(seconds, shown)", lambda s, d: s.createDataFrame([(0,), (75,), (3675,), (90061,)], "seconds int").select("seconds", resources.format_interval(F.col("seconds")).alias("shown")))
+simple(
+    "format_interval",
+    f"""WITH {REV}, t AS (SELECT id, id * 37 AS s FROM rev), p AS (SELECT id, s // 86400 AS d, s % 86400 // 3600 AS h, s % 3600 // 60 AS m, s % 60 AS c FROM t)
+    SELECT id, CASE WHEN d > 0 THEN d || 'd + ' || h || ':' || printf('%02d:%02d', m, c) WHEN h > 0 THEN h || ':' || printf('%02d:%02d', m, c) ELSE printf('%02d:%02d', m, c) END AS shown FROM p""",
+    lambda s, d: model.revisions(s, d).select("id", resources.format_interval(F.col("id") * 37).alias("shown")),
+)
+simple(
+    "format_size",
+    f"""WITH {REV}, b AS (SELECT id, id * id * id AS n FROM rev) SELECT id, CASE WHEN n = 1 THEN '1 byte' WHEN n < 1024 THEN n || ' bytes' ELSE regexp_replace(printf('%.2f', n / 1024.0 ** u), '\\.?0+$', '') || ' ' || ['KB', 'MB', 'GB', 'TB', 'PB'][u] END AS shown
+    FROM (SELECT *, CASE WHEN n >= 1024::BIGINT ** 4 THEN 4 WHEN n >= 1024::BIGINT ** 3 THEN 3 WHEN n >= 1024 ** 2 THEN 2 ELSE 1 END AS u FROM b)""",
+    lambda s, d: model.revisions(s, d).select("id", resources.format_size(F.col("id") * F.col("id") * F.col("id")).alias("shown")),
+)
 
 
 def _progress(s, d):
@@ -424,7 +569,6 @@ def stream_group_membership(s, d):
     schema = "page_id long, url string, html string"
     stream = streaming.resource_stream(s, d, schema, glob="pages.parquet").select(F.col("page_id").alias("id"), "url")
     found = streaming.standing_membership(stream, model.GROUPS)
-    shared = (s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataweb-")).rstrip("/")
-    root = f"{shared}/stream-{s.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    root = scratch.new_folder(s, "stream")
     streaming.run_available(found, f"{root}/out", f"{root}/state")
     return s.read.schema(found.schema).parquet(f"{root}/out")

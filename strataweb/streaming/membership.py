@@ -45,28 +45,44 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return query
 
 
+_LOG = "id long, url string, group_id long, seq long"
+
+
 def maintain(changes: DataFrame, groups: list[Group], path: str, checkpoint: str) -> StreamingQuery:
-    """Members under changes: rows (id, url, deleted) replace what was known of their ids.
+    """Members under changes: rows (seq, id, url, deleted) replace what was known of their ids.
 
-    Each micro-batch rewrites the membership table without the changed ids and
-    with their new groups; tables alternate, so that none is read while it is
-    overwritten.
+    Each micro-batch appends what changed to a log, in a folder of its own: the
+    new groups of every changed id, and one row without a group that retracts
+    the old ones.  Nothing that is there is read or rewritten; a batch that is
+    run again replaces its own folder.  :func:`current_members` reads the log,
+    :func:`compact` shortens it.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy("id").agg(F.max_by("url", "seq").alias("url"), F.max_by("deleted", "seq").alias("deleted"))
-        new = membership(last.where("not deleted").select("id", "url"), groups)
-        if epoch > 0:
-            old = spark.read.schema(new.schema).parquet(f"{path}/{epoch - 1}")
-            new = old.join(last.select("id"), "id", "left_anti").select(new.columns).union(new)
-        new.write.mode("overwrite").parquet(f"{path}/{epoch}")
+        last = batch.groupBy("id").agg(F.max_by("url", "seq").alias("url"), F.max_by("deleted", "seq").alias("deleted"), F.max("seq").alias("seq"))
+        changed = last.select("id", "url", F.lit(None).cast("long").alias("group_id"), "seq")
+        members = membership(last.where("not deleted"), groups).select("id", "url", "group_id", "seq")
+        changed.union(members).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     query = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def current_members(spark: SparkSession, path: str) -> DataFrame:
+    """id, url and group_id as the last change of each id left them."""
+    log = spark.read.schema(f"{_LOG}, epoch int").option("basePath", path).parquet(path)
+    last = log.groupBy("id").agg(F.max("seq").alias("seq"))
+    return log.where(F.col("group_id").isNotNull()).join(last, ["id", "seq"], "left_semi").select("id", "url", "group_id")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """Write the log of ``path`` with only what still holds, as the first folder of a new log at ``to``."""
+    log = spark.read.schema(f"{_LOG}, epoch int").option("basePath", path).parquet(path)
+    last = log.groupBy("id").agg(F.max("seq").alias("seq"))
+    log.join(last, ["id", "seq"], "left_semi").select("id", "url", "group_id", "seq").write.parquet(f"{to}/epoch=-1")
+
+
 class ProgressFeed(StreamingQueryListener):
     """Calls ``report`` with (name, batch, input rows, rows a second) after each micro-batch."""
 

@@ -1,5 +1,8 @@
 """Every registered query with SQL gives the rows of its SQL, over whole tables."""
 
+import base64
+import json
+
 import duckdb
 import pytest
 
@@ -37,10 +40,17 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_substack_pins_the_event(spark):
-    import base64
-    import json
+    from pyspark.sql import functions as F
+
+    from strataweb.functions import urls
+
+    def packed(event):
+        return base64.urlsafe_b64encode(json.dumps(event).encode()).decode()
 
-    out = {r["k"]: r["out"] for r in catalogue.QUERIES["substack_normalize"](spark, SF).collect()}
-    event = json.loads(base64.urlsafe_b64decode(out[0].split("d=")[1].replace("%3D", "=")))
-    assert event == {"properties": {"browserSessionId": "1xh68gok0s4"}, "context": {"page": {"referrer": "", "url": "https://n.com/x"}}}
-    assert out[1] == catalogue.SUBSTACK_URLS[1]
+    event = {"properties": {"browserSessionId": "z", "n": [1]}, "context": {"page": {"referrer": "q", "url": "http://o.com/x?y#z"}}}
+    other = {"context": {"page": "text"}, "properties": {"browserSessionId": 5}}
+    cases = [f"https://n.com/api/v1/firehose?_=5&d={packed(event)}", f"https://n.com/api/v1/firehose?_=5&d={packed(other)}", "https://n.com/api/v1/firehose?_=5&d=%%%", f"https://n.com/api/v1/firehose?_=x&d={packed(event)}", f"https://n.com/other?_=5&d={packed(event)}"]
+    out = [r["out"] for r in spark.createDataFrame([(c,) for c in cases], "u string").select(urls.substack(F.col("u")).alias("out")).collect()]
+    found = [json.loads(base64.urlsafe_b64decode(u.split("d=")[1].replace("%3D", "="))) for u in out[:2]]
+    assert found[0] == {"properties": {"browserSessionId": "1xh68gok0s4", "n": [1]}, "context": {"page": {"referrer": "", "url": "https://n.com/x?y#z"}}}
+    assert found[1] == other and out[2:] == cases[2:]

@@ -61,7 +61,10 @@ def test_stream_resumes_and_maintains(spark, tmp_path):
     for rows in ([(1, 1, "http://x/a", False), (2, 2, "http://x/b", False)], [(3, 1, "http://y/", False), (4, 2, "", True), (5, 3, "http://x/c", False)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(changes)
         membership.maintain(membership.resource_stream(spark, changes, schema), own, table, str(tmp_path / "state2"))
-    assert [r["id"] for r in spark.read.parquet(f"{table}/1").collect()] == [3]
+    assert [r["id"] for r in membership.current_members(spark, table).collect()] == [3]
+    membership.compact(spark, table, str(tmp_path / "short"))
+    assert [tuple(r) for r in membership.current_members(spark, str(tmp_path / "short")).collect()] == [(3, "http://x/c", 1)]
+    assert membership.StreamingQueryListener and spark.read.parquet(str(tmp_path / "short")).count() < spark.read.parquet(table).count()
 
 
 def test_prefix_reaches_the_scan(spark, tmp_path):
