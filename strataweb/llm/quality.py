@@ -137,16 +137,14 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted isotonic regression by pooling adjacent violators; the pools' centres and levels."""
+    """Weighted isotonic regression by pooling adjacent violators; the pools' centres and levels, both rising."""
     pools: list[list[float]] = []
     for a, b, c in zip(x, y, w, strict=True):
         pools.append([a * c, b * c, c])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
-    centres = np.array([p[0] / p[2] for p in pools])
-    # Half a row of each label keeps the end levels off 0 and 1.
-    return centres, np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, trainable: Column, max_train: int = MAX_TRAIN) -> DataFrame:
