@@ -5,7 +5,8 @@ ends at the first white space after a stop with no word between them, or, after
 a wide stop (U+3002 and the like), where the next word begins.  Units are
 normalised (A-Z lower-cased, only words kept) and hashed to 128 bits; the
 digests are grouped over the corpus, the occurrence ranked first (by doc_id)
-stays, and all others are removed from their texts.  Their offsets in the
+stays, and all others are removed from their texts, unless they stand alone and
+are short: a stock phrase is no repeated passage.  Their offsets in the
 original text are kept.
 
 Only digests, ids and offsets are shuffled to find repeats.  Minima are
@@ -28,9 +29,13 @@ from pyspark.sql import types as T
 from . import ragged
 from .common import materialise
 
-#: Shorter units are never removed, unless they have ``CHARS`` characters a word in scripts without spaces.
+#: Shorter units have no digest; ``CHARS`` characters count as a word in scripts without spaces.
 MIN_WORDS = 5
 CHARS = 4
+#: Repeated units that follow each other are removed if they have so many words together, ...
+MIN_RUN = 20
+#: ... where so many characters between them (too short a sentence, say) don't end a run.
+GAP = 16
 #: Stops that need no white space behind them.
 WIDE_STOPS = "\u3002\uff01\uff0e\uff1f\uff61\u0964\u0965"
 #: Thai to Myanmar, Khmer, kana and Chinese characters.
@@ -121,10 +126,11 @@ def text_units(texts: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndar
     a, b = np.searchsorted(w0, begin), np.searchsorted(w0, end)
     unspaced = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(last & (kinds == _UNSPACED), out=unspaced[1:])
-    use = (b - a >= min_words) | (unspaced[end] - unspaced[begin] >= CHARS * min_words)
-    begin, end, doc, a, b = begin[use], end[use], doc[use], a[use], b[use]
+    long = np.maximum(b - a, (unspaced[end] - unspaced[begin]) // CHARS)
+    use = long >= min_words
+    begin, end, doc, a, b, long = begin[use], end[use], doc[use], a[use], b[use], long[use]
     order = np.lexsort((begin, doc))
-    begin, end, doc, a, b = begin[order], end[order], doc[order], a[order], b[order]
+    begin, end, doc, a, b, long = begin[order], end[order], doc[order], a[order], b[order], long[order]
     high, low = ragged.run_hashes(words, a, b), ragged.run_hashes(ragged.mix(words ^ _OTHER), a, b)
     chars = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
@@ -133,13 +139,13 @@ def text_units(texts: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndar
     key = ragged.mix(high + doc.astype(np.uint64) * _OTHER)
     again = np.ones(len(key), dtype=bool)
     again[np.unique(key, return_index=True)[1]] = False
-    return {"doc": doc, "high": high, "low": low, "start": chars[begin] - base, "end": chars[closed] - base, "again": again}
+    return {"doc": doc, "high": high, "low": low, "start": chars[begin] - base, "end": chars[closed] - base, "words": long, "again": again}
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, node (64-bit hash of the text), high, low (the digest), start, end and again of every unit."""
+    """doc_id, node (64-bit hash of the text), high, low (the digest), start, end, words and again of every unit."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("node"), "text")
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("node", "high", "low")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("node", "high", "low")), *(T.StructField(c, T.IntegerType()) for c in ("start", "end", "words")), T.StructField("again", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,48 +153,91 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for x, y in ragged.groups(texts):
                 found = text_units(texts.slice(x, y - x), min_words)
                 at = pa.array(found["doc"] + x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(at),
-                        batch.column("node").take(at),
-                        pa.array(found["high"].view(np.int64)),
-                        pa.array(found["low"].view(np.int64)),
-                        pa.array(found["start"].astype(np.int32)),
-                        pa.array(found["end"].astype(np.int32)),
-                        pa.array(found["again"]),
-                    ],
-                    schema.names,
-                )
+                digests = [pa.array(found[c].view(np.int64)) for c in ("high", "low")]
+                places = [pa.array(found[c].astype(np.int32)) for c in ("start", "end", "words")]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("node").take(at), *digests, *places, pa.array(found["again"])], schema.names)
 
     return rows.mapInArrow(cut, schema)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """doc_id, node and removed: the spans (start, end, first_doc_id) that repeat an earlier unit, by start.
 
-    Only documents with such spans have a row.  Rank is the doc_id, then the
-    place in the text; a null id comes first.  Rows that share id and text are
-    one document; texts that share an id keep their common units.
+    Only documents with such spans have a row.  Rank is the doc_id, of any type
+    that has an order, then the text's hash, then the place in the text; a null
+    id comes first.  Rows that share id and text are one document.  Repeated
+    units that follow each other count together; runs of fewer than
+    ``min_run`` words stay.
     """
     found = materialise(units(docs, min_words), "substring-units")
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-    firsts = found.where("not again").groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    digest, once = ["high", "low"], found.where("not again")
+    firsts = once.groupBy(*digest).agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("unset"), F.min("node").alias("n1"), F.max("node").alias("n2")
+    )
+    several = (F.col("first") != F.col("last")) | (F.col("n1") != F.col("n2")) | (F.col("unset") & F.col("first").isNotNull())
+    firsts = firsts.where(several).select(*digest, F.when(~F.col("unset"), F.col("first")).alias("first_doc_id"))
     # Written, so that both sides of the join below are plain shuffles.
-    firsts = materialise(firsts.where("first <> last").select("high", "low", "first"), "substring-firsts")
-    outside = found.where("not again").join(firsts, ["high", "low"]).where(rank != F.col("first")).select("doc_id", "node", "start", "end", F.col("first").alias("first_doc_id"))
-    inside = found.where("again").select("doc_id", "node", "start", "end", rank.alias("first_doc_id"))
-    span = F.struct("start", "end", F.when(F.col("first_doc_id") != F.lit(-(1 << 63)).cast("long"), F.col("first_doc_id")).alias("first_doc_id"))
-    return outside.union(inside).groupBy("doc_id", "node").agg(F.array_sort(F.collect_set(span)).alias("removed"))
-
-
-def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, keep: list[str] | None = None) -> DataFrame:
+    firsts = materialise(firsts, "substring-firsts")
+    met = once.join(firsts, digest)
+    spans = ["doc_id", "node", "start", "end", "words", "first_doc_id"]
+    held = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+    away = met.where(~held).select(*spans).union(found.where("again").withColumn("first_doc_id", F.col("doc_id")).select(*spans))
+    # Texts that share an id (or have none): of those ranked first, the least hash keeps the unit.
+    shared = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("n1"), F.max(F.xxhash64("text")).alias("n2")).where("n1 <> n2")
+    shared = materialise(shared.select(F.col("doc_id").alias("_shared_id")), "substring-shared")
+    if not shared.isEmpty():
+        tied = met.where(held).join(shared, F.col("doc_id").eqNullSafe(F.col("_shared_id")), "left_semi")
+        tied = tied.join(tied.groupBy(*digest).agg(F.min("node").alias("n1")), digest).where(F.col("node") != F.col("n1"))
+        away = away.union(tied.select(*spans))
+    rows = away.groupBy("doc_id", "node").agg(F.collect_set(F.struct("start", "end", "words", "first_doc_id")).alias("removed"))
+    kind = docs.schema["doc_id"].dataType
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("first_doc_id", kind)])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("removed", T.ArrayType(span))])
+
+    def long_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("removed")
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            start, end, words = (lists.flatten().field(c).to_numpy() for c in ("start", "end", "words"))
+            order = np.lexsort((-end, start, row))
+            row, start, end, words = row[order], start[order], end[order], words[order]
+            use = in_long_runs(row, start, end, words, min_run)
+            firsts = lists.flatten().field("first_doc_id").take(pa.array(order[use]))
+            kept = pa.StructArray.from_arrays([pa.array(start[use]), pa.array(end[use]), firsts], ["start", "end", "first_doc_id"])
+            counts = np.bincount(row[use], minlength=len(lists))
+            some = pa.array(np.flatnonzero(counts))
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts[counts > 0])]), pa.int32()), kept)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(some), batch.column("node").take(some), listed], schema.names)
+
+    return rows.mapInArrow(long_runs, schema)
+
+
+def in_long_runs(row: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray, min_run: int) -> np.ndarray:
+    """Which spans (by row, start and falling end) lie in runs of ``min_run`` words; nested spans' words count once.
+
+    A run goes on over at most ``GAP`` characters that are no repeated unit.
+    """
+    if not len(row):
+        return np.zeros(0, dtype=bool)
+    # The furthest end so far within the row.
+    shift = row.astype(np.int64) << 32
+    far = np.maximum.accumulate(shift + end)
+    before = np.concatenate([[-1], far[:-1]])
+    fresh = shift + start > before + GAP
+    fresh |= np.concatenate([[True], row[1:] != row[:-1]])
+    run = np.cumsum(fresh) - 1
+    top = fresh | (shift + start >= before)
+    return np.bincount(run, np.where(top, words, 0))[run] >= min_run
+
+
+def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = MIN_RUN, keep: list[str] | None = None) -> DataFrame:
     """Every row with its text cut, removed (the cut units with their original offsets), n_removed and removed_chars.
 
     Spans may nest (a line and its sentences); characters count once.  A null
     text stays null, an empty one empty.  Null ids and repeated rows as in
     :func:`repeated_spans`.  An input column of an added name is replaced.
     """
-    return cut_spans(docs, repeated_spans(docs, min_words), keep)
+    return cut_spans(docs, repeated_spans(docs, min_words, min_run), keep)
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, keep: list[str] | None = None) -> DataFrame:
