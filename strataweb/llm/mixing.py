@@ -153,6 +153,12 @@ def schedule(spark: SparkSession, weights: list[int], sizes: list[int], block: i
     return turns.select("lane", "block", "slot", first.alias("first"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What orders a source's rows: the MD5 of id and text (nulls as empty), so that rows without an id, or of one id, are spread like all others."""
+    text = F.coalesce("text", F.lit("")) if "text" in docs.columns else F.lit("")
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | None = None, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """Every row with block (from 0 within its source), slot and position (gapless from 0) in the mixed order.
 
@@ -162,8 +168,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | N
     follow all others, by name.  With ``frame`` the weights are those of
     :func:`apportion` instead, and sources beyond the ``frame - 1`` largest
     are in the shared lane too.  Null source is the empty string.  Within a
-    lane rows go by the leading 32 bits of the id's MD5, then id (a null id as
-    the empty text).  Repeated rows keep places of their own.  An empty table
+    lane rows go by :func:`row_key`.  Repeated rows keep places of their own.  An empty table
     gives an empty result; an input column of an added name is replaced.
     """
     added = ["block", "slot", "position"]
@@ -196,11 +201,11 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None
     lanes = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "name string, lane int")
 
     rest = names.index(None) if None in names else None
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias(f"{_OWN}row"), name.alias("name"), F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias(f"{_OWN}row"), name.alias("name"), row_key(docs).alias("key"))
     known = F.broadcast(lanes.where("name is not null").select("name", F.col("lane").alias("own")))
     rows = rows.join(known, "name", "left").withColumn("lane", F.coalesce("own", F.lit(rest)))
-    # Ranking groups are ranges of the hash, as many as the lane's rows ask for.
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    # Ranking groups are ranges of the leading bits of the key, as many as the lane's rows ask for.
+    h = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     parts = _longs([max(1, -(-n // BUCKET_ROWS)) for n in sizes] or [1])
     rows = rows.withColumn("h", h).withColumn("bucket", F.shiftright(F.col("h") * F.get(parts, F.col("lane")), 32))
     groups = rows.groupBy("lane", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -219,7 +224,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None
     wanted = wanted.withColumn("slot", F.coalesce("slot", F.col("after") + F.col("block")))
     wanted = wanted.withColumn("first", F.coalesce("first", F.col("done") + F.col("block") * block))
     wanted = wanted.groupBy("lane", "bucket", "ahead", "low").agg(F.array_sort(F.collect_list(F.struct("block", "slot", "first"))).alias("turns"))
-    inner = Window.partitionBy("lane", "bucket").orderBy("h", "id")
+    inner = Window.partitionBy("lane", "bucket").orderBy("key")
     ranked = rows.withColumn("at", F.row_number().over(inner) - 1).join(wanted, ["lane", "bucket"]).withColumn("rank", F.col("ahead") + F.col("at"))
     own = F.get("turns", (F.expr(f"rank div {block}") - F.col("low")).cast("int"))
     return ranked.select(

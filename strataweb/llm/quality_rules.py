@@ -23,10 +23,10 @@ from . import ragged
 MIN_WORDS = 20
 WINDOW = 8
 MAX_WINDOW_PERCENT = 30
-#: Rules on maximal repeats: those of at least so many words count, ...
-MIN_REPEAT = 8
+#: Rules on maximal repeats: those of at least so many words (more than WINDOW: passages, not phrases) count, ...
+MIN_REPEAT = 12
 #: ... may cover this share of the words, ...
-MAX_COVERED = 0.25
+MAX_COVERED = 0.2
 #: ... and be this long, unless they make up less than MIN_LONG_SHARE of the text.
 MAX_REPEAT = 100
 _GROUP = 2 << 20

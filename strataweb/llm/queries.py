@@ -46,8 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every document is edited in its middle: forty characters give way to a note.
     middle = F.expr("length(text) div 2")
     note = F.struct(middle.alias("start"), (middle + 40).alias("end"), F.lit(" [revised] ").alias("replacement"))
-    counted = token_counts.count(docs.withColumn("edits", F.array(note)), keep=["doc_id"])
-    return counted.select("doc_id", "n_tokens", F.size("leaf_tokens").alias("n_leaves"), "edited_tokens", "edited_chars", "reencoded_chars")
+    counted = token_counts.count(docs).withColumn("counted", F.col("n_tokens"))
+    edited = token_counts.apply_edits(counted.withColumn("edits", F.array(note)), keep=["doc_id", "counted"])
+    sizes = [F.col("counted").alias("n_tokens"), F.size("leaf_tokens").alias("n_leaves"), F.col("n_tokens").alias("edited_tokens"), "edited_chars", "reencoded_chars"]
+    return edited.select("doc_id", *sizes)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,7 @@ walk(slot, done, lane) AS (
               THEN (((d + 1) * {mixing.FRAME} + p[i] - 1) // p[i]) * 100000 + i - 1 END), lambda x: x IS NOT NULL)) % 100000 AS pick
           FROM walk, lists WHERE slot + 1 < {mixing.FRAME})),
 sched AS (SELECT w.slot, w.lane, w.done[w.lane + 1] - 1 AS job, list_transform(w.done, lambda d, i: CASE WHEN i - 1 = w.lane THEN d - 1 ELSE d END) AS before FROM walk w WHERE w.slot >= 0),
-ranked AS (SELECT doc_id, d.source, x.lane, x.p, row_number() OVER (PARTITION BY x.lane ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT, doc_id) - 1 AS r
+ranked AS (SELECT doc_id, d.source, x.lane, x.p, row_number() OVER (PARTITION BY x.lane ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))) - 1 AS r
     FROM documents d JOIN parts x ON coalesce(d.source, '') = x.name),
 blocked AS (SELECT *, r // {mixing.BLOCK} AS block, (r // {mixing.BLOCK}) // p AS round, (r // {mixing.BLOCK}) % p AS job FROM ranked)
 SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.round * {mixing.FRAME} + s.slot AS BIGINT) AS slot,
@@ -197,8 +199,8 @@ parts AS (SELECT page_id, u, translate(regexp_extract(a, '^([^/?#]*)', 1, 's'),
 fits AS (SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(kind, length(rule_host || rule_path)) AS kind
     FROM (SELECT DISTINCT page_id, host, path FROM parts) p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL),
 hits AS (SELECT *, {_terms_sql(url_filter.STRICT)} AS strict_hits, {_terms_sql(url_filter.SOFT)} AS soft_hits FROM parts)
-SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.kind, CASE WHEN strict_hits >= 1 OR soft_hits >= {url_filter.MIN_SOFT} THEN 'block' ELSE 'allow' END) AS verdict,
-       CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_hits AS BIGINT) AS soft_hits
+SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.kind, CASE WHEN strict_hits >= 1 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+       CAST(strict_hits AS BIGINT) AS strict_hits, CAST(soft_hits AS BIGINT) AS soft_hits, CAST(2 * strict_hits + soft_hits AS DOUBLE) AS score
 FROM hits h LEFT JOIN fits f ON h.page_id = f.page_id AND h.host = f.host AND h.path = f.path
 """
 
@@ -208,14 +210,17 @@ WITH dw AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text
 n AS (SELECT *, len(w) AS n, CAST(floor(greatest({quality_rules.MAX_REPEAT}, len(w) * 0.1)) AS BIGINT) + 1 AS long FROM dw),
 short AS (SELECT k, i, array_to_string(w[i + 1 : i + {quality_rules.WINDOW}], ' ') AS g FROM n, unnest(range(0, n - {quality_rules.WINDOW - 1})) AS u(i)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM short) WHERE c > 1),
+wide AS (SELECT k, i, md5(array_to_string(w[i + 1 : i + {quality_rules.MIN_REPEAT}], ' ')) AS g FROM n, unnest(range(0, n - {quality_rules.MIN_REPEAT - 1})) AS u(i)),
+wide_twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM wide) WHERE c > 1),
+cov AS (SELECT k, count(DISTINCT p) AS n_covered FROM (SELECT k, unnest(range(i, i + {quality_rules.MIN_REPEAT})) AS p FROM wide_twice) GROUP BY k),
 rep AS (SELECT k, count(DISTINCT p) AS n_repeat_words FROM (SELECT k, unnest(range(i, i + {quality_rules.WINDOW})) AS p FROM twice) GROUP BY k),
 long_twice AS (SELECT DISTINCT k FROM (SELECT k, md5(array_to_string(w[i + 1 : i + long], ' ')) AS g FROM n, unnest(range(0, n - long + 1)) AS u(i)) GROUP BY k, g HAVING count(*) > 1),
 dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM dw) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
 counts AS (SELECT n.k, doc_id, n AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
-    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, t.k IS NOT NULL AS too_long
-    FROM n LEFT JOIN rep USING (k) LEFT JOIN dup USING (k) LEFT JOIN long_twice t USING (k)),
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, t.k IS NOT NULL AS too_long
+    FROM n LEFT JOIN rep USING (k) LEFT JOIN cov USING (k) LEFT JOIN dup USING (k) LEFT JOIN long_twice t USING (k)),
 judged AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_WINDOW_PERCENT} * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_repeat_words <= n_words * {quality_rules.MAX_COVERED} AND NOT too_long AS kept
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_covered <= n_words * {quality_rules.MAX_COVERED} AND NOT too_long AS kept
 FROM judged
 """

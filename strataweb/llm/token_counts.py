@@ -101,18 +101,29 @@ class TokenTree:
                 node += 1
         return node - self.size, before
 
-    def replace(self, first: int, last: int, chars: np.ndarray, tokens: np.ndarray) -> TokenTree:
-        """The tree with the leaves [first, last) replaced; sums above are updated in place if their number stays."""
-        if last - first == len(chars):
-            self.sums[self.size + first : self.size + last, 0] = chars
-            self.sums[self.size + first : self.size + last, 1] = tokens
+    def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> TokenTree:
+        """The tree with the leaves [first, last) replaced by pre-tokens of these sizes.
+
+        As long as those leaves can hold them (twice ``LEAF`` each at most),
+        their number stays, and only the sums above them are updated; else the
+        leaves are cut anew and the sums of all are built again.
+        """
+        n = last - first
+        if n and n <= len(chars) <= 2 * LEAF * n:
+            cuts = np.arange(n) * len(chars) // n
+            new_chars, new_tokens = (np.add.reduceat(np.array(x, dtype=np.int64), cuts) for x in (chars, tokens))
+        else:
+            new_chars, new_tokens = leaves_of(chars, tokens)
+        if n == len(new_chars):
+            self.sums[self.size + first : self.size + last, 0] = new_chars
+            self.sums[self.size + first : self.size + last, 1] = new_tokens
             lo, hi = (self.size + first) // 2, (self.size + max(last, first + 1) - 1) // 2
             while lo >= 1:
                 nodes = np.arange(lo, hi + 1)
                 self.sums[nodes] = self.sums[2 * nodes] + self.sums[2 * nodes + 1]
                 lo, hi = lo // 2, hi // 2
             return self
-        kept = [(self.chars, chars), (self.tokens, tokens)]
+        kept = [(self.chars, new_chars), (self.tokens, new_tokens)]
         return TokenTree(*(np.concatenate([old[:first], new, old[last:]]) for old, new in kept))
 
 
@@ -150,7 +161,7 @@ def edited(text: str, tree: TokenTree, start: int, end: int, replacement: str, c
                 break
     else:
         last = tree.leaves
-    return new, tree.replace(first, last, *leaves_of(chars, tokens)), here - at
+    return new, tree.replace(first, last, chars, tokens), here - at
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -162,42 +173,69 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("edits", named).drop("_edit_id")
 
 
+LEAVES = ["n_tokens", "leaf_chars", "leaf_tokens"]
+_KINDS = {"text": T.StringType(), "n_tokens": T.LongType(), "leaf_chars": T.ArrayType(T.IntegerType()), "leaf_tokens": T.ArrayType(T.IntegerType()), "edited_chars": T.LongType(), "reencoded_chars": T.LongType()}
+
+
+def _columns(out: dict[str, list]) -> list[pa.Array]:
+    kinds = {T.LongType: pa.int64(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int32())}
+    return [pa.array(v, kinds[type(_KINDS[c])]) for c, v in out.items()]
+
+
 def count(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None) -> DataFrame:
-    """Adds n_tokens, leaf_chars and leaf_tokens (the tree's leaves), and the outcome of the edits.
+    """Adds n_tokens, leaf_chars and leaf_tokens: the leaves of each text's tree, from which :func:`apply_edits` goes on.
 
-    If ``docs`` has a column ``edits`` (array of start, end, replacement; null:
-    none), they are applied in order, offsets in the text as it then is:
-    edited_tokens, edited_chars and reencoded_chars follow, and the leaves are
-    those after the edits.  Null text counts as empty: no tokens.  Repeated
-    rows are counted alike; an input column of an added name is replaced.
+    Null text counts as empty: no tokens.  Repeated rows are counted alike; an
+    input column of an added name is replaced.
     """
-    added = ["n_tokens", "leaf_chars", "leaf_tokens", "edited_tokens", "edited_chars", "reencoded_chars"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*added, "edits")]
-    has_edits = "edits" in docs.columns
-    edits = F.col("edits") if has_edits else F.lit(None).cast("array<struct<start:int,end:int,replacement:string>>")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_count_text"), edits.alias("_count_edits"))
-    longs, lists = T.LongType(), T.ArrayType(T.IntegerType())
-    kinds = dict(zip(added, (longs, lists, lists, longs, longs, longs), strict=True))
-    schema = T.StructType([*rows.schema.fields[:-2], *(T.StructField(c, kinds[c]) for c in added)])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in LEAVES]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_count_text"))
+    schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, _KINDS[c]) for c in LEAVES)])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(path, pattern)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in added}
-            for text, edits in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                text = text.as_py() or ""
-                tree = TokenTree.of(text, counts)
+            out: dict[str, list] = {c: [] for c in LEAVES}
+            for text in batch.column(batch.num_columns - 1):
+                tree = TokenTree.of(text.as_py() or "", counts)
                 out["n_tokens"].append(tree.n_tokens)
-                again = 0
-                for e in edits.as_py() or []:
-                    text, tree, n = edited(text, tree, e["start"] or 0, e["end"] or 0, e["replacement"] or "", counts)
-                    again += n
-                out["edited_tokens"].append(tree.n_tokens)
-                out["edited_chars"].append(len(text))
-                out["reencoded_chars"].append(again)
                 out["leaf_chars"].append(tree.chars.astype(np.int32))
                 out["leaf_tokens"].append(tree.tokens.astype(np.int32))
-            arrays = [pa.array(out[c], pa.list_(pa.int32()) if kinds[c] is lists else pa.int64()) for c in added]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *arrays], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_columns(out)], schema.names)
 
     return rows.mapInArrow(measure, schema)
+
+
+def apply_edits(counted: DataFrame, path: str = RANKS, pattern: str = PATTERN, keep: list[str] | None = None) -> DataFrame:
+    """Counted texts after their edits, from the stored leaves: only what an edit touches, and its boundary, is encoded.
+
+    ``counted`` has text, leaf_chars and leaf_tokens as :func:`count` (or this
+    function) left them, and edits (array of start, end, replacement; null:
+    none), applied in order, offsets in the text as it then is.  Text, n_tokens
+    and the leaves are those after the edits; edited_chars is the new length,
+    reencoded_chars how much was encoded.  Null text counts as empty, but stays
+    null if nothing is put in.  Columns ``keep``: of the others.
+    """
+    added = ["text", *LEAVES, "edited_chars", "reencoded_chars"]
+    used = ["text", "leaf_chars", "leaf_tokens", "edits"]
+    keep = [c for c in (counted.columns if keep is None else keep) if c not in (*added, "edits")]
+    rows = counted.select(*(F.col(f"`{c}`") for c in keep), *(F.col(c).alias(f"_edit_{c}") for c in used))
+    schema = T.StructType([*rows.schema.fields[: -len(used)], *(T.StructField(c, _KINDS[c]) for c in added)])
+    n_used = len(used)
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = piece_counts(path, pattern)
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in added}
+            for text, chars, tokens, edits in zip(*(c for c in batch.columns[-n_used:]), strict=True):
+                text, again = text.as_py(), 0
+                new, tree = text or "", TokenTree(*(np.array(x.as_py() or [], dtype=np.int64) for x in (chars, tokens)))
+                for e in edits.as_py() or []:
+                    new, tree, n = edited(new, tree, e["start"] or 0, e["end"] or 0, e["replacement"] or "", counts)
+                    again += n
+                values = [text if text is None and not new else new, tree.n_tokens, tree.chars.astype(np.int32), tree.tokens.astype(np.int32), len(new), again]
+                for c, v in zip(added, values, strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-n_used], *_columns(out)], schema.names)
+
+    return rows.mapInArrow(edit, schema)
