@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,18 +31,54 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_TEMPORARY: list[tuple[SparkSession, list[str]]] = []
+
+
+def _home(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/strataweb/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialise` writes in this block go when it ends, but those it is told to keep."""
+    paths: list[str] = []
+    _TEMPORARY.append((spark, paths))
+    try:
+        yield
+    finally:
+        _TEMPORARY.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: later passes read the columns they need from Parquet,
-    and a lost executor costs no recomputation.
+    and a lost executor costs no recomputation.  In a :func:`temporary` block
+    the table goes at the block's end, with ``keep`` at the end of the block
+    around it.  Other tables stay as long as results may read them; a job that
+    has written its results calls :func:`clean`.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strataweb/{name}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    at = len(_TEMPORARY) - (2 if keep else 1)
+    if at >= 0:
+        _TEMPORARY[at][1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this application has written to the shared folder and not removed yet."""
+    _delete(spark, _home(spark))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import ragged
 from .common import materialise
-from .linking import link, pair_texts
+from .linking import link
 from .substring_dedup import cut_spans
 
 SHINGLE = 8
@@ -87,21 +87,15 @@ class Lines:
         return ragged.mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _distinct(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each line's distinct shingles: a key of line and shingle (sorted), the line's number, the shingle's hash."""
+def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash and weight (1) of each distinct shingle of the texts' only lines, by text and hash."""
     lines = Lines(texts, SHINGLE)
     owner = lines.doc[lines.line]
-    keys, first = np.unique(ragged.mix(lines.shingles + owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)
-    return keys, owner[first], lines.shingles[first]
-
-
-def jaccard(one: pa.Array, two: pa.Array) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of each pair of lines."""
-    (keys_a, owner_a, _), (keys_b, owner_b, _) = _distinct(one), _distinct(two)
-    _, at, _ = np.intersect1d(keys_a, keys_b, assume_unique=True, return_indices=True)
-    shared = np.bincount(owner_a[at], minlength=len(one))
-    sizes = np.bincount(owner_a, minlength=len(one)) + np.bincount(owner_b, minlength=len(one))
-    return shared / np.maximum(sizes - shared, 1)
+    order = ragged.by_owner(owner, lines.shingles)
+    owner, values = owner[order], lines.shingles[order]
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return owner[first], values[first], np.ones(int(first.sum()))
 
 
 def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -124,35 +118,6 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.mapInArrow(sign, schema)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros(0)]
-            one, two = batch.column("a_text"), batch.column("b_text")
-            for x, y in ragged.groups(one):
-                for u, v in ragged.groups(two.slice(x, y - x)):
-                    out.append(jaccard(one.slice(x + u, v - u), two.slice(x + u, v - u)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.concatenate(out))], ["a", "b", "similarity"])
-
-    return pair_texts(pairs, texts).mapInArrow(compare, "a long, b long, similarity double")
-
-
-def shingle_rows(texts: DataFrame) -> DataFrame:
-    """node, shingle, weight (1) and total of every distinct shingle of ``texts``, and a row of weight 0 for each node."""
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, column = batch.column("node").to_numpy(), batch.column("text")
-            for x, y in ragged.groups(column):
-                keys, owner, values = _distinct(column.slice(x, y - x))
-                total = np.bincount(owner, minlength=y - x).astype(float)
-                own = ragged.mix(node[x:y].view(np.uint64))
-                columns = [np.append(node[x:y][owner], node[x:y]), np.append(values, own).view(np.int64), np.append(np.ones(len(owner)), np.zeros(y - x)), np.append(total[owner], total)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "shingle", "weight", "total"])
-
-    return texts.select("node", "text").mapInArrow(list_, "node long, shingle long, weight double, total double")
-
-
 def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the wanted lines, each cut from one document that holds it."""
     place = F.struct("doc_id", "node", "start", "end")
@@ -177,11 +142,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     Rows that share id and text are one document.
     """
     lines = materialise(signed_lines(docs, min_chars), "line-signed")
-    distinct = lines.groupBy("line").agg(F.first("bands").alias("bands"))
-    members = distinct.select(F.col("line").alias("node"), F.explode("bands").alias("band"))
-    labels = link(members, lambda wanted: line_texts(docs, lines, wanted), similarities, shingle_rows, similarity, "line")
-    held = lines.select("doc_id", "node", "line", "start", "end").join(labels.select(F.col("node").alias("line"), "label"), "line", "left")
-    held = materialise(held.select("doc_id", "node", "start", "end", F.coalesce("label", "line").alias("label")), "line-held")
+    members = lines.select(F.col("line").alias("node"), F.explode("bands").alias("band"))
+    labels = link(members, lambda wanted: line_texts(docs, lines, wanted), shingles, similarity, "line")
+    # Only lines that are not the only one of their component go further.
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(labels.withColumnRenamed("node", "line"), "line", "left")
+    counted = counted.select("line", F.coalesce("label", "line").alias("label"), "n")
+    several = counted.groupBy("label").agg(F.sum("n").alias("all")).where("all > 1").select("label")
+    several = materialise(counted.join(several, "label").select("line", "label"), "line-several")
+    held = materialise(lines.select("doc_id", "node", "line", "start", "end").join(several, "line").drop("line"), "line-held")
     rank = F.struct(F.col("doc_id").isNotNull().alias("set"), F.col("doc_id").alias("id"), "start", "node")
     firsts = held.groupBy("label").agg(F.min(rank).alias("least"), F.max(rank).alias("last")).where("least <> last").select("label", "least")
     firsts = materialise(firsts, "line-firsts")

@@ -1,87 +1,260 @@
 """Linked nodes from bucketed candidates, without emitting a bucket's pairs.
 
-``members`` has the nodes of every band bucket.  Each member is compared with
-its bucket's most central node (the one that meets most others over all its
-buckets).  Buckets whose nodes then form one component are done.  In the
-others, pairs of different components are compared unless they cannot reach
-the threshold.  Two nodes share at most the lesser of what each shares with
-the central node, plus the lesser of what each has beyond it, not counting
-shingles that no other text of these buckets holds; that bounds the similarity
-from above.  So every pair of a bucket is verified, connected or proven
-unlike; no link is lost.
+``members`` has the nodes of every band bucket.  Three passes find the links:
+
+1. Each member is compared with its bucket's leader, the node that meets most
+   others over all its buckets.
+2. Buckets whose nodes are not one component then form groups, by the
+   component of their leader.  A group's centre, the nearest node to the leader
+   of its largest bucket (near copies of one text are nearest to that text), is
+   compared with the others.  How each differs from it is kept: the shingles it
+   lacks and those it has beyond.
+3. What two nodes of a group share follows from those differences alone::
+
+       shared = centre - lacks(x) - lacks(y) + lacked by both + beyond in both
+
+   so nodes of different components are matched as small matrices, chunk of the
+   group against chunk, in tasks of bounded size.  A task returns no pairs but
+   the edges that join components (a forest); their texts decide.
+
+So every pair of a bucket is verified, connected or proven unlike; no link is
+lost.  A group's chunks meet each other, but only where one holds nodes outside
+the largest component, and only within a factor of weight that similarity
+allows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from . import ragged
+from .common import materialise, temporary
 from .components import connected_components
 
-Compare = Callable[[DataFrame, DataFrame], DataFrame]
+#: Text number, shingle and weight of each distinct shingle of the texts, by text and shingle; a shingle's weight is the same in all texts.
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+#: Crowded bands (longs) that are broadcast; beyond that they are joined by a shuffle.
+MAX_BROADCAST_BANDS = 1 << 18
+#: Bytes of differences that one chunk of a group holds, about.
+CHUNK_BYTES = 1 << 20
+#: Columns of the matrices that are multiplied at once.
+_COLUMNS = 4096
+_PAIRS = 4096
+#: Weights in millionths, to which all weights are rounded, so that sums of them are exact.
+_UNIT = 1e-6
+_DELTA = np.dtype([("token", np.uint32), ("weight", np.uint32)])
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], compare: Compare, shingles: Callable[[DataFrame], DataFrame], threshold: float, name: str) -> DataFrame:
+
+def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) of every node linked to another.
 
-    ``members``: distinct (band, node).  ``fetch`` gives the texts of a table
-    of nodes, ``compare`` the similarity of each pair (a, b) given those texts,
-    ``shingles`` the (node, shingle, weight, total) of texts, with one row of
-    weight 0 a node whose shingle is its own; pairs of at least ``threshold``
-    are links.
+    ``members``: band and node, repeated or not.  ``fetch`` gives the texts of a table
+    of nodes, ``sets`` the shingles of texts; pairs whose weighted Jaccard
+    similarity is at least ``threshold`` are links.
     """
+    with temporary(members.sparkSession):
+        return materialise(_linked(members, fetch, sets, threshold, name), f"{name}-labels", keep=True)
+
+
+def _linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"))
     buckets = materialise(buckets.where("a <> b"), f"{name}-buckets")
-    crowded = materialise(members.join(buckets.where("n > 2").select("band", "n"), "band"), f"{name}-crowded")
-    central = crowded.groupBy("node").agg(F.sum("n").alias("met"))
-    leaders = crowded.join(central, "node").groupBy("band").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
-    crowded = materialise(crowded.join(leaders, "band").select("band", "node", "a"), f"{name}-crowded")
+    wanted = buckets.where("n > 2").select("band")
+    # Few bands of all: where they fit, the members are picked without a shuffle.
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_BANDS else wanted
+    crowded = materialise(members.join(wanted, "band", "left_semi").distinct(), f"{name}-crowded")
+    sizes = crowded.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    met = crowded.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = crowded.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("a"))
+    crowded = materialise(crowded.join(leaders, "band"), f"{name}-led")
     pairs = buckets.where("n = 2").select("a", "b").union(crowded.where("a <> node").select("a", F.col("node").alias("b")))
     pairs = materialise(pairs.distinct(), f"{name}-pairs")
     texts = fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    scored = materialise(compare(pairs, texts), f"{name}-scored")
-    edges = scored.where(F.col("similarity") >= threshold).select("a", "b")
-    labels = materialise(connected_components(edges), f"{name}-labels")
-
-    held = crowded.join(labels, "node", "left").select("band", "node", "a", F.coalesce("label", "node").alias("label"))
-    sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    left = materialise(held.join(mixed.select("band", "main"), "band"), f"{name}-open")
+    scored = materialise(compare(pairs, texts, sets), f"{name}-scored")
+    linked = F.col("similarity") >= threshold - 1e-9
+    labels = materialise(connected_components(scored.where(linked).select("a", "b")), f"{name}-labels")
+    of = {x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")}
+
+    # Buckets whose leaders are of one component form a group, named by that.
+    held = crowded.withColumnRenamed("node", "b").join(of["b"], "b", "left").join(of["a"], "a", "left")
+    held = held.select("band", "a", F.col("b").alias("node"), F.coalesce("a_label", "a").alias("group"), F.coalesce("b_label", "b").alias("label"))
+    mixed = held.where("label <> group").select("band").distinct()
+    left = materialise(held.join(mixed, "band", "left_semi"), f"{name}-open")
     if left.isEmpty():
         return labels
-    pool = texts.join(left.select("node").distinct(), "node", "left_semi")
-    weights = materialise(own_weights(shingles(pool)), f"{name}-weights")
-    left = left.where("node <> a").join(weights, "node").join(weights.select(F.col("node").alias("a"), F.col("weight").alias("a_weight")), "a")
-    left = left.join(scored.withColumnRenamed("b", "node"), ["a", "node"])
-    # What a node shares with the bucket's central node, and what it may share with others beyond that.
-    inner = F.col("similarity") * (F.col("weight") + F.col("a_weight")) / (1 + F.col("similarity"))
-    left = left.withColumn("inner", inner).withColumn("outer", F.greatest(F.col("weight") - F.col("inner") - F.col("own"), F.lit(0.0)))
-    left = materialise(left.select("band", "node", "label", "main", "weight", "inner", "outer"), f"{name}-bounds")
-
-    def side(rows: DataFrame, x: str) -> DataFrame:
-        return rows.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("label", "weight", "inner", "outer")))
-
-    p, q = side(left.where("label <> main"), "p"), side(left, "q")
-    most = F.least("p_inner", "q_inner") + F.least("p_outer", "q_outer")
-    near = most >= threshold * (F.col("p_weight") + F.col("q_weight") - most) - 1e-6
-    met = p.join(q, (p["band"] == q["band"]) & (F.col("p_label") != F.col("q_label")) & near)
-    fresh = materialise(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), f"{name}-rest")
-    if fresh.isEmpty():
+    # Its centre: the nearest node to the leader of its largest bucket.
+    largest = left.groupBy("group", "band", "a").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "band", "a")).alias("x"))
+    largest = largest.select("group", F.col("x.band").alias("band"), F.col("x.a").alias("a"))
+    near = left.join(largest, ["group", "band", "a"]).join(scored.withColumnRenamed("b", "node"), ["a", "node"])
+    near = near.groupBy("group").agg(F.max(F.struct("similarity", "node"))["node"].alias("centre"))
+    left = materialise(left.select("group", "node").distinct().join(near, "group"), f"{name}-groups")
+    again = left.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    measured = materialise(compare(again, texts, sets, deltas=True), f"{name}-measured")
+
+    rows = measured.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    # Nodes linked to the centre are of its component by now.
+    label = F.when(linked, F.coalesce("a_label", "a")).otherwise(F.coalesce("b_label", "b"))
+    rows = rows.select(F.col("a").alias("centre"), F.col("b").alias("node"), label.alias("label"), "weight", "lacks", "deltas", (F.col("weight") + F.col("lacks") - F.col("extra")).alias("whole"))
+    fresh = materialise(joining_edges(rows, threshold), f"{name}-rest")
+    more = measured.where(linked).select("a", "b").union(compare(fresh, texts, sets).where(linked).select("a", "b"))
+    # Components of components: only edges between different labels are left.
+    across = more.join(of["a"], "a", "left").join(of["b"], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    across = materialise(across.where("a <> b").distinct(), f"{name}-across")
+    if across.isEmpty():
         return labels
-    more = compare(fresh, texts).where(F.col("similarity") >= threshold).select("a", "b")
-    return materialise(connected_components(edges.union(more)), f"{name}-labels")
+    joined = materialise(connected_components(across).select(F.col("node").alias("label"), F.col("label").alias("least")), f"{name}-joined")
+    fresh_nodes = joined.join(labels.select("label").distinct(), "label", "left_anti").select(F.col("label").alias("node"), "least")
+    old = labels.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return old.union(fresh_nodes.select("node", F.col("least").alias("label")))
+
+
+def joining_edges(rows: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) that reach the threshold and join the labels of each group; enough of them, not all.
+
+    ``rows``: centre (which names the group), node, label, weight, lacks and
+    deltas as of :func:`compare`, whole (the centre's weight).  Similar nodes
+    differ in weight by a factor of ``1 / threshold`` at most, so chunks are
+    made by level of the weight and meet those of the same and the next levels.
+    """
+    sizes = rows.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("deltas")).alias("bytes"))
+    sizes = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    level = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) / (1.0001 * math.log(1 / threshold))).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("bytes") + 1) / CHUNK_BYTES))
+    rows = rows.join(sizes.select("centre", "main", "bytes"), "centre").withColumn("level", level).withColumn("part", part)
+    item = F.collect_list(F.struct("node", "label", "weight", "lacks", "deltas"))
+    every = rows.groupBy("centre", "level", "part").agg(item.alias("q"), F.max("whole").alias("whole"))
+    asked = rows.where("label <> main").groupBy("centre", "level", "part").agg(item.alias("p"))
+    asked = asked.select("centre", "p", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"))
+    met = asked.join(every.select("centre", "level", "q", "whole"), ["centre", "level"]).select("p", "q", "whole")
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q = (_Chunk(batch.column(c).slice(i, 1)) for c in ("p", "q"))
+                ends = forest(p, q, batch.column("whole")[i].as_py(), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(0)), pa.array(ends.max(0))], ["a", "b"])
 
-def own_weights(rows: DataFrame) -> DataFrame:
-    """node, weight (of all its shingles) and own (of those that no other node has), from (node, shingle, weight, total)."""
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"), F.min("total").alias("total")).where("n = 1")
-    return single.groupBy("node").agg(F.sum("weight").alias("own"), F.max("total").alias("weight"))
+    return met.mapInArrow(match, "a long, b long").distinct()
 
 
-def pair_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, a_text and b_text of every pair; the side of frequent nodes (a) is joined last, so their text is not shuffled."""
+class _Chunk:
+    """Nodes of a group and how they differ from its centre."""
+
+    def __init__(self, cell: pa.Array):
+        items = cell.flatten()
+        self.node, self.label, self.weight, self.lacks = (items.field(c).to_numpy() for c in ("node", "label", "weight", "lacks"))
+        parts = [np.frombuffer(b, dtype=_DELTA) for b in items.field("deltas").to_pylist()]
+        self.row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        both = np.concatenate(parts) if parts else np.zeros(0, _DELTA)
+        self.token, self.value = both["token"], np.sqrt(both["weight"] * _UNIT)
+
+
+def forest(p: _Chunk, q: _Chunk, whole: float, threshold: float) -> np.ndarray:
+    """Pairs of nodes (two rows) that reach the threshold, as many as join the labels of the chunks that such pairs can join."""
+    none = np.zeros((2, 0), dtype=np.int64)
+    if len(np.union1d(p.label, q.label)) < 2:
+        return none
+    # Only differences that both chunks hold add to what two nodes share.
+    tokens = np.intersect1d(p.token, q.token)
+    shared = whole - p.lacks[:, None] - q.lacks[None]
+    sides = []
+    for c in (p, q):
+        column = np.searchsorted(tokens, c.token)
+        use = np.flatnonzero(tokens[np.minimum(column, len(tokens) - 1)] == c.token) if len(tokens) else np.zeros(0, np.int64)
+        use = use[np.argsort(column[use], kind="stable")]
+        sides.append((c.row[use], column[use], c.value[use], len(c.node)))
+    for low in range(0, len(tokens), _COLUMNS):
+        width, parts = min(_COLUMNS, len(tokens) - low), []
+        for row, column, value, n in sides:
+            x, y = np.searchsorted(column, [low, low + width])
+            part = np.zeros((n, width))
+            part[row[x:y], column[x:y] - low] = value[x:y]
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    total = p.weight[:, None] + q.weight[None]
+    near = shared * (1 + threshold) >= threshold * total - _UNIT / 10
+    labels = np.concatenate([p.label, q.label])
+    edges = []
+    for i in range(len(p.node)):
+        for j in np.flatnonzero(near[i]):
+            one, other = labels[i], labels[len(p.node) + j]
+            if one != other:
+                edges.append((p.node[i], q.node[j]))
+                labels[labels == other] = one
+    return np.array(edges, dtype=np.int64).T if edges else none
+
+
+def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, deltas: bool = False) -> DataFrame:
+    """The exact similarity of each pair (a, b) of nodes, given their texts.
+
+    With ``deltas`` also b's weight, the weights of what it lacks of a and of
+    what it has beyond (extra), and both as tokens: hashed to 31 bits, the
+    lowest bit telling one kind from the other, with their weights.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = batch.column("a_text"), batch.column("b_text")
+            for x, y in ragged.groups(two):
+                for u, v in ragged.groups(one.slice(x, y - x)):
+                    for at in range(x + u, x + v, _PAIRS):
+                        n = min(_PAIRS, x + v - at)
+                        found = overlaps(one.slice(at, n), two.slice(at, n), sets, deltas)
+                        yield pa.RecordBatch.from_arrays([batch.column("a").slice(at, n), batch.column("b").slice(at, n), *found], names)
+
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    return right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    # The side of frequent nodes is joined last, so that their texts are not shuffled with each pair.
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    more = ["weight double", "lacks double", "extra double", "deltas binary"] if deltas else []
+    names = ["a", "b", "similarity", *(c.split()[0] for c in more)]
+    return both.mapInArrow(work, ", ".join(["a long, b long, similarity double", *more]))
+
+
+def overlaps(one: pa.Array, two: pa.Array, sets: Sets, deltas: bool = False) -> list[pa.Array]:
+    """The columns that :func:`compare` adds, for a batch of pairs; a text that occurs in many pairs is taken apart once."""
+    n = len(one)
+    coded = pa.concat_arrays([one.cast(pa.large_string()), two.cast(pa.large_string())]).fill_null("").dictionary_encode()
+    codes = coded.indices.to_numpy()
+    owner, shingle, weight = sets(coded.dictionary)
+    heads = np.searchsorted(owner, np.arange(len(coded.dictionary) + 1))
+    totals = np.bincount(owner, weight, len(coded.dictionary))
+    bits = np.uint64(max(n - 1, 1).bit_length())
+
+    def spread(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair's text: the pair, the place of each shingle, and a key of both in rising order."""
+        counts = heads[texts + 1] - heads[texts]
+        pair = np.repeat(np.arange(n), counts)
+        at = np.arange(len(pair)) + np.repeat(heads[texts] - (np.cumsum(counts) - counts), counts)
+        return pair, at, (pair.astype(np.uint64) << (np.uint64(64) - bits)) | (shingle[at] >> bits)
+
+    a_pair, a_at, a_keys = spread(codes[:n])
+    pair, at, keys = spread(codes[n:])
+    hit, a_hit = np.zeros(len(keys), dtype=bool), np.zeros(len(a_keys), dtype=bool)
+    if len(a_keys):
+        place = np.minimum(np.searchsorted(a_keys, keys), len(a_keys) - 1)
+        hit = a_keys[place] == keys
+        a_hit[place[hit]] = True
+    common = np.bincount(pair[hit], weight[at[hit]], n)
+    union = totals[codes[:n]] + totals[codes[n:]] - common
+    out = [pa.array(np.where(union > 0, common / np.where(union > 0, union, 1), 0.0))]
+    if deltas:
+        gone, more = np.flatnonzero(~a_hit), np.flatnonzero(~hit)
+        owner = np.concatenate([a_pair[gone], pair[more]])
+        place = np.concatenate([a_at[gone], at[more]])
+        found = np.empty(len(owner), dtype=_DELTA)
+        found["token"] = (ragged.mix(shingle[place]) >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+        found["token"][len(gone) :] |= np.uint32(1)
+        found["weight"] = np.rint(weight[place] / _UNIT)
+        order = np.argsort(owner, kind="stable")
+        ends = np.searchsorted(owner[order], np.arange(n + 1)) * _DELTA.itemsize
+        flat = pa.py_buffer(found[order].tobytes())
+        lacks, extra = totals[codes[:n]] - common, totals[codes[n:]] - common
+        out += [pa.array(totals[codes[n:]]), pa.array(lacks), pa.array(extra), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), flat])]
+    return out

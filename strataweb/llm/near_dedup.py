@@ -7,9 +7,12 @@ documents that share a band are candidates, candidates are verified by their
 exact weighted Jaccard similarity, and linked documents form classes.
 
 * Equal texts collapse to one node (the first 64 bits of their MD5) first.
-* The IDF of a shingle is the mean over its words.  Word document frequencies
-  cover the whole corpus in a hashed table of ``2 ** DF_BITS`` counters, so
-  the broadcast is of fixed size.
+* The IDF of a shingle is the mean over its words.  Document frequencies of
+  words are counted exactly, over the whole corpus, by a shuffle.  The weight
+  depends on the share of documents that hold a word, whatever the size of the
+  corpus; words in fewer than ``RARE`` of them have the greatest weight, 2, so
+  only the others are broadcast: at most the mean number of distinct words a
+  document divided by ``RARE``.
 * Candidates of a bucket are verified as :mod:`.linking` describes: nobody
   emits all its pairs, and no link between different texts is lost.
 """
@@ -24,13 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ragged
-from .common import materialise
-from .linking import link, pair_texts
+from .common import materialise, temporary
+from .linking import link
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-DF_BITS = 18
+#: Words of this share of the documents, or less, are rare.
+RARE = 1e-3
+#: Words that may be broadcast; beyond that the share that counts as rare grows until they fit.
+MAX_WORDS = 4_000_000
 _TABLE_BITS = 16
 _GROUP = 512 << 10
 
@@ -53,15 +59,74 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ragged.span_hashes(ragged.LOWER[data], starts, ends), docs
 
 
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - DF_BITS)).astype(np.int64)
+class Idf:
+    """Weights of hashed words between 1 and 2: 1 + ln(share) / ln(rare), where share is that of the documents with the word.
 
+    A hash table of the words that are not rare, by the leading 48 bits of
+    their hashes; those that share a slot with another lie in a sorted list.
+    """
 
-def shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, rows: int, rare: float = RARE):
+        order = np.argsort(ids)
+        ids, share = ids[order].astype(np.uint64), np.minimum(counts[order] / max(rows, 1), 1)
+        values = 1 + np.clip(np.log(np.maximum(share, 1e-300)) / np.log(rare), 0, 1)
+        bits = max(int(4 * len(ids)).bit_length(), 4)
+        self.shift = np.uint64(64 - bits)
+        slot = (ids >> (self.shift - np.uint64(16))).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        later = np.ones(len(ids), dtype=bool)
+        later[first] = False
+        self.ids, self.values, self.crowded = np.full(1 << bits, np.uint64(1) << np.uint64(63)), np.full(1 << bits, 2.0), np.zeros(1 << bits, dtype=bool)
+        self.ids[slot[first]], self.values[slot[first]] = ids[first], values[first]
+        self.crowded[slot[later]] = True
+        self.more_ids, self.more_values = ids[later], values[later]
+
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        slot = words >> self.shift
+        ids = words >> np.uint64(16)
+        known = self.ids[slot] == ids
+        out = np.where(known, self.values[slot], 2.0)
+        if len(self.more_ids):
+            rest = np.flatnonzero(self.crowded[slot] & ~known)
+            at = np.minimum(np.searchsorted(self.more_ids, ids[rest]), len(self.more_ids) - 1)
+            same = self.more_ids[at] == ids[rest]
+            out[rest[same]] = self.more_values[at[same]]
+        return out
+
+
+def _word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Leading 48 bits of each word's hash, the number of texts that hold it, and the number of texts with words."""
+    ids, counts, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for a, b in ragged.groups(texts):
+        for x in range(a, b, 1 << 16):
+            words, owner = _words(texts.slice(x, min(b - x, 1 << 16)))
+            keys = np.sort(words >> np.uint64(16) << np.uint64(16) | owner.astype(np.uint64))
+            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> np.uint64(16) if len(keys) else keys
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            ids.append(keys[heads])
+            counts.append(np.diff(np.append(heads, len(keys))))
+            rows += len(np.unique(owner))
+    return *_summed(np.concatenate(ids), np.concatenate(counts)), rows
+
+
+def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(ids, kind="stable")
+    ids, counts = ids[order], counts[order]
+    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
+def shingles(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, hash and weight (term frequency times IDF) of each distinct shingle, by text and hash.
 
     A text of fewer than five words, but not none, is one shingle.
     """
+    owner, grams, weight, times = _counted(texts, idf)
+    return owner, grams, np.round(weight, 6) * times
+
+
+def _counted(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, IDF and term frequency of each distinct shingle, by text and hash."""
     words, docs = _words(texts)
     n = len(texts)
     counts = np.bincount(docs, minlength=n)
@@ -73,20 +138,37 @@ def shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         docs = np.insert(docs, at, np.repeat(np.arange(n), missing))
     grams, at = ragged.ngram_hashes(words, docs, WORDS)
     owner = docs[at]
-    weight = idf[_bucket(words)]
+    weight = idf(words)
     sums = np.zeros(len(weight) + 1)
     np.cumsum(weight, out=sums[1:])
     mean = (sums[at + WORDS] - sums[at]) / WORDS
-    order = np.lexsort((grams, owner))
+    order = ragged.by_owner(owner, grams)
     grams, owner, mean = grams[order], owner[order], mean[order]
     first = np.ones(len(grams), dtype=bool)
     first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     heads = np.flatnonzero(first)
-    times = np.diff(np.append(heads, len(grams)))
-    return owner[heads], grams[heads], np.round(mean[heads] * times, 6)
+    return owner[heads], grams[heads], mean[heads], np.diff(np.append(heads, len(grams)))
 
 
-def band_keys(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`shingles`, with the second, third ... time a text has a shingle as shingles of their own.
+
+    Sets of those have the weighted similarity of the bags: what two texts
+    share of a shingle is the lesser number of times.
+    """
+    owner, grams, weight, times = _counted(texts, idf)
+    place = np.repeat(np.arange(len(grams)), times)
+    nth = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+    again = nth > 0
+    if not again.any():
+        return owner, grams, np.round(weight, 6)
+    owner, tokens = owner[place], grams[place]
+    tokens[again] = ragged.mix(tokens[again] + nth[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = ragged.by_owner(owner, tokens)
+    return owner[order], tokens[order], np.round(weight, 6)[place][order]
+
+
+def band_keys(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (texts x bands) of the sampled signatures, and which texts have words at all."""
     owner, grams, weight = shingles(texts, idf)
     n = len(texts)
@@ -125,32 +207,35 @@ def band_keys(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, has
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Document counts of the hashed words over all rows, and the number of rows with words."""
+def document_frequencies(docs: DataFrame) -> Idf:
+    """The weights of words, from the exact document frequencies of all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, rows = np.zeros(1 << DF_BITS, dtype=np.int64), 0
+        ids, counts, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in ragged.groups(texts):
-                words, owner = _words(texts.slice(a, b - a))
-                pairs = np.unique(_bucket(words) * (b - a) + owner)
-                table += np.bincount(pairs // (b - a), minlength=1 << DF_BITS)
-                rows += len(np.unique(owner))
-        some = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(table[some], rows))], ["bucket", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most 2 ** DF_BITS + 1 rows
-    bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    table = np.zeros(1 << DF_BITS, dtype=np.int64)
-    table[bucket[bucket >= 0]] = n[bucket >= 0]
-    return table, int(n[bucket < 0].sum())
-
-
-def inverse_frequencies(table: np.ndarray, rows: int) -> np.ndarray:
-    """Damped IDF between 1 and 2: 1 + ln((N + 1) / (df + 1)) / ln(N + 2)."""
-    return 1 + np.maximum(np.log((rows + 1) / (table + 1)), 0) / np.log(rows + 2)
+            more, n, some = _word_counts(batch.column("text"))
+            ids, counts = _summed(np.append(ids, more), np.append(counts, n))
+            rows += some
+            if len(ids) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], ["id", "n"])
+                ids, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(ids.view(np.int64), -1)), pa.array(np.append(counts, rows))], ["id", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    with temporary(docs.sparkSession):
+        counted = materialise(counted, "near-words")
+        rows = counted.where("id = -1").agg(F.sum("n")).first()[0] or 0
+        held = counted.where("id <> -1").agg(F.sum("n")).first()[0] or 0
+        # At most held / least words have that count.
+        least = max(RARE * rows, held / MAX_WORDS)
+        found = counted.where((F.col("id") != -1) & (F.col("n") > least)).toArrow()
+    return Idf(found.column("id").to_numpy().view(np.uint64), found.column("n").to_numpy(), rows, max(RARE, least / max(rows, 1)))
+
+
+def idf_of_texts(texts: list[str | None]) -> Idf:
+    """The same of a small corpus in memory."""
+    ids, counts, rows = _word_counts(pa.array(texts, pa.string()))
+    return Idf(ids, counts, rows)
 
 
 def text_node(text: Column) -> Column:
@@ -179,48 +264,6 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {kind}, node long, bands array<bigint>")
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The weighted Jaccard similarity of each pair (a, b) of nodes; ``texts`` has node and text."""
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.zeros(0)]
-            one, two = batch.column("a_text"), batch.column("b_text")
-            for x, y in ragged.groups(one):
-                for u, v in ragged.groups(two.slice(x, y - x)):
-                    out.append(_weighted_jaccard(one.slice(x + u, v - u), two.slice(x + u, v - u), idf.value))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(np.concatenate(out))], ["a", "b", "similarity"])
-
-    return pair_texts(pairs, texts).mapInArrow(compare, "a long, b long, similarity double")
-
-
-def shingle_rows(texts: DataFrame, idf) -> DataFrame:
-    """node, shingle, weight and total of every shingle of ``texts``, and a row of weight 0 for each node."""
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, column = batch.column("node").to_numpy(), batch.column("text")
-            for x, y in ragged.groups(column):
-                owner, grams, weight = shingles(column.slice(x, y - x), idf.value)
-                total = np.bincount(owner, weight, y - x)
-                own = ragged.mix(node[x:y].view(np.uint64))
-                columns = [np.append(node[x:y][owner], node[x:y]), np.append(grams, own).view(np.int64), np.append(weight, np.zeros(y - x)), np.append(total[owner], total)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "shingle", "weight", "total"])
-
-    return texts.select("node", "text").mapInArrow(list_, "node long, shingle long, weight double, total double")
-
-
-def _weighted_jaccard(one: pa.Array, two: pa.Array, idf: np.ndarray) -> np.ndarray:
-    n = len(one)
-    row_a, gram_a, w_a = shingles(one, idf)
-    row_b, gram_b, w_b = shingles(two, idf)
-    sum_a, sum_b = np.bincount(row_a, w_a, n), np.bincount(row_b, w_b, n)
-    key_a, key_b = ragged.mix(gram_a + row_a.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), ragged.mix(gram_b + row_b.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    _, at_a, at_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-    shared = np.bincount(row_a[at_a], np.minimum(w_a[at_a], w_b[at_b]), n)
-    union = sum_a + sum_b - shared
-    return np.where(union > 0, shared / np.where(union > 0, union, 1), 0.0)
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every row's class: doc_id, node, class_id (least doc_id of the class), class_size (rows) and kept.
 
@@ -229,8 +272,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     equal.  A null id sorts before all others and makes a null class_id.
     """
     spark = docs.sparkSession
-    table, rows = document_frequencies(docs)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(table, rows))
+    idf = spark.sparkContext.broadcast(document_frequencies(docs))
     signed = materialise(signatures(docs, idf), "near-signed")
     # Null ids first: a struct of (is it set, id) compares as wanted.
     order = F.struct(F.col("doc_id").isNotNull().alias("set"), F.col("doc_id").alias("id"))
@@ -242,7 +284,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return materialise(by_id.select("node", "text").dropDuplicates(["node"]), "near-texts")
 
     members = nodes.select("node", F.explode("bands").alias("band"))
-    labels = link(members, fetch, lambda pairs, texts: similarities(pairs, texts, idf), lambda texts: shingle_rows(texts, idf), similarity, "near")
+    labels = link(members, fetch, lambda texts: occurrences(texts, idf.value), similarity, "near")
     labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     keeper = F.min(F.struct("least", "node")).alias("keeper")
     classes = labelled.groupBy("label").agg(keeper, F.sum("copies").alias("class_size"))

@@ -136,6 +136,14 @@ def ngram_hashes(words: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarra
     return mix(sums[at]), at
 
 
+def by_owner(owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order by owner, then hash (its leading 40 bits at least)."""
+    bits = np.uint64(int(owner.max()).bit_length() if len(owner) else 0)
+    if not bits:
+        return np.argsort(hashes)
+    return np.argsort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits))
+
+
 def per_text(docs: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(docs, weights=weights, minlength=n)
 
