@@ -9,7 +9,9 @@ before it; nothing is shuffled.
 from __future__ import annotations
 
 import codecs
+import json
 from collections.abc import Callable, Iterator
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
 import pyarrow as pa
@@ -36,6 +38,9 @@ _ARROW = pa.struct([(f.name, {"string": pa.string(), "boolean": pa.bool_(), "int
 _UNREWRITABLE = ("mailto:", "javascript:", "data:")
 _FAVICON = "/favicon.ico"
 _PAGES = ("html", "frames")
+#: What precedes the pager's JSON: fixed value.
+_PAGER = "window.FWP_JSON ="
+_TAGS = "array<struct<tag:string,attributes:array<struct<name:string,value:string>>,text:string>>"
 
 #: Changes the links of a document: (url, kind, body, links) to links.
 Rule = Callable[[str, str, str, list[documents.Link]], list[documents.Link]]
@@ -85,6 +90,48 @@ def with_links(captures: DataFrame, out: str = "links", rules: tuple[Rule, ...]
     return work.mapInArrow(parse, schema)
 
 
+def paginator(url: str, kind: str, body: str, found: list[documents.Link]) -> list[documents.Link]:
+    """A rule for pages of minimalistbaker.com: the pages of the list whose pager a script holds as JSON."""
+    if kind != "html" or url is None or not url.startswith("https://minimalistbaker.com/") or _PAGER not in body:
+        return found
+    split = urlsplit(url)
+    for e in documents.elements(body):
+        if e.tag != "script" or e.text is None or _PAGER not in e.text.text:
+            continue
+        try:
+            data, _ = json.JSONDecoder().raw_decode(e.text.text.partition(_PAGER)[2].lstrip())
+        except ValueError:
+            continue
+        held = data.get("preload_data") if isinstance(data, dict) else None
+        pager = held.get("pager") if isinstance(held, dict) else None
+        for page in documents.elements(pager) if isinstance(pager, str) else ():
+            number = page.attrs.get("data-page")
+            if page.tag == "a" and number is not None:
+                query = {k: v for k, v in parse_qsl(split.query) if k != "fwp_paged"} | ({} if number.text == "1" else {"fwp_paged": number.text})
+                relative = urlunsplit(("", "", split.path, urlencode(query), split.fragment))
+                found = [*found, documents.Link(relative, "Paginator Reference", number.text, False, "script", "string", *(None,) * 7)]
+    return found
+
+
+def find_tags(docs: DataFrame, html: str, tag: str | None = None, attribute: str | None = None, equals: str | None = None, matches: str | None = None) -> DataFrame:
+    """One row a tag that fits, with ``docs``' other columns: pos (from 0 within the document), tag, attributes and text.
+
+    A tag fits if it is named ``tag``, has the attribute, and the attribute's
+    value equals or matches (a regular expression anywhere in it) what is given.
+    """
+    rest = [c for c in docs.columns if c != html]
+    fits = F.lit(True)
+    if tag is not None:
+        fits &= F.col("e.tag") == tag.lower()
+    if attribute is not None:
+        value = F.try_element_at(F.map_from_entries("e.attributes"), F.lit(attribute.lower()))
+        fits &= value.isNotNull()
+        fits = fits & (value == equals) if equals is not None else fits
+        fits = fits & value.rlike(matches) if matches is not None else fits
+    parse = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else [{"tag": e.tag, "attributes": [{"name": k, "value": v.text} for k, v in e.attrs.items()], "text": e.text.text if e.text else None} for e in documents.elements(t)]), _TAGS)
+    return docs.select(*rest, F.posexplode(parse(F.col(html))).alias("pos", "e")).where(fits).select(*rest, "pos", "e.tag", F.map_from_entries("e.attributes").alias("attributes"), "e.text")
+
+
 def html_links(html: Column) -> Column:
     """The links of an HTML text, not resolved."""
     return F.pandas_udf(lambda texts: texts.map(lambda t: [k._asdict() for k in documents.html_links(t)] if t is not None else None), T.ArrayType(LINK_TYPE))(html)

@@ -74,3 +74,30 @@ def orphans(revisions: DataFrame, bodies: DataFrame) -> DataFrame:
     lacking = revisions.where(~http.has_error(F.col("error"))).join(bodies.select("id"), "id", "left_anti").select("id", F.lit("missing body").alias("problem"))
     stray = bodies.join(revisions.select("id"), "id", "left_anti").select("id", F.lit("missing revision").alias("problem"))
     return lacking.union(stray)
+
+
+def repairs(revisions: DataFrame, bodies: DataFrame, n: int = 3) -> DataFrame:
+    """The id of the newest revision, if its body is missing and those of the ``n`` good ones before it are there: what a repair removes.
+
+    Where earlier bodies are missing too, the store itself is away or broken,
+    and nothing is named.
+    """
+    error = http.has_error(F.col("error"))
+    before = latest_ok(revisions, error, n).join(bodies.select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("_readable"))
+    last = revisions.where(~error).orderBy(F.desc("id")).limit(1).join(revisions.agg(F.max("id").alias("id")), "id", "left_semi")
+    return last.join(bodies.select("id"), "id", "left_anti").crossJoin(F.broadcast(before)).where(F.col("_readable") == n).select("id")
+
+
+def deleted(revisions: DataFrame, bodies: DataFrame, resources: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resources, revisions and bodies without the resources of ``gone`` (id) and what belongs to them."""
+    ids = gone.select("id")
+    mine = revisions.join(ids.withColumnRenamed("id", "resource_id"), "resource_id", "left_semi")
+    kept = revisions.join(ids.withColumnRenamed("id", "resource_id"), "resource_id", "left_anti").select(revisions.columns)
+    return resources.join(ids, "id", "left_anti").select(resources.columns), kept, bodies.join(mine.select("id"), "id", "left_anti").select(bodies.columns)
+
+
+def renamed(table: DataFrame, names: DataFrame, key: str = "id") -> DataFrame:
+    """A table of roots, groups or the like with the new names of ``names`` (key, name); others stay."""
+    new = names.select(key, F.col("name").alias("_name"), F.lit(True).alias("_new"))
+    joined = table.join(new, key, "left")
+    return joined.withColumn("name", F.when(F.col("_new"), F.col("_name")).otherwise(F.col("name"))).select(table.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
 from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
-from ..sources import bodies, scratch
+from ..sources import bodies, project, scratch
 from ..streaming import membership as streaming
 from . import model
 
@@ -528,6 +528,19 @@ def best_prediction(s, d):
     return best.select(F.col("request_id").cast("int").alias("request_id"), "url_pattern")
 
 
+@query(
+    f"""WITH {LINKS}, q AS (SELECT page_id * 1000 + min(pos) AS request_id, page_id AS source_id, url AS page, target_url AS url FROM tl GROUP BY page_id, url, target_url),
+    n AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM q)
+    SELECT request_id, url, 'root_resource' AS source_type, source_id, CASE WHEN n >= 3 THEN regexp_extract(page, '^([a-z]+://[^/?#]*)', 1) || '/*' END AS url_pattern FROM n"""
+)
+def detect_regular_pages(s, d):
+    """Every link of every page as a request from that page, which is a root."""
+    found = _links(s, d).groupBy("id", "url", "target_url").agg(F.min("pos").alias("pos"))
+    requests = found.select((F.col("id") * 1000 + F.col("pos")).alias("request_id"), F.col("target_url").alias("url"), F.col("url").alias("referrer_url"))
+    roots = model.resources(s, d).select(F.col("id").alias("root_id"), "url")
+    return inference.detect_regular(requests, roots, model.GROUPS, model.resources(s, d), found.select("url", "target_url")).drop("referrer_url")
+
+
 # Bodies, samples, streams
 
 
@@ -572,3 +585,30 @@ def stream_group_membership(s, d):
     root = scratch.new_folder(s, "stream")
     streaming.run_available(found, f"{root}/out", f"{root}/state")
     return s.read.schema(found.schema).parquet(f"{root}/out")
+
+
+@query("SELECT page_id AS id, octet_length(encode(html)) AS size, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")
+def packed_bodies(s, d):
+    """Every page's body written to packs in the shared folder, and read back from there."""
+    folder = scratch.new_folder(s, "packs")
+    body = model.captures(s, d).select("id", F.encode("body", "UTF-8").alias("body"))
+    bodies.write_packs(body, folder).write.format("noop").mode("overwrite").save()
+    return bodies.read_bodies(s, folder).select("id", "size", F.sha2("body", 256).alias("digest"))
+
+
+@query(
+    f"""WITH {REV}, {HEAD} SELECT resource_id, error <> 'null' AS failed, CASE WHEN error = 'null' THEN status_code END AS status_code, CASE WHEN error = 'null' THEN strftime(date, '%a, %d %b %Y %H:%M:%S GMT') END AS date,
+    CASE WHEN error = 'null' THEN octet_length(encode('body ' || id)) END AS size, (SELECT count(*) FROM rev) AS n_ids, (SELECT count(*) FROM rev) AS last_id FROM head"""
+)
+def record_revisions(s, d):
+    """Events as responses and failures, recorded in the shared folder and read back with their bodies."""
+    rev = model.revisions(s, d)
+    error = F.when(http.has_error(F.col("error")), F.struct(F.lit("IOError").alias("type"), F.lit("lost").alias("message")))
+    headers = F.filter("headers", lambda h: F.lower(h[0]) != "date")
+    fetched = rev.select("resource_id", "request_cookie", F.lit(11).alias("http_version"), "status_code", F.lit("OK").alias("reason_phrase"), headers.alias("headers"), F.encode(F.concat(F.lit("body "), F.col("id").cast("string")), "UTF-8").alias("body"), error.alias("error"), F.col("date").cast("timestamp").alias("fetched_at"))
+    folder = scratch.new_folder(s, "project")
+    project.record_revisions(s, fetched, folder)
+    rows, held = s.read.parquet(f"{folder}/resource_revision"), s.read.parquet(f"{folder}/revision_body").select("id", "size")
+    ids = rows.agg(F.countDistinct("id").alias("n_ids"), F.max("id").alias("last_id"))
+    made = rows.join(held, "id", "left").withColumn("m", http.decode_metadata(F.col("metadata"))).crossJoin(F.broadcast(ids))  # one row
+    return made.select("resource_id", http.has_error(F.col("error")).alias("failed"), F.col("m.status_code").alias("status_code"), http.first_header(F.col("m.headers"), "date").alias("date"), "size", "n_ids", "last_id")

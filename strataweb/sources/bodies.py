@@ -7,10 +7,14 @@ in folders of three.  ``pack16``: archives of 16 consecutive revisions.
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,54 +67,107 @@ def read_loose(spark: SparkSession, project: str, hierarchical: bool = True) ->
     return files.select(id_.alias("id"), F.col("content").alias("body"), F.col("length").alias("size")).where(F.col("id").isNotNull())
 
 
-def read_packs(spark: SparkSession, project: str) -> DataFrame:
-    """id, body and size of every entry of the packs; archives and entries that cannot be read are skipped."""
+#: What the archive module raises on entries that are broken, encrypted or packed by an unknown method.
+_UNREADABLE = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, ValueError, EOFError, OSError)
+
+
+def _packs(spark: SparkSession, project: str) -> DataFrame:
+    """first (the least id a pack may hold) and content of every pack file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_.zip").load(f"{project}/revisions")
-    base = F.conv(F.regexp_replace(F.regexp_extract("path", r"/revisions/((?:[0-9a-f]{3}/){4}[0-9a-f]{2})_\.zip$", 1), "/", ""), 16, 10).cast("long") * PACK
+    digits = F.regexp_replace(F.regexp_extract("path", r"/revisions/((?:[0-9a-f]{3}/){4}[0-9a-f]{2})_\.zip$", 1), "/", "")
+    return files.where(digits != "").select((F.conv(digits, 16, 10).cast("long") * PACK).alias("first"), "content")
+
+
+def _entries(first: int, content: pa.Scalar, with_bodies: bool) -> Iterator[tuple[int, bytes | None]]:
+    """Ids and bodies of a pack's readable entries; an entry's name has the last three hex digits of its id."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
+    except _UNREADABLE:
+        return
+    with archive:
+        for info in archive.infolist():
+            try:
+                yield (first >> 12 << 12) + int(info.filename, 16), archive.read(info) if with_bodies else None
+            except _UNREADABLE:
+                continue
+
+
+def read_packs(spark: SparkSession, project: str) -> DataFrame:
+    """id, body and size of every entry of the packs; entries that cannot be read are skipped, others of their pack are not."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
-                ids, bodies = [], []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                        for info in archive.infolist():
-                            # An entry's name has the last three hex digits of its id.
-                            ids.append((first >> 12 << 12) + int(info.filename, 16))
-                            bodies.append(archive.read(info))
-                except (zipfile.BadZipFile, ValueError):
-                    continue
+                found = list(_entries(first, content, True))
+                ids, bodies = [i for i, _ in found], [b for _, b in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())], ["id", "body", "size"])
 
-    return files.select(base.alias("first"), "content").mapInArrow(unpack, "id long, body binary, size long")
+    return _packs(spark, project).mapInArrow(unpack, "id long, body binary, size long")
+
+
+def pack_entries(spark: SparkSession, project: str) -> DataFrame:
+    """The ids that the packs' directories name; nothing is unpacked."""
+
+    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in _entries(first, content, False)], pa.int64())], ["id"])
+
+    return _packs(spark, project).mapInArrow(list_, "id long")
 
 
 def read_bodies(spark: SparkSession, project: str) -> DataFrame:
     """Bodies of a project in packs, with loose files where a pack lacks them."""
     packed, loose = read_packs(spark, project), read_loose(spark, project)
-    return packed.union(loose.join(packed.select("id"), "id", "left_anti").select("id", "body", "size"))
+    return packed.union(loose.join(pack_entries(spark, project), "id", "left_anti").select("id", "body", "size"))
 
 
 def write_packs(bodies: DataFrame, folder: str) -> DataFrame:
-    """Write id and body as packs below ``folder``, a path that all executors can write; returns path and n of each pack.
+    """Write id and body as packs below ``folder``; returns path and n of each pack, and writes when that is computed.
 
-    Entries are stored, not deflated; a pack is written beside its place and
-    renamed, so readers never see half of one.
+    ``folder`` is a path or URI of a file system that all executors share
+    (local paths only where they are mounted everywhere; ``hdfs://``, ``s3://``
+    and ``gs://`` by PyArrow's file systems).  Entries are stored, not
+    deflated; a pack is written beside its place and renamed, so readers never
+    see half of one and a task that runs again replaces its pack.
     """
 
     def pack(table: pa.Table) -> pa.Table:
-        import os
-
         rows = sorted(zip(table.column("id").to_pylist(), table.column("body").to_pylist(), strict=True))
         digits = f"{rows[0][0]:015x}"
         name = "/".join(digits[k : k + 3] for k in range(0, 12, 3)) + f"/{digits[12:14]}_.zip"
-        target = f"{folder.removeprefix('file://')}/revisions/{name}"
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with zipfile.ZipFile(f"{target}.part-{os.getpid()}", "w", zipfile.ZIP_STORED) as archive:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as archive:
             for id_, body in rows:
                 archive.writestr(f"{id_ % 4096:03x}", body)
-        os.replace(f"{target}.part-{os.getpid()}", target)
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else os.path.abspath(folder))
+        target = f"{root}/revisions/{name}"
+        store.create_dir(os.path.dirname(target), recursive=True)
+        part = f"{target}.part-{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as out:
+            out.write(held.getvalue())
+        store.move(part, target)
         return pa.table({"path": [name], "n": pa.array([len(rows)], pa.int64())})
 
     readable = bodies.where(F.col("body").isNotNull()).select("id", "body", pack_id(F.col("id")).alias("pack_id"))
     return readable.groupBy("pack_id").applyInArrow(pack, "path string, n long")
+
+
+def rewrite_packs(spark: SparkSession, project: str, gone: DataFrame, folder: str) -> DataFrame:
+    """The packs of ``project`` that hold a body to delete (``gone``: id), written to ``folder`` without those.
+
+    path and n of each; packs of which nothing is left have n = 0, are not
+    written, and are to be deleted.  Packs that hold none of ``gone`` are not
+    touched.
+    """
+    touched = gone.select(pack_id(F.col("id")).alias("pack_id")).distinct()
+    bodies = read_packs(spark, project).withColumn("pack_id", pack_id(F.col("id"))).join(touched, "pack_id", "left_semi")
+    left = bodies.join(gone.select("id"), "id", "left_anti")
+    written = write_packs(left.select("id", "body"), folder)
+    names = touched.select(F.regexp_replace(pack_path(F.col("pack_id") * PACK), "^revisions/", "").alias("path"))
+    return names.join(written, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def migrate(spark: SparkSession, project: str, folder: str, hierarchical: bool = True) -> DataFrame:
+    """A project of loose files (flat or hierarchical) as packs in ``folder``; one job, each body read once."""
+    return write_packs(read_loose(spark, project, hierarchical).select("id", "body"), folder)

@@ -5,10 +5,14 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import http
+from .scratch import written
+
 #: The tables and the columns that any version of the format has, with the defaults of later ones.
 TABLES = {
     "project_property": "name string, value string",
@@ -96,3 +100,44 @@ def export(spark: SparkSession, path: str, folder: str) -> None:
 def open_project(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables of an exported project."""
     return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+
+
+def revision_rows(fetched: DataFrame, last_id: int = 0) -> DataFrame:
+    """Responses and failures as rows of ``resource_revision`` with their bodies: id, resource_id, request_cookie, error, metadata, body.
+
+    ``fetched`` has resource_id, request_cookie, http_version, status_code,
+    reason_phrase, headers, body, error (struct of type and message, null for
+    a response) and fetched_at.  A response without a Date header gets one; a
+    failure has no metadata and no body.  Ids follow ``last_id`` without gaps;
+    they come from counts by hash range and ranks within, not from one sort.
+    """
+    failed = F.col("error").isNotNull()
+    headers = http.with_date(F.col("headers"), F.col("fetched_at"))
+    metadata = http.encode(F.struct("http_version", "status_code", "reason_phrase", headers.alias("headers")))
+    rows = fetched.withColumn("_part", F.pmod(F.xxhash64("resource_id", "fetched_at"), F.lit(1024)))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows at most
+    starts = counts.select("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("resource_id", "fetched_at", F.col("request_cookie")))
+    numbered = rows.withColumn("_rank", rank).join(F.broadcast(starts), "_part")
+    return numbered.select(
+        (F.lit(last_id) + F.col("start") + F.col("_rank")).cast("long").alias("id"), "resource_id", "request_cookie",
+        F.when(failed, F.to_json("error")).otherwise("null").alias("error"), F.when(~failed, metadata).alias("metadata"), F.when(~failed, F.col("body")).alias("body"),
+    )
+
+
+def record_revisions(spark: SparkSession, fetched: DataFrame, folder: str) -> None:
+    """Append responses and failures to the Parquet tables ``revision_body`` and ``resource_revision`` of ``folder``.
+
+    Bodies are committed before the rows that name them: a row never lacks its
+    body, and a body whose row was not written is what ``revisions.orphans``
+    reports.  One writer at a time.
+    """
+    table = f"{folder}/resource_revision"
+    try:
+        last = spark.read.parquet(table).agg(F.max("id")).first()[0] or 0
+    except AnalysisException:
+        last = 0
+    rows = written(revision_rows(fetched, last), "revisions")
+    rows.where(F.col("body").isNotNull()).select("id", "body", F.octet_length("body").cast("long").alias("size")).write.mode("append").parquet(f"{folder}/revision_body")
+    rows.drop("body").write.mode("append").parquet(table)

@@ -1,5 +1,6 @@
 """Link rules, their places and rewriting against known bodies."""
 
+import json
 import random
 
 import pytest
@@ -153,3 +154,22 @@ def test_insertions(spark):
     assert made[0][0] == page.replace("<head>", '<head><link rel="icon" href="/i?a&amp;&quot;b">') and made[1][0] == '<link rel="icon" href="/i?a&amp;&quot;b"><p>bare'
     assert made[0][1] == page.replace("<head>", '<head><meta name="robots" content="none">')
     assert [r[2] for r in made] == [page.replace("</body>", '<a id="foot">z</a></body>'), "<p>bare", "<body><a id='foot'>f</a></body>"]
+
+
+def test_pager_of_a_script(spark):
+    pager = '<a class="facetwp-page active" data-page="1">1</a><a class="facetwp-page" data-page="3">3</a>'
+    body = "<script>x();\nwindow.FWP_JSON = " + json.dumps({"preload_data": {"pager": pager}}) + ";\n</script>"
+    rows = captures(spark, [("https://minimalistbaker.com/r?a=b&fwp_paged=2", body, "text/html"), ("https://other.com/r", body, "text/html"), ("https://minimalistbaker.com/r", "<script>window.FWP_JSON = {;</script>", "text/html")])
+    found = [[(k["relative_url"], k["type_title"], k["title"], k["target_url"]) for k in r["links"]] for r in links.with_links(rows, rules=(links.paginator,)).collect()]
+    assert found == [[("/r?a=b", "Paginator Reference", "1", "https://minimalistbaker.com/r?a=b"), ("/r?a=b&fwp_paged=3", "Paginator Reference", "3", "https://minimalistbaker.com/r?a=b&fwp_paged=3")], [], []]
+
+
+def test_tags_by_name_and_attribute(spark):
+    df = spark.createDataFrame([(1, '<p class="a">x<A Class="nav b" href=u>y</A><p>z'), (2, None), (3, "")], "id int, html string")
+
+    def found(**how):
+        return [(r["id"], r["pos"], r["tag"], r["text"]) for r in links.find_tags(df, "html", **how).collect()]
+
+    assert found() == [(1, 0, "p", "x"), (1, 1, "a", "y"), (1, 2, "p", "z")]
+    assert found(tag="p", attribute="class") == [(1, 0, "p", "x")]
+    assert found(attribute="class", matches=r"\bnav\b") == [(1, 1, "a", "y")] and found(attribute="href", equals="v") == []
