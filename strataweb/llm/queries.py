@@ -14,6 +14,7 @@ SHARDS = 24
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null or empty text is scored by an empty text's statistics, a null id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), trainable=~quality.held_out(F.col("doc_id")))
     held = quality.held_out(F.col("doc_id")).alias("held_out")
@@ -21,27 +22,33 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_removed and removed (spans with the first document's id) of every document; null and empty texts have no lines."""
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, block, slot and position of every document; a null source is the empty one, repeated rows have places of their own."""
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that is left, removed, n_removed and removed_chars of every document; a null text stays null."""
     return substring_dedup.deduplicate(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law (rows), curve, shard, slot and grown_shard (null) of every document; a null text has size 8."""
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS, keep=["doc_id"])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; a null text has no words, benchmark rows without id or text no windows."""
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, n_leaves, and after one edit in the middle edited_tokens, edited_chars and reencoded_chars of every document; a null text has no tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # Every document is edited in its middle: forty characters give way to a note.
     middle = F.expr("length(text) div 2")
@@ -53,15 +60,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the five counts, base_failed and kept of every document; a null or empty text has no words and fails."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.drop("n_covered", "longest_repeat")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id (least id of its class), class_size and kept of every document; a null text is an empty one, texts without words are alike only if equal, a null id comes first."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, strict_hits, soft_hits and score of every page; a null URL has empty parts and is allowed."""
     return url_filter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
