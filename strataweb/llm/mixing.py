@@ -37,6 +37,8 @@ BLOCK = 16
 TEMPERATURE = 0.5
 #: Rows of a ranking group, about.
 BUCKET_ROWS = 2048
+#: Ranking groups whose offsets one task sums.
+RUN = 4096
 #: Weights are rounded to parts of this, which is a block in about 10 ** 12 slots.
 SCALE = 1 << 40
 _OWN = "_mix_"
@@ -209,8 +211,14 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None
     parts = _longs([max(1, -(-n // BUCKET_ROWS)) for n in sizes] or [1])
     rows = rows.withColumn("h", h).withColumn("bucket", F.shiftright(F.col("h") * F.get(parts, F.col("lane")), 32))
     groups = rows.groupBy("lane", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("lane").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("lane", "bucket", "n", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    groups = materialise(groups.withColumn("run", F.expr(f"bucket div {RUN}")), "mix-groups")
+    # Running sums in two steps, within runs of groups and over runs, so that a hot lane is many tasks' work.
+    runs = groups.groupBy("lane", "run").agg(F.sum("n").alias("all"))
+    before = Window.partitionBy("lane").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("lane", "run", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("lane", "run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = groups.withColumn("in_run", F.coalesce(F.sum("n").over(within), F.lit(0))).join(runs, ["lane", "run"])
+    offsets = offsets.select("lane", "bucket", "n", (F.col("ahead") + F.col("in_run")).alias("first"))
     # The schedule of each group's blocks, so that the rows themselves stay where they were ranked.
     timed = [k for k, w in enumerate(whole) if w]
     turns = materialise(schedule(spark, [whole[k] for k in timed], [sizes[k] for k in timed], block), "mix-schedule")
