@@ -9,7 +9,7 @@ writes what an earlier one has written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import new_folder, written
@@ -43,9 +43,11 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, g
     depth = 0
     while max_depth is None or depth < max_depth:
         found = reached(depth).join(steps, "url").select(F.col("target_url").alias("url")).distinct()
-        found.join(reached().select("url"), "url", "left_anti").write.parquet(f"{folder}/depth={depth + 1}")
+        size = Observation()  # counted as it is written
+        fresh = found.join(reached().select("url"), "url", "left_anti").observe(size, F.count(F.lit(1)).alias("n"))
         depth += 1
-        if reached(depth).isEmpty():
+        fresh.write.parquet(f"{folder}/depth={depth}")
+        if not size.get["n"]:
             break
     return reached().select("url", "depth")
 
