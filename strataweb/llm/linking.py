@@ -40,8 +40,8 @@ from .components import connected_components
 #: Text number, shingle and weight of each distinct shingle of the texts, by text and shingle; a shingle's weight is the same in all texts.
 Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-#: Crowded bands (longs) that are broadcast; beyond that they are joined by a shuffle.
-MAX_BROADCAST_BANDS = 1 << 18
+#: Crowded bands (longs) that are broadcast, about 40 MB as a hash table; beyond that they are joined by a shuffle.
+MAX_BROADCAST_BANDS = 1 << 19
 #: Bytes of differences that one chunk of a group holds, about.
 CHUNK_BYTES = 1 << 20
 #: Columns of the matrices that are multiplied at once.
