@@ -146,7 +146,9 @@ def format_size(n_bytes: Column) -> Column:
     size = n_bytes.cast("double")
     shown = F.concat(n_bytes.cast("long").cast("string"), F.when(n_bytes == 1, " byte").otherwise(" bytes"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        scaled = F.regexp_replace(F.format_string("%.2f", size / 1024**k), r"\.?0+$", "")
+        hundredths = F.floor(size * 100 / 1024**k + 0.5)
+        scaled = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+        scaled = F.regexp_replace(scaled, r"\.?0+$", "")
         shown = F.when(size >= 1024**k, F.concat(scaled, F.lit(f" {unit}"))).otherwise(shown)
     return shown
 
