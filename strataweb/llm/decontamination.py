@@ -2,9 +2,10 @@
 
 The benchmark items' windows of ten words become a table of hashes, broadcast
 when its checked row count is within ``MAX_BROADCAST_WINDOWS`` and joined by
-shuffle beyond that.  Documents are split into words once; every window's hash
-probes the set, every probe that hits is verified by comparing the words, and
-the verified windows' spans are united.
+shuffle beyond that.  Documents are split into words once; every window's hash is looked up in a
+bitmap of the set inside the row, and only the few that are marked leave the
+row, each with its own words, to probe the set.  Every probe that hits is
+verified by comparing the words, and the verified windows' spans are united.
 
 Everything is DataFrame expressions; the text is read and split once.
 """
@@ -19,6 +20,8 @@ from .common import materialise
 NGRAM = 10
 #: Beyond this many distinct benchmark windows the join is left to shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
+#: Bits of the map that sorts windows out before the join: four megabytes.
+MAX_BITS = 25
 #: What separates words: ASCII other than digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,10 +49,27 @@ def benchmark_windows(benchmark: DataFrame, ngram: int = NGRAM) -> DataFrame:
     )
     windows = windows.select("item", "length", F.slice("words", F.col("start"), F.col("length")).alias("window"))
     return windows.groupBy("length", F.array_join("window", " ").alias("window")).agg(
-        F.collect_set("item").alias("items"), F.first(F.xxhash64(F.transform("window", lambda w: F.xxhash64(F.lower(w))))).alias("key")
+        F.collect_set("item").alias("items"), F.first(F.xxhash64(F.transform("window", lambda w: F.xxhash64(F.lower(w))))).alias("key"), F.first(F.xxhash64(*(F.xxhash64(F.lower(F.element_at("window", k))) for k in (1, -1)))).alias("ends")
     )
 
 
+def bitmap(windows: DataFrame, column: str, count: int) -> tuple[Column, int]:
+    """A bit for each hash of the windows' ``column``, named by its leading bits, as a literal array of longs; and how many bits name one.
+
+    Sixteen bits a window, ``2 ** MAX_BITS`` at most; a window that is not
+    marked is no benchmark window, and the join and the words decide about the
+    others.
+    """
+    bits = max(10, min(MAX_BITS, (16 * count).bit_length()))
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int").bitwiseAND(F.lit(63)))
+    held = windows.groupBy(F.shiftrightunsigned(column, 64 - bits + 6).alias("at")).agg(F.bit_or(one).alias("bits"))
+    longs = [0] * (1 << (bits - 6))
+    for r in held.collect():  # at most as many rows as longs
+        longs[r["at"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), bits
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, n_hit, n_items, items, spans and contaminated to every row of ``docs`` (columns ``keep``).
 
@@ -61,12 +81,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep: list[s
     """
     added = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    windows = benchmark_windows(benchmark, ngram)
+    windows = materialise(benchmark_windows(benchmark, ngram), "decon-windows")
     # Checked sizes: a count and the set of lengths (at most ngram integers).
     sizes = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys = windows.groupBy("key").agg(F.collect_list(F.struct("length", "window", "items")).alias(f"{_OWN}found"))
     if sum(sizes.values()) <= MAX_BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
+    # Cheapest first: a window's first and last word, then all of them.
+    marks = [bitmap(windows, c, sum(sizes.values())) for c in ("ends", "key")]
 
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in keep)).alias(f"{_OWN}row"),
@@ -75,28 +97,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, keep: list[s
     )
     # Unicode lower case of a word is the probe: equal A-Z-lowered words have equal probes, and the words decide.
     rows = rows.withColumn(f"{_OWN}hashes", F.transform(f"{_OWN}words", lambda w: F.xxhash64(F.lower(w))))
-    hashes, n = F.col(f"{_OWN}hashes"), F.size(f"{_OWN}hashes")
-    lengths = sorted(sizes) or [ngram]
-
-    def windows_of(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-        return F.when(n >= k, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, k)))).otherwise(F.array().cast("array<bigint>"))
-
-    probes = [windows_of(k) for k in lengths]
-    probed = rows.select(f"{_OWN}row", f"{_OWN}id", f"{_OWN}words", F.posexplode_outer(F.concat(*probes)).alias(f"{_OWN}at", "key"))
-    # A document's first probe stays as its row of the result, hit or not.
-    met = probed.join(keys, "key", "left").where(F.col(f"{_OWN}found").isNotNull() | (F.coalesce(F.col(f"{_OWN}at"), F.lit(0)) == 0))
-    n = F.size(f"{_OWN}words")
-    start, length, before = F.col(f"{_OWN}at"), F.lit(lengths[-1]), F.lit(0)
-    for k in lengths:
-        count = F.greatest(n - k + 1, F.lit(0))
-        inside = F.col(f"{_OWN}at").between(before, before + count - 1)
-        start = F.when(inside, F.col(f"{_OWN}at") - before).otherwise(start)
-        length = F.when(inside, F.lit(k)).otherwise(length)
-        before = before + count
-    met = met.select(f"{_OWN}row", f"{_OWN}id", n.cast("long").alias("n_words"), f"{_OWN}words", f"{_OWN}found", start.alias("start"), length.alias("length"))
-    window = F.translate(F.array_join(F.slice(f"{_OWN}words", F.col("start") + 1, F.col("length")), " "), _UPPER, _LOWER)
-    met = met.withColumn("window", F.when(F.col(f"{_OWN}found").isNotNull(), window))
+    words, hashes, n = F.col(f"{_OWN}words"), F.col(f"{_OWN}hashes"), F.size(f"{_OWN}words")
+
+    def key(start: Column, k: int) -> Column:
+        return F.xxhash64(F.slice(hashes, start + 1, k))
+
+    def ends(start: Column, k: int) -> Column:
+        return F.xxhash64(F.get(hashes, start), F.get(hashes, start + (k - 1)))
+
+    def is_marked(h: Column, marked: Column, bits: int) -> Column:
+        """Whether the bit is set that the leading ``bits`` bits of the hash name."""
+        held = F.get(marked, F.shiftrightunsigned(h, 64 - bits + 6).cast("int"))
+        return F.call_function("shiftright", held, F.shiftrightunsigned(h, 64 - bits).cast("int").bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) != 0
+
+    def marked_starts(k: int) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.filter(starts, lambda i: is_marked(ends(i, k), *marks[0])), lambda i: is_marked(key(i, k), *marks[1]))
+
+    for k in sorted(sizes):
+        rows = rows.withColumn(f"{_OWN}starts{k}", marked_starts(k))
+
+    def probe(k: int) -> Column:
+        def window(i: Column) -> Column:
+            text = F.translate(F.array_join(F.slice(words, i + 1, k), " "), _UPPER, _LOWER)
+            return F.struct(i.alias("start"), F.lit(k).alias("length"), key(i, k).alias("key"), text.alias("window"))
+
+        return F.transform(f"{_OWN}starts{k}", window)
+
+    probes = F.flatten(F.array(*map(probe, sorted(sizes)))) if sizes else F.array().cast("array<struct<start:int,length:int,key:bigint,window:string>>")
+    # A document without a probe stays as one row.
+    probed = rows.select(f"{_OWN}row", f"{_OWN}id", n.cast("long").alias("n_words"), F.explode_outer(probes).alias("p"))
+    met = probed.select(f"{_OWN}row", f"{_OWN}id", "n_words", "p.*").join(keys, "key", "left")
     verified = F.filter(f"{_OWN}found", lambda f: (f["length"] == F.col("length")) & (f["window"] == F.col("window")))
     met = met.select(
         f"{_OWN}row",
