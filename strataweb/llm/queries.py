@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, token_counts, url_filter
+from . import bpe, clustering, decontamination, line_dedup, mixing, near_dedup, quality, quality_rules, sharding, substring_dedup, token_counts, url_filter, whitening
 from .common import table
 
 SHARDS = 24
@@ -75,6 +75,28 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; a null text is an empty one."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"], packed=True, decoded=True)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+CENTROIDS, ROUNDS, DIMS = 40, 5, 64
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia and centroid_sha256 of every usable vector; a null id is hashed as an empty one."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, DIMS).drop("centroid")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained and identity_error of every usable vector and component up to 16."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16, keep=["vec_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
+    "op12_clustering": op12_clustering,
+    "op13_whitening": op13_whitening,
 }
 
 
@@ -234,3 +259,24 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND n_covered <= n_words * {quality_rules.MAX_COVERED} AND NOT too_long AS kept
 FROM judged
 """
+
+
+def _clustering_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """One CTE a round for the assignments and one for the centroids that follow; floors of the means are taken in integers."""
+    steps = [f"""usable AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+    f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM usable QUALIFY c < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, vec_id, v, c, d FROM (SELECT u.r, u.vec_id, u.v, c, list_sum(list_transform(list_zip(u.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM usable u CROSS JOIN c{i} m) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT c, j, sum(v[j])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{i}, unnest(range(1, {dims + 1})) AS t(j) GROUP BY c, j),
+    m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c),
+    c{i + 1} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m USING (c))""")
+    return f"""WITH {",\n".join(steps)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} m USING (c)"""
+
+
+ORACLE["op12_clustering"] = _clustering_sql(CENTROIDS, ROUNDS, DIMS, 256, 2)

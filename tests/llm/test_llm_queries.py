@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
@@ -26,6 +26,6 @@ def test_query_equals_sql(spark, duck, name):
         assert duck.execute(f"select * from {a} except all select * from {b} limit 3").fetchall() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE) - {"op13_whitening"}))
 def test_query_keeps_every_document(spark, duck, name):
     assert queries.QUERIES[name](spark, SF).select("doc_id").distinct().count() == duck.execute("select count(*) from documents").fetchone()[0]
