@@ -30,6 +30,16 @@ def pattern_regex(pattern: str, at_wildcard: bool = False) -> str:
     return f"(?d)^{body}$"
 
 
+def regex_of(pattern: Column) -> Column:
+    """As :func:`pattern_regex`, for a column of patterns: literals quoted, wildcards as they stand for."""
+    body = F.regexp_replace(pattern, r"([\\\.\[\]{}()+\-?^$|&~<>=!:,/ ])", r"\\$1")
+    # A single star is what is left when the double ones are away.
+    body = F.replace(body, F.lit("**"), F.lit("\u0000"))
+    for mark, meaning in (("*", WILDCARDS["*"]), ("#", WILDCARDS["#"]), ("\u0000", WILDCARDS["**"])):
+        body = F.replace(body, F.lit(mark), F.lit(meaning))
+    return F.concat(F.lit("(?d)^"), body, F.lit("$"))
+
+
 def literal_prefix(pattern: str) -> str:
     """The text before the first wildcard character, ``@`` counted as one."""
     return re.split(r"[*#@]", pattern, maxsplit=1)[0]

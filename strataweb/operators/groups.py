@@ -2,8 +2,8 @@
 
 Patterns are few against URLs.  A list of patterns known to the driver becomes
 one projection: an array of the fitting patterns, each tested by prefix and
-regular expression, with no join at all.  Patterns in a table are joined on
-their literal prefixes, and the expression decides.
+regular expression, with no join at all.  Patterns in a table, however many, are
+found by an index of their literals (:mod:`.pattern_index`).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..sources.scratch import join_prefixes, written
+from ..sources.scratch import written
+from . import pattern_index
 
 
 @dataclass(frozen=True)
@@ -71,10 +72,8 @@ def membership(resources: DataFrame, groups: list[Group]) -> DataFrame:
 
 
 def membership_by_table(resources: DataFrame, groups: DataFrame) -> DataFrame:
-    """As :func:`membership` for a table of groups (group_id, prefix, regex) of any size: an equi-join on the prefixes, then the expressions."""
-    groups = groups.select("group_id", F.coalesce("prefix", F.lit("")).alias("_prefix"), "regex")
-    met = join_prefixes(resources, F.col("url"), groups, "_prefix")
-    return met.where(F.expr("url rlike regex")).select(*resources.columns, "group_id")
+    """As :func:`membership` for a table of groups (group_id, url_pattern, regex) of any size, by an index of their rarest literals."""
+    return pattern_index.membership(resources, groups)
 
 
 def without_do_not_download(resources: DataFrame, groups: list[Group]) -> DataFrame:

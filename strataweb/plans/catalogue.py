@@ -107,6 +107,21 @@ simple(
 )
 simple("group_membership", f"WITH {R}, {G} SELECT r.id, r.url, CAST(group_id AS BIGINT) AS group_id FROM r JOIN g ON regexp_full_match(r.url, g.re)", lambda s, d: groups.membership(model.resources(s, d), model.GROUPS))
 simple("group_membership_by_table", ORACLE["group_membership"], lambda s, d: groups.membership_by_table(model.resources(s, d), groups.group_table(s, model.GROUPS)))
+
+
+@query(
+    f"""WITH {R}, many AS (SELECT event_id AS group_id, 'https://%/' || ['en', 'fr', 'es', 'de'][event_id % 4 + 1] || '/' || event_id // 4 % 1000 || ['', '%', '/', '.html'][event_id % 3 + 1] AS fits FROM events)
+    SELECT id, url, group_id FROM r JOIN many ON url LIKE fits"""
+)
+def many_patterns_membership(s, d):
+    """A group for every event, all of one literal prefix: pages of a language and number, with or without what follows."""
+    k = F.col("event_id")
+    lang, tail = (F.element_at(F.array(*map(F.lit, of)), (k % n + 1).cast("int")) for of, n in ((("en", "fr", "es", "de"), 4), (("", "**", "/"), 3)))
+    pattern = F.concat(F.lit("https://**/"), lang, F.lit("/"), F.expr("event_id div 4 % 1000").cast("string"), tail)
+    many = model.table(s, d, "events").select(k.alias("group_id"), pattern.alias("url_pattern")).withColumn("regex", patterns.regex_of(F.col("url_pattern")))
+    return groups.membership_by_table(model.resources(s, d), many)
+
+
 simple("group_member_counts", f"WITH {R}, {G} SELECT CAST(group_id AS BIGINT) AS group_id, name, count(r.id) AS n_members FROM g LEFT JOIN r ON regexp_full_match(r.url, g.re) GROUP BY ALL", lambda s, d: groups.member_counts(model.resources(s, d), model.GROUPS))
 simple("groups_per_url", f"WITH {R}, {G} SELECT r.id, count(group_id) AS n_groups FROM r LEFT JOIN g ON regexp_full_match(r.url, g.re) GROUP BY r.id", lambda s, d: model.resources(s, d).select("id", F.size(groups.fitting(F.col("url"), model.GROUPS)).cast("long").alias("n_groups")))
 simple("dnd_filtered", f"WITH {R}, {G} SELECT id, url FROM r WHERE NOT EXISTS (SELECT 1 FROM g WHERE dnd AND regexp_full_match(r.url, g.re))", lambda s, d: groups.without_do_not_download(model.resources(s, d), model.GROUPS))
