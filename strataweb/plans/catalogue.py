@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
 from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
-from ..sources import bodies, project, scratch
+from ..sources import bodies, project, recorded, scratch
 from ..streaming import membership as streaming
 from . import model
 
@@ -625,7 +625,8 @@ def record_revisions(s, d):
     fetched = rev.select("resource_id", "request_cookie", F.lit(11).alias("http_version"), "status_code", F.lit("OK").alias("reason_phrase"), headers.alias("headers"), F.encode(F.concat(F.lit("body "), F.col("id").cast("string")), "UTF-8").alias("body"), error.alias("error"), F.col("date").cast("timestamp").alias("fetched_at"))
     folder = scratch.new_folder(s, "project")
     project.record_revisions(s, fetched, folder)
-    rows, held = s.read.parquet(f"{folder}/resource_revision"), s.read.parquet(f"{folder}/revision_body").select("id", "size")
+    rows = project.open_project(s, folder)["resource_revision"]
+    held = recorded.read_recorded_bodies(s, f"{folder}/{project.RECORDED}").select("id", "size")
     ids = rows.agg(F.countDistinct("id").alias("n_ids"), F.max("id").alias("last_id"))
     made = rows.join(held, "id", "left").withColumn("m", http.decode_metadata(F.col("metadata"))).crossJoin(F.broadcast(ids))  # one row
     return made.select("resource_id", http.has_error(F.col("error")).alias("failed"), F.col("m.status_code").alias("status_code"), http.first_header(F.col("m.headers"), "date").alias("date"), "size", "n_ids", "last_id")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import http
-from .scratch import written
+from . import recorded
 
 #: The tables and the columns that any version of the format has, with the defaults of later ones.
 TABLES = {
@@ -22,6 +22,8 @@ TABLES = {
     "resource_revision": "id long, resource_id long, request_cookie string, error string, metadata string",
     "alias": "id long, source_url_prefix string, target_url_prefix string, target_is_external long",
 }
+#: Where revisions are recorded within a project's folder.
+RECORDED = "recorded"
 _FLAGS = {"do_not_download", "target_is_external"}
 
 
@@ -97,47 +99,58 @@ def export(spark: SparkSession, path: str, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of an exported project, whatever version of the format its files are of.
+
+    Files of several versions are read together.  Columns that a version lacks
+    get their defaults, a table that is not there has no rows, and columns that
+    are not of the format stay out.
+    """
+    kinds = T.StructType.fromDDL(TABLES[name])
+    if not _exists(spark, f"{folder}/{name}"):
+        return _typed(spark.createDataFrame([], kinds))
+    held = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}")
+    have = set(held.columns)
+    flag = lambda f: F.col(f.name).cast("long") if f.name in have else F.lit(0).cast("long")
+    return _typed(held.select(*((flag(f) if f.name in _FLAGS else F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds)))
+
+
 def open_project(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of an exported project."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    """The tables of an exported project, with the revisions recorded since (:func:`record_revisions`)."""
+    found = {name: read_table(spark, folder, name) for name in TABLES}
+    if _exists(spark, f"{folder}/{RECORDED}"):
+        found["resource_revision"] = found["resource_revision"].unionByName(recorded.read_revisions(spark, f"{folder}/{RECORDED}"))
+    return found
 
 
-def revision_rows(fetched: DataFrame, last_id: int = 0) -> DataFrame:
-    """Responses and failures as rows of ``resource_revision`` with their bodies: id, resource_id, request_cookie, error, metadata, body.
+def revision_rows(fetched: DataFrame) -> DataFrame:
+    """Responses and failures as rows of ``resource_revision`` with their bodies, but for the id.
 
     ``fetched`` has resource_id, request_cookie, http_version, status_code,
     reason_phrase, headers, body, error (struct of type and message, null for
     a response) and fetched_at.  A response without a Date header gets one; a
-    failure has no metadata and no body.  Ids follow ``last_id`` without gaps;
-    they come from counts by hash range and ranks within, not from one sort.
+    failure has no metadata and no body.
     """
     failed = F.col("error").isNotNull()
     headers = http.with_date(F.col("headers"), F.col("fetched_at"))
     metadata = http.encode(F.struct("http_version", "status_code", "reason_phrase", headers.alias("headers")))
-    rows = fetched.withColumn("_part", F.pmod(F.xxhash64("resource_id", "fetched_at"), F.lit(1024)))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 1024 rows at most
-    starts = counts.select("_part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("resource_id", "fetched_at", F.col("request_cookie")))
-    numbered = rows.withColumn("_rank", rank).join(F.broadcast(starts), "_part")
-    return numbered.select(
-        (F.lit(last_id) + F.col("start") + F.col("_rank")).cast("long").alias("id"), "resource_id", "request_cookie",
-        F.when(failed, F.to_json("error")).otherwise("null").alias("error"), F.when(~failed, metadata).alias("metadata"), F.when(~failed, F.col("body")).alias("body"),
+    return fetched.select(
+        "resource_id", "request_cookie", F.when(failed, F.to_json("error")).otherwise("null").alias("error"),
+        F.when(~failed, metadata).alias("metadata"), F.when(~failed, F.col("body")).alias("body"),
     )
 
 
 def record_revisions(spark: SparkSession, fetched: DataFrame, folder: str) -> None:
-    """Append responses and failures to the Parquet tables ``revision_body`` and ``resource_revision`` of ``folder``.
+    """Add responses and failures to the project in ``folder``: all rows with their bodies, or nothing.
 
-    Bodies are committed before the rows that name them: a row never lacks its
-    body, and a body whose row was not written is what ``revisions.orphans``
-    reports.  One writer at a time.
+    Ids go on gaplessly behind those of the exported revisions and of what was
+    recorded before; any number of writers may record at once (see :mod:`.recorded`).
     """
     table = f"{folder}/resource_revision"
-    try:
-        last = spark.read.parquet(table).agg(F.max("id")).first()[0] or 0
-    except AnalysisException:
-        last = 0
-    rows = written(revision_rows(fetched, last), "revisions")
-    rows.where(F.col("body").isNotNull()).select("id", "body", F.octet_length("body").cast("long").alias("size")).write.mode("append").parquet(f"{folder}/revision_body")
-    rows.drop("body").write.mode("append").parquet(table)
+    last = spark.read.parquet(table).agg(F.max("id")).first()[0] if _exists(spark, table) else None
+    recorded.append(revision_rows(fetched), f"{folder}/{RECORDED}", last or 0)

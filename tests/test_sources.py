@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataweb.operators import groups, revisions
 from strataweb.operators import resources as resources_
 from strataweb.plans import model
-from strataweb.sources import bodies, project
+from strataweb.sources import bodies, project, recorded
 from strataweb.streaming import membership
 
 
@@ -70,12 +70,12 @@ def test_revisions_are_recorded_with_bodies_and_errors(spark, tmp_path):
     rows = [(1, None, 11, 200, "OK", [["Server", "x"]], b"one", None, when), (2, "c", 11, 200, "OK", [["Date", "kept"]], b"", None, when), (3, None, None, None, None, None, b"lost", ("IOError", "away"), when)]
     for part in (rows[:2], rows[2:]):
         project.record_revisions(spark, spark.createDataFrame(part, schema), str(tmp_path))
-    table = spark.read.parquet(f"{tmp_path}/resource_revision")
+    table = project.open_project(spark, str(tmp_path))["resource_revision"]
     found = {r["resource_id"]: r for r in table.collect()}
     assert sorted(r["id"] for r in found.values()) == [1, 2, 3] and found[3]["id"] == 3
     assert json.loads(found[1]["metadata"])["headers"] == [["Server", "x"], ["Date", "Wed, 16 Aug 2023 00:00:00 GMT"]] and json.loads(found[2]["metadata"])["headers"] == [["Date", "kept"]]
     assert json.loads(found[3]["error"]) == {"type": "IOError", "message": "away"} and found[3]["metadata"] is None and found[1]["error"] == "null"
-    held = spark.read.parquet(f"{tmp_path}/revision_body")
+    held = recorded.read_recorded_bodies(spark, f"{tmp_path}/{project.RECORDED}")
     assert {r["id"]: bytes(r["body"]) for r in held.collect()} == {found[1]["id"]: b"one", found[2]["id"]: b""}
     assert revisions.orphans(table, held).count() == 0
 
