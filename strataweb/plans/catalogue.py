@@ -613,6 +613,16 @@ def packed_bodies(s, d):
     return bodies.read_bodies(s, folder).select("id", "size", F.sha2("body", 256).alias("digest"))
 
 
+@query("SELECT page_id AS id, octet_length(encode(html)) AS size, sha256(html) AS digest FROM pages WHERE html IS NOT NULL AND page_id >= (SELECT max(page_id) // 2 FROM pages)")
+def pack_range_read(s, d):
+    """The later half of the bodies: the range of ids reaches the reader, which opens no pack below it."""
+    folder = scratch.new_folder(s, "packs")
+    body = model.captures(s, d).select("id", F.encode("body", "UTF-8").alias("body"))
+    bodies.write_packs(body, folder).write.format("noop").mode("overwrite").save()
+    half = body.agg(F.expr("max(id) div 2").alias("h")).first()["h"] or 0
+    return bodies.read_packs(s, folder).where(F.col("id") >= half).select("id", F.col("size").cast("int").alias("size"), F.sha2("body", 256).alias("digest"))
+
+
 @query(
     f"""WITH {REV}, {HEAD} SELECT resource_id, error <> 'null' AS failed, CASE WHEN error = 'null' THEN status_code END AS status_code, CASE WHEN error = 'null' THEN strftime(date, '%a, %d %b %Y %H:%M:%S GMT') END AS date,
     CASE WHEN error = 'null' THEN octet_length(encode('body ' || id)) END AS size, (SELECT count(*) FROM rev) AS n_ids, (SELECT count(*) FROM rev) AS last_id FROM head"""

@@ -10,15 +10,14 @@ import io
 import os
 import uuid
 import zipfile
-import zlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK = 16
+from . import packs as packed
+from .packs import PACK
 
 
 def hex_id(id_: Column) -> Column:
@@ -67,59 +66,23 @@ def read_loose(spark: SparkSession, project: str, hierarchical: bool = True) ->
     return files.select(id_.alias("id"), F.col("content").alias("body"), F.col("length").alias("size")).where(F.col("id").isNotNull())
 
 
-#: What the archive module raises on entries that are broken, encrypted or packed by an unknown method.
-_UNREADABLE = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, ValueError, EOFError, OSError)
-
-
-def _packs(spark: SparkSession, project: str) -> DataFrame:
-    """first (the least id a pack may hold) and content of every pack file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*_.zip").load(f"{project}/revisions")
-    digits = F.regexp_replace(F.regexp_extract("path", r"/revisions/((?:[0-9a-f]{3}/){4}[0-9a-f]{2})_\.zip$", 1), "/", "")
-    return files.where(digits != "").select((F.conv(digits, 16, 10).cast("long") * PACK).alias("first"), "content")
-
-
-def _entries(first: int, content: pa.Scalar, with_bodies: bool) -> Iterator[tuple[int, bytes | None]]:
-    """Ids and bodies of a pack's readable entries; an entry's name has the last three hex digits of its id."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
-    except _UNREADABLE:
-        return
-    with archive:
-        for info in archive.infolist():
-            try:
-                yield (first >> 12 << 12) + int(info.filename, 16), archive.read(info) if with_bodies else None
-            except _UNREADABLE:
-                continue
-
-
 def read_packs(spark: SparkSession, project: str) -> DataFrame:
-    """id, body and size of every entry of the packs; entries that cannot be read are skipped, others of their pack are not."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
-                found = list(_entries(first, content, True))
-                ids, bodies = [i for i, _ in found], [b for _, b in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array([len(b) for b in bodies], pa.int64())], ["id", "body", "size"])
+    """id, body and size of every entry of the packs; entries that cannot be read are skipped, others of their pack are not.
 
-    return _packs(spark, project).mapInArrow(unpack, "id long, body binary, size long")
+    Filters of the id are pushed down: see :mod:`.packs`.
+    """
+    return packed.read(spark, project)
 
 
 def pack_entries(spark: SparkSession, project: str) -> DataFrame:
     """The ids that the packs' directories name; nothing is unpacked."""
-
-    def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, content in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in _entries(first, content, False)], pa.int64())], ["id"])
-
-    return _packs(spark, project).mapInArrow(list_, "id long")
+    return packed.read(spark, project, with_bodies=False).select("id")
 
 
 def read_bodies(spark: SparkSession, project: str) -> DataFrame:
     """Bodies of a project in packs, with loose files where a pack lacks them."""
-    packed, loose = read_packs(spark, project), read_loose(spark, project)
-    return packed.union(loose.join(pack_entries(spark, project), "id", "left_anti").select("id", "body", "size"))
+    held, loose = read_packs(spark, project), read_loose(spark, project)
+    return held.union(loose.join(pack_entries(spark, project), "id", "left_anti").select("id", "body", "size"))
 
 
 def write_packs(bodies: DataFrame, folder: str) -> DataFrame:

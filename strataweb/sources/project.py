@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from ..functions import http
 from . import recorded
+from .packs import IdRange
 
 #: The tables and the columns that any version of the format has, with the defaults of later ones.
 TABLES = {
@@ -24,6 +25,8 @@ TABLES = {
 }
 #: Where revisions are recorded within a project's folder.
 RECORDED = "recorded"
+#: Ids that are looked up one by one, and texts that are put into a query.
+_MOST_TEXTS = 64
 _FLAGS = {"do_not_download", "target_is_external"}
 
 
@@ -36,19 +39,40 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, columns: list[str]):
         self.path, self.table = options["path"], options["table"]
         self.parts, self.columns = int(options.get("partitions", 8)), columns
+        self.ids, self.texts = IdRange(), []
 
     def _connect(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Ranges and lists of ids narrow the partitions; equal and listed texts (a URL, a name) go into the query, where an index may answer them."""
+        left = []
+        for f in filters:
+            texts = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else []
+            if "id" in self.columns and self.ids.push(f):
+                continue
+            if 0 < len(texts) <= _MOST_TEXTS and all(isinstance(t, str) for t in texts) and len(f.attribute) == 1 and f.attribute[0] in self.columns:
+                self.texts.append((f.attribute[0], texts))
+            else:
+                left.append(f)
+        return left
+
     def partitions(self) -> list[_Range]:
         if "id" not in self.columns:
             return [_Range(None, None)]
+        if self.ids.named is not None and len(self.ids.named) <= _MOST_TEXTS:
+            return [_Range(i, i + 1) for i in self.ids.named] or [_Range(0, 0)]
         with self._connect() as db:
             if not db.execute("select 1 from sqlite_master where name = ?", (self.table,)).fetchone():
                 return [_Range(0, 0)]
             low, high = db.execute(f"select min(id), max(id) from {self.table}").fetchone()
         if low is None:
             return [_Range(0, 0)]
+        low, high = max(low, self.ids.low), min(high, self.ids.high - 1)
+        if self.ids.named is not None:
+            low, high = max(low, self.ids.named[0]), min(high, self.ids.named[-1])
+        if low > high:
+            return [_Range(0, 0)]
         step = -(-(high - low + 1) // self.parts)
         return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
@@ -58,8 +82,13 @@ class SqliteReader(DataSourceReader):
             if not have:
                 return
             picked = ", ".join(c if c in have else f"{0 if c in _FLAGS else 'null'} as {c}" for c in self.columns)
-            where = "" if partition.low is None else f" where id >= {int(partition.low)} and id < {int(partition.high)}"
-            yield from db.execute(f"select {picked} from {self.table}{where}")
+            asked = [] if partition.low is None else [f"id >= {int(partition.low)} and id < {int(partition.high)}"]
+            texts = [t for c, ts in self.texts if c in have for t in ts]
+            asked += [f"{c} in ({', '.join('?' * len(ts))})" for c, ts in self.texts if c in have]
+            asked += ["0" for c, _ in self.texts if c not in have]  # null everywhere
+            rows = db.execute(f"select {picked} from {self.table}" + (" where " + " and ".join(asked) if asked else ""), texts)
+            at = self.columns.index("id") if self.ids.named is not None else None
+            yield from rows if at is None else (r for r in rows if self.ids.has(r[at]))
 
 
 class SqliteTable(DataSource):
@@ -84,6 +113,7 @@ def _typed(df: DataFrame) -> DataFrame:
 
 def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
     """A table of a project's database, a path that every executor can open; missing tables and columns get their defaults."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteTable)
     return _typed(spark.read.format("project_sqlite").option("path", path).option("table", table).option("partitions", partitions).load())
 
