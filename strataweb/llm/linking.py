@@ -14,8 +14,10 @@
        shared = centre - lacks(x) - lacks(y) + lacked by both + beyond in both
 
    so nodes of different components are matched as small matrices, chunk of the
-   group against chunk, in tasks of bounded size.  A task returns no pairs but
-   the edges that join components (a forest); their texts decide.
+   group against chunk.  A group's chunk pairs are dealt out by cells of a few
+   chunks each, whatever the group, so that its work is spread over tasks and
+   each cell is of bounded size.  A cell returns no pairs but the edges that
+   join components (a forest); their texts decide.
 
 So every pair of a bucket is verified, connected or proven unlike; no link is
 lost.  A group's chunks meet each other, but only where one holds nodes outside
@@ -44,12 +46,14 @@ Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 MAX_BROADCAST_BANDS = 1 << 19
 #: Bytes of differences that one chunk of a group holds, about.
 CHUNK_BYTES = 1 << 20
+#: Chunks that a cell of a group's matrix has on each side.
+SIDE = 4
 #: Columns of the matrices that are multiplied at once.
 _COLUMNS = 4096
 _PAIRS = 4096
 #: Weights in millionths, to which all weights are rounded, so that sums of them are exact.
 _UNIT = 1e-6
-_DELTA = np.dtype([("token", np.uint32), ("weight", np.uint32)])
+_DELTA = np.dtype([("token", np.uint64), ("weight", np.uint32)])
 
 
 def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
@@ -119,20 +123,8 @@ def joining_edges(rows: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) that reach the threshold and join the labels of each group; enough of them, not all.
 
     ``rows``: centre (which names the group), node, label, weight, lacks and
-    deltas as of :func:`compare`, whole (the centre's weight).  Similar nodes
-    differ in weight by a factor of ``1 / threshold`` at most, so chunks are
-    made by level of the weight and meet those of the same and the next levels.
+    deltas as of :func:`compare`, whole (the centre's weight).
     """
-    sizes = rows.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("deltas")).alias("bytes"))
-    sizes = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    level = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) / (1.0001 * math.log(1 / threshold))).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("bytes") + 1) / CHUNK_BYTES))
-    rows = rows.join(sizes.select("centre", "main", "bytes"), "centre").withColumn("level", level).withColumn("part", part)
-    item = F.collect_list(F.struct("node", "label", "weight", "lacks", "deltas"))
-    every = rows.groupBy("centre", "level", "part").agg(item.alias("q"), F.max("whole").alias("whole"))
-    asked = rows.where("label <> main").groupBy("centre", "level", "part").agg(item.alias("p"))
-    asked = asked.select("centre", "p", F.explode(F.sequence(F.col("level") - 1, F.col("level") + 1)).alias("level"))
-    met = asked.join(every.select("centre", "level", "q", "whole"), ["centre", "level"]).select("p", "q", "whole")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +133,41 @@ def joining_edges(rows: DataFrame, threshold: float) -> DataFrame:
                 ends = forest(p, q, batch.column("whole")[i].as_py(), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ends.min(0)), pa.array(ends.max(0))], ["a", "b"])
 
-    return met.mapInArrow(match, "a long, b long").distinct()
+    return chunk_pairs(rows, threshold).mapInArrow(match, "a long, b long").distinct()
+
+
+def chunk_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """The chunks p and q of each group that have to meet, one row a pair, and whole.
+
+    Similar nodes differ in weight by a factor of ``1 / threshold`` at most, so
+    chunks are made by level of the weight and meet those of the same and the
+    next levels; only chunks with nodes outside the largest component ask.
+    Pairs are dealt out by cell, ``SIDE`` chunks of one side by as many of the
+    other, each cell under a key of its own: a large group is the work of as
+    many tasks as it has cells, and no task holds more than a cell's chunks.
+    """
+    sizes = rows.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("deltas")).alias("bytes"))
+    sizes = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    level = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) / (1.0001 * math.log(1 / threshold))).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("bytes") + 1) / CHUNK_BYTES))
+    placed = rows.join(sizes.select("centre", "main", "bytes"), "centre").withColumn("level", level).withColumn("part", part)
+    placed = placed.withColumn("band", F.expr(f"part div {SIDE}")).withColumn("asks", F.col("label") != F.col("main"))
+    # What each group has of levels and bands, a few numbers for each of its cells' sides.
+    at = F.struct("level", "band")
+    sides = placed.groupBy("centre").agg(F.collect_set(F.when(F.col("asks"), at)).alias("asking"), F.collect_set(at).alias("asked"))
+    placed = placed.join(sides, "centre")
+    item = F.collect_list(F.struct("node", "label", "weight", "lacks", "deltas"))
+
+    def chunks(some: DataFrame, others: str, out: str, mine: str, theirs: str) -> DataFrame:
+        """The chunks, one row for each cell they belong to: those with the other side's levels and bands within reach."""
+        made = some.groupBy("centre", "level", "part", "band").agg(item.alias(out), F.max("whole").alias("whole"), F.any_value(others).alias("others"))
+        met = F.filter("others", lambda x: F.abs(x["level"] - F.col("level")) <= 1)
+        named = made.select("centre", "whole", out, at.alias(mine), F.explode(met).alias(theirs))
+        return named.select("centre", "p_at", "q_at", out, *(["whole"] if out == "p" else []))
+
+    asking = chunks(placed.where("asks"), "asked", "p", "p_at", "q_at")
+    asked = chunks(placed, "asking", "q", "q_at", "p_at")
+    return asking.join(asked, ["centre", "p_at", "q_at"]).select("p", "q", "whole")
 
 
 class _Chunk:
@@ -195,8 +221,8 @@ def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, deltas: bool = False
     """The exact similarity of each pair (a, b) of nodes, given their texts.
 
     With ``deltas`` also b's weight, the weights of what it lacks of a and of
-    what it has beyond (extra), and both as tokens: hashed to 31 bits, the
-    lowest bit telling one kind from the other, with their weights.
+    what it has beyond (extra), and both as tokens: the shingles' 64-bit hashes
+    but for the lowest bit, which tells one kind from the other, with their weights.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +275,8 @@ def overlaps(one: pa.Array, two: pa.Array, sets: Sets, deltas: bool = False) ->
         owner = np.concatenate([a_pair[gone], pair[more]])
         place = np.concatenate([a_at[gone], at[more]])
         found = np.empty(len(owner), dtype=_DELTA)
-        found["token"] = (ragged.mix(shingle[place]) >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
-        found["token"][len(gone) :] |= np.uint32(1)
+        found["token"] = ragged.mix(shingle[place]) & ~np.uint64(1)
+        found["token"][len(gone) :] |= np.uint64(1)
         found["weight"] = np.rint(weight[place] / _UNIT)
         order = np.argsort(owner, kind="stable")
         ends = np.searchsorted(owner[order], np.arange(n + 1)) * _DELTA.itemsize

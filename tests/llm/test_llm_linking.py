@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strataweb.llm import line_dedup, linking, near_dedup
 
@@ -128,3 +129,36 @@ def test_near_duplicate_classes_equal_brute_force_in_a_large_group(spark):
     assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.98
     assert np.mean([found[k] == wanted[k] for k in range(len(texts))]) >= 0.97
     assert all(wanted[k] == wanted[found[k]] for k in found)
+
+
+def test_one_large_group_is_dealt_out_by_cells(spark, monkeypatch):
+    """20,000 nodes of one group, no two of them linked: every pair of chunks meets once, spread over all tasks."""
+    monkeypatch.setattr(linking, "CHUNK_BYTES", 12 * 500)
+    n, tasks = 20_000, 32
+    # One difference each, so that chunks are many and small.
+    rows = spark.range(n).selectExpr("0L as centre", "id as node", "id as label", "10.0D as weight", "1.0D as lacks", "cast(repeat('x', 12) as binary) as deltas", "10.0D as whole")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, (tasks, -1, "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        met = linking.chunk_pairs(rows, 0.8).select(F.size("p").alias("p"), F.size("q").alias("q"), F.spark_partition_id().alias("task"))
+        found = met.groupBy("task").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("p") * F.col("q")).alias("products")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    chunks = -(-(12 * n + 1) // (12 * 500))
+    assert sum(r["products"] for r in found) == n * (n - 1)  # all but the one of the main label ask all
+    assert sum(r["pairs"] for r in found) == chunks * chunks
+    assert max(r["pairs"] for r in found) <= 4 * chunks * chunks / tasks
+
+
+def test_cells_give_the_same_whatever_their_size(spark, monkeypatch):
+    texts = variants(60, words=80, most=0.3, seed=8)
+    found = linking.overlaps(pa.array([texts[0]] * len(texts)), pa.array(texts), line_dedup.shingles, deltas=True)
+    rows = [(0, k, k, w, o, d, w + o - e) for k, (w, o, e, d) in enumerate(zip(*(c.to_pylist() for c in found[1:]), strict=True))]
+    rows = spark.createDataFrame(rows, "centre long, node long, label long, weight double, lacks double, deltas binary, whole double")
+    links = classes(60, similar_pairs([char_shingles(t) for t in texts], 0.8))
+    for chunk, side in ((2000, 1), (2000, 3), (1 << 20, 4)):
+        monkeypatch.setattr(linking, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(linking, "SIDE", side)
+        assert classes(60, [(r["a"], r["b"]) for r in linking.joining_edges(rows, 0.8).collect()]) == links
