@@ -1,10 +1,10 @@
 """Byte-level BPE: texts to token ids and back, exactly as a tokenizer file says.
 
 A text is split at its added tokens, then into words by the file's pattern.
-Each short word holds its part boundaries and, beside each, the rank of the
-pair of parts that meet there.  The least rank is looked for by a scan; its
-boundary goes, and the ranks of its two neighbours are looked up anew, until no
-pair of neighbours has a rank.  Words longer than ``LONG`` bytes, where such
+Each short word is a contiguous array of its parts and, beside it, one of the
+ranks at the boundaries where two parts meet.  The least rank is looked for by
+a scan; its boundary goes, and the ranks at its two neighbours are looked up
+anew, until no boundary has a rank.  Words longer than ``LONG`` bytes, where such
 scans would be quadratic, keep the same boundaries in a heap by rank and place,
 with the same result.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain, islice
@@ -39,12 +40,26 @@ LONG = 256
 _CACHED, _KEPT_CHARS = 400_000, 64
 #: Words that are taken from a text at once.
 _WORDS = 1 << 18
+#: Ids are below this; what ``pairs`` holds is below _NONE.
+_IDS_MOST = 1 << 20
 _NONE = 1 << 60
+#: Up to here texts are split by an expression with the classes spelled out.
+_LATIN = "\u024f"
 # Letters, digits and white space of these blocks are the same in all versions of Unicode in use; texts
 # with other characters are split by the tokenizers library, whose version is the one that counts.
 _SETTLED = "\u0000-\u0530\u2010-\u2060\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff00-\uffef"
 
 
+def latin_pattern() -> str:
+    """``PATTERN`` for texts up to ``_LATIN``, with the classes spelled out: the standard library's expressions are twice as fast."""
+    kinds = {"L": "", "N": "", "white": ""}
+    for c in map(chr, range(ord(_LATIN) + 1)):
+        kind = "white" if regex.match(r"\s", c) else unicodedata.category(c)[0]
+        if kind in kinds:
+            kinds[kind] += re.escape(c)
+    return PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{''.join(kinds.values())}]").replace(r"\p{L}", f"[{kinds['L']}]").replace(r"\p{N}", f"[{kinds['N']}]").replace(r"\S", f"[^{kinds['white']}]").replace(r"\s", f"[{kinds['white']}]")
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in a tokenizer file: itself where it is printable, else the next one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -69,20 +84,22 @@ class ByteBpe(dict):
         self.path = path
         back = {c: b for b, c in enumerate(byte_characters())}
         as_bytes = lambda token: bytes(back[c] for c in token)
-        self.ids = {as_bytes(token): i for token, i in model["vocab"].items() if token not in added}
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): rank for rank, (a, b) in enumerate(pairs)}
-        self.of_bytes = {a + b: rank for (a, b), rank in self.ranks.items() if len(a) == len(b) == 1}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in added.items()}
+        ids = {as_bytes(token): i for token, i in model["vocab"].items() if token not in added}
+        if max(ids.values(), default=0) >= _IDS_MOST or any(bytes([b]) not in ids for b in range(256)):
+            raise ValueError(f"{path} lacks bytes, or has more than {_IDS_MOST} ids")
+        self.singles = [ids[bytes([b])] for b in range(256)]
+        halves = ([as_bytes(half) for half in (m.split(" ") if isinstance(m, str) else m)] for m in model["merges"])
+        self.pairs = {ids[a] * _IDS_MOST + ids[b]: rank * _IDS_MOST + ids[a + b] for rank, (a, b) in enumerate(halves)}
+        self.tokens = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in added.items()}
         self.added = added
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words, self.unsettled = regex.compile(PATTERN), re.compile(f"[^{_SETTLED}]")
+        self.latin_words, self.beyond_latin = re.compile(latin_pattern()), re.compile(f"[^\x00-{_LATIN}]")
         self.splitter = None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         data = word.encode()
-        bounds = boundaries(data, self.ranks, self.of_bytes) if len(data) <= LONG else boundaries_of_long(data, self.ranks)
-        ids = tuple(self.ids[data[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))
+        ids = tuple((merged if len(data) <= LONG else merged_long)(data, self.singles, self.pairs))
         if len(word) <= _KEPT_CHARS:
             if len(self) >= _CACHED:
                 self.clear()
@@ -91,18 +108,20 @@ class ByteBpe(dict):
 
     def split(self, text: str) -> Iterator[list[str]]:
         """The words of a text without added tokens, in bounded lists."""
-        if self.unsettled.search(text):
+        latin = not self.beyond_latin.search(text)
+        words = self.latin_words if latin else self.words
+        if not latin and self.unsettled.search(text):
             if self.splitter is None:
                 from tokenizers import Tokenizer
 
                 self.splitter = Tokenizer.from_file(self.path).pre_tokenizer
             yield [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         elif len(text) <= _WORDS:
-            yield self.words.findall(text)
+            yield words.findall(text)
         else:
-            found = self.words.finditer(text)
-            while words := [m.group() for m in islice(found, _WORDS)]:
-                yield words
+            found = words.finditer(text)
+            while some := [m.group() for m in islice(found, _WORDS)]:
+                yield some
 
     def encode(self, text: str) -> np.ndarray:
         parts = []
@@ -119,53 +138,47 @@ class ByteBpe(dict):
         return b"".join(token(i, b"") for i in ids.tolist()).decode("utf-8", "replace")
 
 
-def boundaries(word: bytes, ranks: dict[tuple[bytes, bytes], int], of_bytes: dict[bytes, int]) -> list[int]:
-    """Where the parts of a word begin, and its end: one contiguous array of boundaries beside one of ranks.
+def merged(word: bytes, singles: list[int], pairs: dict[int, int]) -> list[int]:
+    """The ids of a word's parts: one contiguous array of parts beside one of the ranks at the boundaries between them.
 
-    ``beside[i]`` is the rank of the parts that meet at boundary i + 1; ``of_bytes`` has the ranks of single bytes' pairs.
+    ``beside[i]`` belongs to the boundary behind part i; ``pairs`` has, for a pair of ids, its rank and (in the lowest bits) the id of both together.
     """
-    n = len(word)
-    bounds, beside = list(range(n + 1)), [of_bytes.get(word[i : i + 2], _NONE) for i in range(n - 1)]
+    parts = [singles[b] for b in word]
+    beside = [pairs.get(a * _IDS_MOST + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
     while beside and (least := min(beside)) < _NONE:
         i = beside.index(least)
-        del bounds[i + 1], beside[i]
-        at, to = bounds[i], bounds[i + 1]
+        new = parts[i] = least % _IDS_MOST
+        del parts[i + 1], beside[i]
         if i:
-            beside[i - 1] = ranks.get((word[bounds[i - 1] : at], word[at:to]), _NONE)
+            beside[i - 1] = pairs.get(parts[i - 1] * _IDS_MOST + new, _NONE)
         if i < len(beside):
-            beside[i] = ranks.get((word[at:to], word[to : bounds[i + 2]]), _NONE)
-    return bounds
+            beside[i] = pairs.get(new * _IDS_MOST + parts[i + 1], _NONE)
+    return parts
 
 
-def boundaries_of_long(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[int]:
-    """As :func:`boundaries`, with the pairs in a heap."""
+def merged_long(word: bytes, singles: list[int], pairs: dict[int, int]) -> list[int]:
+    """As :func:`merged`, with the boundaries in a heap by rank and place."""
     n = len(word)
-    after, before = [*range(1, n + 1), -1], list(range(-1, n))
-    heap: list[tuple[int, int, int, int]] = []
+    parts, after, before = [singles[b] for b in word], [*range(1, n), -1], list(range(-1, n - 1))
 
-    def push(a: int, b: int, c: int) -> None:
-        if (rank := ranks.get((word[a:b], word[b:c]))) is not None:
-            heap.append((rank, a, b, c)) if not started else heappush(heap, (rank, a, b, c))
+    def boundary(a: int, b: int) -> tuple[int, int, int, int, int]:
+        """The boundary between the parts that begin at a and b, and what they are."""
+        return pairs.get(parts[a] * _IDS_MOST + parts[b], _NONE), a, b, parts[a], parts[b]
 
-    started = False
-    for i in range(n - 1):
-        push(i, i + 1, i + 2)
+    heap = [x for x in (boundary(i, i + 1) for i in range(n - 1)) if x[0] < _NONE]
     heapify(heap)
-    started = True
     while heap:
-        _, a, b, c = heappop(heap)
-        if after[a] != b or after[b] != c:
+        least, a, b, left, right = heappop(heap)
+        if parts[a] != left or after[a] != b or parts[b] != right:
             continue  # one of the parts has grown since
-        after[a], before[c], after[b] = c, a, -1
-        if a:
-            push(before[a], a, c)
-        if c < n:
-            push(a, c, after[c])
-    bounds, at = [], 0
-    while at >= 0:
-        bounds.append(at)
-        at = after[at]
-    return bounds
+        c = after[b]
+        parts[a], parts[b], after[a], after[b] = least % _IDS_MOST, -1, c, -1
+        if c >= 0:
+            before[c] = a
+        for x in [boundary(before[a], a)] * (before[a] >= 0) + [boundary(a, c)] * (c >= 0):
+            if x[0] < _NONE:
+                heappush(heap, x)
+    return [p for p in parts if p >= 0]
 
 
 _loaded: dict[str, ByteBpe] = {}
