@@ -27,7 +27,15 @@ RAW = frozenset("script style textarea title".split())
 _EMBEDDED, _ABSOLUTE = re.compile(PROBABLY_EMBEDDED), re.compile(r"(?i)https?://[^\n\r]+\Z")
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_CSS = re.compile(r"/\*.*?\*/|url\(\s*(?:\"([^\"\n]*)\"|'([^'\n]*)'|([^\"'()\s]*))\s*\)|@import\s+(?:\"([^\"\n]*)\"|'([^'\n]*)')", re.S | re.I)
+_CSS = re.compile(r"""
+    (?P<skip>/\*.*?(?:\*/|\Z)|<!--|-->)
+    | (?P<string>"(?:[^"\\\n]|\\.)*+(?:"|\Z)|'(?:[^'\\\n]|\\.)*+(?:'|\Z))
+    | (?P<word>[@\#]?(?:[\w-]|[^\x00-\x7f]|\\[^\n])+)
+    | (?P<mark>[(){}\[\]:;])""", re.S | re.X)
+_CSS_URL = re.compile(r"""\([ \t\r\n\f]*((?:[^\s"'()\\]|\\(?:[0-9a-fA-F]{1,6}[ \t\r\n\f]?|[^\n0-9a-fA-F]))*)[ \t\r\n\f]*(?:\)|\Z)""")
+_CSS_QUOTED_URL = re.compile(r"""\((?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')\)""", re.S)
+_CSS_ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})(?:\r\n|[ \t\r\n\f])?|(\r\n|[\r\n\f])|(.))", re.S)
+_INTEGRITY = re.compile(r"\s+integrity\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _QUOTED_PAGE = re.compile(r"""['"]([^'"]+\.s?html?)['"]""", re.I)
 _ASSIGNED = re.compile(r"""\.(?:href|location) *= *(?:"([^'"]*)"|'([^'"]*)') *;?\Z""", re.I)
 _OPENS_URL = re.compile(r"""["'](?=(?:https?:)?(?:\\?/){2})""", re.I)
@@ -49,6 +57,8 @@ class Link(NamedTuple):
     at: int | None
     until: int | None
     form: str | None
+    cut_from: int | None = None  # what goes from the document if the link is rewritten
+    cut_until: int | None = None
 
 
 class Holder(NamedTuple):
@@ -131,11 +141,66 @@ def _trimmed(holder: Holder) -> tuple[str, int, int]:
     return bare, left, left + len(bare)
 
 
-def css_spans(css: str) -> Iterator[tuple[str, str, int, int]]:
-    """URL, kind and span of ``url(...)`` references and string ``@import`` rules, comments left out."""
-    for m in _CSS.finditer(css):
-        if m.lastindex:
-            yield m[m.lastindex], "CSS @import" if m.lastindex > 3 else "CSS URL Reference", *m.span(m.lastindex)
+def _css_text(raw: str) -> str:
+    """A string's or URL's text: escapes resolved, line continuations out."""
+    def plain(m: re.Match) -> str:
+        if m[1]:
+            code = int(m[1], 16)
+            return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+        return m[3] or ""
+
+    return _CSS_ESCAPE.sub(plain, raw) if "\\" in raw else raw
+
+
+def css_spans(css: str, declarations: bool = False) -> Iterator[tuple[str, str, int, int]]:
+    """URL, kind and span of ``url(...)`` in the blocks of rules and of the strings of ``@import`` rules.
+
+    Tokens decide: what stands in strings and comments is none, and within a
+    rule's block only its own level counts, neither nested blocks nor the
+    arguments of functions.  A quoted ``url()`` counts if it holds its string
+    alone.  With ``declarations`` the text is a style attribute, and the values
+    of its declarations count.
+    """
+    open_: list[str] = []  # what closes the brackets that are open
+    rule: str | None = None  # the first word of the statement, once there is one
+    value = False  # within a declaration's value
+    at, level = 0, 0 if declarations else 1
+    while m := _CSS.search(css, at):
+        at, kind, text = m.end(), m.lastgroup, m.group()
+        if kind == "skip":
+            continue
+        if kind == "word":
+            rule = rule or text
+            if text.lower() == "url" and css.startswith("(", at):
+                counts = len(open_) == level and (value if declarations else open_ == ["}"])
+                quoted, bare = _CSS_QUOTED_URL.match(css, at), None
+                if quoted:
+                    found, at = quoted, quoted.end()
+                elif css[at + 1 :].lstrip(" \t\r\n\f")[:1] in ('"', "'"):
+                    continue  # a function with more than a string
+                else:
+                    found = bare = _CSS_URL.match(css, at)
+                    at = bare.end() if bare else css.find(")", at) + 1 or len(css)
+                if counts and found:
+                    yield _css_text(found[found.lastindex]), "CSS URL Reference", *found.span(found.lastindex)
+            continue
+        if kind == "string":
+            rule = rule or text
+            if not declarations and not open_ and rule == "@import" and len(text) > 1 and text[-1] == text[0]:
+                yield _css_text(text[1:-1]), "CSS @import", m.start() + 1, m.end() - 1
+        elif text in "([{":
+            rule = rule or text
+            open_.append({"(": ")", "[": "]", "{": "}"}[text])
+        elif open_ and text == open_[-1]:
+            open_.pop()
+            if not open_ and text == "}" and not declarations:
+                rule = None
+        elif not open_ and text == ":":
+            value = value or (rule is not None and not rule.startswith("@"))
+        elif not open_ and text == ";":
+            # A rule without a block ends here, as a declaration does.
+            if declarations or (rule or "").startswith("@"):
+                rule, value = None, False
 
 
 def srcset_spans(srcset: str) -> Iterator[tuple[str, int, int]]:
@@ -177,6 +242,14 @@ def _link(holder: Holder, span: tuple[int, int], form: str, url: str, kind: str,
     return Link(url, kind, title, embedded, tag, attr, None, holder.start, holder.end, holder.quote, *span, form)
 
 
+def _with_cut(link: Link, e: Element, html: str) -> Link:
+    """The link with its tag's ``integrity`` attribute as what goes when it is rewritten."""
+    if "integrity" not in e.attrs:
+        return link
+    m = _INTEGRITY.search(html, e.start, e.end)
+    return link._replace(cut_from=m.start(), cut_until=m.end()) if m else link
+
+
 def _value(e: Element, name: str) -> str | None:
     holder = e.attrs.get(name)
     return None if holder is None else holder.text
@@ -210,24 +283,26 @@ def html_links(html: str) -> list[Link]:
             rules[8] += [_link(e.text, (a, b), "json", u, "Script Reference", None, bool(_EMBEDDED.search(u)), tag, "string") for u, a, b in script_spans(e.text.text)]
         for name, holder in attrs.items():
             if name == "style":
-                rules[1] += [_link(holder, (a, b), "css", u, kind, None, True, tag, name) for u, kind, a, b in css_spans(holder.text)]
+                rules[1] += [_link(holder, (a, b), "css", u, kind, None, True, tag, name) for u, kind, a, b in css_spans(holder.text, declarations=True)]
             if name == "background":
                 url, a, b = _trimmed(holder)
                 rules[2].append(_link(holder, (a, b), "html", url, "Background Image", None, True, tag, name))
             elif name == "srcset" and tag in ("source", "img"):
-                title = attrs.get("alt") or attrs.get("title")
-                found = [_link(holder, (a, b), "html", u, "Image", title and title.text, True, tag, name) for u, a, b in srcset_spans(holder.text)]
+                kind, title = ("Image Source", None) if tag == "source" else ("Image", attrs.get("alt") or attrs.get("title"))
+                found = [_link(holder, (a, b), "html", u, kind, title and title.text, True, tag, name) for u, a, b in srcset_spans(holder.text)]
                 rules[3 if tag == "source" else 5] += found
             elif name == "src":
                 url, a, b = _trimmed(holder)
                 button = tag == "input" and _value(e, "type") == "image"
                 kind = {"img": "Image", "iframe": "IFrame", "frame": "Frame"}.get(tag) or ("Form Image" if button else f"Unknown Embedded ({tag})")
                 title = attrs.get("name") if tag in ("iframe", "frame") else (attrs.get("alt") or attrs.get("title")) if tag == "img" or button else None
-                rules[4].append(_link(holder, (a, b), "html", url, kind, title and title.text, True, tag, name))
+                link = _link(holder, (a, b), "html", url, kind, title and title.text, True, tag, name)
+                rules[4].append(_with_cut(link, e, html) if tag == "script" else link)
             elif name == "href":
                 url, a, b = _trimmed(holder)
                 kind, embedded = _href_kind(e, url)
-                rules[6].append(_link(holder, (a, b), "html", url, kind, e.text.text if tag == "a" and e.text else None, embedded, tag, name))
+                link = _link(holder, (a, b), "html", url, kind, e.text.text if tag == "a" and e.text else None, embedded, tag, name)
+                rules[6].append(_with_cut(link, e, html) if tag == "link" else link)
             elif name == "onclick" and (m := _ASSIGNED.search(holder.text)):
                 rules[7].append(_link(holder, m.span(m.lastindex), "json", m[m.lastindex], "Clickable", _value(e, "value"), False, tag, name))
             else:

@@ -31,6 +31,7 @@ LINK_TYPE = T.StructType(
         T.StructField("quote", T.StringType()),
         *(T.StructField(c, T.IntegerType()) for c in ("at", "until")),
         T.StructField("form", T.StringType()),
+        *(T.StructField(c, T.IntegerType()) for c in ("cut_from", "cut_until")),
     ]
 )
 _ARROW = pa.struct([(f.name, {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}[f.dataType.simpleString()]) for f in LINK_TYPE])

@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 
 from ..functions import documents, http, urls
 
-_INTEGRITY = re.compile(r"\s+integrity\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-
-
 def served_url(base: str, target: str, host: str, default_prefix: str | None, scheme: str = "http") -> str:
     """Where the archive serves the target of a link of page ``base``; fragments and bare schemes stay."""
     if target.startswith("#") or target.lower() in ("http://", "https://"):
@@ -38,30 +35,22 @@ def served_url(base: str, target: str, host: str, default_prefix: str | None, sc
     return urlunsplit((scheme, host, f"/_/{split.scheme}/{split.netloc}{split.path}", split.query, split.fragment))
 
 
-def integrity_spans(html: str) -> list[tuple[int, int]]:
-    """The ``integrity`` attributes of script and link tags."""
-    if "integrity" not in html.lower():
-        return []
-    found = []
-    for e in documents.elements(html):
-        if e.tag in ("script", "link") and "integrity" in e.attrs:
-            found += [m.span() for m in _INTEGRITY.finditer(html, e.start, e.end)]
-    return found
-
-
-def rewritten(base: str, document: str, links: list[dict], host: str, default_prefix: str | None, is_html: bool) -> str:
-    """One document with its links served from ``host`` and, if it is HTML, without integrity attributes."""
+def rewritten(base: str, document: str, links: list[dict], host: str, default_prefix: str | None) -> str:
+    """One document with its links served from ``host``; a script or style sheet that is served so loses its integrity attribute."""
     holders: dict[tuple, list[tuple[int, int, str]]] = defaultdict(list)
+    cuts = []
     for k in links:
         if k["start"] is not None:
             new = served_url(base, k["relative_url"], host, default_prefix)
             if new != k["relative_url"]:
                 holders[k["start"], k["end"], k["quote"]].append((k["at"], k["until"], documents.written(new, k["form"])))
-    return documents.spliced(document, holders, integrity_spans(document) if is_html else [])
+                if k["cut_from"] is not None:
+                    cuts.append((k["cut_from"], k["cut_until"]))
+    return documents.spliced(document, holders, cuts)
 
 
-def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out: str = "_page", html: str = "_html") -> DataFrame:
-    """Adds ``out``: the body of page ``url`` with its ``links`` served from ``host``; pages of HTML (``html``) lose integrity attributes.
+def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out: str = "_page") -> DataFrame:
+    """Adds ``out``: the body of page ``url`` with its ``links`` served from ``host``.
 
     Null bodies and null links pass through.
     """
@@ -69,8 +58,8 @@ def rewrite(docs: DataFrame, host: str, default_prefix: str | None = None, out:
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "body", "links", html))
-            pages = [b if b is None or k is None else rewritten(u, b, k, host, default_prefix, bool(h)) for u, b, k, h in zip(*columns, strict=True)]
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "body", "links"))
+            pages = [b if b is None or k is None else rewritten(u, b, k, host, default_prefix) for u, b, k in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.string())], schema.names)
 
     return docs.mapInArrow(batches, schema)

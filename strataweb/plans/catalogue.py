@@ -388,7 +388,7 @@ _NONE = "CAST(NULL AS VARCHAR)"
 simple(
     "links_css",
     _linked(("'i' || id || '.png'", "CSS URL Reference", _NONE, "true", "true"), ("'p' || id || '.css'", "CSS @import", _NONE, "true", "true"), ("'q' || id || '.gif'", "CSS URL Reference", _NONE, "true", "id % 2 = 0")),
-    _bodies("""concat('a { background: url(i', id, '.png) } @import "p', id, '.css"; /* url(no.png) */', CASE WHEN id % 2 = 0 THEN concat(' b{c:url( "q', id, '.gif" )}') ELSE '' END)""", "text/css"),
+    _bodies("""concat('a { background: url(i', id, '.png) } @import "p', id, '.css"; /* url(no.png) */', CASE WHEN id % 2 = 0 THEN concat(' b{c:url("q', id, '.gif");d:"url(s', id, '.png)"} @media x { e{f:url(n', id, '.png)} }') ELSE ' @import url(u.css); g{h:j(url(k.png)), url( "l.png" )}' END)""", "text/css"),
 )
 simple(
     "links_json",
@@ -405,15 +405,18 @@ simple(
     _linked(("'l' || id || '.html'", "Unknown", _NONE, "false", "true"), ("'m.shtm'", "Unknown", _NONE, "false", "true")),
     _bodies("""concat('<html><frameset cols="1"><frame src="l', id, '.html" name="x"><frame src="m.shtm"><a href="n.png"></frameset></html>')""", "text/html"),
 )
-_RICH = """concat('<style>@import "s', id, '.css";</style><div style="background:url(d', id, '.png)" background="b.gif">', '<img src=i', id, '.png alt="Pic ', id, '" srcset="a', id, '.png 1x, /b.png 2x">',
+_RICH = """concat('<style>@import "s', id, '.css";</style><div style="background:url(d', id, '.png)" background="b.gif">', '<img src=i', id, '.png alt="Pic ', id, '" srcset="a', id, '.png 1x, /b.png 2x"><picture title="t"><source alt="no" srcset="w', id, '.webp, /c.webp 2x"></picture>',
     '<link rel=stylesheet href="/l.css"><link rel="icon" href="/f', id, '.ico"><a href="n', id, '?x=1&amp;y=2" title="n', id, '?x=1&amp;y=2">Next <b>page</b></a><iframe src="//o.test/', id, '" name="fr"></iframe>',
-    '<b onclick="top.location.href = ''go', id, ''';">go', id, '</b><script integrity="x">u("https:\\\\/\\\\/j.test\\\\/', id, '.js", ''no'')</script><p data-u="https://e.test/', id, '">i', id, '.png</p>')"""
+    '<b onclick="top.location.href = ''go', id, ''';">go', id, '</b><script integrity="x" src="/k.js"></script><script integrity="y">u("https:\\\\/\\\\/j.test\\\\/', id, '.js", ''no'')</script><p data-u="https://e.test/', id, '">i', id, '.png</p>')"""
 _RICH_LINKS = [
     ("'s' || id || '.css'", "CSS @import", _NONE, "true", "true"),
     ("'d' || id || '.png'", "CSS URL Reference", _NONE, "true", "true"),
     ("'b.gif'", "Background Image", _NONE, "true", "true"),
+    ("'w' || id || '.webp'", "Image Source", _NONE, "true", "true"),
+    ("'/c.webp'", "Image Source", _NONE, "true", "true"),
     ("'i' || id || '.png'", "Image", "'Pic ' || id", "true", "true"),
     ("'//o.test/' || id", "IFrame", "'fr'", "true", "true"),
+    ("'/k.js'", "Unknown Embedded (script)", _NONE, "true", "true"),
     ("'a' || id || '.png'", "Image", "'Pic ' || id", "true", "true"),
     ("'/b.png'", "Image", "'Pic ' || id", "true", "true"),
     ("'/l.css'", "Stylesheet", _NONE, "true", "true"),
@@ -430,10 +433,10 @@ simple("embedded_links", f"SELECT id, pos, relative_url FROM ({_linked(*_RICH_LI
 @query(
     f"""WITH {R}, p AS (SELECT id, 'http://{HOST}/_/https/site.test/' AS a FROM r)
     SELECT id, '<style>@import "' || a || 's' || id || '.css";</style><div style="background:url(' || a || 'd' || id || '.png)" background="' || a || 'b.gif">'
-    || '<img src="' || a || 'i' || id || '.png" alt="Pic ' || id || '" srcset="' || a || 'a' || id || '.png 1x, ' || a || 'b.png 2x">'
+    || '<img src="' || a || 'i' || id || '.png" alt="Pic ' || id || '" srcset="' || a || 'a' || id || '.png 1x, ' || a || 'b.png 2x"><picture title="t"><source alt="no" srcset="' || a || 'w' || id || '.webp, ' || a || 'c.webp 2x"></picture>'
     || '<link rel=stylesheet href="' || a || 'l.css"><link rel="icon" href="' || a || 'f' || id || '.ico"><a href="' || a || 'n' || id || '?x=1&amp;y=2" title="n' || id || '?x=1&amp;y=2">Next <b>page</b></a>'
     || '<iframe src="http://{HOST}/_/https/o.test/' || id || '" name="fr"></iframe><b onclick="top.location.href = ''' || a || 'go' || id || ''';">go' || id || '</b>'
-    || '<script>u("http://{HOST}/_/https/j.test/' || id || '.js", ''no'')</script><p data-u="http://{HOST}/_/https/e.test/' || id || '">i' || id || '.png</p>' AS body FROM p"""
+    || '<script src="' || a || 'k.js"></script><script integrity="y">u("http://{HOST}/_/https/j.test/' || id || '.js", ''no'')</script><p data-u="http://{HOST}/_/https/e.test/' || id || '">i' || id || '.png</p>' AS body FROM p"""
 )
 def rewrite_rich_html(s, d):
     rows = model.resources(s, d).select("id", F.concat(F.lit("https://site.test/"), F.col("id").cast("string")).alias("url"), F.expr(_RICH).alias("body"))

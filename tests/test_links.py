@@ -39,7 +39,8 @@ CASES = [
     ('<script>a = "///no"; b = "//"; c = "/one"</script>', []),
     ('<div data-bg="https://y.test/w.JPG">x</div>', [("https://y.test/w.JPG", "Attribute Reference", None, True)]),
     ('<a href="?a=1&amp;b=2">x<b>y</b></a><script>var t="</p>";</script>', [("?a=1&b=2", "Link", "x", False)]),
-    ('<img src="a.png"><source srcset="b.png"><a href="c">', [("b.png", "Image", None, True), ("a.png", "Image", None, True), ("c", "Link", None, False)]),
+    ('<img src="a.png"><source srcset="b.png"><a href="c">', [("b.png", "Image Source", None, True), ("a.png", "Image", None, True), ("c", "Link", None, False)]),
+    ('<picture><source srcset="w1.png 1x, w2.png 2x" alt="no" title="none"><img srcset="w3.png"></picture>', [("w1.png", "Image Source", None, True), ("w2.png", "Image Source", None, True), ("w3.png", "Image", None, True)]),
     ('<!-- <a href="hidden"> --><A HREF="shown">s<!-- note -->een</A>', [("shown", "Link", "seen", False)]),
     ('<a href="one" href="two">once</a><textarea><a href="typed"></textarea>', [("one", "Link", "once", False)]),
     ('<a title="open href=x', []),
@@ -57,6 +58,44 @@ def test_html_links(body, wanted):
         assert text[k.at : k.until].replace("\\/", "/") == k.relative_url
 
 
+SHEETS = [
+    ('@import "a.css"; @import \'b.css\' screen; b { c: url(d.png) }', [("a.css", "CSS @import"), ("b.css", "CSS @import"), ("d.png", "CSS URL Reference")]),
+    ('@import url(a.css); @import url("b.css"); @IMPORT "c.css"; @charset "d"; @font-face { src: url(e.woff) format("x"), url(\'f.woff\') }', [("e.woff", "CSS URL Reference"), ("f.woff", "CSS URL Reference")]),
+    ('a { content: "url(no.png)"; b: "\\"url(no.png)"; c: url(yes.png) }', [("yes.png", "CSS URL Reference")]),
+    ("@media x { a { b: url(no.png) } } c { d: url(yes.png) }", [("yes.png", "CSS URL Reference")]),
+    ("@page { margin: 1px; background: url(yes.png) }", [("yes.png", "CSS URL Reference")]),
+    ('a { b: image-set(url(no.png) 1x, "no.png" 2x), [url(no.png)], url(yes.png) }', [("yes.png", "CSS URL Reference")]),
+    ('a { b: url( "no.png" ); c: url("no.png" x); d: url(  yes.png  ); e: URL(\'two.png\') }', [("yes.png", "CSS URL Reference"), ("two.png", "CSS URL Reference")]),
+    ("a { b: url(a b.png); c: url(x'y); d: myurl(no.png); e: url(yes.png) }", [("yes.png", "CSS URL Reference")]),
+    ('a { b: url(sp\\61 ce\\ d.png); c: url("q\\"r.png") }', [("space d.png", "CSS URL Reference"), ('q"r.png', "CSS URL Reference")]),
+    ('url(no.png) a[href="url(no.png)"] { b: url() } /* c { d: url(no.png) } */ e { f: url(last.png)', [("", "CSS URL Reference"), ("last.png", "CSS URL Reference")]),
+    ('a { b: "open\n; c: url(yes.png) } ) ] } d { e: url(two.png) }', [("yes.png", "CSS URL Reference"), ("two.png", "CSS URL Reference")]),
+    ("", []),
+    ("@import", []),
+]
+
+
+@pytest.mark.parametrize("sheet,wanted", SHEETS)
+def test_css_links(sheet, wanted):
+    found = list(documents.css_spans(sheet))
+    assert [(u, kind) for u, kind, _, _ in found] == wanted
+    assert all(documents._css_text(sheet[a:b]) == u for u, _, a, b in found)
+
+
+@pytest.mark.parametrize(
+    "style,wanted",
+    [
+        ("background: url(a.png); b: url('c.png') d", ["a.png", "c.png"]),
+        ("a: 'url(no.png)'; b: f(url(no.png)); url(no.png); @x url(no.png); c: url(yes.png) !important", ["yes.png"]),
+        ("a: {b: url(no.png)}; c: d:url(yes.png)", ["yes.png"]),
+        ("url: url(yes.png)", ["yes.png"]),
+        ("", []),
+    ],
+)
+def test_style_attributes(style, wanted):
+    assert [u for u, _, _, _ in documents.css_spans(style, declarations=True)] == wanted
+
+
 HOST = "arc.test"
 PAGES = [
     ('<p title="b"><a href="b">b</a><script>var t="b", u="http:\\/\\/y.test\\/p.png";</script>', '<p title="b"><a href="http://arc.test/_/https/x.test/d/b">b</a><script>var t="b", u="http://arc.test/_/http/y.test/p.png";</script>'),
@@ -68,6 +107,7 @@ PAGES = [
     ("""<b onclick="self.location='/go';">/go</b>""", """<b onclick="self.location='http://arc.test/_/https/x.test/go';">/go</b>"""),
     ('<a href="#top">#top</a><a href="http://">http://</a>', '<a href="#top">#top</a><a href="http://">http://</a>'),
     ('<script integrity="sha1-x" src="/s.js"></script><i integrity="kept">', '<script src="http://arc.test/_/https/x.test/s.js"></script><i integrity="kept">'),
+    ('<script integrity="kept">x</script><link rel=icon integrity=y href=i><link integrity="kept" href="#a">', '<script integrity="kept">x</script><link rel=icon href="http://arc.test/_/https/x.test/d/i"><link integrity="kept" href="#a">'),
     ("<a href=\"a\">1</a> <a href=\"http://arc.test/_/https/x.test/d/a\">2</a>", "<a href=\"http://arc.test/_/https/x.test/d/a\">1</a> <a href=\"http://arc.test/_/http/arc.test/_/https/x.test/d/a\">2</a>"),
     ("no links at all", "no links at all"),
 ]
@@ -107,7 +147,7 @@ def test_rewriting_random_pages_changes_links_only():
     for _ in range(300):
         body = "".join(r.choice(parts).format(u=r.choice(["a", "/b?c=1&amp;d", "https://y.test/q", "//z.test/k.js"])) for _ in range(r.randint(0, 8)))
         found = links.links_of("html", "https://x.test/", body)
-        done = rewrite.rewritten("https://x.test/", body, [k._asdict() for k in found], HOST, None, True)
+        done = rewrite.rewritten("https://x.test/", body, [k._asdict() for k in found], HOST, None)
         again = links.links_of("html", "https://x.test/", done)
         assert [k.type_title for k in again] == [k.type_title for k in found]
         assert [k.relative_url for k in again] == [rewrite.served_url("https://x.test/", k.relative_url, HOST, None) for k in found]
