@@ -126,19 +126,25 @@ def sources(groups: DataFrame, roots: DataFrame) -> DataFrame:
 def source_closure(groups: DataFrame) -> DataFrame:
     """Every group with every group it comes from, directly or through others, and the distance.
 
-    Round by round until a round finds nothing new, so chains of any length
-    are followed and cycles end.  A group is no ancestor of itself.
+    By path doubling: a round knows all sources within d steps and each
+    group's one source (a group has at most one) at exactly d steps, and joins
+    both to get those within 2 d, so a chain of n groups takes about log2(n)
+    rounds.  It ends when a round finds nothing new, cycles included.  A group
+    is no ancestor of itself; on a cycle the least distance counts.
     """
-    steps = groups.where("source_type = 'resource_group' and group_id <> source_id").select("group_id", F.col("source_id").alias("ancestor_id"))
-    found = written(steps.distinct().withColumn("depth", F.lit(1)), "group-sources")
-    fresh, depth = found, 1
-    while not fresh.isEmpty():
-        depth += 1
-        up = steps.select(F.col("group_id").alias("_at"), F.col("ancestor_id").alias("_next"))
-        met = fresh.join(up, F.col("ancestor_id") == F.col("_at")).where("group_id <> _next").select("group_id", F.col("_next").alias("ancestor_id")).distinct()
-        fresh = written(met.join(found, ["group_id", "ancestor_id"], "left_anti").withColumn("depth", F.lit(depth)), "group-sources")
-        found = found.union(fresh)
-    return found
+    steps = groups.where("source_type = 'resource_group' and group_id <> source_id").select("group_id", F.col("source_id").alias("ancestor_id")).distinct()
+    jumps = written(steps, "group-sources")
+    found, d = written(jumps.withColumn("depth", F.lit(1)), "group-sources"), 1
+    while True:
+        over = jumps.select("group_id", F.col("ancestor_id").alias("_at"))
+        beyond = over.join(found.select(F.col("group_id").alias("_at"), "ancestor_id", F.col("depth").alias("_more")), "_at")
+        beyond = beyond.where("group_id <> ancestor_id").groupBy("group_id", "ancestor_id").agg((F.min("_more") + d).cast("int").alias("depth"))
+        fresh = written(beyond.join(found, ["group_id", "ancestor_id"], "left_anti"), "group-sources")
+        if fresh.isEmpty():
+            return found
+        found = written(found.union(fresh), "group-sources")
+        jumps = written(over.join(jumps.select(F.col("group_id").alias("_at"), "ancestor_id"), "_at").select("group_id", "ancestor_id").distinct(), "group-sources")
+        d *= 2
 
 
 def link_clusters(links: DataFrame, roots: DataFrame, groups: list[Group], default_domain: str | None = None) -> DataFrame:
