@@ -1,8 +1,7 @@
 """Inference of pattern groups from the links around a page.
 
 A URL is an array of dimensions (host, path levels, query parameters).  Both
-detections are joins and aggregations over all requests at once; the walk over a URL's
-dimensions is a fold inside the row.
+detections are joins and aggregations over all requests at once.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.scratch import written
 from .groups import Group, membership, source_of
 
 MIN_MEMBERS = 3
@@ -31,31 +31,46 @@ def regular_patterns(requests: DataFrame, linked: DataFrame, by: list[str], min_
     keeps its value, if enough candidates share it; else becomes ``#``, if it
     and enough others are numbers; else ``*``.
 
-    Candidates are gathered once for a source and kind of URL, not for each
-    request; they are the distinct links of a few pages.
+    One round a dimension, for all requests at once.  Requests and candidates
+    (the linked URLs, and the current one) that agree on the pattern so far
+    share a state; how many candidates of a state have a value is counted once,
+    and joined to the requests.  So work grows with the links and the requests,
+    not with their product.
     """
     values = F.transform("dims", lambda d: d["value"])
     shape = ["types", "host", "open_end"]
-    pool = linked.select(*by, urls.dimensions(F.col("url")).alias("dims")).select(*by, *_shape(F.col("dims")), values.alias("values"))
-    pool = pool.groupBy(*by, *shape).agg(F.collect_set("values").alias("known"))
-    current = requests.select("request_id", *by, urls.dimensions(F.col("url")).alias("dims"))
-    met = current.select("request_id", *by, "dims", *_shape(F.col("dims"))).join(pool, [*by, *shape], "left")
-    known = F.coalesce("known", F.array().cast("array<array<string>>"))
-    met = met.withColumn("left", F.array_union(known, F.array(values))).where(F.size("left") >= min_members)
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.col("left").alias("left"))
-
-    def step(acc: Column, i: Column) -> Column:
-        own = F.get(F.col("dims"), i)["value"]
-        same = F.filter(acc["left"], lambda v: F.get(v, i) == own)
-        numbers = F.filter(acc["left"], lambda v: F.get(v, i).rlike("^[0-9]+$"))
-        keep_same, keep_number = F.size(same) >= min_members, own.rlike("^[0-9]+$") & (F.size(numbers) >= min_members)
-        part = F.when(keep_same, own).when(keep_number, "#").otherwise("*")
-        left = F.when(keep_same, same).when(keep_number, numbers).otherwise(acc["left"])
-        return F.struct(F.concat(acc["parts"], F.array(part)).alias("parts"), left.alias("left"))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.size("dims") - 1), start, step)["parts"]
-    pattern = F.array_join(F.zip_with("dims", folded, lambda d, p: F.concat(d["type"], p)), "")
-    return requests.join(met.select("request_id", pattern.alias("url_pattern")), "request_id", "left")
+    state = F.xxhash64(*by, *shape).alias("state")
+    pool = linked.select(*by, urls.dimensions(F.col("url")).alias("dims")).select(*by, *_shape(F.col("dims")), values.alias("values")).select(state, "values").distinct()
+    pool = written(pool, "inference-links")
+    current = requests.select("request_id", *by, urls.dimensions(F.col("url")).alias("dims")).where("dims is not null")
+    current = current.select("request_id", *by, "dims", *_shape(F.col("dims")), values.alias("values")).select("request_id", state, "dims", "values")
+    known = pool.select("state", "values", F.lit(0).alias("_known"))
+    sizes = pool.groupBy("state").agg(F.count(F.lit(1)).alias("_size"))
+    # The current URL is a candidate too: one more, unless it is linked.
+    at = current.join(known, ["state", "values"], "left").join(sizes, "state", "left").withColumn("more", F.coalesce("_known", F.lit(1)))
+    at = at.where(F.coalesce("_size", F.lit(0)) + F.col("more") >= min_members).select("request_id", "state", "dims", "values", "more", F.array().cast("array<string>").alias("parts"))
+    at = written(at, "inference-requests")
+    number = F.col("own").rlike("^[0-9]+$")
+    rounds = at.agg(F.max(F.size("dims"))).first()[0] or 0  # the dimensions of the longest URL
+    for i in range(rounds):
+        own = F.get("values", F.lit(i)).alias("own")
+        here = pool.select("state", "values", own).where("own is not null")
+        same = here.groupBy("state", "own").agg(F.count(F.lit(1)).alias("_same"))
+        numbers = here.where(number).groupBy("state").agg(F.count(F.lit(1)).alias("_numbers"))
+        met = at.select("*", own).join(same, ["state", "own"], "left").join(numbers, "state", "left")
+        enough = lambda c: F.coalesce(c, F.lit(0)) + F.col("more") >= min_members
+        kind = F.when(F.col("own").isNull(), "end").when(enough("_same"), "same").when(number & enough("_numbers"), "#").otherwise("*")
+        met = met.withColumn("kind", kind).withColumn("part", F.when(F.col("kind") == "same", F.col("own")).otherwise(F.col("kind")))
+        ended = F.col("kind") == "end"
+        after = F.when(ended, F.col("state")).otherwise(F.xxhash64("state", "kind", "part")).alias("next")
+        met = written(met.select("request_id", "state", "dims", "values", "more", "kind", "part", after, F.when(ended, F.col("parts")).otherwise(F.concat("parts", F.array("part"))).alias("parts")), "inference-requests")
+        ways = met.where("kind <> 'end'").select("state", "kind", "part", "next").distinct()
+        fits = (F.col("kind") == "*") | ((F.col("kind") == "#") & number) | ((F.col("kind") == "same") & (F.col("own") == F.col("part")))
+        if i + 1 < rounds:
+            pool = written(here.join(ways, "state").where(fits).select(F.col("next").alias("state"), "values"), "inference-links")
+        at = met.select("request_id", F.col("next").alias("state"), "dims", "values", "more", "parts")
+    pattern = F.array_join(F.zip_with("dims", "parts", lambda d, p: F.concat(d["type"], p)), "")
+    return requests.join(at.select("request_id", pattern.alias("url_pattern")), "request_id", "left")
 
 
 def detect_regular(requests: DataFrame, roots: DataFrame, groups: list[Group], resources: DataFrame, links: DataFrame) -> DataFrame:

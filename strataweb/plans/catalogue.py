@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
@@ -509,41 +509,66 @@ simple("whole_site_pattern", f"WITH {R} SELECT id, url || '**' AS pattern FROM r
 simple("dims_match", f"WITH {R} SELECT id, url NOT LIKE '%?%' AND url LIKE '%/en/%' AND url NOT LIKE '%/' AND url LIKE 'https:%' AS same FROM r", lambda s, d: model.resources(s, d).withColumn("dims", urls.dimensions(F.col("url"))).select("id", (urls.same_structure(F.col("dims"), urls.dimensions(F.lit("https://x.test/en/7"))) & (F.get("dims", F.lit(1))["value"] == "en")).alias("same")))
 
 
-def _book(s) -> tuple[DataFrame, DataFrame, DataFrame, list[groups.Group], DataFrame]:
-    """A site of numbered pages: captures, links, roots, groups and requests with known answers."""
-    site = "https://comic.test"
-    pages = [f"{site}/"] + [f"{site}/page/{k}" for k in range(1, 7)] + [f"{site}/archive/{k}/" for k in (1, 2, 3)]
-    found = [(f"{site}/page/{k}", f"{site}/page/{m}") for k in range(1, 7) for m in (k - 1, k + 1, 6) if 1 <= m <= 6 and m != k]
-    found += [(f"{site}/", f"{site}/page/{k}") for k in range(1, 7)] + [(f"{site}/", f"{site}/about")]
-    captures = s.createDataFrame([(u, 200) for u in pages], "url string, status_code int")
-    edges = s.createDataFrame(found, "url string, target_url string")
-    roots = s.createDataFrame([(1, f"{site}/")], "root_id long, url string")
-    own = [groups.Group(7, "Archive", f"{site}/archive/#/"), groups.Group(8, "All", f"{site}/**")]
-    requests = s.createDataFrame([(1, f"{site}/page/3", f"{site}/"), (2, f"{site}/page/3", f"{site}/page/2"), (3, f"{site}/about", f"{site}/"), (4, f"{site}/page/2", None)], "request_id long, url string, referrer_url string")
-    return captures, edges, roots, own, requests
+def _talks(s, d) -> tuple[DataFrame, DataFrame, DataFrame, list[groups.Group], DataFrame]:
+    """Conversations as a site of numbered pages: captures, their parsed links, roots, groups and requests.
 
+    Each turn is a page that links to the ones before and after it, the first
+    also to the last; a page for each conversation, a root, links to all its
+    turns.  Every page is requested from that root and from the page before it.
+    """
+    turns = model.table(s, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("k"), "text")
+    lengths = turns.groupBy("conv_id").agg(F.max("k").alias("n"))
+    place = F.concat(F.lit("https://talks.test/c"), F.col("conv_id").cast("string"), F.lit("/"))
 
-@query("SELECT * FROM (VALUES (1, 'root_resource', 1, 'https://comic.test/page/#'), (2, 'resource_group', 8, 'https://comic.test/page/#'), (3, 'root_resource', 1, NULL), (4, NULL, NULL, NULL)) AS t(request_id, source_type, source_id, url_pattern)")
+    def anchor(k: Column) -> Column:
+        return F.concat(F.lit('<a href="'), k.cast("string"), F.lit('">'), k.cast("string"), F.lit("</a>"))
+
+    near = F.array_compact(F.array(F.when(F.col("k") > 1, F.col("k") - 1), F.when(F.col("k") < F.col("n"), F.col("k") + 1), F.when(F.col("k") == 1, F.col("n"))))
+    pages = turns.join(lengths, "conv_id").withColumn("near", near)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", " ")
+    pages = pages.select((F.col("conv_id") * 100 + F.col("k")).alias("id"), "conv_id", "k", F.concat(place, F.col("k").cast("string")).alias("url"), F.concat(F.lit("<p>"), text, F.lit("</p>"), F.array_join(F.transform("near", anchor), " ")).alias("body"))
+    index = lengths.select((F.col("conv_id") * 100).alias("id"), "conv_id", F.lit(0).cast("long").alias("k"), place.alias("url"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "n"), anchor), " ").alias("body"))
+    headers = F.array(F.array(F.lit("Content-Type"), F.lit("text/html")))
+    captures = pages.union(index).withColumn("metadata", F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), headers.alias("headers"))).withColumn("status_code", F.lit(200))
+    found = scratch.written(links.explode_links(links.with_links(captures).select("url", "links")).select("url", "target_url"), "talk-links")
+    roots = index.select(F.col("conv_id").alias("root_id"), "url")
+    own = [groups.Group(8, "All talks", "https://talks.test/**")]
+    from_root = pages.select((F.col("id") * 10).alias("request_id"), "url", place.alias("referrer_url"))
+    from_page = pages.where("k > 1").select((F.col("id") * 10 + 1).alias("request_id"), "url", F.concat(place, (F.col("k") - 1).cast("string")).alias("referrer_url"))
+    from_nowhere = index.select((F.col("id") * 10).alias("request_id"), "url", F.lit(None).cast("string").alias("referrer_url"))
+    return captures, found, roots, own, from_root.union(from_page).union(from_nowhere)
+
+
+_TALKS = """t AS (SELECT conv_id, turn + 1 AS k, max(turn + 1) OVER (PARTITION BY conv_id) AS n, 'https://talks.test/c' || conv_id || '/' AS place FROM conversations),
+    q AS (SELECT (conv_id * 100 + k) * 10 AS request_id, *, true AS from_root FROM t UNION ALL SELECT (conv_id * 100 + k) * 10 + 1, *, false FROM t WHERE k > 1),
+    f AS (SELECT min(conv_id) AS first_id, min_by(n, conv_id) AS first_n FROM t)"""
+
+
+@query(
+    f"""WITH {_TALKS} SELECT request_id, CASE WHEN from_root THEN 'root_resource' ELSE 'resource_group' END AS source_type, CASE WHEN from_root THEN conv_id ELSE 8 END AS source_id,
+        CASE WHEN from_root OR conv_id = first_id THEN CASE WHEN n >= 3 THEN place || '#' END ELSE 'https://talks.test/*/#' END AS url_pattern FROM q, f
+    UNION ALL SELECT DISTINCT conv_id * 1000, NULL, NULL, NULL FROM t"""
+)
 def detect_regular_group(s, d):
-    captures, edges, roots, own, requests = _book(s)
-    ids = captures.select("url", F.crc32("url").alias("id"))
-    found = inference.detect_regular(requests, roots, own, ids, edges)
-    return found.select(F.col("request_id").cast("int").alias("request_id"), "source_type", F.col("source_id").cast("int").alias("source_id"), "url_pattern")
+    """Requests from a root have its own links as candidates, others those of the first three pages of the site's group."""
+    captures, edges, roots, own, requests = _talks(s, d)
+    return inference.detect_regular(requests, roots, own, captures.select("id", "url"), edges).select("request_id", "source_type", "source_id", "url_pattern")
 
 
-@query("SELECT * FROM (VALUES (1, 'https://comic.test/page/#', 2, 1, 6), (2, 'https://comic.test/page/#', 2, 1, 6)) AS t(request_id, url_pattern, dimension, first_page, last_page)")
+@query(
+    f"""WITH {_TALKS} SELECT request_id, place || '#' AS url_pattern, 2 AS dimension, 1::BIGINT AS first_page, CASE WHEN k = 2 AND n > 3 THEN NULL ELSE n END AS last_page FROM q WHERE n > 1"""
+)
 def detect_sequential_group(s, d):
-    captures, edges, roots, own, requests = _book(s)
-    found = inference.detect_sequential(requests, roots, own, captures, edges)
-    return found.select(F.col("request_id").cast("int").alias("request_id"), "url_pattern", "dimension", F.col("first_page").cast("int").alias("first_page"), F.col("last_page").cast("int").alias("last_page"))
+    """The first page links to the last; on the second page that link is not seen, so its last page is known only if it is next."""
+    captures, edges, roots, own, requests = _talks(s, d)
+    return inference.detect_sequential(requests, roots, own, captures, edges).select("request_id", "url_pattern", "dimension", "first_page", "last_page")
 
 
-@query("SELECT * FROM (VALUES (1, 'https://comic.test/page/#'), (2, 'https://comic.test/page/#'), (3, 'https://comic.test/about'), (4, 'https://comic.test/page/2')) AS t(request_id, url_pattern)")
+@query(f"WITH {_TALKS} SELECT request_id, CASE WHEN n > 1 THEN place || '#' ELSE place || k END AS url_pattern FROM q UNION ALL SELECT DISTINCT conv_id * 1000, place FROM t")
 def best_prediction(s, d):
-    captures, edges, roots, own, requests = _book(s)
-    ids = captures.select("url", F.crc32("url").alias("id"))
-    best = inference.best_prediction(inference.detect_sequential(requests, roots, own, captures, edges), inference.detect_regular(requests, roots, own, ids, edges))
-    return best.select(F.col("request_id").cast("int").alias("request_id"), "url_pattern")
+    captures, edges, roots, own, requests = _talks(s, d)
+    regular = inference.detect_regular(requests, roots, own, captures.select("id", "url"), edges)
+    return inference.best_prediction(inference.detect_sequential(requests, roots, own, captures, edges), regular).select("request_id", "url_pattern")
 
 
 @query(
