@@ -105,6 +105,26 @@ def declared_charset(headers: Column) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
+#: Bytes of a body that are looked at for its charset.
+PRESCAN = 1024
+
+
+def detected_charset(body: Column) -> Column:
+    """The charset that a binary body itself names, lower-cased; null if none.
+
+    Its byte-order mark, else what its first kilobyte says: a ``<meta>`` tag
+    outside comments, an XML declaration or a CSS ``@charset``.  A text that
+    such ASCII names as UTF-16 is no UTF-16, and counts as UTF-8.
+    """
+    mark = F.hex(F.substring(body, 1, 3))
+    bom = F.when(mark == "EFBBBF", "utf-8").when(mark.startswith("FEFF"), "utf-16be").when(mark.startswith("FFFE"), "utf-16le")
+    head = F.decode(F.substring(body, 1, PRESCAN), "ISO-8859-1")
+    seen = F.regexp_replace(head, r"(?s)<!--.*?(?:-->|$)", "")
+    rules = [(seen, r"""(?is)<meta\s[^>]*?charset\s*=\s*["']?\s*([a-z0-9_.:\-]+)"""), (head, r"""(?i)^\s*<\?xml[^>]*?encoding\s*=\s*["']([a-z0-9_.:\-]+)["']"""), (head, r"""(?i)^@charset "([a-z0-9_.:\-]+)";""")]
+    named = F.lower(F.coalesce(*(F.nullif(F.regexp_extract(text, rule, 1), F.lit("")) for text, rule in rules)))
+    return F.coalesce(bom, F.when(named.startswith("utf-16"), "utf-8").otherwise(named))
+
+
 def guessed_type(url: Column) -> Column:
     """By the extension of the URL's path, from the standard table of media types."""
     extension = F.lower(F.regexp_extract(url, r"^[^?#]*/[^/?#]*(\.[A-Za-z0-9]+)(?:[?#].*)?$", 1))

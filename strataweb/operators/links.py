@@ -61,7 +61,7 @@ def links_of(kind: str | None, url: str | None, body: str | None, root: bool = F
 
 
 def with_links(captures: DataFrame, out: str = "links", rules: tuple[Rule, ...] = ()) -> DataFrame:
-    """Adds the ordered links of each capture (url, metadata, body as text).
+    """Adds the ordered links of each capture (url, metadata, body as text, or as bytes that are decoded first).
 
     Binary types and captures without a body are set aside before anything is
     parsed.  A redirect is the last link.  ``rules`` see each document's links
@@ -73,7 +73,13 @@ def with_links(captures: DataFrame, out: str = "links", rules: tuple[Rule, ...]
     moved, why = http.redirect_url(status, headers), http.redirect_title(status, F.col("metadata.reason_phrase"))
     root = F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1) == "/"
     own = {"_link_kind": F.when(frames, "frames").otherwise(kind), "_link_root": root, "_link_moved": moved, "_link_why": why}
-    work, names, n_own = captures.drop(out).withColumns(own), ["url", "body", *own], len(own)
+    if isinstance(captures.schema["body"].dataType, T.BinaryType):
+        text = decode(F.col("body"), headers, detect=True)
+        own["_link_kind"] = F.when((kind == "html") & F.lower(text).contains("<frameset"), "frames").otherwise(kind)
+        # Bodies without links are not decoded.
+        own["_link_text"] = F.when(kind.isNotNull(), text)
+    names = ["url", "_link_text" if "_link_text" in own else "body", "_link_kind", "_link_root", "_link_moved", "_link_why"]
+    work, n_own = captures.drop(out).withColumns(own), len(own)
     schema = T.StructType([*captures.drop(out).schema.fields, T.StructField(out, T.ArrayType(LINK_TYPE))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +175,18 @@ def _decoded(data: bytes, charset: str) -> str:
 _decode_udf = F.pandas_udf(lambda bodies, names: pd.Series([None if b is None or n is None else _decoded(b, n) for b, n in zip(bodies, names, strict=True)], dtype=object), T.StringType())
 
 
-def decode(body: Column, headers: Column | None = None) -> Column:
-    """The text of a binary body in its declared charset; UTF-8 if none (or one that is unknown) is declared.
+def decode(body: Column, headers: Column | None = None, detect: bool = False) -> Column:
+    """The text of a binary body in its declared charset, with ``detect`` else in the one it names itself; UTF-8 if none (or one that is unknown) is named.
 
-    Malformed bytes are replaced.  Only bodies in other charsets leave the JVM.
+    Malformed bytes are replaced, a byte-order mark is left out where charsets
+    are detected.  Only bodies in other charsets leave the JVM.
     """
     plain = body.cast("string")
-    if headers is None:
+    named = [F.lower(http.declared_charset(headers))] if headers is not None else []
+    named += [http.detected_charset(body)] if detect else []
+    if not named:
         return plain
-    charset = F.lower(http.declared_charset(headers))
+    charset = F.coalesce(*named)
     other = charset.isNotNull() & ~charset.isin("utf-8", "utf8", "us-ascii", "ascii")
-    return F.when(other, _decode_udf(F.when(other, body), F.when(other, charset))).otherwise(plain)
+    text = F.when(other, _decode_udf(F.when(other, body), F.when(other, charset))).otherwise(plain)
+    return F.regexp_replace(text, "^\ufeff", "") if detect else text

@@ -342,6 +342,22 @@ def _links(s, d) -> DataFrame:
 
 
 simple("links_html", f"WITH {LINKS} SELECT page_id AS id, CAST(pos AS INT) AS pos, relative_url, type_title, title, false AS embedded, target_url FROM tl", lambda s, d: _links(s, d).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url"))
+
+
+@query(ORACLE["links_html"])
+def links_of_charsets(s, d):
+    """The links of every page, its bytes in one of four charsets that only they themselves tell: by a mark, or by the page's meta tag."""
+    html, way = F.col("body"), F.col("id") % 4
+    latin = ~html.rlike(r"[^\x00-\xff]")
+    marked = lambda charset: F.encode(F.concat(F.lit("\ufeff"), html), charset)
+    named = F.encode(F.regexp_replace(html, 'charset="utf-8"', 'charset="iso-8859-1"'), "ISO-8859-1")
+    body = F.when(way == 0, F.encode(html, "UTF-8")).when(way == 1, marked("UTF-16LE")).when(way == 2, marked("UTF-16BE")).when(latin, named).otherwise(marked("UTF-8"))
+    headers = F.array(F.array(F.lit("Content-Type"), F.lit("text/html")))
+    metadata = F.struct(F.lit(200).alias("status_code"), F.lit("OK").alias("reason_phrase"), headers.alias("headers"))
+    parsed = links.with_links(model.captures(s, d).withColumn("body", body).withColumn("metadata", metadata))
+    return links.explode_links(parsed.select("id", "url", "links")).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url")
+
+
 simple("links_per_page", f"WITH {LINKS} SELECT p.page_id AS id, count(pos) AS n_links FROM pages p LEFT JOIN lk USING (page_id) GROUP BY 1", lambda s, d: links.with_links(model.captures(s, d)).select("id", F.size("links").cast("long").alias("n_links")))
 simple("link_types", f"WITH {LINKS} SELECT type_title, count(*) AS n FROM lk GROUP BY 1", lambda s, d: _links(s, d).groupBy("type_title").agg(F.count(F.lit(1)).alias("n")))
 simple("link_targets_grouped", f"WITH {LINKS} SELECT url, target_url, CAST(min(pos) AS INT) AS first_pos, count(*) AS n_links, false AS any_embedded, string_agg('Link: ' || title, ', ' ORDER BY pos) AS titles FROM tl GROUP BY ALL", lambda s, d: links.by_target(_links(s, d)))
@@ -481,6 +497,22 @@ simple("pending_work", f"WITH {R}, {REV} SELECT url, max(id % 3) AS priority FRO
 simple("resume_members", f"WITH {R} SELECT id, url FROM r WHERE {_fits('url', 'https://blog.**')} AND id > 100", lambda s, d: crawl.resume(groups.members(model.resources(s, d), "https://blog.**"), 100))
 
 
+_STEPS = "WITH t AS (SELECT conv_id, turn + 1 AS k, max(turn + 1) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT 'https://talks.test/c' || conv_id || '/' || k AS url, CAST(CASE WHEN k = 1 THEN 0 ELSE least(k - 1, n - k + 1) END AS INT) AS depth FROM t"
+
+
+@query(_STEPS)
+def crawl_talks(s, d):
+    """Everything that the first pages of all talks reach by their parsed links; a first page links to the last one, too."""
+    captures, found, *_ = _talks(s, d)
+    return crawl.frontier(captures.where("k = 1").select("url"), found)
+
+
+@query(f"SELECT * FROM ({_STEPS}) WHERE depth <= 2")
+def frontier_talks(s, d):
+    captures, found, *_ = _talks(s, d)
+    return crawl.frontier(captures.where("k = 1").select("url"), found, 2)
+
+
 def _page_groups(s, d) -> DataFrame:
     """A group for every page: from the group of half its id, from a root (of odd ids), or from nothing."""
     kind = F.expr("CASE WHEN id % 3 < 2 AND id > 0 THEN 'resource_group' WHEN id % 3 = 2 THEN 'root_resource' END")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strataweb.functions import documents
+from strataweb.functions import documents, http
 from strataweb.operators import links, rewrite
 
 CASES = [
@@ -186,6 +186,40 @@ def test_bodies_in_their_charset(spark):
     assert found == ["café “x”", "漢字", "é", "é", "�", None]
 
 
+DETECTED = [
+    ("<meta charset=Windows-1252>é".encode("cp1252"), "windows-1252", "<meta charset=Windows-1252>é"),
+    ('<META http-equiv="x" content="text/html; charset=shift_jis">漢'.encode("shift_jis"), "shift_jis", '<META http-equiv="x" content="text/html; charset=shift_jis">漢'),
+    ("\ufeff<meta charset=latin1>é".encode("utf-16-le"), "utf-16le", "<meta charset=latin1>é"),
+    ("\ufeffé".encode("utf-16-be"), "utf-16be", "é"),
+    ("\ufeff<meta charset=latin1>é".encode(), "utf-8", "<meta charset=latin1>é"),
+    ('<!-- <meta charset="cp1252"> --><meta charset="utf-16">é'.encode(), "utf-8", '<!-- <meta charset="cp1252"> --><meta charset="utf-16">é'),
+    ('<?xml version="1.0" encoding="iso-8859-1"?>é'.encode("latin1"), "iso-8859-1", '<?xml version="1.0" encoding="iso-8859-1"?>é'),
+    ('@charset "iso-8859-1";é'.encode("latin1"), "iso-8859-1", '@charset "iso-8859-1";é'),
+    (b" " * 1024 + "<meta charset=latin1>é".encode(), None, " " * 1024 + "<meta charset=latin1>é"),
+    (b"<metal charset=latin1><meta name=charset>", None, "<metal charset=latin1><meta name=charset>"),
+    (b"<meta charset=nonsense>\xc3\xa9", "nonsense", "<meta charset=nonsense>é"),
+    (b"", None, ""),
+    (None, None, None),
+]
+
+
+def test_charsets_that_bodies_name(spark):
+    df = spark.createDataFrame([(k, b) for k, (b, _, _) in enumerate(DETECTED)], "k int, body binary")
+    found = df.select(http.detected_charset(F.col("body")), links.decode(F.col("body"), detect=True)).collect()
+    assert [tuple(r) for r in found] == [(c, t) for _, c, t in DETECTED]
+    declared = F.array(F.array(F.lit("Content-Type"), F.lit("text/html; charset=latin1")))
+    assert df.limit(1).select(links.decode(F.col("body"), declared, detect=True)).first()[0] == DETECTED[0][2]
+
+
+def test_links_of_bytes_are_those_of_their_text(spark):
+    page = '<meta charset="shift_jis"><a href="漢">字</a>'
+    rows = captures(spark, [("https://x.test/a", page, "text/html"), ("https://x.test/b", "<frameset><frame src='l.html'></frameset>", "text/html"), ("https://x.test/c", "<a href=x>", "image/png"), ("https://x.test/d", None, "text/html")])
+    coded = rows.toPandas().assign(body=lambda t: [b if b is None else b.encode("shift_jis") for b in t["body"]])
+    as_bytes = spark.createDataFrame(coded.to_dict("records"), rows.drop("body").withColumn("body", F.lit(None).cast("binary")).schema)
+    text, held = (links.with_links(r).orderBy("k") for r in (rows, as_bytes.select(rows.columns)))
+    assert [r["links"] for r in held.collect()] == [r["links"] for r in text.collect()] and held.schema["body"].dataType.simpleString() == "binary"
+
+
 def test_insertions(spark):
     page = "<html><head><title>t</title></head><body><p>x</p></body></html>"
     df = spark.createDataFrame([(page,), ("<p>bare",), ("<body><a id='foot'>f</a></body>",)], "h string")
