@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import http, patterns, urls
 from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
 from ..sources import bodies, project, recorded, scratch
+from ..streaming import changes
 from ..streaming import membership as streaming
 from . import model
 
@@ -664,6 +665,26 @@ def stream_group_membership(s, d):
     return s.read.schema(found.schema).parquet(f"{root}/out")
 
 
+_LAST = "l AS (SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1), m AS (SELECT l.id, url FROM l JOIN pages ON page_id = seq % (SELECT max(page_id) + 1 FROM pages) WHERE kind <> 'error')"
+
+
+@query(f"WITH {G}, {_LAST} SELECT id, url, CAST(group_id AS BIGINT) AS group_id FROM m JOIN g ON regexp_full_match(url, re)")
+def stream_member_changes(s, d):
+    """Events as a stream of changes (each moves its user to a page, an error deletes the user); what the emitted additions and removals leave."""
+    n = model.table(s, d, "pages").agg(F.max("page_id") + 1).first()[0]
+    events = membership_stream(s, d, "events")
+    pages = model.table(s, d, "pages").select("page_id", "url")
+    moved = events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("deleted"), (F.col("event_id") % n).alias("page_id")).join(pages, "page_id")
+    root = scratch.new_folder(s, "stream")
+    streaming.run_available(changes.member_changes(moved, model.GROUPS), f"{root}/out", f"{root}/state")
+    return changes.members_of(s.read.schema(changes.CHANGES).parquet(f"{root}/out"))
+
+
+def membership_stream(s, d, name: str) -> DataFrame:
+    """A table as a stream."""
+    return streaming.resource_stream(s, d, s.read.parquet(f"{d}/{name}.parquet").schema, glob=f"{name}.parquet")
+
+
 @query("SELECT page_id AS id, octet_length(encode(html)) AS size, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")
 def packed_bodies(s, d):
     """Every page's body written to packs in the shared folder, and read back from there."""
