@@ -44,20 +44,6 @@ SCALE = 1 << 40
 _OWN = "_mix_"
 
 
-def apportion(shares: dict, frame: int = FRAME) -> dict:
-    """Whole slots that sum to ``frame``, at least one each, by largest remainders (ties: key)."""
-    if len(shares) > frame:
-        raise ValueError(f"{len(shares)} sources do not fit a frame of {frame} slots")
-    total = sum(shares.values())
-    spare = frame - len(shares)
-    exact = {s: spare * w / total for s, w in shares.items()}
-    slots = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(shares, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    for s in by_rest[: frame - sum(slots.values())]:
-        slots[s] += 1
-    return slots
-
-
 def whole_weights(shares: list[float]) -> list[int]:
     """The shares as whole numbers that sum to about ``SCALE``; a share of zero or less is zero."""
     total = sum(max(w, 0) for w in shares)
@@ -161,33 +147,29 @@ def row_key(docs: DataFrame) -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | None = None, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """Every row with block (from 0 within its source), slot and position (gapless from 0) in the mixed order.
 
     ``weights`` gives the share of each source; without it a source's share
     is its rows to the power ``TEMPERATURE``.  Sources that ``weights`` lacks
     share one lane, with the mean share of the others.  Sources of weight zero
-    follow all others, by name.  With ``frame`` the weights are those of
-    :func:`apportion` instead, and sources beyond the ``frame - 1`` largest
-    are in the shared lane too.  Null source is the empty string.  Within a
+    follow all others, by name.  Null source is the empty string.  Within a
     lane rows go by :func:`row_key`.  Repeated rows keep places of their own.  An empty table
     gives an empty result; an input column of an added name is replaced.
     """
     added = ["block", "slot", "position"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    placed = _placed(docs, weights, frame, block, keep)
+    placed = _placed(docs, weights, block, keep)
     return placed.select(*(F.col(f"{_OWN}row")[c].alias(c) for c in keep), *added)
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None, block: int, keep: list[str]) -> DataFrame:
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block: int, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     name = F.coalesce(F.col("source").cast("string"), F.lit(""))
     counted = docs.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
     counted = materialise(counted, "mix-sources")
     total = counted.agg(F.sum("n")).first()[0] or 0
     eligible = counted if weights is None else counted.where(F.col("name").isin(list(weights)))
-    if frame is not None:
-        eligible = eligible.orderBy(F.desc("n"), "name").limit(frame - 1)
     held = {r["name"]: r["n"] for r in eligible.collect()}
     names: list[str | None] = sorted(held)
     shares = [float(held[s]) ** TEMPERATURE if weights is None else float(weights[s]) for s in names]
@@ -196,7 +178,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None
         names.append(None)
         shares.append(sum(shares) / len(shares) if shares else 1.0)
         sizes.append(total - sum(sizes))
-    whole = whole_weights(shares) if frame is None else list(apportion(dict(enumerate(shares)), frame).values()) if names else []
+    whole = whole_weights(shares)
     # Lanes with a weight come first, by name.
     lane_of = sorted(range(len(names)), key=lambda k: whole[k] == 0)
     names, whole, sizes = [names[k] for k in lane_of], [whole[k] for k in lane_of], [sizes[k] for k in lane_of]
@@ -243,7 +225,7 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, frame: int | None
     )
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, frame: int | None = None, block: int = BLOCK) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` laid out in the mixed order: files and rows follow the position; columns as they were."""
-    placed = _placed(docs, weights, frame, block, docs.columns)
+    placed = _placed(docs, weights, block, docs.columns)
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*(F.col(f"{_OWN}row")[c].alias(c) for c in docs.columns))

@@ -191,28 +191,24 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(curve AS INT) AS curve, CAS
 FROM (SELECT *, {SHARDS} AS n_shards FROM cut)
 """
 
+# One walk over all slots, by the exact weights: blocks are released and due as the operator defines, a source that has run out leaves its slots empty.
 ORACLE["op3_mixing"] = f"""
-WITH RECURSIVE lanes AS (
-    SELECT name, n, row_number() OVER (ORDER BY name) - 1 AS lane, count(*) OVER () AS k, pow(n, {mixing.TEMPERATURE}) AS share
-    FROM (SELECT coalesce(source, '') AS name, count(*) AS n FROM documents GROUP BY 1)),
-exact AS (SELECT *, ({mixing.FRAME} - k) * share / sum(share) OVER () AS e FROM lanes),
-parts AS (SELECT name, n, lane, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, lane) <= {mixing.FRAME} - sum(1 + floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS p FROM exact),
-lists AS (SELECT list(p ORDER BY lane) AS p, list(n ORDER BY lane) AS n FROM parts),
-due AS (SELECT lane, p, j, (j * {mixing.FRAME}) // p AS released, ((j + 1) * {mixing.FRAME} + p - 1) // p AS deadline FROM parts, unnest(range(0, p)) AS u(j)),
+WITH RECURSIVE named AS (SELECT coalesce(source, '') AS name, count(*) AS n, pow(count(*), {mixing.TEMPERATURE}) AS share FROM documents GROUP BY 1),
+lanes AS (SELECT name, n, row_number() OVER (ORDER BY name) - 1 AS lane, greatest(1, round_even(share / (SELECT list_sum(list(share ORDER BY name)) FROM named) * {mixing.SCALE}, 0))::HUGEINT AS w FROM named),
+lists AS (SELECT list(w ORDER BY lane) AS w, list(n ORDER BY lane) AS n, sum(w)::HUGEINT AS whole FROM lanes),
+long AS (SELECT max((((n + {mixing.BLOCK - 1}) // {mixing.BLOCK}) * whole + w - 1) // w) AS slots FROM lanes, (SELECT whole FROM lists)),
 walk(slot, done, lane) AS (
-    SELECT -1::BIGINT, list_transform((SELECT p FROM lists), lambda x: 0::BIGINT), -1::BIGINT
+    SELECT -1::BIGINT, list_transform(w, lambda x: 0::HUGEINT), -1::BIGINT FROM lists
     UNION ALL
     SELECT slot + 1, list_transform(done, lambda d, i: CASE WHEN i - 1 = pick THEN d + 1 ELSE d END), pick
-    FROM (SELECT slot, done, list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN d < p[i] AND (d * {mixing.FRAME}) // p[i] <= slot + 1
-              THEN (((d + 1) * {mixing.FRAME} + p[i] - 1) // p[i]) * 100000 + i - 1 END), lambda x: x IS NOT NULL)) % 100000 AS pick
-          FROM walk, lists WHERE slot + 1 < {mixing.FRAME})),
-sched AS (SELECT w.slot, w.lane, w.done[w.lane + 1] - 1 AS job, list_transform(w.done, lambda d, i: CASE WHEN i - 1 = w.lane THEN d - 1 ELSE d END) AS before FROM walk w WHERE w.slot >= 0),
-ranked AS (SELECT doc_id, d.source, x.lane, x.p, row_number() OVER (PARTITION BY x.lane ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))) - 1 AS r
-    FROM documents d JOIN parts x ON coalesce(d.source, '') = x.name),
-blocked AS (SELECT *, r // {mixing.BLOCK} AS block, (r // {mixing.BLOCK}) // p AS round, (r // {mixing.BLOCK}) % p AS job FROM ranked)
-SELECT b.doc_id, b.source, CAST(b.block AS BIGINT) AS block, CAST(b.round * {mixing.FRAME} + s.slot AS BIGINT) AS slot,
-       CAST(list_sum(list_transform(s.before, lambda x, i: least(l.n[i], (b.round * l.p[i] + x) * {mixing.BLOCK}))) + b.r % {mixing.BLOCK} AS BIGINT) AS position
-FROM blocked b JOIN sched s ON s.lane = b.lane AND s.job = b.job, lists l
+    FROM (SELECT slot, done, (list_min(list_filter(list_transform(done, lambda d, i: CASE WHEN (d * whole) // w[i] <= slot + 1
+              THEN (((d + 1) * whole + w[i] - 1) // w[i]) * 100000 + i - 1 END), lambda x: x IS NOT NULL)) % 100000)::BIGINT AS pick
+          FROM walk, lists, long WHERE slot + 1 < slots)),
+turns AS (SELECT slot, walk.lane, done[walk.lane + 1] - 1 AS block, list_sum(list_transform(done, lambda d, i: least(n[i], (CASE WHEN i - 1 = walk.lane THEN d - 1 ELSE d END) * {mixing.BLOCK}))) AS first FROM walk, lists WHERE slot >= 0),
+ranked AS (SELECT doc_id, d.source, x.lane, row_number() OVER (PARTITION BY x.lane ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')))) - 1 AS r
+    FROM documents d JOIN lanes x ON coalesce(d.source, '') = x.name)
+SELECT doc_id, source, CAST(t.block AS BIGINT) AS block, CAST(t.slot AS BIGINT) AS slot, CAST(t.first + r % {mixing.BLOCK} AS BIGINT) AS position
+FROM ranked b JOIN turns t ON t.lane = b.lane AND t.block = b.r // {mixing.BLOCK}
 """
 
 

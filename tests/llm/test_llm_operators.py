@@ -42,8 +42,8 @@ def odd(spark):
 ADDS = ["size", "shard", "slot", "block", "position", "score", "predicted", "n_words", "kept", "removed", "items", "spans", "label", "node", "near_id", "kept_id", "host", "path", "verdict", "rule", "n_tokens", "leaf_tokens", "url"]
 OPERATORS = {
     "shard": lambda d, s: sharding.shard(d, 4),
-    "mix": lambda d, s: mixing.mix(d, frame=20, block=2),
-    "mixed_order": lambda d, s: mixing.in_mixed_order(d, frame=20, block=2),
+    "mix": lambda d, s: mixing.mix(d),
+    "mixed_order": lambda d, s: mixing.in_mixed_order(d, block=2),
     "scan": lambda d, s: decontamination.scan(d, s.createDataFrame([(1, "null id"), (2, None), (None, "x")], "item_id long, text string")),
     "rules": lambda d, s: quality_rules.judge(d),
     "near": lambda d, s: near_dedup.near_duplicates(d),
@@ -339,15 +339,15 @@ def test_token_counts_of_odd_rows(spark, odd):
 
 def test_schedule_stays_within_one_block(spark):
     rows = [(k, "x", "en", "abcdd"[k % 5] if k < 400 else "d") for k in range(600)]
-    placed = mixing.mix(docs(spark, rows), weights={"a": 3, "b": 1, "c": 1}, frame=50, block=1).orderBy("position").collect()
+    weights = {"a": 3, "b": 1, "c": 1}  # d, which they lack, has their mean
+    placed = mixing.mix(docs(spark, rows), weights=weights, block=1).orderBy("position").collect()
     assert [r["position"] for r in placed] == list(range(600))
-    slots = mixing.apportion({0: 3, 1: 1, 2: 1, 3: 5 / 3}, 50)
-    seen, size = defaultdict(int), {"a": 80, "b": 80, "c": 80, "d": 360}
+    shares, seen, size = [3, 1, 1, 5 / 3], defaultdict(int), {"a": 80, "b": 80, "c": 80, "d": 360}
     for turn, r in enumerate(placed, 1):
         seen[r["source"]] += 1
         if any(seen[s] == size[s] for s in "abcd"):
             break
-        assert all(abs(seen[s] - turn * slots[k] / 50) < 1 for k, s in enumerate("abcd"))
+        assert all(abs(seen[s] - turn * shares[k] / sum(shares)) < 1 + 1e-6 for k, s in enumerate("abcd"))
 
 
 def earliest_deadlines(whole, blocks):
