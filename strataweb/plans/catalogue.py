@@ -694,6 +694,23 @@ def packed_bodies(s, d):
     return bodies.read_bodies(s, folder).select("id", "size", F.sha2("body", 256).alias("digest"))
 
 
+@query("SELECT '000/000/000/' || printf('%03x', page_id // 4096) || '/' || printf('%02x', page_id // 16 % 256) || '_.zip' AS path, count(*) AS n FROM pages WHERE page_id // 16 >= (SELECT max(page_id) // 32 FROM pages) AND html IS NOT NULL GROUP BY ALL")
+def resumed_packs(s, d):
+    """The packs that a second run writes, after one of the first half and of one page more."""
+    folder = scratch.new_folder(s, "packs")
+    body = model.captures(s, d).select("id", F.encode("body", "UTF-8").alias("body"))
+    half = body.agg(F.expr("max(id) div 32 * 16").alias("h")).first()["h"] or 0
+    bodies.write_packs(body.where(F.col("id") <= half), folder).write.format("noop").mode("overwrite").save()
+    return bodies.write_missing_packs(s, body, folder)
+
+
+simple(
+    "missing_packs",
+    f"WITH {REV} SELECT id // 16 AS pack_id, count(*) AS n_loose FROM rev WHERE status_code = 200 AND (id // 16 * 16 + 15) IN (SELECT id FROM rev) AND id // 16 NOT IN (SELECT id // 16 FROM rev WHERE status_code = 301) GROUP BY 1",
+    lambda s, d: bodies.missing_packs(model.revisions(s, d), model.revisions(s, d).where("status_code = 200"), model.revisions(s, d).where("status_code = 301")),
+)
+
+
 @query("SELECT page_id AS id, octet_length(encode(html)) AS size, sha256(html) AS digest FROM pages WHERE html IS NOT NULL AND page_id >= (SELECT max(page_id) // 2 FROM pages)")
 def pack_range_read(s, d):
     """The later half of the bodies: the range of ids reaches the reader, which opens no pack below it."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import packs as packed
 from .packs import PACK
+from .scratch import written
 
 
 def hex_id(id_: Column) -> Column:
@@ -131,6 +132,47 @@ def rewrite_packs(spark: SparkSession, project: str, gone: DataFrame, folder: st
     return names.join(written, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def write_missing_packs(spark: SparkSession, bodies: DataFrame, folder: str) -> DataFrame:
+    """As :func:`write_packs`, but only the packs that ``folder`` lacks, or of which it lacks an entry.
+
+    A pack that is there is there as a whole, so what is in ``folder`` is the
+    manifest: a job that was stopped goes on where it ended, and one that had
+    ended writes nothing.  Entries that such a pack holds beyond ``bodies`` stay.
+    Only ids are compared; bodies of packs that are done are not read.
+    """
+    ids = bodies.where(F.col("body").isNotNull()).select("id")
+    there = pack_entries(spark, folder)
+    lacking = written(ids.join(there, "id", "left_anti").select(pack_id(F.col("id")).alias("pack_id")).distinct(), "lacking-packs")
+    own = bodies.select("id", "body", pack_id(F.col("id")).alias("pack_id")).join(lacking, "pack_id", "left_semi")
+    held = read_packs(spark, folder).withColumn("pack_id", pack_id(F.col("id"))).join(lacking, "pack_id", "left_semi").join(ids, "id", "left_anti")
+    return write_packs(own.select("id", "body").union(held.select("id", "body")), folder)
+
+
 def migrate(spark: SparkSession, project: str, folder: str, hierarchical: bool = True) -> DataFrame:
-    """A project of loose files (flat or hierarchical) as packs in ``folder``; one job, each body read once."""
-    return write_packs(read_loose(spark, project, hierarchical).select("id", "body"), folder)
+    """A project of loose files (flat or hierarchical) as packs in ``folder``: path and n of each pack that was written.
+
+    Each body is read once.  Stopped half-way, the next call writes the rest.
+    """
+    return write_missing_packs(spark, read_loose(spark, project, hierarchical).select("id", "body"), folder)
+
+
+def missing_packs(revisions: DataFrame, loose: DataFrame, entries: DataFrame) -> DataFrame:
+    """pack_id and n_loose of the packs that should be there and are not.
+
+    A pack is due once its last revision is recorded (``revisions``: id); it is
+    missing if none of its ids is an entry of a pack (``entries``: id) while
+    bodies of it still lie about (``loose``: id), as a full disk or a crash
+    between both leaves them.
+    """
+    due = revisions.where(F.col("id") % PACK == PACK - 1).select(pack_id(F.col("id")).alias("pack_id"))
+    held = entries.select(pack_id(F.col("id")).alias("pack_id")).distinct()
+    lying = loose.groupBy(pack_id(F.col("id")).alias("pack_id")).agg(F.count(F.lit(1)).alias("n_loose"))
+    return lying.join(due, "pack_id", "left_semi").join(held, "pack_id", "left_anti")
+
+
+def rebuild_packs(spark: SparkSession, project: str, revisions: DataFrame) -> DataFrame:
+    """Write the missing packs of a project from its loose files; path and n of each."""
+    loose = read_loose(spark, project)
+    gone = missing_packs(revisions, loose.select("id"), pack_entries(spark, project))
+    due = loose.withColumn("pack_id", pack_id(F.col("id"))).join(gone, "pack_id", "left_semi")
+    return write_packs(due.select("id", "body"), project)

@@ -103,3 +103,37 @@ def test_filters_reach_the_database(spark, tmp_path):
     reader = project.SqliteReader({"path": path, "table": "resource"}, ["id", "url"])
     assert list(reader.pushFilters([packs.EqualTo(("id",), 7), packs.EqualTo(("url",), "u")])) == []
     assert [(p.low, p.high) for p in reader.partitions()] == [(7, 8)] and list(reader.read(reader.partitions()[0])) == []
+
+
+def test_a_stopped_migration_goes_on(spark, tmp_path):
+    folder = tmp_path / "flat/revisions"
+    folder.mkdir(parents=True)
+    for k in [*range(5, 40), 200, 201]:
+        (folder / str(k)).write_bytes(b"body %d" % k)
+    out = str(tmp_path / "packed")
+    first = {r["path"]: r["n"] for r in bodies.migrate(spark, str(tmp_path / "flat"), out, hierarchical=False).collect()}
+    assert sorted(first.values()) == [2, 8, 11, 16]
+    assert bodies.migrate(spark, str(tmp_path / "flat"), out, hierarchical=False).count() == 0
+    # As if it had been stopped: one pack is not there, another lacks an entry that came later.
+    (tmp_path / "packed/revisions" / packs.pack_name(16)).unlink()
+    (folder / "202").write_bytes(b"body 202")
+    (folder / "200").unlink()  # packed before, and deleted here
+    kept = (tmp_path / "packed/revisions" / packs.pack_name(0)).stat().st_mtime_ns
+    again = {r["path"]: r["n"] for r in bodies.migrate(spark, str(tmp_path / "flat"), out, hierarchical=False).collect()}
+    assert again == {packs.pack_name(16): 16, packs.pack_name(192): 3}
+    assert (tmp_path / "packed/revisions" / packs.pack_name(0)).stat().st_mtime_ns == kept
+    assert {r["id"]: bytes(r["body"]) for r in bodies.read_packs(spark, out).collect()} == {k: b"body %d" % k for k in [*range(5, 40), 200, 201, 202]}
+
+
+def test_missing_packs_are_rebuilt_from_loose_files(spark, tmp_path):
+    path = str(tmp_path)
+    bodies.write_packs(spark.createDataFrame([(k, b"x%d" % k) for k in range(16)], "id long, body binary"), path).collect()
+    for k in (17, 18, 31, 40, 64):
+        place = tmp_path / f"revisions/000/000/000/000/{k:03x}"
+        place.write_bytes(b"x%d" % k)
+    revisions = spark.range(70).where("id <> 79")
+    ids = bodies.missing_packs(revisions, bodies.read_loose(spark, path).select("id"), bodies.pack_entries(spark, path))
+    assert sorted(map(tuple, ids.collect())) == [(1, 3), (2, 1)]  # that of 64 is not due yet
+    assert sorted(r["n"] for r in bodies.rebuild_packs(spark, path, revisions).collect()) == [1, 3]
+    assert {r["id"] for r in bodies.read_packs(spark, path).collect()} == {*range(16), 17, 18, 31, 40}
+    assert bodies.rebuild_packs(spark, path, revisions).count() == 0
