@@ -141,33 +141,29 @@ def chunk_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     Similar nodes differ in weight by a factor of ``1 / threshold`` at most, so
     chunks are made by level of the weight and meet those of the same and the
-    next levels; only chunks with nodes outside the largest component ask.
-    Pairs are dealt out by cell, ``SIDE`` chunks of one side by as many of the
-    other, each cell under a key of its own: a large group is the work of as
-    many tasks as it has cells, and no task holds more than a cell's chunks.
+    next levels; only nodes outside the largest component ask (p), all are
+    asked (q).  Pairs are dealt out by cell: a band of ``SIDE`` chunks' bytes of
+    one side by a band of the other, each cell under a key of its own.  So a
+    large group is the work of as many tasks as it has cells, no task holds
+    more than a cell's chunks, and a group of one band is sent once.
     """
     sizes = rows.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("deltas")).alias("bytes"))
-    sizes = sizes.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    sizes = sizes.groupBy("centre").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    # Chunks of the group, and of what asks in it.
+    many = [F.ceil((b + 1) / CHUNK_BYTES).alias(c) for c, b in (("q_parts", F.col("bytes")), ("p_parts", F.col("bytes") - F.col("main.bytes")))]
     level = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) / (1.0001 * math.log(1 / threshold))).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.ceil((F.col("bytes") + 1) / CHUNK_BYTES))
-    placed = rows.join(sizes.select("centre", "main", "bytes"), "centre").withColumn("level", level).withColumn("part", part)
-    placed = placed.withColumn("band", F.expr(f"part div {SIDE}")).withColumn("asks", F.col("label") != F.col("main"))
-    # What each group has of levels and bands, a few numbers for each of its cells' sides.
-    at = F.struct("level", "band")
-    sides = placed.groupBy("centre").agg(F.collect_set(F.when(F.col("asks"), at)).alias("asking"), F.collect_set(at).alias("asked"))
-    placed = placed.join(sides, "centre")
+    placed = rows.join(sizes.select("centre", F.col("main.label").alias("main"), *many), "centre").withColumn("level", level)
     item = F.collect_list(F.struct("node", "label", "weight", "lacks", "deltas"))
 
-    def chunks(some: DataFrame, others: str, out: str, mine: str, theirs: str) -> DataFrame:
-        """The chunks, one row for each cell they belong to: those with the other side's levels and bands within reach."""
-        made = some.groupBy("centre", "level", "part", "band").agg(item.alias(out), F.max("whole").alias("whole"), F.any_value(others).alias("others"))
-        met = F.filter("others", lambda x: F.abs(x["level"] - F.col("level")) <= 1)
-        named = made.select("centre", "whole", out, at.alias(mine), F.explode(met).alias(theirs))
-        return named.select("centre", "p_at", "q_at", out, *(["whole"] if out == "p" else []))
+    def chunks(some: DataFrame, mine: str, other: str) -> DataFrame:
+        """The chunks of one side, one row for each cell they belong to."""
+        part = F.pmod(F.xxhash64("node"), F.col(f"{mine}_parts")).alias("part")
+        made = some.groupBy("centre", f"{other}_parts", F.col("level").alias(f"{mine}_level"), part).agg(item.alias(mine), F.max("whole").alias("whole"))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({other}_parts - 1) div {SIDE}"))).alias(f"{other}_band")
+        return made.select("centre", f"{mine}_level", mine, F.expr(f"part div {SIDE}").alias(f"{mine}_band"), others, *(["whole"] if mine == "p" else []))
 
-    asking = chunks(placed.where("asks"), "asked", "p", "p_at", "q_at")
-    asked = chunks(placed, "asking", "q", "q_at", "p_at")
-    return asking.join(asked, ["centre", "p_at", "q_at"]).select("p", "q", "whole")
+    met = chunks(placed.where("label <> main"), "p", "q").join(chunks(placed, "q", "p"), ["centre", "p_band", "q_band"])
+    return met.where(F.abs(F.col("p_level") - F.col("q_level")) <= 1).select("p", "q", "whole")
 
 
 class _Chunk:

@@ -148,7 +148,7 @@ def test_one_large_group_is_dealt_out_by_cells(spark, monkeypatch):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     chunks = -(-(12 * n + 1) // (12 * 500))
     assert sum(r["products"] for r in found) == n * (n - 1)  # all but the one of the main label ask all
-    assert sum(r["pairs"] for r in found) == chunks * chunks
+    assert (chunks - 1) * chunks <= sum(r["pairs"] for r in found) <= chunks * chunks
     assert max(r["pairs"] for r in found) <= 4 * chunks * chunks / tasks
 
 
