@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
-from ..operators import crawl, groups, inference, links, resources, revisions, rewrite
+from ..operators import crawl, groups, inference, links, resources, revisions, rewrite, sql
 from ..sources import bodies, project, recorded, scratch
 from ..streaming import changes
 from ..streaming import membership as streaming
@@ -25,18 +25,18 @@ PATTERN = "https://blog.*.example.com/en/**"
 HOST = "localhost:2797"
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
-        if sql is not None:
-            ORACLE[name or f.__name__] = sql
+        if oracle is not None:
+            ORACLE[name or f.__name__] = oracle
         return f
 
     return register
 
 
-def simple(name: str, sql: str, f: Query) -> None:
-    query(sql, name)(f)
+def simple(name: str, oracle: str, f: Query) -> None:
+    query(oracle, name)(f)
 
 
 # Pieces of SQL that several oracles share.
@@ -359,6 +359,21 @@ def links_of_charsets(s, d):
     return links.explode_links(parsed.select("id", "url", "links")).select("id", "pos", "relative_url", "type_title", "title", "embedded", "target_url")
 
 
+
+
+@query(ORACLE["links_html"])
+def links_in_sql(s, d):
+    """The links of every page by SQL text alone: a lateral join with a table function."""
+    sql.register(s)
+    return s.sql("SELECT p.id, l.pos, l.relative_url, l.type_title, l.title, l.embedded, l.target_url FROM {pages} p, LATERAL document_links(p.url, 'html', p.body) l", pages=model.captures(s, d))
+
+
+@query("SELECT page_id AS id, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">')) FROM pages) GROUP BY 1")
+def tags_in_sql(s, d):
+    sql.register(s)
+    return s.sql("SELECT p.id, count(*) AS n_links FROM {pages} p, LATERAL document_tags(p.body) t WHERE t.tag = 'a' AND t.attributes['href'] IS NOT NULL GROUP BY p.id", pages=model.captures(s, d))
+
+
 simple("links_per_page", f"WITH {LINKS} SELECT p.page_id AS id, count(pos) AS n_links FROM pages p LEFT JOIN lk USING (page_id) GROUP BY 1", lambda s, d: links.with_links(model.captures(s, d)).select("id", F.size("links").cast("long").alias("n_links")))
 simple("link_types", f"WITH {LINKS} SELECT type_title, count(*) AS n FROM lk GROUP BY 1", lambda s, d: _links(s, d).groupBy("type_title").agg(F.count(F.lit(1)).alias("n")))
 simple("link_targets_grouped", f"WITH {LINKS} SELECT url, target_url, CAST(min(pos) AS INT) AS first_pos, count(*) AS n_links, false AS any_embedded, string_agg('Link: ' || title, ', ' ORDER BY pos) AS titles FROM tl GROUP BY ALL", lambda s, d: links.by_target(_links(s, d)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataweb.functions import documents, http
-from strataweb.operators import links, rewrite
+from strataweb.operators import links, rewrite, sql
 
 CASES = [
     ('<style>@import "tide.css"; /* url(no.png) */</style>', [("tide.css", "CSS @import", None, True)]),
@@ -247,3 +247,17 @@ def test_tags_by_name_and_attribute(spark):
     assert found() == [(1, 0, "p", "x"), (1, 1, "a", "y"), (1, 2, "p", "z")]
     assert found(tag="p", attribute="class") == [(1, 0, "p", "x")]
     assert found(attribute="class", matches=r"\bnav\b") == [(1, 1, "a", "y")] and found(attribute="href", equals="v") == []
+
+
+def test_table_functions_of_a_session(spark):
+    rows = [("https://x.test/a", "html", '<a href="b">t</a><p class=c>u'), ("https://x.test/", "css", "a{b:url(i.png)}"), ("https://x.test/f", "html", "<frameset><frame src='l.html'></frameset>"), (None, None, "<a href=x>"), ("https://x.test/n", "html", None)]
+    table = spark.createDataFrame(rows, "url string, kind string, body string")
+    sql.register(spark)
+    found = spark.sql("SELECT l.* FROM {t} t, LATERAL document_links(t.url, t.kind, t.body) l", t=table)
+    assert sorted((r["pos"], r["type_title"], r["title"], r["target_url"]) for r in found.collect()) == [(0, "CSS URL Reference", None, "https://x.test/i.png"), (0, "Link", "t", "https://x.test/b"), (0, "Unknown", None, "https://x.test/l.html")]
+    other = spark.newSession()
+    sql.register(other, rules=(lambda url, kind, body, found: found * 2,))
+    again = other.createDataFrame(rows, table.schema)
+    assert other.sql("SELECT * FROM {t} t, LATERAL document_links(t.url, t.kind, t.body) l", t=again).count() == 6 and found.count() == 3
+    tags = spark.sql("SELECT t.pos, t.tag, t.attributes, t.text FROM {t} d, LATERAL document_tags(d.body) t WHERE d.url = 'https://x.test/a'", t=table).collect()
+    assert [tuple(r) for r in tags] == [(0, "a", {"href": "b"}, "t"), (1, "p", {"class": "c"}, "u")]
