@@ -46,12 +46,12 @@ def existing_alternative(pages: DataFrame, resources: DataFrame) -> DataFrame:
     return joined.select("url", F.coalesce("hit.option", "_normal").alias("resource_url"), F.col("hit._id").alias("resource_id"))
 
 
-def first_alias(pages: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The first alias (by id) whose source prefix fits, from a table of aliases: adds alias_id and aliased_url."""
+def first_alias(pages: DataFrame, aliases: DataFrame, external: str = urls.EXTERNAL_PREFIX) -> DataFrame:
+    """The first alias (by id) whose source prefix fits, from a table of aliases: adds alias_id and aliased_url, with ``external`` before what lies outside."""
     met = join_prefixes(pages.select("url").distinct(), F.col("url"), aliases, "source_url_prefix")
     best = met.groupBy("url").agg(F.min_by(F.struct("alias_id", "source_url_prefix", "target_url_prefix", "target_is_external"), "alias_id").alias("a"))
     moved = F.concat(F.col("a.target_url_prefix"), F.substr("url", F.length("a.source_url_prefix") + 1))
-    moved = F.when(F.col("a.target_is_external"), urls.format_external(moved)).otherwise(moved)
+    moved = F.when(F.col("a.target_is_external"), urls.format_external(moved, external)).otherwise(moved)
     joined = best.select("url", F.col("a.alias_id").alias("alias_id"), moved.alias("_moved"))
     return pages.join(joined, "url", "left").select(*pages.columns, "alias_id", F.coalesce("_moved", "url").alias("aliased_url"))
 

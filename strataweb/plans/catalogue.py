@@ -239,7 +239,7 @@ simple("display_url", f"WITH {R} SELECT id, CASE WHEN starts_with(url, 'https://
 _REQ = f"'http://{HOST}/_/' || regexp_replace(url, '^([a-z]+)://', '\\1/')"
 simple("request_url", f"WITH {R} SELECT id, CASE WHEN starts_with(url, 'https://m.ththth.example.net/') THEN 'http://{HOST}' || substr(url, 29) ELSE {_REQ} END AS out FROM r", _of(lambda u: urls.request_url(u, HOST, "https://m.ththth.example.net").alias("out")))
 simple("archive_url", f"WITH {R} SELECT id, url AS out FROM r", _of(lambda u: urls.archive_url(F.concat(F.lit("/_/"), F.regexp_replace(u, "://", "/"))).alias("out")))
-simple("external_url", f"WITH {R} SELECT id, 'crystal://external/' || url AS external, url AS back FROM r", _of(lambda u: F.struct(urls.format_external(u).alias("external"), urls.parse_external(urls.format_external(u)).alias("back")).alias("x")))
+simple("external_url", f"WITH {R} SELECT id, 'archive://external/' || url AS external, url AS back FROM r", _of(lambda u: F.struct(urls.format_external(u).alias("external"), urls.parse_external(urls.format_external(u)).alias("back")).alias("x")))
 QUERIES["external_url"] = lambda s, d: model.resources(s, d).select("id", urls.format_external(F.col("url")).alias("external"), urls.parse_external(urls.format_external(F.col("url"))).alias("back"))
 simple("unrewritable_urls", f"WITH {R} SELECT id, id % 3 <> 2 AS unrewritable FROM r", lambda s, d: model.resources(s, d).select("id", urls.is_unrewritable(F.concat(F.get(F.array(F.lit("mailto:"), F.lit("javascript:"), F.lit("Mailto:")), (F.col("id") % 3).cast("int")), F.col("url"))).alias("unrewritable")))
 simple("cookie_applies", f"WITH {R} SELECT id, starts_with(url, 'https://m.ththth.example.net/') AS applies FROM r", _of(lambda u: urls.cookie_applies(u, "https://m.ththth.example.net").alias("applies")))
@@ -312,7 +312,7 @@ _AL = "al AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{a}', '{b}', {str(c).
 simple(
     "alias_first_match",
     f"""WITH {R}, {_AL}, hit AS (SELECT r.id, min(alias_id) AS alias_id FROM r JOIN al ON starts_with(url, src) GROUP BY 1)
-    SELECT r.id, CAST(hit.alias_id AS BIGINT) AS alias_id, coalesce(CASE WHEN ext THEN 'crystal://external/' ELSE '' END || dst || substr(url, length(src) + 1), url) AS aliased_url FROM r LEFT JOIN hit USING (id) LEFT JOIN al USING (alias_id)""",
+    SELECT r.id, CAST(hit.alias_id AS BIGINT) AS alias_id, coalesce(CASE WHEN ext THEN 'archive://external/' ELSE '' END || dst || substr(url, length(src) + 1), url) AS aliased_url FROM r LEFT JOIN hit USING (id) LEFT JOIN al USING (alias_id)""",
     lambda s, d: resources.first_alias(model.resources(s, d), model.aliases(s)).select("id", "alias_id", "aliased_url"),
 )
 simple("alias_rewrite", f"WITH x AS ({ORACLE['alias_first_match']}) SELECT id, aliased_url FROM x", lambda s, d: model.resources(s, d).select("id", urls.apply_aliases(F.col("url"), model.ALIASES).alias("aliased_url")))

@@ -31,8 +31,8 @@ def test_alternatives_go_from_written_to_normal(spark):
 def test_aliases_first_match_and_external(spark):
     aliases = [("https://old-domain.com/", "https://new-domain.com/", False), ("https://old-domain.com/p", "https://no/", False), ("https://archive.local/", "https://live.example.com/", True)]
     found = values(spark, ["https://old-domain.com/page", "https://archive.local/resource", "https://x.org/"], lambda u: urls.normal_form(urls.alternatives(u, aliases)))
-    assert found == ["https://new-domain.com/page", "crystal://external/https://live.example.com/resource", "https://x.org/"]
-    assert values(spark, ["crystal://external/https://example.com/page", "https://a.b/"], urls.parse_external) == ["https://example.com/page", None]
+    assert found == ["https://new-domain.com/page", "archive://external/https://live.example.com/resource", "https://x.org/"]
+    assert values(spark, ["archive://external/https://example.com/page", "https://a.b/"], urls.parse_external) == ["https://example.com/page", None]
 
 
 @pytest.mark.parametrize(
