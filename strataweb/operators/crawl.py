@@ -9,49 +9,89 @@ writes what an earlier one has written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.scratch import new_folder, written
+from ..sources.scratch import folders, new_folder, remove, written
 from .groups import Group, fitting
 
 #: Longest chain of resources that embed one another, the first included.
 MAX_EMBEDDING = 3
 
 
-def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, groups: list[Group] | None = None, embedded_only: bool = False) -> DataFrame:
-    """Every URL that the seeds reach: url and depth (least number of links).
-
-    ``links`` has url and target_url (and embedded).  Do-not-download groups
-    are never entered.  The crawl ends at the fixpoint or at ``max_depth``.
-    """
+def _steps(links: DataFrame, groups: list[Group] | None, embedded_only: bool = False) -> DataFrame:
+    """The distinct steps from URL to URL, without those into do-not-download groups, written down."""
     steps = links.where("embedded") if embedded_only else links
     steps = steps.select("url", "target_url").where("url <> target_url").distinct()
     banned = [g for g in groups or [] if g.do_not_download]
     if banned:
         steps = steps.where(F.size(fitting(F.col("target_url"), banned)) == 0)
-    steps = written(steps, "crawl-links")
-    spark, folder = seeds.sparkSession, new_folder(seeds.sparkSession, "crawl")
+    return written(steps, "crawl-links")
 
-    def reached(depth: int | None = None) -> DataFrame:
-        """The visited URLs, or those of one depth."""
-        if depth is not None:
-            return spark.read.schema("url string").parquet(f"{folder}/depth={depth}")
-        return spark.read.schema("url string, depth int").option("basePath", folder).parquet(folder)
 
+def _walk(seeds: DataFrame, steps: DataFrame, folder: str, visited: Callable[[], DataFrame], max_depth: int | None = None) -> None:
+    """Write what the seeds reach to ``folder``, a folder a depth; ``visited`` reads all that was reached so far."""
+    spark = seeds.sparkSession
     seeds.select("url").distinct().write.parquet(f"{folder}/depth=0")
     depth = 0
     while max_depth is None or depth < max_depth:
-        found = reached(depth).join(steps, "url").select(F.col("target_url").alias("url")).distinct()
+        last = spark.read.schema("url string").parquet(f"{folder}/depth={depth}")
+        found = last.join(steps, "url").select(F.col("target_url").alias("url")).distinct()
         size = Observation()  # counted as it is written
-        fresh = found.join(reached().select("url"), "url", "left_anti").observe(size, F.count(F.lit(1)).alias("n"))
+        fresh = found.join(visited().select("url"), "url", "left_anti").observe(size, F.count(F.lit(1)).alias("n"))
         depth += 1
         fresh.write.parquet(f"{folder}/depth={depth}")
         if not size.get["n"]:
             break
+
+
+def frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, groups: list[Group] | None = None, embedded_only: bool = False) -> DataFrame:
+    """Every URL that the seeds reach: url and depth (least number of links).
+
+    ``links`` has url and target_url (and embedded).  Do-not-download groups
+    are never entered.  The crawl ends at the fixpoint or at ``max_depth``.
+    """
+    spark, folder = seeds.sparkSession, new_folder(seeds.sparkSession, "crawl")
+
+    def reached() -> DataFrame:
+        return spark.read.schema("url string, depth int").option("basePath", folder).parquet(folder)
+
+    _walk(seeds, _steps(links, groups, embedded_only), folder, reached, max_depth)
     return reached().select("url", "depth")
 
 
+def standing(seeds: DataFrame, links: DataFrame, path: str, checkpoint: str, groups: list[Group] | None = None) -> StreamingQuery:
+    """Crawl on from a stream of seeds (url): each micro-batch walks from its URLs to what was not visited yet, whenever they come.
+
+    Work done so far is the state: a folder an epoch and depth below ``path``,
+    which :func:`visited` reads.  A stopped crawl goes on where it ended; an
+    epoch that is run again replaces its own folder.  Runs on all that has
+    arrived, then stops; ``links`` are those of the start.
+    """
+    steps = _steps(links, groups)
+
+    def advance(batch: DataFrame, epoch: int) -> None:
+        spark, folder = batch.sparkSession, f"{path}/epoch={epoch}"
+        remove(spark, folder)  # what a run of this epoch may have left
+        spark.createDataFrame([], "url string, epoch int, depth int").write.mode("ignore").partitionBy("epoch", "depth").parquet(path)
+        seen = written(visited(spark, path).select("url"), "crawl-visited")
+        own = batch.select("url").where("url is not null").distinct().join(seen, "url", "left_anti")
+        reached = lambda: seen.union(spark.read.schema("url string").parquet(*(f"{folder}/{d}" for d in folders(spark, folder))))
+        _walk(own, steps, folder, reached)
+
+    query = seeds.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def visited(spark: SparkSession, path: str) -> DataFrame:
+    """url, epoch and depth (links from that epoch's seeds) of everything a standing crawl has visited."""
+    return spark.read.schema("url string, epoch int, depth int").option("basePath", path).parquet(path)
+
+
 def embedding_chains(seeds: DataFrame, links: DataFrame, most: int = MAX_EMBEDDING) -> DataFrame:
     """Chains of embedded resources: url, path (the chain with itself) and depth; no resource twice in a chain.
 

@@ -529,6 +529,16 @@ def frontier_talks(s, d):
     return crawl.frontier(captures.where("k = 1").select("url"), found, 2)
 
 
+@query(f"SELECT url FROM ({_STEPS})")
+def standing_crawl(s, d):
+    """First turns as a stream of seeds; all that the crawl visits."""
+    _, found, *_ = _talks(s, d)
+    first = table_stream(s, d, "conversations").where("turn = 0").select(F.concat(F.lit("https://talks.test/c"), F.col("conv_id").cast("string"), F.lit("/1")).alias("url"))
+    root = scratch.new_folder(s, "stream")
+    crawl.standing(first, found, f"{root}/out", f"{root}/state")
+    return crawl.visited(s, f"{root}/out").select("url")
+
+
 def _page_groups(s, d) -> DataFrame:
     """A group for every page: from the group of half its id, from a root (of odd ids), or from nothing."""
     kind = F.expr("CASE WHEN id % 3 < 2 AND id > 0 THEN 'resource_group' WHEN id % 3 = 2 THEN 'root_resource' END")
@@ -687,7 +697,7 @@ _LAST = "l AS (SELECT user_id AS id, max(event_id) AS seq, arg_max(event_type, e
 def stream_member_changes(s, d):
     """Events as a stream of changes (each moves its user to a page, an error deletes the user); what the emitted additions and removals leave."""
     n = model.table(s, d, "pages").agg(F.max("page_id") + 1).first()[0]
-    events = membership_stream(s, d, "events")
+    events = table_stream(s, d, "events")
     pages = model.table(s, d, "pages").select("page_id", "url")
     moved = events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"), (F.col("event_type") == "error").alias("deleted"), (F.col("event_id") % n).alias("page_id")).join(pages, "page_id")
     root = scratch.new_folder(s, "stream")
@@ -695,7 +705,7 @@ def stream_member_changes(s, d):
     return changes.members_of(s.read.schema(changes.CHANGES).parquet(f"{root}/out"))
 
 
-def membership_stream(s, d, name: str) -> DataFrame:
+def table_stream(s, d, name: str) -> DataFrame:
     """A table as a stream."""
     return streaming.resource_stream(s, d, s.read.parquet(f"{d}/{name}.parquet").schema, glob=f"{name}.parquet")
 

@@ -32,6 +32,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/strataweb/{name}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders within a folder."""
+    place, store = _place(spark, path)
+    return sorted(f.getPath().getName() for f in store.listStatus(place) if f.isDirectory())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there, and lost executors cost no recomputation."""
     path = new_folder(df.sparkSession, name)
