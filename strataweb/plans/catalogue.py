@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import http, patterns, urls
 from ..operators import crawl, groups, inference, links, resources, revisions, rewrite, sql
-from ..sources import bodies, project, recorded, scratch
+from ..sources import bodies, layout, project, recorded, scratch
 from ..streaming import changes
 from ..streaming import membership as streaming
 from . import model
@@ -729,6 +729,15 @@ def resumed_packs(s, d):
     return bodies.write_missing_packs(s, body, folder)
 
 
+@query(f"WITH {R}, {REV} SELECT rev.id, resource_id, url FROM rev JOIN r ON r.id = resource_id")
+def laid_out_join(s, d):
+    """Revisions with their URLs from tables bucketed by resource: bucket joins bucket."""
+    folder = scratch.new_folder(s, "layout")
+    tables = {"resource": model.resources(s, d), "resource_revision": model.revisions(s, d).select("id", "resource_id", "request_cookie", "error")}
+    held = layout.lay_out(tables, folder, 8, f"laid_{folder[-12:]}_")
+    return layout.resources_with_revisions(held["resource"], held["resource_revision"]).select("id", "resource_id", "url")
+
+
 simple(
     "missing_packs",
     f"WITH {REV} SELECT id // 16 AS pack_id, count(*) AS n_loose FROM rev WHERE status_code = 200 AND (id // 16 * 16 + 15) IN (SELECT id FROM rev) AND id // 16 NOT IN (SELECT id // 16 FROM rev WHERE status_code = 301) GROUP BY 1",
