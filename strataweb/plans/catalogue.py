@@ -738,6 +738,43 @@ def laid_out_join(s, d):
     return layout.resources_with_revisions(held["resource"], held["resource_revision"]).select("id", "resource_id", "url")
 
 
+simple(
+    "task_rates",
+    """WITH p AS (SELECT 'u' || user_id AS task_id, event_id / 100::DOUBLE AS seconds, event_id // 3 AS done, 100000 + event_id // 10 AS total FROM events),
+    g AS (SELECT *, seconds - lag(seconds) OVER w AS step, done - lag(done) OVER w - (total - lag(total) OVER w) AS gain, pow(2::DOUBLE, (seconds - min(seconds) OVER (PARTITION BY task_id)) / 60) AS weight FROM p WINDOW w AS (PARTITION BY task_id ORDER BY seconds)),
+    t AS (SELECT *, sum(gain * weight) OVER v / sum(step * weight) OVER v AS rate FROM g WINDOW v AS (PARTITION BY task_id ORDER BY seconds ROWS UNBOUNDED PRECEDING))
+    SELECT task_id, seconds, round(rate, 6) AS rate, rate > 0 AS gaining FROM t""",
+    lambda s, d: resources.rates(model.table(s, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("task_id"), (F.col("event_id") / 100.0).alias("seconds"), F.expr("event_id div 3").alias("done"), F.expr("100000 + event_id div 10").alias("total")))
+    .select("task_id", "seconds", F.round("rate", 6).alias("rate"), (F.col("rate") > 0).alias("gaining")),
+)
+_FOOT = '<div id="kept">kept</div>'
+simple(
+    "page_insertions",
+    f"""SELECT page_id AS id, sha256(CASE WHEN regexp_matches(h, '(?i)</body\\s*>') THEN regexp_replace(h, '(?is)^(.*)(</body\\s*>)', '\\1{_FOOT}\\2') WHEN regexp_matches(h, '(?i)</html\\s*>') THEN regexp_replace(h, '(?is)^(.*)(</html\\s*>)', '\\1{_FOOT}\\2') ELSE h END) AS digest
+    FROM (SELECT page_id, CASE WHEN contains(html, '<head>') THEN regexp_replace(html, '<head>', '<head><meta name="robots" content="none"><link rel="icon" href="/i' || page_id || '.ico">') ELSE html END AS h FROM pages)""",
+    lambda s, d: model.captures(s, d).select("id", F.sha2(rewrite.add_footer(rewrite.add_robots(rewrite.add_favicon(F.col("body"), F.concat(F.lit("/i"), F.col("id").cast("string"), F.lit(".ico")))), F.lit(_FOOT), "kept"), 256).alias("digest")),
+)
+
+
+@query(f"WITH {R}, {REV}, gone AS (SELECT id FROM r WHERE {_fits('url', 'https://blog.**')}) SELECT 'resource' AS kind, id FROM r WHERE id NOT IN (FROM gone) UNION ALL SELECT 'revision', id FROM rev WHERE resource_id NOT IN (FROM gone) UNION ALL SELECT 'body', id FROM rev WHERE error = 'null' AND resource_id NOT IN (FROM gone)")
+def without_deleted(s, d):
+    """What is left of resources, revisions and bodies when a group's resources are deleted."""
+    rev = model.revisions(s, d)
+    held = rev.where(~http.has_error(F.col("error"))).select("id")
+    left = revisions.deleted(rev, held, model.resources(s, d), groups.members(model.resources(s, d), "https://blog.**"))
+    named = [t.select(F.lit(kind).alias("kind"), "id") for kind, t in zip(("resource", "revision", "body"), left, strict=True)]
+    return named[0].union(named[1]).union(named[2])
+
+
+@query("SELECT DISTINCT event_type || ' ' || user_id AS url FROM events")
+def stream_first_seen(s, d):
+    """Each kind of event of each user once, as a stream first meets it."""
+    events = table_stream(s, d, "events").select(F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("url"))
+    root = scratch.new_folder(s, "stream")
+    streaming.run_available(streaming.first_seen(events), f"{root}/out", f"{root}/state")
+    return s.read.schema("url string").parquet(f"{root}/out")
+
+
 simple(
     "missing_packs",
     f"WITH {REV} SELECT id // 16 AS pack_id, count(*) AS n_loose FROM rev WHERE status_code = 200 AND (id // 16 * 16 + 15) IN (SELECT id FROM rev) AND id // 16 NOT IN (SELECT id // 16 FROM rev WHERE status_code = 301) GROUP BY 1",

@@ -92,6 +92,13 @@ def test_repairs_deletions_and_names(spark):
     assert {r["id"]: r["name"] for r in named.collect()} == {1: "a", 2: None, 3: "c"}
 
 
+def test_lookups_by_any_column(spark):
+    roots = spark.createDataFrame([(1, "Home", 2), (2, "Ten", 10), (3, "Home", None)], "root_id long, name string, resource_id long")
+    found = lambda **equal: sorted(r["root_id"] for r in resources_.lookup(roots, **equal).collect())
+    assert found(name="Home") == [1, 3] and found(name="Home", resource_id=2) == [1] and found(root_id=2) == [2]
+    assert found(resource_id=None) == [] and found() == [1, 2, 3]
+
+
 def test_rates_and_sizes(spark):
     rows = [("t", 0.0, 0, 100), ("t", 10.0, 10, 100), ("t", 20.0, 30, 110), ("u", 5.0, 1, 9)]
     df = spark.createDataFrame(rows, "task_id string, seconds double, done long, total long")
