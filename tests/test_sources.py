@@ -170,3 +170,10 @@ def test_prefix_reaches_the_scan(spark, tmp_path):
     plan = groups.members(spark.read.parquet(str(tmp_path / "r")), "http://x/*")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(url,http://x/)" in plan
     assert model.GROUPS
+
+
+def test_sizes_beyond_a_thousand_terabytes_stay_in_terabytes(spark):
+    from strataweb.operators import resources as resources_
+
+    sizes = spark.createDataFrame([(1024**5,), (294767**3,)], "n long")
+    assert [r[0] for r in sizes.select(resources_.format_size(F.col("n"))).collect()] == ["1024 TB", "23293.61 TB"]
