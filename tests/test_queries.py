@@ -54,3 +54,34 @@ def test_substack_pins_the_event(spark):
     found = [json.loads(base64.urlsafe_b64decode(u.split("d=")[1].replace("%3D", "="))) for u in out[:2]]
     assert found[0] == {"properties": {"browserSessionId": "1xh68gok0s4", "n": [1]}, "context": {"page": {"referrer": "", "url": "https://n.com/x?y#z"}}}
     assert found[1] == other and out[2:] == cases[2:]
+
+
+@pytest.fixture(scope="module")
+def folders(spark, tmp_path_factory):
+    """The tables as folders of files, and a page whose URL another page has too."""
+    root = tmp_path_factory.mktemp("folders")
+    for t in TABLES:
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "pages":
+            last = rows.agg({"page_id": "max"}).first()[0]
+            twice = rows.where("page_id in (5, 7)").selectExpr(f"page_id + {last} as page_id", "url", "CASE WHEN page_id = 7 THEN html ELSE '<a href=\"/one\">one</a>' END AS html")
+            rows = rows.union(twice)
+        rows.repartition(2).write.parquet(f"{root}/{t}.parquet")
+    return str(root)
+
+
+def assert_same_in_folders(spark, folders, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{folders}/{t}.parquet/*.parquet'")
+    ours, theirs = catalogue.QUERIES[name](spark, folders).toPandas(), con.execute(catalogue.ORACLE[name]).df()
+    con.register("ours", ours[theirs.columns])
+    con.register("theirs", theirs)
+    assert len(theirs)
+    for a, b in (("ours", "theirs"), ("theirs", "ours")):
+        assert con.execute(f"select * from {a} except all select * from {b} limit 3").fetchall() == []
+
+
+@pytest.mark.parametrize("name", ["stream_group_membership", "stream_first_seen"])
+def test_streams_of_tables_in_folders(spark, folders, name):
+    assert_same_in_folders(spark, folders, name)
