@@ -51,3 +51,10 @@ def test_an_epoch_that_runs_again_replaces_its_folder(spark, tmp_path, monkeypat
     monkeypatch.setattr(crawl, "_walk", walk)
     crawl.standing(stream(), links, out, state)
     assert {r["url"]: r["depth"] for r in crawl.visited(spark, out).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "bad/1": 4}
+
+
+def test_a_standing_crawl_without_seeds_has_visited_nothing(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.createDataFrame([], "url string").write.parquet(source)
+    crawl.standing(spark.readStream.schema("url string").parquet(source), spark.createDataFrame(EDGES, "url string, target_url string"), out, state)
+    assert crawl.visited(spark, out).collect() == []
