@@ -85,3 +85,8 @@ def assert_same_in_folders(spark, folders, name):
 @pytest.mark.parametrize("name", ["stream_group_membership", "stream_first_seen"])
 def test_streams_of_tables_in_folders(spark, folders, name):
     assert_same_in_folders(spark, folders, name)
+
+
+@pytest.mark.parametrize("name", ["pending_work", "rewrite_links"])
+def test_pages_of_one_url_stay_apart(spark, folders, name):
+    assert_same_in_folders(spark, folders, name)
