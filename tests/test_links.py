@@ -261,3 +261,14 @@ def test_table_functions_of_a_session(spark):
     assert other.sql("SELECT * FROM {t} t, LATERAL document_links(t.url, t.kind, t.body) l", t=again).count() == 6 and found.count() == 3
     tags = spark.sql("SELECT t.pos, t.tag, t.attributes, t.text FROM {t} d, LATERAL document_tags(d.body) t WHERE d.url = 'https://x.test/a'", t=table).collect()
     assert [tuple(r) for r in tags] == [(0, "a", {"href": "b"}, "t"), (1, "p", {"class": "c"}, "u")]
+
+
+def test_batches_are_taken_apart_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    bodies = ["x" * 1000] * 50 + [None, "", "y" * 900_000, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(bodies))), pa.array(bodies)], ["k", "body"])
+    parts = list(links.slices(batch, "body", most=10_000))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(len(bodies)))
+    assert all(p.num_rows == 1 or sum(len(b or "") for b in p.column("body").to_pylist()) <= 10_000 for p in parts)
+    assert 6 <= len(parts) <= 9 and list(links.slices(batch.slice(0, 0), "body")) == []
