@@ -177,3 +177,25 @@ def test_sizes_beyond_a_thousand_terabytes_stay_in_terabytes(spark):
 
     sizes = spark.createDataFrame([(1024**5,), (294767**3,)], "n long")
     assert [r[0] for r in sizes.select(resources_.format_size(F.col("n"))).collect()] == ["1024 TB", "23293.61 TB"]
+
+
+def test_responses_without_a_target_are_spread(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 50 as resource_id", "CASE WHEN id % 5 = 4 THEN 304 WHEN id = 7 THEN NULL ELSE 200 END as status_code", "CASE WHEN id % 11 > 0 THEN concat('e', id % 2) END as etag", "array(array('Date', cast(id as string))) as headers")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = revisions.resolve_not_modified(rows.repartition(4)).withColumn("_part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = rows.collect()
+    last = {}
+    for r in plain:
+        if r["status_code"] == 200 and r["etag"]:
+            last[r["resource_id"], r["etag"]] = r["id"]
+    wanted = {r["id"]: last.get((r["resource_id"], r["etag"]), r["id"]) if r["status_code"] == 304 else r["id"] for r in plain}
+    assert len(found) == 1000 and {r["id"]: r["target_id"] for r in found} == wanted
+    parts = [r["_part"] for r in found]
+    assert max(parts.count(p) for p in set(parts)) < 600
