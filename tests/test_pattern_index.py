@@ -54,3 +54,17 @@ def test_regexes_of_columns_equal_those_of_texts(spark):
     given = ["https://a.b/*/c#?x=1&y=**", "***", "#*", "a+b(c)[d]{e}|^$\\-~<>!, é@", "", "https://x/~u:8080/"]
     rows = spark.createDataFrame([(p,) for p in given], "p string").select("p", patterns.regex_of(F.col("p")).alias("r")).collect()
     assert [r["r"] for r in rows] == [patterns.pattern_regex(r["p"]) for r in rows]
+
+
+def test_a_pattern_of_many_groups_is_tested_once(spark, monkeypatch):
+    rows = spark.range(40).select("id", F.concat(F.lit("https://s.test/p"), F.col("id")).alias("url"))
+    given = [(k, "https://s.test/**") for k in range(50)]
+    tested, candidates = [], pattern_index.candidates
+
+    def counted(*args):
+        tested.append(candidates(*args).count())
+        return candidates(*args)
+
+    monkeypatch.setattr(pattern_index, "candidates", counted)
+    assert pattern_index.membership(rows, table(spark, given)).count() == 2000
+    assert tested == [40]
