@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot in it."""
-    return sharding.shard(docs, SHARDS)
+    """All documents with their shard, slot in it and mix_position, their place in the mixed order; rows of one cell of the curve follow that order."""
+    return sharding.shard(mixing.with_layout_position(docs), SHARDS, ties=(mixing.POSITION,))
 
 
 STAGES = [

@@ -92,13 +92,14 @@ def document_cell(docs: DataFrame, size: Column, bits: int = BITS) -> Column:
     return cell
 
 
-def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Put every row into one of ``shards`` runs of the Hilbert order.
 
     Law ``rows``: the row of rank r (from 0) of N goes to shard
     ``floor(r * shards / N)``, so row counts differ by one at most.  Rank
     follows (curve, size, text_crc32, doc_id), nulls first; equal texts of one
-    cell are neighbours.  Adds size, text_crc32, law, curve, shard, slot (gapless from 0 in each shard)
+    cell are neighbours.  ``ties`` names kept columns that order the rows of one
+    curve index before these.  Adds size, text_crc32, law, curve, shard, slot (gapless from 0 in each shard)
     and grown_shard (null under this law) to the columns in ``keep`` (all by
     default); an input column of the same name is replaced.  Null text counts
     as empty, null lang and source as the empty string; repeated rows are all
@@ -116,7 +117,7 @@ def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None) -> D
     )
     curve = hilbert_table(spark, 3).select(F.col("cell").alias(f"{_OWN}cell"), "curve")
     rows = rows.join(F.broadcast(curve), f"{_OWN}cell").drop(f"{_OWN}cell")
-    order = ["curve", "size", "text_crc32", "doc_id"]
+    order = ["curve", *ties, "size", "text_crc32", "doc_id"]
     placed = materialise(
         rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(f"{_OWN}at", F.monotonically_increasing_id()),
         "shard-order",

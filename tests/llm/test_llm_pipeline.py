@@ -133,3 +133,12 @@ def test_temporary_tables_go(spark, tmp_path):
         names = {n.split("-")[0] for n in set(os.listdir(home)) - before}
         assert names == {"gone", "kept"}
     assert set(os.listdir(home)) == before
+
+
+def test_the_mixed_order_reaches_the_shards(spark):
+    d = table(spark, SF, "documents")
+    wanted = {(r["doc_id"], r["text"]): r["position"] for r in mixing.mix(d).collect()}
+    found = pipeline.cut_shards(spark, materialise(pipeline.mix_sources(spark, d, SF), "test-mixed"), SF).collect()
+    assert {(r["doc_id"], r["text"]): r["mix_position"] for r in found} == wanted and len(found) == len(wanted)
+    rank = [(r["curve"], r["mix_position"]) for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))]
+    assert rank == sorted(rank)
