@@ -58,3 +58,10 @@ def test_a_standing_crawl_without_seeds_has_visited_nothing(spark, tmp_path):
     spark.createDataFrame([], "url string").write.parquet(source)
     crawl.standing(spark.readStream.schema("url string").parquet(source), spark.createDataFrame(EDGES, "url string, target_url string"), out, state)
     assert crawl.visited(spark, out).collect() == []
+
+
+def test_rounds_send_no_tables_to_the_driver(spark):
+    steps, urls = spark.createDataFrame(EDGES, "url string, target_url string"), spark.createDataFrame([("a",)], "url string")
+    fresh = crawl._unseen(urls, steps, urls)
+    assert [r["url"] for r in fresh.collect()] == ["b"]
+    assert "Broadcast" not in fresh._jdf.queryExecution().executedPlan().toString()
