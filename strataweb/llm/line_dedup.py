@@ -13,6 +13,7 @@ distinct lines only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import ragged
-from .common import materialise
-from .linking import link
+from .common import materialise, temporary
+from .linking import gather, link_gathered
 from .substring_dedup import cut_spans
 
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+#: Bands are gathered, and documents searched for lines, in so many parts one after another; the disk holds one part's shuffle.
+BAND_PARTS, TEXT_PARTS = 3, 3
 #: Shorter normalised lines are left alone.
 MIN_CHARS = 20
 _rng = np.random.default_rng(2718)
@@ -53,6 +56,8 @@ class Lines:
         newline = points == 10
         before = np.zeros(len(points), dtype=bool)
         before[:-1] = inside[1:]
+        # The next text's first word is no part of this text's last line.
+        before[offsets[1:][offsets[1:] > 0] - 1] = False
         kept = inside | (before & ~newline)
         values = np.where(inside, points + np.where((points >= 65) & (points <= 90), 32, 0).astype(np.uint32), np.uint32(32))
         starts, ends, docs = ragged.run_spans(~newline, offsets)
@@ -60,7 +65,6 @@ class Lines:
         np.cumsum(kept, out=counts[1:])
         chars = values[kept]
         lo, hi = counts[starts], counts[ends]
-        # A separator kept for the next text's first word belongs to no line of this one.
         use = hi - lo >= max(min_chars, SHINGLE)
         self.doc = docs[use]
         self.start = starts[use] - offsets[self.doc]
@@ -123,7 +127,8 @@ def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
     place = F.struct("doc_id", "node", "start", "end")
     one = lines.join(wanted.withColumnRenamed("node", "line"), "line").groupBy("line").agg(F.first(place).alias("at"))
     spans = one.groupBy(F.col("at.doc_id").alias("_line_doc"), F.col("at.node").alias("_line_node")).agg(F.collect_list(F.struct("line", F.col("at.start").alias("start"), F.col("at.end").alias("end"))).alias("spans"))
-    rows = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_node"))).select("text", "spans")
+    spans = materialise(spans, "line-spans")
+    same = F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_node"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +137,13 @@ def line_texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFram
                 found = [text[s["start"] : s["end"]].rstrip("\n") for s in spans]
                 yield pa.RecordBatch.from_arrays([pa.array([s["line"] for s in spans], pa.int64()), pa.array(found, pa.string())], ["node", "text"])
 
-    return materialise(rows.mapInArrow(cut, "node long, text string").dropDuplicates(["node"]), "line-texts")
+    def part(k: int) -> DataFrame:
+        mine = [t.where(F.pmod(F.xxhash64(c), F.lit(TEXT_PARTS)) == k) for t, c in ((docs.select("doc_id", "text"), "doc_id"), (spans, "_line_doc"))]
+        rows = mine[0].join(mine[1], same).select("text", "spans")
+        return materialise(rows.mapInArrow(cut, "node long, text string").dropDuplicates(["node"]), "line-texts")
+
+    # A line is cut from one document, so it is in one part.
+    return reduce(DataFrame.union, [part(k) for k in range(TEXT_PARTS)])
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +152,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, min_chars: i
     Rank is the doc_id, then the place in the text; a null id comes first.
     Rows that share id and text are one document.
     """
-    lines = materialise(signed_lines(docs, min_chars), "line-signed")
-    members = lines.select(F.col("line").alias("node"), F.explode("bands").alias("band"))
-    labels = link(members, lambda wanted: line_texts(docs, lines, wanted), shingles, similarity, "line")
+    # The bands, most of the signed lines' bytes, go as soon as they are gathered.
+    with temporary(docs.sparkSession):
+        signed = materialise(signed_lines(docs, min_chars), "line-signed")
+        lines = materialise(signed.drop("bands"), "line-places", keep=True)
+        each = -(-BANDS // BAND_PARTS)
+        members = [signed.select(F.col("line").alias("node"), F.explode(F.slice("bands", k + 1, each)).alias("band")) for k in range(0, BANDS, each)]
+        gathered = gather(members, "line")
+    labels = link_gathered(*gathered, lambda wanted: line_texts(docs, lines, wanted), shingles, similarity, "line")
     # Only lines that are not the only one of their component go further.
     counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(labels.withColumnRenamed("node", "line"), "line", "left")
     counted = counted.select("line", F.coalesce("label", "line").alias("label"), "n")

@@ -28,7 +28,8 @@ allows.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ MAX_BROADCAST_BANDS = 1 << 19
 CHUNK_BYTES = 1 << 20
 #: Chunks that a cell of a group's matrix has on each side.
 SIDE = 4
+#: A pass over the cells sends about so many times the bytes of all differences.
+PASS_TIMES = 2
 #: Columns of the matrices that are multiplied at once.
 _COLUMNS = 4096
 _PAIRS = 4096
@@ -56,24 +59,47 @@ _UNIT = 1e-6
 _DELTA = np.dtype([("token", np.uint64), ("weight", np.uint32)])
 
 
-def link(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
+def link(members: DataFrame | Sequence[DataFrame], fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) of every node linked to another.
 
-    ``members``: band and node, repeated or not.  ``fetch`` gives the texts of a table
+    ``members``: as of :func:`gather`.  ``fetch`` gives the texts of a table
     of nodes, ``sets`` the shingles of texts; pairs whose weighted Jaccard
     similarity is at least ``threshold`` are links.
     """
-    with temporary(members.sparkSession):
-        return materialise(_linked(members, fetch, sets, threshold, name), f"{name}-labels", keep=True)
+    spark = (members if isinstance(members, DataFrame) else members[0]).sparkSession
+    with temporary(spark):
+        with temporary(spark):
+            gathered = gather(members, name)
+        return materialise(_linked(*gathered, fetch, sets, threshold, name), f"{name}-labels", keep=True)
 
 
-def _linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
+def link_gathered(buckets: DataFrame, crowded: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
+    """:func:`link` of what :func:`gather` found."""
+    with temporary(buckets.sparkSession):
+        return materialise(_linked(buckets, crowded, fetch, sets, threshold, name), f"{name}-labels", keep=True)
+
+
+def gather(members: DataFrame | Sequence[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
+    """(buckets, crowded): a, b and n of the buckets with two nodes or more, and the distinct members of those with more than two rows.
+
+    ``members``: band and node, repeated or not; or several such tables, each
+    with bands of its own, which are taken one after another, so that the disk
+    holds the shuffle of one at a time.  They are not read again.
+    """
+    found = [_gathered(part, name) for part in ([members] if isinstance(members, DataFrame) else members)]
+    return tuple(reduce(DataFrame.union, side) for side in zip(*found, strict=True))
+
+
+def _gathered(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"))
-    buckets = materialise(buckets.where("a <> b"), f"{name}-buckets")
+    buckets = materialise(buckets.where("a <> b"), f"{name}-buckets", keep=True)
     wanted = buckets.where("n > 2").select("band")
     # Few bands of all: where they fit, the members are picked without a shuffle.
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_BANDS else wanted
-    crowded = materialise(members.join(wanted, "band", "left_semi").distinct(), f"{name}-crowded")
+    return buckets, materialise(members.join(wanted, "band", "left_semi").distinct(), f"{name}-crowded", keep=True)
+
+
+def _linked(buckets: DataFrame, crowded: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
     sizes = crowded.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     met = crowded.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("met"))
     leaders = crowded.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node"))["node"].alias("a"))
@@ -102,10 +128,12 @@ def _linked(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: S
     again = left.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     measured = materialise(compare(again, texts, sets, deltas=True), f"{name}-measured")
 
-    rows = measured.join(of["a"], "a", "left").join(of["b"], "b", "left")
     # Nodes linked to the centre are of its component by now.
     label = F.when(linked, F.coalesce("a_label", "a")).otherwise(F.coalesce("b_label", "b"))
-    rows = rows.select(F.col("a").alias("centre"), F.col("b").alias("node"), label.alias("label"), "weight", "lacks", "deltas", (F.col("weight") + F.col("lacks") - F.col("extra")).alias("whole"))
+    named = measured.select("a", "b", "similarity").join(of["a"], "a", "left").join(of["b"], "b", "left").select("a", "b", label.alias("label"))
+    # The differences, which are most of the bytes, are shuffled once for that.
+    rows = measured.join(named, ["a", "b"])
+    rows = rows.select(F.col("a").alias("centre"), F.col("b").alias("node"), "label", "weight", "lacks", "deltas", (F.col("weight") + F.col("lacks") - F.col("extra")).alias("whole"))
     fresh = materialise(joining_edges(rows, threshold), f"{name}-rest")
     more = measured.where(linked).select("a", "b").union(compare(fresh, texts, sets).where(linked).select("a", "b"))
     # Components of components: only edges between different labels are left.
@@ -133,7 +161,10 @@ def joining_edges(rows: DataFrame, threshold: float) -> DataFrame:
                 ends = forest(p, q, batch.column("whole")[i].as_py(), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ends.min(0)), pa.array(ends.max(0))], ["a", "b"])
 
-    return chunk_pairs(rows, threshold).mapInArrow(match, "a long, b long").distinct()
+    placed = place(rows, threshold)
+    n = passes(placed)
+    found = [met_chunks(placed, k, n).mapInArrow(match, "a long, b long").distinct() for k in range(n)]
+    return found[0] if n == 1 else reduce(DataFrame.union, [materialise(x, "pass-edges") for x in found]).distinct()
 
 
 def chunk_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -147,22 +178,44 @@ def chunk_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     large group is the work of as many tasks as it has cells, no task holds
     more than a cell's chunks, and a group of one band is sent once.
     """
+    return met_chunks(place(rows, threshold))
+
+
+def place(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows`` of the groups with several labels, written down with level, main (the group's largest label), and the numbers of chunks of either side."""
     sizes = rows.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("deltas")).alias("bytes"))
     sizes = sizes.groupBy("centre").agg(F.max(F.struct("n", "label", "bytes")).alias("main"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     # Chunks of the group, and of what asks in it.
     many = [F.ceil((b + 1) / CHUNK_BYTES).alias(c) for c, b in (("q_parts", F.col("bytes")), ("p_parts", F.col("bytes") - F.col("main.bytes")))]
     level = F.floor(F.log(F.greatest("weight", F.lit(1e-6))) / (1.0001 * math.log(1 / threshold))).cast("int")
-    placed = rows.join(sizes.select("centre", F.col("main.label").alias("main"), *many), "centre").withColumn("level", level)
+    return materialise(rows.join(sizes.select("centre", F.col("main.label").alias("main"), *many), "centre").withColumn("level", level), "placed")
+
+
+def passes(placed: DataFrame) -> int:
+    """In how many passes the cells are matched: each sends about ``PASS_TIMES`` times the bytes of all differences, however large the groups."""
+    size = F.length("deltas")
+    # A chunk is sent to each band of the other side.
+    bands = {c: F.expr(f"({c}_parts - 1) div {SIDE} + 1") for c in ("p", "q")}
+    sent = size * bands["p"] + F.when(F.col("label") != F.col("main"), size * bands["q"]).otherwise(0)
+    found = placed.agg(F.sum(sent).alias("sent"), F.sum(size).alias("all")).first()
+    return max(1, math.ceil((found["sent"] or 0) / (PASS_TIMES * (found["all"] or 1))))
+
+
+def met_chunks(placed: DataFrame, k: int = 0, n: int = 1) -> DataFrame:
+    """The chunk pairs (:func:`chunk_pairs`) of the ``k``-th of ``n`` parts of the cells."""
     item = F.collect_list(F.struct("node", "label", "weight", "lacks", "deltas"))
+    cell = ["centre", "p_band", "q_band"]
 
     def chunks(some: DataFrame, mine: str, other: str) -> DataFrame:
         """The chunks of one side, one row for each cell they belong to."""
-        part = F.pmod(F.xxhash64("node"), F.col(f"{mine}_parts")).alias("part")
-        made = some.groupBy("centre", f"{other}_parts", F.col("level").alias(f"{mine}_level"), part).agg(item.alias(mine), F.max("whole").alias("whole"))
+        part = F.pmod(F.xxhash64("node"), F.col(f"{mine}_parts"))
         others = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({other}_parts - 1) div {SIDE}"))).alias(f"{other}_band")
-        return made.select("centre", f"{mine}_level", mine, F.expr(f"part div {SIDE}").alias(f"{mine}_band"), others, *(["whole"] if mine == "p" else []))
+        dealt = some.withColumn("part", part).select("*", F.expr(f"part div {SIDE}").alias(f"{mine}_band"), others)
+        # Sent once, by cell; grouping and join need no further shuffle.
+        dealt = dealt.where(F.pmod(F.xxhash64(*cell), F.lit(n)) == k).repartition(*cell)
+        return dealt.groupBy(*cell, F.col("level").alias(f"{mine}_level"), "part").agg(item.alias(mine), F.max("whole").alias("whole")).drop("part", *(["whole"] if mine == "q" else []))
 
-    met = chunks(placed.where("label <> main"), "p", "q").join(chunks(placed, "q", "p"), ["centre", "p_band", "q_band"])
+    met = chunks(placed.where("label <> main"), "p", "q").join(chunks(placed, "q", "p"), cell)
     return met.where(F.abs(F.col("p_level") - F.col("q_level")) <= 1).select("p", "q", "whole")
 
 

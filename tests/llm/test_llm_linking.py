@@ -1,5 +1,6 @@
 """Linking within buckets, near-duplicate classes and line components against brute force, on groups with many variants of one text."""
 
+import os
 import random
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataweb.llm import line_dedup, linking, near_dedup
+from strataweb.llm import common, line_dedup, linking, near_dedup
 
 rng = random.Random(21)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
@@ -162,3 +163,58 @@ def test_cells_give_the_same_whatever_their_size(spark, monkeypatch):
         monkeypatch.setattr(linking, "CHUNK_BYTES", chunk)
         monkeypatch.setattr(linking, "SIDE", side)
         assert classes(60, [(r["a"], r["b"]) for r in linking.joining_edges(rows, 0.8).collect()]) == links
+
+
+def test_large_groups_are_matched_in_passes(spark, monkeypatch):
+    """Cells grow with the square of a group, what one pass sends does not; all passes together find what one finds."""
+    texts = variants(60, words=80, most=0.3, seed=8)
+    found = linking.overlaps(pa.array([texts[0]] * len(texts)), pa.array(texts), line_dedup.shingles, deltas=True)
+    rows = [(0, k, k, w, o, d, w + o - e) for k, (w, o, e, d) in enumerate(zip(*(c.to_pylist() for c in found[1:]), strict=True))]
+    rows = spark.createDataFrame(rows, "centre long, node long, label long, weight double, lacks double, deltas binary, whole double")
+    assert linking.passes(linking.place(rows, 0.8)) == 1
+    monkeypatch.setattr(linking, "CHUNK_BYTES", 12000)
+    monkeypatch.setattr(linking, "SIDE", 1)
+    placed = linking.place(rows, 0.8)
+    n = linking.passes(placed)
+    met = [linking.met_chunks(placed, k, n).count() for k in range(n)]
+    assert n > 2 and sum(met) == linking.chunk_pairs(rows, 0.8).count() and max(met) < sum(met) / 2
+    links = classes(60, similar_pairs([char_shingles(t) for t in texts], 0.8))
+    assert classes(60, [(r["a"], r["b"]) for r in linking.joining_edges(rows, 0.8).collect()]) == links
+
+
+def test_members_in_parts_gather_the_same(spark):
+    rows = spark.range(300).selectExpr("id % 97 as node", "array(id % 7, 100 + id % 50, 200 + id % 97) as bands")
+    whole = linking.gather(rows.select("node", F.explode("bands").alias("band")), "test")
+    parts = linking.gather([rows.select("node", F.explode(F.slice("bands", k, 1)).alias("band")) for k in (1, 2, 3)], "test")
+    for one, two in zip(whole, parts, strict=True):
+        assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in two.select(one.columns).collect())
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    table = common.materialise(spark.range(2000).groupBy((F.col("id") % 50).alias("k")).count(), "test")
+    assert not shuffles() - before and table.count() == 50 and spark.conf.get(key) == kept
+
+
+def test_bands_of_lines_go_when_they_are_gathered(spark, monkeypatch):
+    home, seen, real = common._home(spark).removeprefix("file://"), [], line_dedup.link_gathered
+    before = set(os.listdir(home)) if os.path.isdir(home) else set()
+
+    def watch(*args):
+        seen.extend(f.rsplit("-", 1)[0] for f in set(os.listdir(home)) - before)
+        return real(*args)
+
+    monkeypatch.setattr(line_dedup, "link_gathered", watch)
+    docs = spark.createDataFrame(list(enumerate(variants(20, seed=3))), "doc_id long, text string")
+    assert line_dedup.report(docs).count() == docs.count()
+    assert "line-signed" not in seen and seen.count("line-places") == 1
+
+
+def test_a_line_is_the_same_whatever_text_follows():
+    line = "a line that ends its text with a full stop."
+    alone = line_dedup.Lines(pa.array([line]), 20).node.tolist()
+    for after in ("word", ". word", "", None):
+        assert line_dedup.Lines(pa.array(["", line, after, "word"]), 20).node.tolist() == alone
