@@ -30,11 +30,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import ragged
 from .common import materialise, temporary
@@ -45,6 +47,8 @@ Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 #: Crowded bands (longs) that are broadcast, about 40 MB as a hash table; beyond that they are joined by a shuffle.
 MAX_BROADCAST_BANDS = 1 << 19
+#: Members that are sent together.
+_MEMBERS = 1 << 19
 #: Bytes of differences that one chunk of a group holds, about.
 CHUNK_BYTES = 1 << 20
 #: Chunks that a cell of a group's matrix has on each side.
@@ -54,6 +58,8 @@ PASS_TIMES = 2
 #: Columns of the matrices that are multiplied at once.
 _COLUMNS = 4096
 _PAIRS = 4096
+#: Bytes of texts that are compared at once, so that the arrays stay in a core's cache.
+_GROUP_BYTES = 256 << 10
 #: Weights in millionths, to which all weights are rounded, so that sums of them are exact.
 _UNIT = 1e-6
 _DELTA = np.dtype([("token", np.uint64), ("weight", np.uint32)])
@@ -80,23 +86,96 @@ def link_gathered(buckets: DataFrame, crowded: DataFrame, fetch: Callable[[DataF
 
 
 def gather(members: DataFrame | Sequence[DataFrame], name: str) -> tuple[DataFrame, DataFrame]:
-    """(buckets, crowded): a, b and n of the buckets with two nodes or more, and the distinct members of those with more than two rows.
+    """(buckets, crowded): a, b (least and greatest node) and n (nodes, 3 for more) of the buckets with two nodes or more, and the distinct members of those with more than two.
 
-    ``members``: band and node, repeated or not; or several such tables, each
-    with bands of its own, which are taken one after another, so that the disk
-    holds the shuffle of one at a time.  They are not read again.
+    ``members``: node and one or several columns of bands, repeated or not; or
+    several such tables, each with bands of its own, which are taken one after
+    another, so that the disk holds the shuffle of one at a time.  They are not
+    read again.
     """
     found = [_gathered(part, name) for part in ([members] if isinstance(members, DataFrame) else members)]
     return tuple(reduce(DataFrame.union, side) for side in zip(*found, strict=True))
 
 
 def _gathered(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("n"))
-    buckets = materialise(buckets.where("a <> b"), f"{name}-buckets", keep=True)
+    buckets = materialise(meetings(members), f"{name}-buckets", keep=True)
     wanted = buckets.where("n > 2").select("band")
     # Few bands of all: where they fit, the members are picked without a shuffle.
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_BANDS else wanted
-    return buckets, materialise(members.join(wanted, "band", "left_semi").distinct(), f"{name}-crowded", keep=True)
+    bands = [c for c in members.columns if c != "node"]
+    each = members.select("node", F.explode(F.array(*bands)).alias("band"))
+    return buckets, materialise(each.join(wanted, "band", "left_semi").distinct(), f"{name}-crowded", keep=True)
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """band, a, b and n (as of :func:`gather`) of each band with two nodes or more."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([batch.column(c).flatten().to_numpy() for c in ("band", "node")]) for batch in batches]
+        if held:
+            band, node, heads = few(*np.concatenate(held, axis=1))
+            n = np.diff(np.append(heads, len(band)))
+            at, n = heads[n > 1], n[n > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (band[at], node[at], node[at + n - 1], n)], ["band", "a", "b", "n"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed(members, n).repartitionById(n, "of").mapInArrow(meet, "band long, a long, b long, n long")
+
+
+def packed(members: DataFrame, n: int) -> DataFrame:
+    """of (one of ``n`` ranges of the bands), and the bands and nodes of it as arrays.
+
+    Nearly all bands have one node, so members are shuffled as arrays: a task
+    makes a row for each range and half a million members.  Of one band it has
+    three nodes at most, which is all that :func:`meetings` tells of it.
+    """
+    bands = [c for c in members.columns if c != "node"]
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """band and node (two rows) of several batches at a time."""
+        held, size = [], 0
+        for batch in batches:
+            node, *keys = (batch.column(c).to_numpy() for c in ["node", *bands])
+            held += [np.stack([key, node]) for key in keys]
+            size += batch.num_rows * len(keys)
+            if size >= _MEMBERS:
+                yield np.concatenate(held, axis=1)
+                held, size = [], 0
+        if size:
+            yield np.concatenate(held, axis=1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in arrays(batches):
+            band, node, _ = few(*found)
+            # Bands are in order, and so are the ranges of their leading 32 bits.
+            of = ((band.view(np.uint64) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+            heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            ends = pa.array(np.append(heads, len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (band, node)]
+            yield pa.RecordBatch.from_arrays([pa.array(of[heads].astype(np.int32)), *lists], ["of", "band", "node"])
+
+    return members.select("node", *bands).mapInArrow(pack, "of int, band array<long>, node array<long>")
+
+
+def few(band: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order of the bands (unsigned) and nodes, and where each band begins; of a band with more than three nodes two and the greatest."""
+    order = np.argsort(band.view(np.uint64))
+    band, node = band[order], node[order]
+    same = band[1:] == band[:-1]
+    # Most bands have one row; only the others' nodes are sorted.
+    several = np.flatnonzero(np.append(same, False) | np.concatenate([[False], same]))
+    b, n = band[several], node[several]
+    node[several] = n[np.lexsort((n, b.view(np.uint64)))]
+    kept = np.concatenate([[True], ~same | (node[1:] != node[:-1])])
+    band, node = band[kept], node[kept]
+    first = np.concatenate([[True], band[1:] != band[:-1]])
+    heads = np.flatnonzero(first)
+    n = np.diff(np.append(heads, len(band)))
+    if (n <= 3).all():
+        return band, node, heads
+    at = np.arange(len(band)) - np.repeat(heads, n)
+    kept = (at < 2) | (at == np.repeat(n, n) - 1)
+    return band[kept], node[kept], np.concatenate([[0], np.cumsum(np.minimum(n, 3))[:-1]])
 
 
 def _linked(buckets: DataFrame, crowded: DataFrame, fetch: Callable[[DataFrame], DataFrame], sets: Sets, threshold: float, name: str) -> DataFrame:
@@ -126,14 +205,13 @@ def _linked(buckets: DataFrame, crowded: DataFrame, fetch: Callable[[DataFrame],
     near = near.groupBy("group").agg(F.max(F.struct("similarity", "node"))["node"].alias("centre"))
     left = materialise(left.select("group", "node").distinct().join(near, "group"), f"{name}-groups")
     again = left.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    again = again.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    # Labels go through the comparison: the differences, which are most of the bytes, are shuffled only by their groups.
     measured = materialise(compare(again, texts, sets, deltas=True), f"{name}-measured")
 
     # Nodes linked to the centre are of its component by now.
     label = F.when(linked, F.coalesce("a_label", "a")).otherwise(F.coalesce("b_label", "b"))
-    named = measured.select("a", "b", "similarity").join(of["a"], "a", "left").join(of["b"], "b", "left").select("a", "b", label.alias("label"))
-    # The differences, which are most of the bytes, are shuffled once for that.
-    rows = measured.join(named, ["a", "b"])
-    rows = rows.select(F.col("a").alias("centre"), F.col("b").alias("node"), "label", "weight", "lacks", "deltas", (F.col("weight") + F.col("lacks") - F.col("extra")).alias("whole"))
+    rows = measured.select(F.col("a").alias("centre"), F.col("b").alias("node"), label.alias("label"), "weight", "lacks", "deltas", (F.col("weight") + F.col("lacks") - F.col("extra")).alias("whole"))
     fresh = materialise(joining_edges(rows, threshold), f"{name}-rest")
     more = measured.where(linked).select("a", "b").union(compare(fresh, texts, sets).where(linked).select("a", "b"))
     # Components of components: only edges between different labels are left.
@@ -156,9 +234,8 @@ def joining_edges(rows: DataFrame, threshold: float) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                p, q = (_Chunk(batch.column(c).slice(i, 1)) for c in ("p", "q"))
-                ends = forest(p, q, batch.column("whole")[i].as_py(), threshold)
+            for p, q, whole in zip(_chunks(batch.column("p")), _chunks(batch.column("q")), batch.column("whole").to_pylist(), strict=True):
+                ends = forest(p, q, whole, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(ends.min(0)), pa.array(ends.max(0))], ["a", "b"])
 
     placed = place(rows, threshold)
@@ -219,16 +296,32 @@ def met_chunks(placed: DataFrame, k: int = 0, n: int = 1) -> DataFrame:
     return met.where(F.abs(F.col("p_level") - F.col("q_level")) <= 1).select("p", "q", "whole")
 
 
-class _Chunk:
-    """Nodes of a group and how they differ from its centre."""
+class _Chunk(NamedTuple):
+    """Nodes of a group and how they differ from its centre: row (the node's number), token and value (the root of its weight) of each difference."""
 
-    def __init__(self, cell: pa.Array):
-        items = cell.flatten()
-        self.node, self.label, self.weight, self.lacks = (items.field(c).to_numpy() for c in ("node", "label", "weight", "lacks"))
-        parts = [np.frombuffer(b, dtype=_DELTA) for b in items.field("deltas").to_pylist()]
-        self.row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-        both = np.concatenate(parts) if parts else np.zeros(0, _DELTA)
-        self.token, self.value = both["token"], np.sqrt(both["weight"] * _UNIT)
+    node: np.ndarray
+    label: np.ndarray
+    weight: np.ndarray
+    lacks: np.ndarray
+    row: np.ndarray
+    token: np.ndarray
+    value: np.ndarray
+
+
+def _chunks(cells: pa.Array) -> Iterator[_Chunk]:
+    items = cells.flatten()
+    if not len(items):
+        return
+    columns = [items.field(c).to_numpy() for c in ("node", "label", "weight", "lacks")]
+    deltas = items.field("deltas").cast(pa.large_binary())
+    ends = np.frombuffer(deltas.buffers()[1], dtype=np.int64)[deltas.offset : deltas.offset + len(deltas) + 1]
+    found = np.frombuffer(deltas.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(_DELTA) if ends[-1] > ends[0] else np.zeros(0, _DELTA)
+    ends = (ends - ends[0]) // _DELTA.itemsize
+    heads = np.append(0, np.cumsum(cells.value_lengths().to_numpy()))
+    for x, y in zip(heads[:-1], heads[1:], strict=True):
+        row = np.repeat(np.arange(y - x), np.diff(ends[x : y + 1]))
+        mine = found[ends[x] : ends[y]]
+        yield _Chunk(*(c[x:y] for c in columns), row, mine["token"], np.sqrt(mine["weight"] * _UNIT))
 
 
 def forest(p: _Chunk, q: _Chunk, whole: float, threshold: float) -> np.ndarray:
@@ -237,16 +330,21 @@ def forest(p: _Chunk, q: _Chunk, whole: float, threshold: float) -> np.ndarray:
     if len(np.union1d(p.label, q.label)) < 2:
         return none
     # Only differences that both chunks hold add to what two nodes share.
-    tokens = np.intersect1d(p.token, q.token)
+    both = np.concatenate([p.token, q.token])
+    order = np.argsort(both)
+    both, of_q = both[order], order >= len(p.token)
+    first = np.append(True, both[1:] != both[:-1])[: len(both)]
+    heads = np.flatnonzero(first)
+    met = np.logical_or.reduceat(of_q, heads) & np.logical_or.reduceat(~of_q, heads) if len(heads) else np.zeros(0, dtype=bool)
+    n_tokens, columns, group = int(met.sum()), np.cumsum(met) - 1, np.cumsum(first) - 1
     shared = whole - p.lacks[:, None] - q.lacks[None]
-    sides = []
-    for c in (p, q):
-        column = np.searchsorted(tokens, c.token)
-        use = np.flatnonzero(tokens[np.minimum(column, len(tokens) - 1)] == c.token) if len(tokens) else np.zeros(0, np.int64)
-        use = use[np.argsort(column[use], kind="stable")]
-        sides.append((c.row[use], column[use], c.value[use], len(c.node)))
-    for low in range(0, len(tokens), _COLUMNS):
-        width, parts = min(_COLUMNS, len(tokens) - low), []
+    sides, use = [], met[group]
+    for c, mine, base in ((p, ~of_q, 0), (q, of_q, len(p.token))):
+        mine = np.flatnonzero(mine & use)
+        at = order[mine] - base
+        sides.append((c.row[at], columns[group[mine]], c.value[at], len(c.node)))
+    for low in range(0, n_tokens, _COLUMNS):
+        width, parts = min(_COLUMNS, n_tokens - low), []
         for row, column, value, n in sides:
             x, y = np.searchsorted(column, [low, low + width])
             part = np.zeros((n, width))
@@ -257,39 +355,43 @@ def forest(p: _Chunk, q: _Chunk, whole: float, threshold: float) -> np.ndarray:
     near = shared * (1 + threshold) >= threshold * total - _UNIT / 10
     labels = np.concatenate([p.label, q.label])
     edges = []
-    for i in range(len(p.node)):
-        for j in np.flatnonzero(near[i]):
-            one, other = labels[i], labels[len(p.node) + j]
-            if one != other:
-                edges.append((p.node[i], q.node[j]))
-                labels[labels == other] = one
+    near &= p.label[:, None] != q.label[None]
+    for i, j in np.argwhere(near):
+        one, other = labels[i], labels[len(p.node) + j]
+        if one != other:
+            edges.append((p.node[i], q.node[j]))
+            labels[labels == other] = one
     return np.array(edges, dtype=np.int64).T if edges else none
 
 
 def compare(pairs: DataFrame, texts: DataFrame, sets: Sets, deltas: bool = False) -> DataFrame:
-    """The exact similarity of each pair (a, b) of nodes, given their texts.
+    """The exact similarity of each pair (a, b) of nodes, given their texts; what else ``pairs`` holds goes along.
 
     With ``deltas`` also b's weight, the weights of what it lacks of a and of
     what it has beyond (extra), and both as tokens: the shingles' 64-bit hashes
     but for the lowest bit, which tells one kind from the other, with their weights.
     """
 
+    pairs_columns = pairs.columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = batch.column("a_text"), batch.column("b_text")
-            for x, y in ragged.groups(two):
-                for u, v in ragged.groups(one.slice(x, y - x)):
+            for x, y in ragged.groups(two, _GROUP_BYTES):
+                for u, v in ragged.groups(one.slice(x, y - x), _GROUP_BYTES):
                     for at in range(x + u, x + v, _PAIRS):
                         n = min(_PAIRS, x + v - at)
                         found = overlaps(one.slice(at, n), two.slice(at, n), sets, deltas)
-                        yield pa.RecordBatch.from_arrays([batch.column("a").slice(at, n), batch.column("b").slice(at, n), *found], names)
+                        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, n) for c in pairs_columns), *found], names)
 
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     # The side of frequent nodes is joined last, so that their texts are not shuffled with each pair.
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-    more = ["weight double", "lacks double", "extra double", "deltas binary"] if deltas else []
-    names = ["a", "b", "similarity", *(c.split()[0] for c in more)]
-    return both.mapInArrow(work, ", ".join(["a long, b long, similarity double", *more]))
+    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select(*pairs_columns, "a_text", "b_text")
+    found = ["similarity", *(["weight", "lacks", "extra"] if deltas else [])]
+    fields = [T.StructField(c, T.DoubleType()) for c in found] + [T.StructField("deltas", T.BinaryType())] * deltas
+    schema = T.StructType([pairs.schema[c] for c in pairs_columns] + fields)
+    names = schema.names
+    return both.mapInArrow(work, schema)
 
 
 def overlaps(one: pa.Array, two: pa.Array, sets: Sets, deltas: bool = False) -> list[pa.Array]:

@@ -99,11 +99,12 @@ def _power(n: int, base: int, name: str) -> np.ndarray:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(33))
+    t = h >> np.uint64(33)
+    h = h ^ t
     h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(29)
+    h ^= np.right_shift(h, np.uint64(29), out=t)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(32)
+    h ^= np.right_shift(h, np.uint64(32), out=t)
     return h
 
 
@@ -170,5 +171,9 @@ def prefix_sums(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hashes(items: np.ndarray, begins: np.ndarray, finishes: np.ndarray) -> np.ndarray:
     """A hash of each run ``items[begin:finish]`` of 64-bit hashes."""
-    sums, inverse = prefix_sums(items)
+    return summed_hashes(*prefix_sums(items), begins, finishes)
+
+
+def summed_hashes(sums: np.ndarray, inverse: np.ndarray, begins: np.ndarray, finishes: np.ndarray) -> np.ndarray:
+    """:func:`run_hashes` from the items' :func:`prefix_sums`."""
     return mix((sums[finishes] - sums[begins]) * inverse[begins] + (finishes - begins).astype(np.uint64) * _MULTIPLIERS[61])

@@ -190,6 +190,22 @@ def test_members_in_parts_gather_the_same(spark):
         assert sorted(map(tuple, one.collect())) == sorted(tuple(r) for r in two.select(one.columns).collect())
 
 
+def test_repeated_rows_do_not_crowd_a_band(spark):
+    rows = [(1, 5), (1, 5), (1, 5), (1, 9), (2, 1), (2, 3), (2, 2), (2, 3), (3, 7), (3, 7), (-4, -1), (-4, 1)]
+    buckets, crowded = linking.gather(spark.createDataFrame(rows, "band long, node long").repartition(3), "test")
+    assert sorted(map(tuple, buckets.select("band", "a", "b", "n").collect())) == [(-4, -1, 1, 2), (1, 5, 9, 2), (2, 1, 3, 3)]
+    assert sorted(map(tuple, crowded.select("band", "node").collect())) == [(2, 1), (2, 2), (2, 3)]
+
+
+def test_members_are_shuffled_as_arrays(spark):
+    members = spark.range(0, 30000, 1, 3).selectExpr("id div 2 as node", "xxhash64(id) as band0", "xxhash64(id div 6) as band1", "7L as band2")
+    rows = linking.packed(members, 5)
+    assert rows.count() <= 3 * 5 and rows.selectExpr("sum(size(band))").first()[0] < 50000
+    flat = members.select("node", F.explode(F.array("band0", "band1", "band2")).alias("band")).groupBy("band")
+    expected = flat.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.least(F.countDistinct("node"), F.lit(3)).alias("n")).where("n > 1")
+    assert sorted(map(tuple, linking.meetings(members).collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
