@@ -34,6 +34,17 @@ def test_query_equals_sql(spark, duck, name):
     assert_same(duck, spark, catalogue.QUERIES[name], catalogue.ORACLE[name])
 
 
+def test_sizes_of_ids_whose_cubes_leave_a_long(spark, tmp_path):
+    """The cube of 2097152 is 2 ** 63.  The SQL overflows there too, so the rows are those of the same SQL on a wider key."""
+    events = spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id + 2097000 as event_id", "* except (event_id)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select event_id::hugeint as event_id, * exclude (event_id) from '{tmp_path}/events.parquet/*.parquet'")
+    theirs = con.execute(f"select id::bigint, shown from ({catalogue.ORACLE['format_size']})").fetchall()
+    ours = [tuple(r) for r in catalogue.QUERIES["format_size"](spark, str(tmp_path)).select("id", "shown").collect()]
+    assert sorted(ours) == sorted(theirs) and min(ours)[0] < 2097152 <= max(ours)[0]
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0

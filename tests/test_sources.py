@@ -5,6 +5,7 @@ import sqlite3
 import time
 import zipfile
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -179,6 +180,12 @@ def test_sizes_beyond_a_thousand_terabytes_stay_in_terabytes(spark):
     assert [r[0] for r in sizes.select(resources_.format_size(F.col("n"))).collect()] == ["1024 TB", "23293.61 TB"]
 
 
+def test_sizes_beyond_a_long(spark):
+    rows = [(Decimal(n),) for n in (2**63, 5999999**3, 5000000000**3, -(2**63) - 1)]
+    found = spark.createDataFrame(rows, "n decimal(38,0)").select(resources_.format_size(F.col("n"))).collect()
+    assert [r[0] for r in found] == ["8388608 TB", "196450757.36 TB", "113686837721616032 TB", "-9223372036854775809 bytes"]
+
+
 def test_responses_without_a_target_are_spread(spark):
     rows = spark.range(1000).selectExpr("id", "id % 50 as resource_id", "CASE WHEN id % 5 = 4 THEN 304 WHEN id = 7 THEN NULL ELSE 200 END as status_code", "CASE WHEN id % 11 > 0 THEN concat('e', id % 2) END as etag", "array(array('Date', cast(id as string))) as headers")
     held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
